@@ -1,0 +1,23 @@
+"""Semantic views over the supplied star tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from starloom.functions.scalars import cents
+from starloom.operators.joins import Edge
+from starloom.registry.base import table
+
+
+def sales_views(spark, sf):
+    """Orders star: orders -> customer -> nation -> region, with cents beside the double amount."""
+    views = {n: table(spark, sf, n) for n in ("customer", "nation", "region")}
+    views["orders"] = table(spark, sf, "orders").withColumns({
+        "total_cents": cents("o_totalprice"), "order_month": F.trunc(F.col("o_orderdate").cast("date"), "month"),
+    })
+    edges = [
+        Edge("orders", "customer", ("o_custkey",), ("c_custkey",)),
+        Edge("customer", "nation", ("c_nationkey",), ("n_nationkey",), "left"),
+        Edge("nation", "region", ("n_regionkey",), ("r_regionkey",), "left"),
+    ]
+    return views, edges
