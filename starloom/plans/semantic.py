@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ class Measure:
 
     aggregate: str | None = None
     field: str | None = None
-    filters: Mapping[str, Mapping] = field(default_factory=dict)
+    filters: Mapping[str, Mapping] = dataclasses.field(default_factory=dict)
     compose: Callable[[Callable[[str], Column]], Column] | None = None
 
 
@@ -43,11 +44,11 @@ class SemanticModel:
     base: str
     views: Mapping[str, DataFrame]
     edges: Sequence[Edge] = ()
-    dimensions: Mapping[str, Column] = field(default_factory=dict)
-    measures: Mapping[str, Measure] = field(default_factory=dict)
-    access: Mapping[str, str] = field(default_factory=dict)
-    always_where: Mapping[str, Mapping] = field(default_factory=dict)
-    default_filters: Mapping[str, Mapping] = field(default_factory=dict)
+    dimensions: Mapping[str, Column] = dataclasses.field(default_factory=dict)
+    measures: Mapping[str, Measure] = dataclasses.field(default_factory=dict)
+    access: Mapping[str, str] = dataclasses.field(default_factory=dict)
+    always_where: Mapping[str, Mapping] = dataclasses.field(default_factory=dict)
+    default_filters: Mapping[str, Mapping] = dataclasses.field(default_factory=dict)
 
     def _field(self, name: str) -> Column:
         return self.dimensions.get(name, F.col(name))
