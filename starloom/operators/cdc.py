@@ -93,3 +93,13 @@ def with_unknown_rows(dim: DataFrame, tenants: DataFrame, tenant: str, key: str,
     return dim.unionByName(
         unknown.select(*[filler.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in dim.schema])
     )
+
+
+def apply_counterfactual(df: DataFrame, keys: Sequence[str], *, replace: DataFrame | None = None, append: DataFrame | None = None) -> DataFrame:
+    """A what-if copy of a table: rows replaced by key, rows appended."""
+    out = df
+    if replace is not None:
+        out = out.join(replace.select(*keys), list(keys), "left_anti").select(*df.columns).unionByName(replace.select(*df.columns))
+    if append is not None:
+        out = out.unionByName(append.select(*df.columns))
+    return out
