@@ -104,9 +104,3 @@ def additivity_strategy(measures: DataFrame) -> DataFrame:
     """Which measures may be pre-aggregated, from (aggregation, additivity)."""
     summable = F.col("aggregation").isin("sum", "count") & (F.col("additivity") == "additive")
     return measures.withColumn("strategy", F.when(summable, "pre_aggregate").otherwise("keep_detail"))
-
-
-def null_if_any_null(value: Column | str) -> Column:
-    """Sum that is null as soon as one input of the group is unknown."""
-    c = F.col(value) if isinstance(value, str) else value
-    return F.when(F.count_if(c.isNull()) == 0, F.sum(c))
