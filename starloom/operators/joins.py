@@ -122,8 +122,8 @@ def join_declared(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str
         _require_unique(right, [r for _, r in on])
     if relationship in ("one_to_many", "one_to_one"):
         _require_unique(left, [l for l, _ in on])
-    condition = [left[l] == right[r] for l, r in on]
-    return left.join(right, condition, JOIN_TYPES[join_type])
+    condition = [F.col(f"_left.{l}") == F.col(f"_right.{r}") for l, r in on]
+    return left.alias("_left").join(right.alias("_right"), condition, JOIN_TYPES[join_type])
 
 
 def join_tree(views: Mapping[str, DataFrame], base: str, edges: Sequence[Edge], used: Sequence[str]) -> DataFrame:

@@ -99,10 +99,11 @@ def design_findings(models: DataFrame, relations: DataFrame) -> DataFrame:
     """Design rules over models (model_id, keys array, depends_on array) and relationships
     (relation_id, from_model, to_model, from_keys array, to_keys array)."""
     known = models.select("model_id").distinct()
-    repeated = models.groupBy("model_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("model_id").alias("entity"), F.lit("duplicate_id").alias("finding"))
-    keyless = models.where(F.size("keys") == 0).select(F.col("model_id").alias("entity"), F.lit("missing_key").alias("finding"))
+    entity = F.col("model_id").cast("string").alias("entity")
+    repeated = models.groupBy("model_id").agg(F.count("*").alias("_n")).where("_n > 1").select(entity, F.lit("duplicate_id").alias("finding"))
+    keyless = models.where(F.size("keys") == 0).select(entity, F.lit("missing_key").alias("finding"))
     needs = models.select("model_id", F.explode("depends_on").alias("_d"))
-    unknown = needs.join(known.withColumnRenamed("model_id", "_d"), "_d", "left_anti").select(F.col("model_id").alias("entity"), F.lit("unknown_dependency").alias("finding"))
+    unknown = needs.join(known.withColumnRenamed("model_id", "_d"), "_d", "left_anti").select(entity, F.lit("unknown_dependency").alias("finding"))
     arity = relations.where(F.size("from_keys") != F.size("to_keys")).select(F.col("relation_id").alias("entity"), F.lit("relationship_arity").alias("finding"))
     target = models.select(F.col("model_id").alias("to_model"), F.array_sort("keys").alias("_k")).dropDuplicates(["to_model"])
     wrong = relations.join(target, "to_model").where(F.array_sort("to_keys") != F.col("_k")).select(F.col("relation_id").alias("entity"), F.lit("relationship_key_mismatch").alias("finding"))

@@ -65,10 +65,10 @@ def match_count_violations(
     start: str = "valid_from", end: str = "valid_to",
 ) -> DataFrame:
     """Rows whose time falls into no interval, or into several, of their key."""
-    h = history.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = [left[k] == h[k] for k in keys]
-    on += [left[at] >= h["_s"], h["_e"].isNull() | (left[at] < h["_e"])]
-    joined = left.join(h, on, "left").select(*[left[c] for c in row_key], h["_s"].alias("_s"))
+    h = history.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"))
+    on = [F.col(k) == F.col(f"_h_{k}") for k in keys]
+    on += [F.col(at) >= F.col("_s"), F.col("_e").isNull() | (F.col(at) < F.col("_e"))]
+    joined = left.join(h, on, "left").select(*row_key, "_s")
     return joined.groupBy(*row_key).agg(F.count("_s").alias("n_matches")).where("n_matches <> 1")
 
 

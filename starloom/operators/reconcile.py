@@ -52,11 +52,11 @@ def keyed_diff(expected: DataFrame, actual: DataFrame, contract: ResultContract)
     pass for missing and extra keys. The keys are unique per side by contract.
     """
     keys, values = list(contract.keys), contract.values
-    e = expected.select(*keys, F.struct(*values).alias("_e"))
-    a = actual.select(*keys, F.struct(*values).alias("_a"))
-    on = [e[k].eqNullSafe(a[k]) for k in keys]
+    e = expected.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.struct(*values).alias("_e"))
+    a = actual.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.struct(*values).alias("_a"))
+    on = [F.col(f"_e_{k}").eqNullSafe(F.col(f"_a_{k}")) for k in keys]
     joined = e.join(a, on, "full_outer").select(
-        *[F.coalesce(e[k], a[k]).alias(k) for k in keys], "_e", "_a"
+        *[F.coalesce(f"_e_{k}", f"_a_{k}").alias(k) for k in keys], "_e", "_a"
     )
 
     def finding(kind: str, column: str | None = None) -> Column:

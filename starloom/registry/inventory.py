@@ -86,8 +86,8 @@ COMPONENTS = ["click", "error", "purchase", "refund", "signup", "view"]
 
 @query("catalog_completeness", """
 WITH x AS (SELECT user_id AS scope, event_type AS component, ts AS captured_at, CASE WHEN value > 200 THEN 'partial' ELSE 'complete' END AS status FROM events),
-p AS (SELECT scope, component, count(*) AS n, max(captured_at) AS at, count(*) FILTER (WHERE status <> 'complete') AS bad FROM x GROUP BY 1, 2)
-SELECT scope, component, 'stale' AS finding FROM p WHERE datediff('day', CAST(at AS DATE), DATE '2024-02-01') > 7 UNION ALL SELECT scope, component, 'incomplete' FROM p WHERE bad > 0 UNION ALL SELECT scope, component, 'repeated' FROM p WHERE n > 1
+p AS (SELECT scope, component, count(*) AS n, max(captured_at) AS latest, count(*) FILTER (WHERE status <> 'complete') AS bad FROM x GROUP BY 1, 2)
+SELECT scope, component, 'stale' AS finding FROM p WHERE datediff('day', CAST(latest AS DATE), DATE '2024-02-01') > 7 UNION ALL SELECT scope, component, 'incomplete' FROM p WHERE bad > 0 UNION ALL SELECT scope, component, 'repeated' FROM p WHERE n > 1
 UNION ALL SELECT s.scope, c.component, 'missing' FROM (SELECT DISTINCT scope FROM x) s, (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('signup'), ('view')) c(component) WHERE (s.scope, c.component) NOT IN (SELECT (scope, component) FROM p)""")
 def catalog_completeness(spark, sf):
     extracts = table(spark, sf, "events").select(F.col("user_id").alias("scope"), F.col("event_type").alias("component"), F.col("ts").alias("captured_at"), F.when(F.col("value") > 200, "partial").otherwise("complete").alias("status"))
@@ -125,8 +125,7 @@ def design_consistency(spark, sf):
     rel = links.join(part, "to_model").select(
         F.concat(F.lit("r"), rid.cast("string")).alias("relation_id"), "to_model", F.when(rid % 7 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("from_keys"),
         F.when(rid % 11 == 0, F.array(F.lit("PROMO"))).otherwise(F.array("p_type")).alias("to_keys"))
-    out = m.design_findings(models(spark, sf).withColumn("model_id", F.col("model_id").cast("long")), rel)
-    return out.withColumn("entity", F.col("entity").cast("string"))
+    return m.design_findings(models(spark, sf), rel)
 
 
 @query("design_compare", """
@@ -353,12 +352,12 @@ def attempt_tally(spark, sf):
 
 
 CTES["chain"] = """
-SELECT event_id, user_id, CASE WHEN event_type = 'error' AND value > 40 THEN ts - INTERVAL 2 DAY ELSE ts END AS at, sha256(CAST(event_id AS VARCHAR) || event_type) AS digest,
+SELECT event_id, user_id, CASE WHEN event_type = 'error' AND value > 40 THEN ts - INTERVAL 2 DAY ELSE ts END AS stamp, sha256(CAST(event_id AS VARCHAR) || event_type) AS digest,
        CASE WHEN event_type = 'signup' AND value > 50 THEN 'x' ELSE coalesce(lag(sha256(CAST(event_id AS VARCHAR) || event_type)) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) END AS link FROM events"""
 
 
 @query("chain_verify", """
-SELECT user_id, event_id, 'time_reversed' AS finding FROM (SELECT *, lag(at) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM chain) WHERE at < before
+SELECT user_id, event_id, 'time_reversed' AS finding FROM (SELECT *, lag(stamp) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM chain) WHERE stamp < before
 UNION ALL SELECT user_id, event_id, 'broken_link' FROM chain WHERE link = 'x'""")
 def chain_verify(spark, sf):
     """Each user's events form a log; a slice is a block of 4096 event ids."""

@@ -116,8 +116,8 @@ def tree_integrity(spark, sf):
 
 
 @query("context_closure", """
-WITH RECURSIVE up AS (SELECT p_partkey AS node_id, p_partkey AS at FROM part UNION ALL SELECT u.node_id, u.at // 3 FROM up u JOIN part p ON p.p_partkey = u.at WHERE p.p_size > 25 AND u.at > 0)
-SELECT node_id, min(at) AS component FROM up GROUP BY 1""")
+WITH RECURSIVE up AS (SELECT p_partkey AS node_id, p_partkey AS pos FROM part UNION ALL SELECT u.node_id, u.pos // 3 FROM up u JOIN part p ON p.p_partkey = u.pos WHERE p.p_size > 25 AND u.pos > 0)
+SELECT node_id, min(pos) AS component FROM up GROUP BY 1""")
 def context_closure(spark, sf):
     """A part is tied to part (key div 3) when its size is above 25, and otherwise to itself only."""
     p = table(spark, sf, "part")
@@ -127,8 +127,8 @@ def context_closure(spark, sf):
 
 @query("effort_propagation", """
 WITH RECURSIVE pk AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < -985 THEN 0 WHEN c_acctbal < 1000 THEN 1 WHEN c_acctbal < 6000 THEN 2 WHEN c_acctbal < 9800 THEN 3 ELSE 4 END AS lv, CASE WHEN c_acctbal BETWEEN 9500 AND 9600 THEN 1 ELSE 0 END AS bl FROM customer),
-up AS (SELECT id AS node_id, id AS at FROM pk UNION ALL SELECT node_id, (at - 1) // 2 FROM up WHERE at > 0),
-f AS (SELECT node_id, max(lv) AS level, max(bl) AS blocked, max(CASE WHEN lv = 0 THEN 1 ELSE 0 END) AS unknown FROM up JOIN pk ON pk.id = up.at GROUP BY 1)
+up AS (SELECT id AS node_id, id AS pos FROM pk UNION ALL SELECT node_id, (pos - 1) // 2 FROM up WHERE pos > 0),
+f AS (SELECT node_id, max(lv) AS level, max(bl) AS blocked, max(CASE WHEN lv = 0 THEN 1 ELSE 0 END) AS unknown FROM up JOIN pk ON pk.id = up.pos GROUP BY 1)
 SELECT f.node_id, CASE WHEN unknown = 0 THEN level END AS level, CASE WHEN unknown = 1 THEN 'needs_discovery' WHEN blocked = 1 THEN 'blocked' ELSE 'ready' END AS readiness, unknown = 0 AND level > lv AS is_inherited FROM f JOIN pk ON pk.id = f.node_id""")
 def effort_propagation(spark, sf):
     bal = F.col("c_acctbal")
