@@ -1 +1,239 @@
-"""Queries."""
+"""Privacy and access."""
+
+from pyspark.sql import functions as F
+
+from starloom.operators import access, privacy as p
+from starloom.operators.sets import union_checks
+from starloom.registry.base import CTES, query, table
+from starloom.registry.lineage import referral
+
+CTES["doc_lines"] = "SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
+CTES["card_numbers"] = r"""
+SELECT doc_id, line, regexp_replace(unnest(regexp_extract_all(s, '(?:^|[^\p{L}\p{N}_])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^\p{L}\p{N}_])', 1)), '[^0-9]', '', 'g') AS n FROM doc_lines"""
+CTES["card_hits"] = """
+SELECT DISTINCT doc_id, line FROM card_numbers WHERE length(n) BETWEEN 13 AND 19 AND n <> repeat(substr(n, 1, 1), length(n)) AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
+  CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(substr(n, i, 1) AS INTEGER) WHEN CAST(substr(n, i, 1) AS INTEGER) > 4 THEN CAST(substr(n, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(n, i, 1) AS INTEGER) * 2 END)) % 10 = 0"""
+CTES["signal_hits"] = r"""
+SELECT doc_id, 'pii.email' AS rule_id, 'PII' AS category, line FROM doc_lines WHERE regexp_matches(s, '(?i)(?:^|[^\p{L}\p{N}_.+-])[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?\.[A-Z]{2,}(?:$|[^\p{L}\p{N}_.-])')
+UNION ALL SELECT doc_id, 'pii.ssn', 'PII', line FROM doc_lines WHERE regexp_matches(s, '(?:^|[^0-9])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?:$|[^0-9])')
+UNION ALL SELECT doc_id, 'credential.private_key', 'CREDENTIAL', line FROM doc_lines WHERE regexp_matches(s, '-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----')
+UNION ALL SELECT doc_id, 'credential.bearer', 'CREDENTIAL', line FROM doc_lines WHERE regexp_matches(s, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}')
+UNION ALL SELECT doc_id, 'credential.provider_token', 'CREDENTIAL', line FROM doc_lines WHERE regexp_matches(s, '\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b')
+UNION ALL SELECT doc_id, 'credential.assignment', 'CREDENTIAL', line FROM doc_lines WHERE regexp_matches(s, '(?i)\b(?:password|passwd|access_token|api_key|private_key|client_secret)\s*["'']?\s*[:=]\s*["'']?[^\s"''{}]{4,}')"""
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query("scan_text_signals", "SELECT * FROM signal_hits")
+def scan_text_signals(spark, sf):
+    return p.scan_signals(docs(spark, sf), ["doc_id"])
+
+
+@query("scan_card_luhn", "SELECT doc_id, 'pci.pan_candidate' AS rule_id, 'PCI' AS category, line FROM card_hits")
+def scan_card_luhn(spark, sf):
+    return p.scan_cards(docs(spark, sf), ["doc_id"])
+
+
+@query("scan_status", """
+SELECT d.doc_id, coalesce(n, 0) AS n_findings, true AS is_complete, CASE WHEN n > 0 THEN 'blocked' ELSE 'clear' END AS status FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, rule_id, line FROM signal_hits UNION ALL SELECT doc_id, 'card', line FROM card_hits) GROUP BY 1) f ON d.doc_id = f.doc_id""")
+def scan_status(spark, sf):
+    return p.scan_status(docs(spark, sf), ["doc_id"])
+
+
+CTES["page_lines"] = "SELECT page_id, unnest(string_split(html, chr(10))) AS s, generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages"
+
+
+@query("scan_html_pages", r"""
+WITH n AS (SELECT page_id, line, regexp_replace(unnest(regexp_extract_all(s, '(?:^|[^\p{L}\p{N}_])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^\p{L}\p{N}_])', 1)), '[^0-9]', '', 'g') AS n FROM page_lines)
+SELECT page_id, 'page' AS part, 'pii.email' AS rule_id, 'PII' AS category, line FROM page_lines WHERE regexp_matches(s, '(?i)(?:^|[^\p{L}\p{N}_.+-])[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?\.[A-Z]{2,}(?:$|[^\p{L}\p{N}_.-])')
+UNION ALL SELECT DISTINCT page_id, 'page', 'pci.pan_candidate', 'PCI', line FROM n WHERE length(n) BETWEEN 13 AND 19 AND n <> repeat(substr(n, 1, 1), length(n)) AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
+  CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(substr(n, i, 1) AS INTEGER) WHEN CAST(substr(n, i, 1) AS INTEGER) > 4 THEN CAST(substr(n, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(n, i, 1) AS INTEGER) * 2 END)) % 10 = 0""")
+def scan_html_pages(spark, sf):
+    return p.scan_html(table(spark, sf, "pages"), ["page_id"])
+
+
+CTES["named_outputs"] = """
+SELECT p_brand AS scope, CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN p_type || ' Email' WHEN 'bolt' THEN 'Home-' || p_type || '_phone' WHEN 'rod' THEN p_type || ' first_name' WHEN 'plate' THEN 'note' ELSE p_name END AS identifier, p_size FROM part"""
+
+
+@query("pii_column_match", r"""
+WITH o AS (SELECT DISTINCT scope, identifier, trim(regexp_replace(lower(trim(identifier)), '[^a-z0-9]+', '_', 'g'), '_') AS nm FROM named_outputs),
+r(word, strong) AS (VALUES ('email', true), ('phone', true), ('first_name', true), ('note', false), ('gear', false), ('widget', false))
+SELECT scope, identifier, word FROM o JOIN r ON nm = word OR (strong AND nm LIKE '%\_' || word ESCAPE '\') WHERE NOT (nm = 'note' AND scope = 'Brand#1') AND nm <> 'promo_email'""")
+def pii_column_match(spark, sf):
+    """Names made from parts; the register holds one row per part that names a register word."""
+    part = table(spark, sf, "part")
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    named = (F.when(noun == "ring", F.concat("p_type", F.lit(" Email"))).when(noun == "bolt", F.concat(F.lit("Home-"), "p_type", F.lit("_phone")))
+             .when(noun == "rod", F.concat("p_type", F.lit(" first_name"))).when(noun == "plate", "note").otherwise(F.col("p_name")))
+    outputs = part.select(F.col("p_brand").alias("scope"), named.alias("identifier"))
+    words = F.when(noun == "ring", "E-Mail").when(noun == "bolt", "Phone").when(noun == "rod", "First Name").when(noun == "plate", "NOTE").otherwise(noun)
+    register = part.select(words.alias("column_name")).distinct().where("column_name <> 'E-Mail'").unionByName(part.select(F.lit("email").alias("column_name")).distinct())
+    register = register.where(F.col("column_name").isin("email", "Phone", "First Name", "NOTE", "gear", "widget"))
+    exempt = part.where("p_brand = 'Brand#1'").select(F.col("p_brand").alias("scope"), F.lit("Note").alias("identifier")).distinct().unionByName(
+        part.select(F.lit("*").alias("scope"), F.lit("PROMO email").alias("identifier")).distinct())
+    return p.match_columns(outputs, register, exempt)
+
+
+CTES["treated"] = """
+SELECT p_partkey AS id, CASE p_type WHEN 'PROMO' THEN 'mask' WHEN 'STANDARD' THEN 'tokenize' WHEN 'LARGE' THEN 'exclude' WHEN 'SMALL' THEN 'aggregate' WHEN 'ECONOMY' THEN 'retain_with_controls' ELSE 'unresolved' END AS treatment,
+       CASE WHEN p_size % 5 = 0 THEN 'unknown' WHEN p_size % 5 = 1 THEN 'mask' WHEN p_size % 5 = 2 THEN 'hash' WHEN p_size % 5 = 3 THEN 'aggregate' ELSE 'derive' END AS transformation, CASE WHEN p_size = 7 THEN NULL ELSE 'r' || p_size END AS review_reference,
+       p_size % 3 AS n_controls, CASE WHEN p_size > 40 THEN NULL ELSE md5(p_name) END AS expression_sha, CASE WHEN p_size > 35 THEN 'x' ELSE md5(p_name) END AS output_expression_sha,
+       CASE WHEN p_size = 8 THEN 'copy' WHEN p_size % 5 = 0 THEN 'unknown' WHEN p_size % 5 = 1 THEN 'mask' WHEN p_size % 5 = 2 THEN 'hash' WHEN p_size % 5 = 3 THEN 'aggregate' ELSE 'derive' END AS output_transformation, p_size <> 9 AS lineage_complete FROM part"""
+CTES["treated_reasons"] = """
+SELECT *, list_filter([CASE WHEN treatment = 'unresolved' THEN 'treatment.unresolved' END, CASE WHEN review_reference IS NULL THEN 'treatment.review_missing' END, CASE WHEN treatment <> 'unresolved' AND transformation = 'unknown' THEN 'treatment.transformation_unknown' END,
+  CASE WHEN treatment = 'retain_with_controls' AND n_controls = 0 THEN 'treatment.controls_missing' END,
+  CASE WHEN (treatment = 'mask' AND transformation NOT IN ('mask', 'derive')) OR (treatment = 'tokenize' AND transformation NOT IN ('tokenize', 'hash', 'derive')) OR (treatment = 'aggregate' AND transformation <> 'aggregate') THEN 'treatment.transformation_incompatible' END], lambda v: v IS NOT NULL) AS a,
+  list_filter([CASE WHEN NOT lineage_complete THEN 'lineage.unresolved' END, CASE WHEN expression_sha IS NOT NULL AND expression_sha IS DISTINCT FROM output_expression_sha THEN 'treatment.expression_changed' END,
+  CASE WHEN treatment IN ('mask', 'tokenize', 'aggregate') AND expression_sha IS NULL THEN 'treatment.expression_review_missing' END, CASE WHEN transformation <> output_transformation THEN 'treatment.transformation_unverified' END], lambda v: v IS NOT NULL) AS b FROM treated"""
+
+
+def treated(spark, sf):
+    part = table(spark, sf, "part")
+    size = F.col("p_size")
+    kinds = {"PROMO": "mask", "STANDARD": "tokenize", "LARGE": "exclude", "SMALL": "aggregate", "ECONOMY": "retain_with_controls"}
+    treatment = F.coalesce(*[F.when(F.col("p_type") == t, k) for t, k in kinds.items()], F.lit("unresolved"))
+    names = F.array(*[F.lit(v) for v in ("unknown", "mask", "hash", "aggregate", "derive")])
+    transformation = F.element_at(names, (size % 5 + 1).cast("int"))
+    return part.select(
+        F.col("p_partkey").alias("id"), treatment.alias("treatment"), transformation.alias("transformation"), F.when(size != 7, F.concat(F.lit("r"), size.cast("string"))).alias("review_reference"),
+        (size % 3).alias("n_controls"), F.when(size <= 40, F.md5("p_name")).alias("expression_sha"), F.when(size > 35, "x").otherwise(F.md5("p_name")).alias("output_expression_sha"),
+        F.when(size == 8, "copy").otherwise(transformation).alias("output_transformation"), (size != 9).alias("lineage_complete"), "p_brand", "p_name", "p_size")
+
+
+@query("treatment_check", """
+SELECT id, CASE WHEN len(a) = 0 AND treatment = 'exclude' THEN 'violation' WHEN len(a) > 0 OR len(b) > 0 THEN 'unresolved' ELSE 'satisfied' END AS status,
+       array_to_string(list_sort(CASE WHEN len(a) > 0 THEN a WHEN treatment = 'exclude' THEN ['treatment.excluded_source_reaches_output'] ELSE b END), ',') AS reasons FROM treated_reasons""")
+def treatment_check(spark, sf):
+    return p.treatment_status(treated(spark, sf)).select("id", "status", "reasons")
+
+
+@query("pii_output_assessment", """
+WITH reg AS (SELECT DISTINCT p_brand AS tb, p_name AS cl FROM part WHERE p_size < 25),
+outs AS (SELECT p_partkey AS output_id, p_brand AS tb, p_name AS cl, p_size % 2 AS dest, CASE WHEN p_size > 35 THEN 'x' ELSE md5(p_name) END AS oe, t.output_transformation AS ot, p_size <> 9 AS lc FROM part JOIN treated t ON t.id = p_partkey),
+tr AS (SELECT p_brand AS tb, p_name AS cl, p_size % 2 AS dest, t.treatment, t.transformation, t.review_reference, t.n_controls, t.expression_sha FROM part JOIN treated t ON t.id = p_partkey WHERE p_size > 10),
+j AS (SELECT o.*, t.treatment, t.transformation, t.review_reference, t.n_controls, t.expression_sha, t.tb IS NOT NULL AS has_t FROM outs o JOIN reg r ON o.tb = r.tb AND o.cl = r.cl LEFT JOIN tr t ON o.tb = t.tb AND o.cl = t.cl AND o.dest = t.dest),
+k AS (SELECT *, count(*) FILTER (WHERE expression_sha = oe) OVER (PARTITION BY output_id) AS ne, count(*) FILTER (WHERE has_t AND expression_sha IS NULL) OVER (PARTITION BY output_id) AS ng FROM j),
+one AS (SELECT * FROM k WHERE (ne = 1 AND expression_sha = oe) OR (ne = 0 AND ng = 1 AND has_t AND expression_sha IS NULL)),
+rated AS (SELECT output_id, CASE WHEN treatment = 'unresolved' OR review_reference IS NULL OR transformation = 'unknown' OR (treatment = 'retain_with_controls' AND n_controls = 0) OR (treatment = 'mask' AND transformation NOT IN ('mask', 'derive'))
+   OR (treatment = 'tokenize' AND transformation NOT IN ('tokenize', 'hash', 'derive')) OR (treatment = 'aggregate' AND transformation <> 'aggregate') THEN 'unresolved' WHEN treatment = 'exclude' THEN 'violation'
+   WHEN NOT lc OR (expression_sha IS NOT NULL AND expression_sha <> oe) OR (treatment IN ('mask', 'tokenize', 'aggregate') AND expression_sha IS NULL) OR transformation <> ot THEN 'unresolved' ELSE 'satisfied' END AS st FROM one)
+SELECT o.output_id, CASE WHEN r.st = 'violation' THEN 'violation' WHEN r.st = 'unresolved' OR NOT o.lc OR (g.tb IS NOT NULL AND r.st IS NULL) THEN 'unresolved' ELSE 'within_declared_treatment' END AS status
+FROM outs o LEFT JOIN reg g ON o.tb = g.tb AND o.cl = g.cl LEFT JOIN rated r ON o.output_id = r.output_id""")
+def pii_output_assessment(spark, sf):
+    t = treated(spark, sf)
+    dest = (F.col("p_size") % 2).alias("destination")
+    outputs = t.select(
+        F.col("id").alias("output_id"), dest, F.col("p_brand").alias("source_table"), F.col("p_name").alias("source_column"), F.col("output_expression_sha").alias("expression_sha"),
+        F.col("output_transformation").alias("transformation"), "lineage_complete")
+    register = t.where("p_size < 25").select(F.col("p_brand").alias("table_name"), F.col("p_name").alias("column_name"))
+    treatments = t.where("p_size > 10").select(
+        F.col("p_brand").alias("table_name"), F.col("p_name").alias("column_name"), dest, "treatment", "transformation", "review_reference", "n_controls", "expression_sha")
+    return p.assess_outputs(outputs, register, treatments)
+
+
+@query("treatment_apply", """
+SELECT regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name, sha256('pepper' || CAST(c_custkey AS VARCHAR)) AS c_custkey, c_nationkey, c_mktsegment FROM customer""")
+def treatment_apply(spark, sf):
+    return p.apply_treatments(table(spark, sf, "customer"), {"c_name": "mask", "c_custkey": "tokenize", "c_acctbal": "exclude"}, "pepper")
+
+
+CTES["labels_own"] = """
+SELECT c_custkey AS id, CASE WHEN c_acctbal < 2000 THEN 1 WHEN c_acctbal < 8000 THEN 2 WHEN c_acctbal < 9900 THEN 3 ELSE 4 END AS lv, c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AS pii, c_mktsegment = 'MACHINERY' AND c_acctbal > 9500 AS pci,
+       c_acctbal BETWEEN 7000 AND 7050 AS deny, c_acctbal < -990 AS unk FROM customer"""
+
+
+def own_labels(spark, sf):
+    bal = F.col("c_acctbal")
+    cats = F.array_compact(F.array(F.when((F.col("c_mktsegment") == "BUILDING") & (bal > 9000), "PII"), F.when((F.col("c_mktsegment") == "MACHINERY") & (bal > 9500), "PCI")))
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("node_id"), F.when(bal < 2000, "PUBLIC").when(bal < 8000, "INTERNAL").when(bal < 9900, "CONFIDENTIAL").otherwise("RESTRICTED").alias("sensitivity"), cats.alias("categories"),
+        bal.between(7000, 7050).alias("deny"), (bal >= -990).alias("is_known"))
+
+
+@query("label_propagation", """
+WITH RECURSIVE up AS (SELECT id AS node_id, id AS pos FROM labels_own UNION ALL SELECT node_id, (pos - 1) // 2 FROM up WHERE pos > 0)
+SELECT node_id, CASE WHEN bool_or(unk) THEN 'UNKNOWN' ELSE ['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'RESTRICTED'][max(lv)] END AS sensitivity, concat_ws(',', CASE WHEN bool_or(pci) THEN 'PCI' END, CASE WHEN bool_or(pii) THEN 'PII' END) AS categories, bool_or(deny) AS is_denied
+FROM up JOIN labels_own ON id = pos GROUP BY 1""")
+def label_propagation(spark, sf):
+    return p.propagate_labels(own_labels(spark, sf), referral(spark, sf, back=False))
+
+
+@query("label_downgrade_check", """
+WITH j AS (SELECT c.*, q.lv AS fl, q.pii AS fpii, q.pci AS fpci, q.deny AS fd, q.unk AS fu FROM labels_own c JOIN labels_own q ON q.id = (c.id - 1) // 2 WHERE c.id > 0)
+SELECT id AS node_id, 'unknown_input' AS finding FROM j WHERE fu UNION ALL SELECT id, 'sensitivity_downgrade' FROM j WHERE NOT fu AND lv < fl
+UNION ALL SELECT id, 'category_downgrade' FROM j WHERE (fpii AND NOT pii) OR (fpci AND NOT pci) UNION ALL SELECT id, 'handling_downgrade' FROM j WHERE fd AND NOT deny""")
+def label_downgrade_check(spark, sf):
+    return p.label_downgrades(own_labels(spark, sf), referral(spark, sf, back=False))
+
+
+@query("disclosure_decision", """
+WITH i AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN l.toxic = 1 THEN 'RESTRICTED' WHEN l.quality = 1 THEN 'PUBLIC' ELSE 'INTERNAL' END AS sens, d.lang = 'de' AS pii, d.source <> 'src4' AS approved, d.n_chars > 300 AS complete,
+  CASE WHEN EXISTS (SELECT 1 FROM signal_hits s WHERE s.doc_id = d.doc_id) OR EXISTS (SELECT 1 FROM card_hits s WHERE s.doc_id = d.doc_id) THEN 'blocked' ELSE 'clear' END AS scan, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+x AS (SELECT doc_id AS item_id, 'metadata' AS destination, list_filter([CASE WHEN NOT approved THEN 'classification.unapproved' END, CASE WHEN sens = 'UNKNOWN' THEN 'classification.unknown' END, CASE WHEN NOT complete THEN 'lineage.unresolved' END,
+   CASE WHEN sens NOT IN ('PUBLIC', 'INTERNAL') THEN 'destination.sensitivity_denied' END, CASE WHEN scan <> 'clear' THEN 'scan.not_clear' END], lambda v: v IS NOT NULL) AS r FROM i
+ UNION ALL SELECT doc_id, 'share', list_filter([CASE WHEN NOT approved THEN 'classification.unapproved' END, CASE WHEN sens = 'UNKNOWN' THEN 'classification.unknown' END, CASE WHEN NOT complete THEN 'lineage.unresolved' END,
+   CASE WHEN sens <> 'PUBLIC' THEN 'destination.sensitivity_denied' END, CASE WHEN pii THEN 'destination.categories_denied' END, CASE WHEN lang = 'fr' THEN 'destination.handling_not_allowed' END, CASE WHEN scan <> 'clear' THEN 'scan.not_clear' END], lambda v: v IS NOT NULL) FROM i)
+SELECT item_id, destination, len(r) = 0 AS is_allowed, array_to_string(list_sort(r), ',') AS reasons FROM x""")
+def disclosure_decision(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    scanned = p.scan_status(d, ["doc_id", "lang", "source", "n_chars"])
+    l = table(spark, sf, "labels").withColumn("_l", F.lit(True))
+    j = scanned.join(l, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    items = j.select(
+        F.col("doc_id").alias("item_id"), F.when(F.col("_l").isNull(), "UNKNOWN").when(F.col("toxic") == 1, "RESTRICTED").when(F.col("quality") == 1, "PUBLIC").otherwise("INTERNAL").alias("sensitivity"),
+        F.when(F.col("lang") == "de", F.array(F.lit("PII"))).otherwise(none).alias("categories"), F.when(F.col("source") != "src4", "approved").otherwise("proposed").alias("review_status"),
+        F.when(F.col("n_chars") > 300, "complete").otherwise("unresolved").alias("lineage_status"), F.col("status").alias("scan_status"),
+        F.create_map(F.lit("metadata"), F.lit("allow"), F.lit("share"), F.when(F.col("lang") == "fr", "deny").otherwise("allow")).alias("handling"))
+    policy = spark.createDataFrame(
+        [("metadata", ["PUBLIC", "INTERNAL"], ["PII"], "approved"), ("share", ["PUBLIC"], [], "approved")],
+        "destination string, allowed_sensitivities array<string>, allowed_categories array<string>, review_status string")
+    return p.disclosure_decisions(items, policy)
+
+
+_MASKED = "regexp_replace(regexp_replace(regexp_replace({0}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"
+
+
+@query("column_access_mask", f"""
+SELECT 'analyst' AS persona, CAST(c_custkey AS VARCHAR) AS c_custkey, {_MASKED.format('c_name')} AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, NULL AS c_mktsegment FROM customer
+UNION ALL SELECT 'auditor', {_MASKED.format('CAST(c_custkey AS VARCHAR)')}, c_name, NULL, c_mktsegment FROM customer""")
+def column_access_mask(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    personas = {
+        "analyst": {"c_custkey": "allow", "c_name": "mask", "c_nationkey": "allow"},
+        "auditor": {"c_custkey": "mask", "c_name": "allow", "c_nationkey": "deny", "c_mktsegment": "allow"},
+    }
+    return union_checks([access.persona_view(c, modes).select(F.lit(name).alias("persona"), "*") for name, modes in personas.items()])
+
+
+@query("policy_nonweakening", """
+WITH b AS (SELECT p_brand AS resource_id, 'c' || p_partkey AS column_name, p_size % 3 AS m, p_size % 5 AS c, p_size % 2 = 0 AS v FROM part WHERE p_size <> 11),
+a AS (SELECT p_brand AS resource_id, 'c' || p_partkey AS column_name, CASE WHEN p_type = 'PROMO' THEN 0 ELSE p_size % 3 END AS m, CASE WHEN p_type = 'LARGE' THEN 1 ELSE p_size % 5 END AS c, p_size % 2 = 0 OR p_type = 'SMALL' AS v, p_type = 'STANDARD' AND p_size > 30 AS g FROM part WHERE p_size <> 12),
+j AS (SELECT coalesce(b.resource_id, a.resource_id) AS resource_id, coalesce(b.column_name, a.column_name) AS column_name, b.m AS bm, a.m AS am, b.c AS bc, a.c AS ac, b.v AS bv, a.v AS av, a.g FROM b FULL OUTER JOIN a ON a.resource_id = b.resource_id AND a.column_name = b.column_name)
+SELECT resource_id, column_name, 'existing_column_removed' AS finding FROM j WHERE am IS NULL UNION ALL SELECT resource_id, column_name, 'new_column_not_denied' FROM j WHERE bm IS NULL AND (am <> 2 OR av)
+UNION ALL SELECT resource_id, column_name, 'column_protection_reduced' FROM j WHERE am < bm UNION ALL SELECT resource_id, column_name, 'classification_reduced' FROM j WHERE ac < bc
+UNION ALL SELECT resource_id, column_name, 'column_metadata_expanded' FROM j WHERE av AND NOT bv UNION ALL SELECT resource_id, column_name, 'audience_expanded' FROM j WHERE g AND bm IS NOT NULL""")
+def policy_nonweakening(spark, sf):
+    part = table(spark, sf, "part")
+    size, kind = F.col("p_size"), F.col("p_type")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    key = [F.col("p_brand").alias("resource_id"), F.concat(F.lit("c"), "p_partkey").alias("column_name")]
+    before = part.where("p_size <> 11").select(*key, pick(access.MODES, size % 3).alias("mode"), pick(access.CLASSES, size % 5).alias("classification"), (size % 2 == 0).alias("metadata_visible"), F.array(F.lit("staff")).alias("groups"))
+    wider = F.when((kind == "STANDARD") & (size > 30), F.array(F.lit("staff"), F.lit("guests"))).otherwise(F.array(F.lit("staff")))
+    after = part.where("p_size <> 12").select(
+        *key, pick(access.MODES, F.when(kind == "PROMO", 0).otherwise(size % 3)).alias("mode"), pick(access.CLASSES, F.when(kind == "LARGE", 1).otherwise(size % 5)).alias("classification"),
+        ((size % 2 == 0) | (kind == "SMALL")).alias("metadata_visible"), wider.alias("groups"))
+    return access.policy_weakening(before, after)
+
+
+@query("persona_access_compare", """
+WITH e AS (SELECT user_id, event_type, max(value) > 100 AS v FROM events GROUP BY 1, 2), o AS (SELECT user_id, event_type, max(value) > 120 AS v FROM events WHERE event_type <> 'error' OR value > 60 GROUP BY 1, 2)
+SELECT e.user_id, e.event_type, CASE WHEN o.v IS NULL THEN 'observation_missing' ELSE 'effective_access_mismatch' END AS finding FROM e LEFT JOIN o ON e.user_id = o.user_id AND e.event_type = o.event_type WHERE o.v IS NULL OR o.v <> e.v""")
+def persona_access_compare(spark, sf):
+    e = table(spark, sf, "events")
+    seen = lambda df, limit: df.groupBy("user_id", "event_type").agg((F.max("value") > limit).alias("is_visible"))
+    return access.persona_differences(seen(e, 100), seen(e.where("event_type <> 'error' OR value > 60"), 120), ["user_id", "event_type"])
