@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from starloom.functions.scalars import surrogate_key
 from starloom.operators.windows import next_value, time_slice
@@ -14,16 +15,14 @@ from starloom.operators.windows import next_value, time_slice
 def latest_version(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Row with the greatest ``order_by`` per key.
 
-    ``max_by`` combines on the map side, so a key with a third of the log ships
-    one candidate per map task; a ranking window would move and sort it all.
-    Remaining columns break ties, which keeps the result the same on every run.
+    Rank one is kept before the shuffle as well as after it (the planner puts a
+    window group limit under the exchange), so a key with a third of the log
+    ships one candidate row per map task. Remaining columns break ties, which
+    keeps the result the same on every run.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ties = [c for c in rest if c not in order_by]
-    picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order_by, *ties)).alias("_row")
-    )
-    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    ties = [c for c in df.columns if c not in (*keys, *order_by)]
+    newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*order_by, *ties)])
+    return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
 def current_state(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], is_deleted: Column) -> DataFrame:

@@ -79,17 +79,20 @@ def reuse_coverage(assignments: DataFrame, existing: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(both & ~F.col("_b").eqNullSafe(F.col("_now"))).alias("stale"), F.count_if(F.col("_a") & F.col("owner").isNull()).alias("unassigned"))
 
 
-def dedupe_objects(rows: DataFrame, key: Sequence[str], sets: Sequence[str]) -> DataFrame:
-    """Register rows folded to objects: occurrence count and the sorted distinct ids of each reference.
-
-    (key, id) pairs are made distinct before collecting, so a row repeated by many
-    registers adds one entry; the sets are bounded by their id domains.
-    """
-    out = rows.groupBy(*key).agg(F.count("*").alias("n_occurrences"))
-    for s in sets:
-        ids = rows.where(F.col(s).isNotNull()).select(*key, s).distinct().groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.col(s).cast("string"))), ",").alias(f"{s}s"))
-        out = out.join(ids, list(key), "left")
-    return out
+def dedupe_objects(rows: DataFrame, key: Sequence[str], refs: Sequence[str]) -> DataFrame:
+    """Register rows folded to objects: occurrences and distinct ids per kind of reference."""
+    return object_references(rows, key, refs).groupBy(*key).agg(
+        F.max("_total").alias("n_occurrences"), *[F.count_if(F.col("ref_kind") == r).alias(f"n_{r}") for r in refs])
+
+
+def object_references(rows: DataFrame, key: Sequence[str], refs: Sequence[str]) -> DataFrame:
+    """Distinct references of each object as rows (key, ref_kind, ref_id), never as one array per object."""
+    flat = rows.select(*key, F.explode(F.array(
+        F.struct(F.lit("_total").alias("ref_kind"), F.lit(None).cast("string").alias("ref_id")),
+        *[F.struct(F.lit(r).alias("ref_kind"), F.col(r).cast("string").alias("ref_id")) for r in refs])).alias("_r")).select(*key, "_r.*")
+    kept = flat.where((F.col("ref_kind") == "_total") | F.col("ref_id").isNotNull())
+    counted = kept.groupBy(*key, "ref_kind", "ref_id").agg(F.count("*").alias("n_occurrences"))
+    return counted.withColumn("_total", F.when(F.col("ref_kind") == "_total", F.col("n_occurrences")))
 
 
 def classify_objects(objects: DataFrame, mappings: DataFrame, exclusions: DataFrame) -> DataFrame:

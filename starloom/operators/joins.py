@@ -19,28 +19,37 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def _require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    if not duplicate_keys(df, keys).isEmpty():
-        raise ValueError(f"right side is not unique on {list(keys)}")
+def _fail_when(test: Column, message: str) -> Column:
+    """Filter condition that keeps every row and stops the job where ``test`` holds."""
+    return F.when(test, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+
+
+def unique_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows, failing in the running job when a key repeats.
+
+    The check is an aggregate on the join keys, whose partitioning the join then
+    uses: no separate counting job and no extra shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    checked = counted.where(_fail_when(F.col("_n") > 1, f"not unique on {list(keys)}"))
+    return checked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join that fails when the one-side key repeats."""
-    _require_unique(right, keys)
-    return left.join(right, list(keys), "left")
+    return left.join(unique_side(right, keys), list(keys), "left")
 
 
 def join_strict(left: DataFrame, right: DataFrame, keys: Sequence[str], tenant: str | None = None) -> DataFrame:
     """Inner join that fails on a repeated one-side key, an orphan, or a match in another tenant."""
-    _require_unique(right, keys)
-    if not left.join(right, list(keys), "left_anti").isEmpty():
-        raise ValueError("orphan rows on the many side")
-    if tenant is None:
-        return left.join(right, list(keys))
-    joined = left.join(right.withColumnRenamed(tenant, "_tenant"), list(keys))
-    if not joined.where(F.col(tenant) != F.col("_tenant")).isEmpty():
-        raise ValueError("joined rows of different tenants")
-    return joined.drop("_tenant")
+    marked = unique_side(right, keys).withColumn("_found", F.lit(True))
+    if tenant is not None:
+        marked = marked.withColumnRenamed(tenant, "_tenant")
+    joined = left.join(marked, list(keys), "left").where(_fail_when(F.col("_found").isNull(), "orphan row on the many side"))
+    if tenant is not None:
+        joined = joined.where(_fail_when(F.col(tenant) != F.col("_tenant"), "joined rows of different tenants")).drop("_tenant")
+    return joined.drop("_found")
 
 
 def join_as_of(
@@ -119,9 +128,9 @@ def join_declared(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str
     if relationship not in RELATIONSHIPS:
         raise ValueError(f"unknown relationship {relationship!r}")
     if relationship in ("many_to_one", "one_to_one"):
-        _require_unique(right, [r for _, r in on])
+        right = unique_side(right, [r for _, r in on])
     if relationship in ("one_to_many", "one_to_one"):
-        _require_unique(left, [l for l, _ in on])
+        left = unique_side(left, [l for l, _ in on])
     condition = [F.col(f"_left.{l}") == F.col(f"_right.{r}") for l, r in on]
     return left.alias("_left").join(right.alias("_right"), condition, JOIN_TYPES[join_type])
 
@@ -164,10 +173,11 @@ def join_tree(views: Mapping[str, DataFrame], base: str, edges: Sequence[Edge],
         parent, edge, turned = via
         lk, rk = (edge.right_keys, edge.left_keys) if turned else (edge.left_keys, edge.right_keys)
         relationship = flipped.get(edge.relationship, edge.relationship) if turned else edge.relationship
+        side = prefixed[view]
         if relationship in ("many_to_one", "one_to_one"):
-            _require_unique(prefixed[view], [f"{view}__{k}" for k in rk])
+            side = unique_side(side, [f"{view}__{k}" for k in rk])
         condition = [F.col(f"{parent}__{l}") == F.col(f"{view}__{r}") for l, r in zip(lk, rk)]
-        out = out.join(prefixed[view], condition, JOIN_TYPES[edge.join_type])
+        out = out.join(side, condition, JOIN_TYPES[edge.join_type])
     return out
 
 

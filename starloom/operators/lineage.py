@@ -26,6 +26,8 @@ def closure(edges: DataFrame, seeds: DataFrame, source: str = "source_id", targe
         step = links.join(frontier.select(F.col("node_id").alias("_s")), "_s", "left_semi").select(F.col("_t").alias("node_id")).distinct()
         frontier = cut_lineage(step.join(reached, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(frontier)
+        if depth % 16 == 0:
+            reached = cut_lineage(reached)
     return reached
 
 

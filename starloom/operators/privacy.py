@@ -7,6 +7,7 @@ holds rule, category and line, never the matched text.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,29 +15,47 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalars import identifier, luhn_ok
 from starloom.operators.lineage import propagate
+from starloom.session import spread
 
-# Signal rules as (rule, category, pattern, literal the pattern cannot
-# do without). The patterns use Unicode word and space classes.
+# Signal rules as (rule, category, pattern). The patterns use Unicode
+# word, digit and space classes.
 RULES = (
-    ("credential.private_key", "CREDENTIAL", r"(?U)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----", "PRIVATE KEY-----"),
-    ("credential.bearer", "CREDENTIAL", r"(?iU)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", None),
-    ("credential.provider_token", "CREDENTIAL", r"(?U)\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b", None),
+    ("credential.private_key", "CREDENTIAL", r"(?U)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----"),
+    ("credential.bearer", "CREDENTIAL", r"(?iU)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"),
+    ("credential.provider_token", "CREDENTIAL", r"(?U)\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b"),
     ("credential.assignment", "CREDENTIAL",
-     r"""(?iU)\b(?:password|passwd|access_token|api_key|private_key|client_secret)\s*["']?\s*[:=]\s*["']?[^\s"'{}]{4,}""", None),
-    ("pii.email", "PII", r"(?iU)(?<![\w.+-])[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?\.[A-Z]{2,}(?![\w.-])", "@"),
-    ("pii.ssn", "PII", r"(?U)(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)", None),
-    ("pci.authentication_value", "PCI", r"""(?iU)\b(?:cvv|cvc|card_verification_value|pin_code)\s*["']?\s*[:=]\s*["']?\d{3,6}\b""", None),
+     r"""(?iU)\b(?:password|passwd|access_token|api_key|private_key|client_secret)\s*["']?\s*[:=]\s*["']?[^\s"'{}]{4,}"""),
+    ("pii.email", "PII", r"(?iU)(?<![\w.+-])[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?\.[A-Z]{2,}(?![\w.-])"),
+    ("pii.ssn", "PII", r"(?U)(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)"),
+    ("pci.authentication_value", "PCI", r"""(?iU)\b(?:cvv|cvc|card_verification_value|pin_code)\s*["']?\s*[:=]\s*["']?\d{3,6}\b"""),
     ("phi.contextual_value", "PHI",
-     r"""(?iU)\b(?:patient_name|patient_id|medical_record_number|diagnosis|health_condition)[ \t]*["']?[ \t]*[:=][ \t]*["']?[^\s"'{}\[\],]{2,}""", None),
-    ("pii.synthetic_marker", "PII", r"(?U)\b(?:SYNTHETIC_PII_CANARY|PII_TEST_CANARY)\b", "CANARY"),
-    ("pci.synthetic_marker", "PCI", r"(?U)\b(?:SYNTHETIC_PCI_CANARY|NOT_A_CARD_NUMBER_TEST_ONLY)\b", None),
-    ("phi.synthetic_marker", "PHI", r"(?U)\b(?:SYNTHETIC_PHI_CANARY|TEST_ONLY_NOT_PATIENT_DATA)\b", None),
+     r"""(?iU)\b(?:patient_name|patient_id|medical_record_number|diagnosis|health_condition)[ \t]*["']?[ \t]*[:=][ \t]*["']?[^\s"'{}\[\],]{2,}"""),
+    ("pii.synthetic_marker", "PII", r"(?U)\b(?:SYNTHETIC_PII_CANARY|PII_TEST_CANARY)\b"),
+    ("pci.synthetic_marker", "PCI", r"(?U)\b(?:SYNTHETIC_PCI_CANARY|NOT_A_CARD_NUMBER_TEST_ONLY)\b"),
+    ("phi.synthetic_marker", "PHI", r"(?U)\b(?:SYNTHETIC_PHI_CANARY|TEST_ONLY_NOT_PATIENT_DATA)\b"),
 )
+# Text without which a rule cannot match, looked for first because it is cheap.
+# Lower-case words are looked for in case-folded text.
+NEEDED_WORDS = {
+    "credential.private_key": ("PRIVATE KEY-----",),
+    "credential.bearer": ("bearer",),
+    "credential.provider_token": ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"),
+    "credential.assignment": ("password", "passwd", "access_token", "api_key", "private_key", "client_secret"),
+    "pii.email": ("@",),
+    "pci.authentication_value": ("cvv", "cvc", "card_verification_value", "pin_code"),
+    "phi.contextual_value": ("patient_name", "patient_id", "medical_record_number", "diagnosis", "health_condition"),
+    "pii.synthetic_marker": ("SYNTHETIC_PII_CANARY", "PII_TEST_CANARY"),
+    "pci.synthetic_marker": ("SYNTHETIC_PCI_CANARY", "NOT_A_CARD_NUMBER_TEST_ONLY"),
+    "phi.synthetic_marker": ("SYNTHETIC_PHI_CANARY", "TEST_ONLY_NOT_PATIENT_DATA"),
+}
+CASE_FOLDED = ("credential.bearer", "credential.assignment", "pci.authentication_value", "phi.contextual_value")
+NEEDED_PATTERN = {"pii.ssn": r"(?U)\d{3}[- ]\d{2}[- ]\d{4}"}
 CARD = r"(?U)(?<!\w)(?:\d[ -]?){12,18}\d(?!\w)"
+NEEDED_DIGITS = r"(?U)(?:\d[ -]?){12}\d"
 CARD_RULE = ("pci.pan_candidate", "PCI")
 
 # Private-use characters that mark a match's start and end inside a working copy of the text.
-_START, _END, _OTHER = "", "", ""
+_START, _END, _OTHER = "\ue000", "\ue001", "\ue002"
 _SEGMENT = f"{_START}?([a-f0-9]{{%d}}){_END}?"
 # A UUID, marks allowed at its hyphens, unless a marked number runs on past its end.
 _MARKED_UUID = (
@@ -48,15 +67,20 @@ def _clean(text: Column) -> Column:
     return F.translate(text, _START + _END, _OTHER * 2)
 
 
-def _match_lines(text: Column, pattern: str, literal: str | None) -> Column:
+def _may_match(rule: str, text: Column, folded: Column) -> Column:
+    where = folded if rule in CASE_FOLDED else text
+    tests = [where.contains(w) for w in NEEDED_WORDS.get(rule, ())]
+    if rule in NEEDED_PATTERN:
+        tests.append(text.rlike(NEEDED_PATTERN[rule]))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _match_lines(rule: str, pattern: str, text: Column, folded: Column) -> Column:
     """Distinct 1-based lines on which a match starts; the pattern sees the whole text."""
     marked = F.regexp_replace(text, pattern, F.lit(_START + "$0"))
     lines = F.transform(F.split(marked, "\n"), lambda line, i: F.when(line.contains(_START), i + 1))
     found = F.array_compact(lines)
-    test = text.rlike(pattern)
-    if literal:
-        test = text.contains(literal) & test
-    return F.when(test, found).otherwise(F.array().cast("array<int>"))
+    return F.when(_may_match(rule, text, folded) & text.rlike(pattern), found).otherwise(F.array().cast("array<int>"))
 
 
 def _card_lines(text: Column) -> Column:
@@ -71,13 +95,23 @@ def _card_lines(text: Column) -> Column:
         return F.exists(numbers, luhn_ok)
 
     lines = F.transform(F.split(text, "\n"), lambda line, i: F.when(line.rlike(CARD) & has_card(line), i + 1))
-    return F.when(text.rlike(CARD), F.array_compact(lines)).otherwise(F.array().cast("array<int>"))
+    return F.when(text.rlike(NEEDED_DIGITS) & text.rlike(CARD), F.array_compact(lines)).otherwise(F.array().cast("array<int>"))
+
+
+def _working(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """Text for matching, beside a copy folded both ways so that every case variant meets its word."""
+    cleaned = spread(df).select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
+    return cleaned.withColumn("_folded", F.lower(F.upper("_text")))
 
 
-def _findings(df: DataFrame, keep: Sequence[str], text: str, rules: Sequence[tuple], cards: bool) -> DataFrame:
-    working = df.select(*keep, _clean(F.col(text)).alias("_text"))
+def _rule_lines(rules: Sequence[tuple[str, str, str]]) -> list[Column]:
+    return [_match_lines(rule, pattern, F.col("_text"), F.col("_folded")) for rule, _, pattern in rules]
+
+
+def _findings(df: DataFrame, keep: Sequence[str], text: str, rules: Sequence[tuple[str, str, str]], cards: bool) -> DataFrame:
+    working = _working(df, keep, text)
     entry = lambda rule, category, lines: F.struct(F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), lines.alias("lines"))
-    found = [entry(rule, category, _match_lines(F.col("_text"), pattern, literal)) for rule, category, pattern, literal in rules]
+    found = [entry(rule, category, lines) for (rule, category, _), lines in zip(rules, _rule_lines(rules))]
     if cards:
         found.append(entry(*CARD_RULE, _card_lines(F.col("_text"))))
     hit = F.filter(F.array(*found), lambda e: F.size(e["lines"]) > 0)
@@ -103,8 +137,8 @@ def scan_status(df: DataFrame, keep: Sequence[str], text: str = "text", report_c
     A text that is missing or binary is unsupported. ``report_cap`` only marks a
     document whose findings would not fit a bounded report; none are dropped.
     """
-    working = df.select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
-    counts = [F.size(_match_lines(F.col("_text"), p, lit)) for _, _, p, lit in RULES] + [F.size(_card_lines(F.col("_text")))]
+    working = _working(df, keep, text)
+    counts = [F.size(lines) for lines in (*_rule_lines(RULES), _card_lines(F.col("_text")))]
     total = reduce(lambda a, b: a + b, counts)
     readable = F.col("_raw").isNotNull() & ~F.col("_raw").contains("\x00")
     counted = working.select(*keep, readable.alias("_ok"), F.when(readable, total).otherwise(0).cast("long").alias("n_findings"))
@@ -118,7 +152,7 @@ NAMED_REFERENCES = {
     "Tab": "\t", "NewLine": "\n", "excl": "!", "quot": '"', "num": "#", "dollar": "$", "percnt": "%", "apos": "'", "lpar": "(", "rpar": ")",
     "ast": "*", "plus": "+", "comma": ",", "period": ".", "sol": "/", "colon": ":", "semi": ";", "lt": "<", "equals": "=", "gt": ">", "quest": "?",
     "commat": "@", "lsqb": "[", "bsol": "\\", "rsqb": "]", "Hat": "^", "lowbar": "_", "grave": "`", "lcub": "{", "verbar": "|", "rcub": "}",
-    "nbsp": " ", "amp": "&",
+    "nbsp": "\u00a0", "amp": "&",
 }
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
 
@@ -331,22 +365,32 @@ def label_downgrades(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("node_id", F.explode(codes).alias("finding"))
 
 
-def disclosure_decisions(items: DataFrame, policy: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class DestinationRule:
+    """What may reach one destination."""
+
+    sensitivities: tuple[str, ...]
+    categories: tuple[str, ...] = ()
+    is_approved: bool = True
+
+
+def disclosure_decisions(items: DataFrame, policy: Mapping[str, DestinationRule]) -> DataFrame:
     """Reasons that keep an item from a destination; allowed when there is none.
 
     ``items``: item_id, sensitivity, categories array, review_status, lineage_status,
-    handling map(destination -> allow/deny), scan_status; ``policy``: destination,
-    allowed_sensitivities array, allowed_categories array, review_status. The policy
-    has one row per destination, so every item yields that many rows.
+    handling map(destination -> allow/deny), scan_status. All destinations are
+    judged in the item's own row, so the items are never shuffled.
     """
-    targets = policy.agg(F.collect_list(F.struct(
-        "destination", "allowed_sensitivities", "allowed_categories", F.col("review_status").alias("policy_review"))).alias("_policies"), F.lit(1).alias("_one"))
-    j = items.withColumn("_one", F.lit(1)).join(targets, "_one").withColumn("_p", F.explode("_policies"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("_p.policy_review") != "approved", "policy.unapproved"), F.when(F.col("review_status") != "approved", "classification.unapproved"),
-        F.when(F.col("sensitivity") == "UNKNOWN", "classification.unknown"), F.when(F.col("lineage_status") != "complete", "lineage.unresolved"),
-        F.when(~F.array_contains(F.col("_p.allowed_sensitivities"), F.col("sensitivity")), "destination.sensitivity_denied"),
-        F.when(F.size(F.array_except("categories", F.col("_p.allowed_categories"))) > 0, "destination.categories_denied"),
-        F.when(F.coalesce(F.try_element_at("handling", F.col("_p.destination")) != "allow", F.lit(True)), "destination.handling_not_allowed"),
-        F.when(F.col("scan_status") != "clear", "scan.not_clear")))
-    return j.select("item_id", F.col("_p.destination").alias("destination"), (F.size(reasons) == 0).alias("is_allowed"), F.array_join(F.array_sort(reasons), ",").alias("reasons"))
+    def decide(destination: str, rule: DestinationRule) -> Column:
+        held = F.array(*[F.lit(c) for c in rule.categories]) if rule.categories else F.array().cast("array<string>")
+        reasons = F.array_sort(F.array_compact(F.array(
+            F.when(F.lit(not rule.is_approved), "policy.unapproved"), F.when(F.col("review_status") != "approved", "classification.unapproved"),
+            F.when(F.col("sensitivity") == "UNKNOWN", "classification.unknown"), F.when(F.col("lineage_status") != "complete", "lineage.unresolved"),
+            F.when(~F.col("sensitivity").isin(*rule.sensitivities), "destination.sensitivity_denied"),
+            F.when(F.size(F.array_except("categories", held)) > 0, "destination.categories_denied"),
+            F.when(F.coalesce(F.try_element_at("handling", F.lit(destination)) != "allow", F.lit(True)), "destination.handling_not_allowed"),
+            F.when(F.col("scan_status") != "clear", "scan.not_clear"))))
+        return F.struct(F.lit(destination).alias("destination"), (F.size(reasons) == 0).alias("is_allowed"), F.array_join(reasons, ",").alias("reasons"))
+
+    decisions = F.array(*[decide(d, r) for d, r in policy.items()])
+    return items.select("item_id", F.explode(decisions).alias("_d")).select("item_id", "_d.*")

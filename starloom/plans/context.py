@@ -83,7 +83,8 @@ def context_report(
             on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in grouping]
             out = out.join(renamed, on, "left").drop(*[f"_g_{g}" for g in grouping])
         else:
-            out = out.withColumn("_one", F.lit(1)).join(level.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+            # One row: read as scalar subqueries, so the visible groups are not moved.
+            out = out.withColumns({n: level.select(n).scalar() for n in aggs})
     out = out.select(*dims, *measures)
     return out.fillna(0, list(measures)) if zeros else out
 

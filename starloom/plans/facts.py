@@ -131,7 +131,11 @@ def retail_summary(fact: DataFrame, tenant: str, start: str, end: str, status: s
 
 
 def billing(spark, sf) -> DataFrame:
-    """``invoice_billing`` over the derived logs of a data folder."""
+    """``invoice_billing`` over the derived logs of a data folder.
+
+    Unknown members never match a customer, so the as-of join reads the history
+    rows alone; unmatched invoices get the unknown key by rule.
+    """
     from starloom.registry import derived as d
 
-    return invoice_billing(d.invoices(spark, sf), d.payments(spark, sf), d.credits(spark, sf), d.dim_customers(spark, sf), "America/Chicago")
+    return invoice_billing(d.invoices(spark, sf), d.payments(spark, sf), d.credits(spark, sf), d.keyed_history(spark, sf), "America/Chicago")

@@ -22,7 +22,7 @@ from starloom.registry.base import CTES, table
 def _versions(df: DataFrame, versions: list[Column]) -> DataFrame:
     """One scan fanned out to the versions that exist for each row."""
     kept = [c for c in df.columns if not c.startswith("_")]
-    exploded = df.select(*kept, F.explode(F.array_compact(F.array(*versions))).alias("_v"))
+    exploded = df.select(*kept, F.explode(F.array(*versions)).alias("_v")).where("_v IS NOT NULL")
     return exploded.select(*kept, "_v.*")
 
 
@@ -244,12 +244,12 @@ def customer_history_raw(spark, sf) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_t"), text("C", "c_custkey").alias("customer_id"),
         "c_nationkey", "c_mktsegment", "c_acctbal",
     ).withColumn("tenant_id", F.concat(F.lit("T"), F.col("_t").cast("string")))
-    rows = F.array_compact(F.array(
+    rows = F.array(
         interval(start, F.when(two, split), F.col("c_mktsegment")),
         F.when(two, interval(split, none, rotated)),
         F.when(~two & (F.col("c_mktsegment") == "HOUSEHOLD"), interval(start, none, F.col("c_mktsegment"))),
-    ))
-    return base.select("tenant_id", "customer_id", F.explode(rows).alias("_h")).select("tenant_id", "customer_id", "_h.*")
+    )
+    return base.select("tenant_id", "customer_id", F.explode(rows).alias("_h")).where("_h IS NOT NULL").select("tenant_id", "customer_id", "_h.*")
 
 
 def customer_history(spark, sf) -> DataFrame:
@@ -266,10 +266,14 @@ SELECT md5(tenant_id || ':__UNKNOWN__'), tenant_id, NULL, NULL, NULL, 'Unknown'
 FROM (SELECT DISTINCT tenant_id FROM invoices)"""
 
 
-def dim_customers(spark, sf) -> DataFrame:
+def keyed_history(spark, sf) -> DataFrame:
+    """Customer dimension rows without the unknown members."""
     keyed = history_key(customer_history(spark, sf), ["tenant_id", "customer_id"], "valid_from", "customer_key", "yyyy-MM-dd HH:mm:ss")
-    dim = keyed.select("customer_key", "tenant_id", "customer_id", "valid_from", "valid_to", "segment")
-    return with_unknown_rows(dim, invoices(spark, sf), "tenant_id", "customer_key", "segment")
+    return keyed.select("customer_key", "tenant_id", "customer_id", "valid_from", "valid_to", "segment")
+
+
+def dim_customers(spark, sf) -> DataFrame:
+    return with_unknown_rows(keyed_history(spark, sf), invoices(spark, sf), "tenant_id", "customer_key", "segment")
 
 
 # -------------------------------------------------------------- adjustments

@@ -287,11 +287,19 @@ def reuse_coverage(spark, sf):
 
 
 @query("inventory_dedupe", """
-SELECT p_brand, p_name, count(*) AS n_occurrences, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_types, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS p_sizes FROM part GROUP BY 1, 2""")
+SELECT p_brand, p_name, count(*) AS n_occurrences, count(DISTINCT p_type) AS n_p_type, count(DISTINCT p_size) AS n_p_size FROM part GROUP BY 1, 2""")
 def inventory_dedupe(spark, sf):
     return c.dedupe_objects(table(spark, sf, "part"), ["p_brand", "p_name"], ["p_type", "p_size"])
 
 
+@query("inventory_references", """
+SELECT p_brand, p_name, 'p_type' AS ref_kind, p_type AS ref_id, count(*) AS n_occurrences FROM part GROUP BY ALL
+UNION ALL SELECT p_brand, p_name, 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY ALL""")
+def inventory_references(spark, sf):
+    refs = c.object_references(table(spark, sf, "part"), ["p_brand", "p_name"], ["p_type", "p_size"])
+    return refs.where("ref_kind <> '_total'").drop("_total")
+
+
 CTES["object_mappings"] = """
 SELECT o_custkey AS object_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unresolved' ELSE 'mapped' END AS status, CASE WHEN o_totalprice > 490000 THEN 'missing' ELSE 'present' END AS target_status,
        CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_totalprice > 480000 THEN 'stale' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'accepted' END AS review_status, CASE WHEN o_orderpriority = '5-LOW' AND o_totalprice > 475000 THEN 'out_of_scope' ELSE 'replace' END AS disposition

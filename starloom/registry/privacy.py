@@ -189,10 +189,7 @@ def disclosure_decision(spark, sf):
         F.when(F.col("lang") == "de", F.array(F.lit("PII"))).otherwise(none).alias("categories"), F.when(F.col("source") != "src4", "approved").otherwise("proposed").alias("review_status"),
         F.when(F.col("n_chars") > 300, "complete").otherwise("unresolved").alias("lineage_status"), F.col("status").alias("scan_status"),
         F.create_map(F.lit("metadata"), F.lit("allow"), F.lit("share"), F.when(F.col("lang") == "fr", "deny").otherwise("allow")).alias("handling"))
-    policy = spark.createDataFrame(
-        [("metadata", ["PUBLIC", "INTERNAL"], ["PII"], "approved"), ("share", ["PUBLIC"], [], "approved")],
-        "destination string, allowed_sensitivities array<string>, allowed_categories array<string>, review_status string")
-    return p.disclosure_decisions(items, policy)
+    return p.disclosure_decisions(items, {"metadata": p.DestinationRule(("PUBLIC", "INTERNAL"), ("PII",)), "share": p.DestinationRule(("PUBLIC",))})
 
 
 _MASKED = "regexp_replace(regexp_replace(regexp_replace({0}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"

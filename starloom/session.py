@@ -54,6 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy narrow work at least one task per core.
+
+    A few large splits are dealt out round-robin; an input that already has as
+    many splits as cores, as any large one has, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh sub-folder of the shared folder for a written intermediate table."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
