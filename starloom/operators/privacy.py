@@ -100,7 +100,7 @@ def _card_lines(text: Column) -> Column:
 
 def _working(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """Text for matching, beside a copy folded both ways so that every case variant meets its word."""
-    cleaned = spread(df).select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
+    cleaned = spread(df.select(*keep, text), *keep).select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
     return cleaned.withColumn("_folded", F.lower(F.upper("_text")))
 
 
@@ -201,7 +201,7 @@ def scan_html(df: DataFrame, keep: Sequence[str], html: str = "html", depth: int
     """
     page = F.col("_html")
     levels, level = [], F.array(page)
-    rows = df.select(*keep, F.col(html).alias("_html"))
+    rows = spread(df.select(*keep, html), *keep).select(*keep, F.col(html).alias("_html"))
     for i in range(depth):
         rows = rows.withColumn(f"_l{i}", _payloads(level))
         level = F.col(f"_l{i}")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from starloom.functions.scalars import cents
 from starloom.operators.cdc import current_state, history_key, with_unknown_rows
 from starloom.registry.base import CTES, table
+from starloom.session import spread
 
 
 def _versions(df: DataFrame, versions: list[Column]) -> DataFrame:
@@ -68,7 +69,7 @@ FROM inv_base WHERE op = '1-URGENT'"""
 
 
 def invoice_cdc(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"), "o_orderkey")
     base = o.select(
         tenant_of("o_orderkey").alias("tenant_id"),
         text("I", "o_orderkey").alias("invoice_id"),
@@ -129,7 +130,7 @@ FROM line_base WHERE ls = 'F' AND q = 50"""
 
 def line_base(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return li.select(
+    return spread(li, "l_orderkey", "l_partkey").select(
         F.col("l_orderkey").alias("_k"),
         tenant_of("l_orderkey").alias("tenant_id"),
         text("I", "l_orderkey").alias("invoice_id"),

@@ -54,14 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Give CPU-heavy narrow work at least one task per core.
 
-    A few large splits are dealt out round-robin; an input that already has as
-    many splits as cores, as any large one has, is returned unchanged.
+    A few large splits are dealt out by the hash of ``by``; an input that already
+    has as many splits as cores, as any large one has, is returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
