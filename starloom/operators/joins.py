@@ -6,11 +6,12 @@ No hint forces a strategy: the planner broadcasts a side only below
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from starloom.functions.scalars import surrogate_key
 
@@ -76,6 +77,41 @@ def join_as_of(
     return f.join(h, on, how).select(*fact.columns, *[F.col(f"_h_{c}").alias(c) for c in kept])
 
 
+def join_as_of_sliced(
+    fact: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    slice_of: Callable[[Column], Column],
+    start: str = "valid_from",
+    end: str = "valid_to",
+) -> DataFrame:
+    """The same left as-of match when one key is hot on both sides.
+
+    Facts and interval starts share one ordered pass per (key, slice of time);
+    the latest earlier start is carried over slices as one summary row each, so
+    neither a hot key nor its long history meets in one task or multiplies. The
+    history must not overlap (``quality.overlapping_intervals``).
+    """
+    kept = [c for c in history.columns if c not in keys]
+    interval = F.struct(*kept)
+    none = F.lit(None).cast(history.select(interval.alias("i")).schema["i"].dataType)
+    facts = fact.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*fact.columns).alias("_fact"), none.alias("_h"))
+    no_fact = F.lit(None).cast(facts.schema["_fact"].dataType)
+    starts = history.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_kind"), no_fact.alias("_fact"), interval.alias("_h"))
+    line = facts.unionByName(starts).withColumn("_slice", slice_of(F.col("_t")))
+    # Per slice: its last start; carried forward: the last start of all earlier slices.
+    last = line.where("_kind = 0").groupBy(*keys, "_slice").agg(F.max_by("_h", "_t").alias("_last"))
+    marks = line.select(*keys, "_slice").distinct().join(last, [*keys, "_slice"], "left")
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = marks.select(*keys, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = W.partitionBy(*keys, "_slice").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = line.withColumn("_seen", F.last("_h", ignorenulls=True).over(inside)).where("_kind = 1")
+    both = seen.join(carried, [*keys, "_slice"], "left").withColumn("_best", F.coalesce("_seen", "_carry"))
+    valid = F.col("_best")[end].isNull() | (F.col("_t") < F.col("_best")[end])
+    return both.select(*[F.col("_fact")[c].alias(c) for c in fact.columns], *[F.when(valid, F.col("_best")[c]).alias(c) for c in kept])
+
+
 def with_unknown_member(df: DataFrame, key: str, tenant: str) -> DataFrame:
     """Unmatched rows point at their tenant's unknown member."""
     return df.withColumn(key, F.coalesce(F.col(key), surrogate_key(tenant, F.lit("__UNKNOWN__"))))

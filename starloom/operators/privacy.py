@@ -48,6 +48,8 @@ NEEDED_WORDS = {
     "pci.synthetic_marker": ("SYNTHETIC_PCI_CANARY", "NOT_A_CARD_NUMBER_TEST_ONLY"),
     "phi.synthetic_marker": ("SYNTHETIC_PHI_CANARY", "TEST_ONLY_NOT_PATIENT_DATA"),
 }
+# Letters outside ASCII that match an ASCII letter when case is ignored, and that letter.
+FOLDED_LETTERS = ("\u017f\u0131\u0130\u212a", "siik")
 CASE_FOLDED = ("credential.bearer", "credential.assignment", "pci.authentication_value", "phi.contextual_value")
 NEEDED_PATTERN = {"pii.ssn": r"(?U)\d{3}[- ]\d{2}[- ]\d{4}"}
 CARD = r"(?U)(?<!\w)(?:\d[ -]?){12,18}\d(?!\w)"
@@ -99,9 +101,9 @@ def _card_lines(text: Column) -> Column:
 
 
 def _working(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    """Text for matching, beside a copy folded both ways so that every case variant meets its word."""
+    """Text for matching, beside a copy in which every case variant of a letter is its lower-case form."""
     cleaned = spread(df.select(*keep, text), *keep).select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
-    return cleaned.withColumn("_folded", F.lower(F.upper("_text")))
+    return cleaned.withColumn("_folded", F.lower(F.translate("_text", *FOLDED_LETTERS)))
 
 
 def _rule_lines(rules: Sequence[tuple[str, str, str]]) -> list[Column]:

@@ -176,9 +176,9 @@ def credit_cdc(spark, sf) -> DataFrame:
     )
 
 
-def _current_sql(log: str, key: str) -> str:
+def _current_sql(log: str, key: str, ties: str = "") -> str:
     return f"""SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY tenant_id, {key} ORDER BY source_seq DESC, arrival_seq DESC) AS rn
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, {key} ORDER BY source_seq DESC, arrival_seq DESC{ties}) AS rn
   FROM {log}) WHERE rn = 1 AND op <> 'DELETE'"""
 
 
@@ -186,8 +186,8 @@ CTES["invoices"] = f"""
 SELECT tenant_id, invoice_id, customer_id, issued_at, currency, gross_cents,
        coalesce(discount_cents, 0) AS discount_cents, lower(trim(status)) AS status, source_seq, arrival_seq
 FROM ({_current_sql('invoice_cdc', 'invoice_id')})"""
-CTES["payments"] = _current_sql("payment_cdc", "entry_id")
-CTES["credits"] = _current_sql("credit_cdc", "entry_id")
+CTES["payments"] = _current_sql("payment_cdc", "entry_id", ", amount_cents DESC, status DESC")
+CTES["credits"] = _current_sql("credit_cdc", "entry_id", ", amount_cents DESC, status DESC")
 
 ORDER_BY = ("source_seq", "arrival_seq")
 

@@ -47,6 +47,16 @@ def join_asof_interval(spark, sf):
     return joined.select("tenant_id", "invoice_id", "segment", F.col("valid_from").cast("date").cast("string").alias("segment_since"))
 
 
+@query("join_asof_sliced", """
+SELECT i.tenant_id, i.invoice_id, h.segment, CAST(CAST(h.valid_from AS DATE) AS VARCHAR) AS segment_since FROM invoices i
+LEFT JOIN customer_history h ON i.tenant_id = h.tenant_id AND i.customer_id = h.customer_id
+ AND i.issued_at >= h.valid_from AND (i.issued_at < h.valid_to OR h.valid_to IS NULL)""")
+def join_asof_sliced(spark, sf):
+    inv = d.invoices(spark, sf).select("tenant_id", "invoice_id", "customer_id", "issued_at")
+    joined = j.join_as_of_sliced(inv, d.customer_history(spark, sf), ["tenant_id", "customer_id"], "issued_at", lambda t: time_slice(t, "year"))
+    return joined.select("tenant_id", "invoice_id", "segment", F.col("valid_from").cast("date").cast("string").alias("segment_since"))
+
+
 @query("join_unknown_member", """
 SELECT i.tenant_id, i.invoice_id, coalesce(h.customer_key, md5(i.tenant_id || ':__UNKNOWN__')) AS customer_key FROM invoices i
 LEFT JOIN dim_customers h ON i.tenant_id = h.tenant_id AND i.customer_id = h.customer_id

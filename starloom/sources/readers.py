@@ -126,13 +126,19 @@ def decode_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 
 def decode_csv_null_token(spark: SparkSession, path: str, schema: T.StructType, token: str) -> DataFrame:
-    """CSV whose nulls are spelled ``token``; a row of another width stops the read."""
+    """CSV whose nulls are spelled ``token``; an empty cell is an empty text.
+
+    A row of another width, or a cell that does not fit its type, stops the read.
+    """
     if not token:
         raise ContractError("a null token is required")
-    if sorted(csv_header(spark, path)) != sorted(schema.fieldNames()):
+    names = csv_header(spark, path)
+    if sorted(names) != sorted(schema.fieldNames()):
         raise ContractError("header differs from the declared columns")
-    reader = spark.read.schema(schema).option("header", True).option("nullValue", token)
-    return reader.option("emptyValue", "").option("mode", "FAILFAST").csv(path)
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(texts).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    cell = lambda c: F.when(F.col(c).isNull(), "").when(F.col(c) != token, F.col(c))
+    return raw.select(*[cell(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 # Response types accepted for each declared column type.
