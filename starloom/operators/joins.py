@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from starloom.functions.scalars import surrogate_key
+from starloom.operators.windows import keyed_slice
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,9 +65,9 @@ def join_as_of(
 ) -> DataFrame:
     """Match each fact to the interval ``[start, end)`` holding its time.
 
-    The equi keys carry the shuffle, the interval is a residual predicate. The
-    history side holds few rows per key, so a hot fact key is split by AQE's
-    skew handling rather than multiplied.
+    The equi keys carry the shuffle, the interval is a residual predicate: right
+    for short histories. Where one key may also have a very long history, use
+    ``join_as_of_sliced``.
     """
     h = history.select(*[F.col(c).alias(f"_h_{c}") for c in history.columns])
     f = fact
@@ -91,7 +92,9 @@ def join_as_of_sliced(
     Facts and interval starts share one ordered pass per (key, slice of time);
     the latest earlier start is carried over slices as one summary row each, so
     neither a hot key nor its long history meets in one task or multiplies. The
-    history must not overlap (``quality.overlapping_intervals``).
+    history must not overlap (``quality.overlapping_intervals``). The fact is
+    shuffled once and read a second time for its keys and time only, so it is best
+    given as a written layer table.
     """
     kept = [c for c in history.columns if c not in keys]
     interval = F.struct(*kept)
@@ -99,15 +102,15 @@ def join_as_of_sliced(
     facts = fact.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*fact.columns).alias("_fact"), none.alias("_h"))
     no_fact = F.lit(None).cast(facts.schema["_fact"].dataType)
     starts = history.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_kind"), no_fact.alias("_fact"), interval.alias("_h"))
-    line = facts.unionByName(starts).withColumn("_slice", slice_of(F.col("_t")))
-    # Per slice: its last start; carried forward: the last start of all earlier slices.
-    last = line.where("_kind = 0").groupBy(*keys, "_slice").agg(F.max_by("_h", "_t").alias("_last"))
-    marks = line.select(*keys, "_slice").distinct().join(last, [*keys, "_slice"], "left")
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = marks.select(*keys, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    inside = W.partitionBy(*keys, "_slice").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = facts.unionByName(starts).withColumn("_ks", keyed_slice(keys, slice_of(F.col("_t"))))
+    # Per slice its last start; carried forward, the last start of all earlier slices.
+    last = line.where("_kind = 0").groupBy("_ks").agg(F.max_by("_h", "_t").alias("_last"))
+    marks = line.select("_ks").distinct().join(last, "_ks", "left")
+    earlier = W.partitionBy(*[f"_ks.{k}" for k in keys]).orderBy("_ks._slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = marks.select("_ks", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = W.partitionBy("_ks").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = line.withColumn("_seen", F.last("_h", ignorenulls=True).over(inside)).where("_kind = 1")
-    both = seen.join(carried, [*keys, "_slice"], "left").withColumn("_best", F.coalesce("_seen", "_carry"))
+    both = seen.join(carried, "_ks", "left").withColumn("_best", F.coalesce("_seen", "_carry"))
     valid = F.col("_best")[end].isNull() | (F.col("_t") < F.col("_best")[end])
     return both.select(*[F.col("_fact")[c].alias(c) for c in fact.columns], *[F.when(valid, F.col("_best")[c]).alias(c) for c in kept])
 

@@ -145,13 +145,16 @@ def column_edges(edges: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def name_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Case-folded name matches as counts per pair of relations: candidates, not decisions.
+    """Case-folded names found on both sides: candidates, not decisions.
 
-    Copies of a name within a relation are folded before the join, so a name used
-    everywhere yields relation pairs, not row pairs.
+    One row per (name, side, relation) with the number of column pairs the name
+    suggests; source and target meet at the name, so pairs are counted, not listed.
     """
-    fold = lambda df, p: df.groupBy(F.lower("column_name").alias("name"), F.col("relation").alias(f"{p}_relation")).agg(F.count("*").alias(f"{p}_columns"))
-    return fold(source, "source").join(fold(target, "target"), "name")
+    fold = lambda df, side: df.groupBy(F.lower("column_name").alias("name"), "relation").agg(F.count("*").alias("n_columns")).withColumn("side", F.lit(side))
+    both = fold(source, "source").unionByName(fold(target, "target"))
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n_columns")).otherwise(0))
+    pairs = both.groupBy("name").agg((of("source") * of("target")).alias("n_candidates")).where("n_candidates > 0")
+    return both.join(pairs, "name").select("name", "side", "relation", "n_columns", "n_candidates")
 
 
 def key_divergence(rows: DataFrame, key: str, definition: str) -> DataFrame:

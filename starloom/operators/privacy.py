@@ -289,20 +289,20 @@ def assess_outputs(outputs: DataFrame, register: DataFrame, treatments: DataFram
     """
     known = register.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column")).distinct()
     hits = outputs.join(known, ["source_table", "source_column"], "left_semi")
+    source = ["source_table", "source_column", "destination"]
     t = treatments.select(
-        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "destination",
+        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "destination", "expression_sha",
         F.struct("treatment", "transformation", "review_reference", "n_controls", "expression_sha").alias("_t"))
+    # Choices are folded per source first, so many outputs never meet many treatments.
+    general = t.where("expression_sha IS NULL").groupBy(*source).agg(F.count("*").alias("_general"), F.min("_t").alias("_tg"))
+    exact = t.where("expression_sha IS NOT NULL").groupBy(*source, F.col("expression_sha").alias("output_expression_sha")).agg(
+        F.count("*").alias("_exact"), F.min("_t").alias("_te"))
     keys = ["output_id", "source_table", "source_column"]
-    joined = hits.select(
+    found = hits.select(
         *keys, "destination", "lineage_complete", F.col("expression_sha").alias("output_expression_sha"), F.col("transformation").alias("output_transformation"),
-    ).join(t, ["source_table", "source_column", "destination"], "left")
-    exact = F.col("_t.expression_sha").isNotNull() & F.col("_t.expression_sha").eqNullSafe(F.col("output_expression_sha"))
-    general = F.col("_t").isNotNull() & F.col("_t.expression_sha").isNull()
-    chosen = joined.groupBy(*keys, "destination", "lineage_complete", "output_expression_sha", "output_transformation").agg(
-        F.count_if(exact).alias("_exact"), F.count_if(general).alias("_general"),
-        F.min(F.when(exact, F.col("_t"))).alias("_te"), F.min(F.when(general, F.col("_t"))).alias("_tg"))
+    ).join(general, source, "left").join(exact, [*source, "output_expression_sha"], "left").fillna(0, ["_general", "_exact"])
     one = F.when(F.col("_exact") == 1, F.col("_te")).when((F.col("_exact") == 0) & (F.col("_general") == 1), F.col("_tg"))
-    picked = chosen.withColumn("_one", one).select(
+    picked = found.withColumn("_one", one).select(
         *keys, "lineage_complete", "output_expression_sha", "output_transformation", F.col("_one").isNull().alias("_unclear"), "_one.*")
     rated = treatment_status(picked).withColumn("status", F.when(F.col("_unclear"), "unresolved").otherwise(F.col("status")))
     per = rated.groupBy("output_id").agg(F.count_if(F.col("status") == "violation").alias("_v"), F.count_if(F.col("status") == "unresolved").alias("_u"))

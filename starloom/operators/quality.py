@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.scalars import as_col
 
-from starloom.operators.windows import previous_max
+from starloom.operators.windows import previous_max, running_sum
 
 FAR_DATE = "9999-12-31"  # stands for an open interval end in comparisons
 
@@ -61,15 +61,21 @@ def overlapping_intervals(df: DataFrame, keys: Sequence[str], start: str, end: s
 
 
 def match_count_violations(
-    left: DataFrame, history: DataFrame, keys: Sequence[str], row_key: Sequence[str], at: str,
+    left: DataFrame, history: DataFrame, keys: Sequence[str], row_key: Sequence[str], at: str, slice_of: Callable[[Column], Column],
     start: str = "valid_from", end: str = "valid_to",
 ) -> DataFrame:
-    """Rows whose time falls into no interval, or into several, of their key."""
-    h = history.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    on += [F.col(at) >= F.col("_s"), F.col("_e").isNull() | (F.col(at) < F.col("_e"))]
-    joined = left.join(h, on, "left").select(*row_key, "_s")
-    return joined.groupBy(*row_key).agg(F.count("_s").alias("n_matches")).where("n_matches <> 1")
+    """Rows whose time falls into no interval, or into several, of their key.
+
+    The number of open intervals at a time is starts so far minus ends so far, a
+    running sum per key: rows and intervals are never paired.
+    """
+    blank = F.struct(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in row_key])
+    rows = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.struct(*row_key).alias("_row"))
+    open_ = history.where(F.col(end).isNull() | (F.col(start) < F.col(end)))
+    edge = lambda c, step: open_.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_t"), F.lit(0).alias("_kind"), F.lit(step).alias("_step"), blank.alias("_row"))
+    line = rows.unionByName(edge(start, 1)).unionByName(edge(end, -1))
+    counted = running_sum(line, keys, ["_t", "_kind"], F.col("_step"), slice_of(F.col("_t")), "n_matches")
+    return counted.where("_kind = 1 AND n_matches <> 1").select("_row.*", "n_matches")
 
 
 def sum_mismatch(parent: DataFrame, child: DataFrame, keys: Sequence[str], field: str, child_value: str) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.scalars import local_date, ratio, surrogate_key
 from starloom.operators.aggregates import flag_any
-from starloom.operators.joins import join_as_of, with_unknown_member
+from starloom.operators.joins import join_as_of_sliced, with_unknown_member
+from starloom.operators.windows import time_slice
 
 
-def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame, dim: DataFrame, zone: str) -> DataFrame:
+def by_year(t: Column) -> Column:
+    """Slice of the as-of joins: a customer's facts and history are split by year."""
+    return time_slice(t, "year")
+
+
+def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame, history: DataFrame, zone: str) -> DataFrame:
     """Invoice grain: posted payments and credits of the same currency, as-of customer, local date.
 
     Both ledgers are summed at invoice grain before they meet the invoice, so
-    two children cannot multiply each other.
+    two children cannot multiply each other. ``history`` is the customer dimension
+    without its unknown members, which no customer can match; an unmatched invoice
+    gets the unknown key by rule.
     """
     keys = ["tenant_id", "invoice_id", "currency"]
     posted = lambda df, out: df.where("status = 'posted'").groupBy(*keys).agg(F.sum("amount_cents").alias(out))
@@ -22,7 +30,7 @@ def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame
         invoices.join(posted(payments, "paid_cents"), keys, "left").join(posted(credits, "credit_cents"), keys, "left")
         .withColumns({"paid_cents": F.coalesce("paid_cents", F.lit(0)), "credit_cents": F.coalesce("credit_cents", F.lit(0))})
     )
-    joined = join_as_of(base, dim, ["tenant_id", "customer_id"], "issued_at")
+    joined = join_as_of_sliced(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
     return with_unknown_member(joined, "customer_key", "tenant_id").select(
         "tenant_id", "invoice_id", "customer_id", "issued_at", local_date("issued_at", zone).alias("invoice_date"),
         "currency", "status", "gross_cents", "discount_cents", "credit_cents",
@@ -41,7 +49,7 @@ def invoice_adjusted(invoices: DataFrame, adjustments: DataFrame, payments: Data
         .withColumns({"adjustment_cents": F.coalesce("adjustment_cents", F.lit(0)), "paid_cents": F.coalesce("paid_cents", F.lit(0))})
         .withColumn("net_cents", F.col("gross_cents") + F.col("adjustment_cents"))
     )
-    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at")
+    joined = join_as_of_sliced(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
     start = F.date_format("valid_from", "yyyy-MM-dd")
     return joined.select(
         *keys, "customer_id", F.col("issued_at").cast("date").alias("invoice_date"),
@@ -128,14 +136,3 @@ def retail_summary(fact: DataFrame, tenant: str, start: str, end: str, status: s
     return kept.groupBy(F.trunc("order_date", "month").alias("order_month"), "product_id").agg(
         *[F.sum(c).alias(c) for c in sums]
     ).withColumn("fulfillment_rate", ratio(F.col("fulfilled_quantity"), F.col("ordered_quantity")))
-
-
-def billing(spark, sf) -> DataFrame:
-    """``invoice_billing`` over the derived logs of a data folder.
-
-    Unknown members never match a customer, so the as-of join reads the history
-    rows alone; unmatched invoices get the unknown key by rule.
-    """
-    from starloom.registry import derived as d
-
-    return invoice_billing(d.invoices(spark, sf), d.payments(spark, sf), d.credits(spark, sf), d.keyed_history(spark, sf), "America/Chicago")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalars import cents, month_start, ratio
 from starloom.operators import aggregates as a
-from starloom.plans import facts
 from starloom.plans.semantic import Measure, SemanticModel
 from starloom.registry import derived as d
 from starloom.registry.base import CTES, query, table
@@ -108,7 +107,7 @@ def agg_filtered_measure(spark, sf):
 @query("agg_ratio_of_sums", """
 SELECT tenant_id, CAST(sum(paid_cents) AS DOUBLE) / nullif(sum(net_cents), 0) AS paid_ratio FROM fct_billing GROUP BY 1""")
 def agg_ratio_of_sums(spark, sf):
-    return facts.billing(spark, sf).groupBy("tenant_id").agg(ratio(F.sum("paid_cents"), F.sum("net_cents")).alias("paid_ratio"))
+    return d.billing(spark, sf).groupBy("tenant_id").agg(ratio(F.sum("paid_cents"), F.sum("net_cents")).alias("paid_ratio"))
 
 
 @query("agg_composed_measure", """

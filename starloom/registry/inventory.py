@@ -161,8 +161,9 @@ def column_lineage_join(spark, sf):
 
 
 @query("name_candidates", """
-SELECT s.name, source_relation, target_relation, source_columns, target_columns FROM (SELECT lower(upper(p_name)) AS name, p_brand AS source_relation, count(*) AS source_columns FROM part WHERE p_size > 40 GROUP BY 1, 2) s
-JOIN (SELECT lower(p_name) AS name, p_brand AS target_relation, count(*) AS target_columns FROM part WHERE p_size <= 5 GROUP BY 1, 2) t ON s.name = t.name""")
+WITH x AS (SELECT lower(p_name) AS name, CASE WHEN p_size > 40 THEN 'source' ELSE 'target' END AS side, p_brand AS relation FROM part WHERE p_size > 40 OR p_size <= 5),
+n AS (SELECT s.name, count(*) AS n_candidates FROM x s JOIN x t ON s.name = t.name AND s.side = 'source' AND t.side = 'target' GROUP BY 1)
+SELECT name, side, relation, count(*) AS n_columns, any_value(n_candidates) AS n_candidates FROM x JOIN n USING (name) GROUP BY 1, 2, 3""")
 def name_candidates(spark, sf):
     p = table(spark, sf, "part")
     side = lambda test, name: p.where(test).select(name.alias("column_name"), F.col("p_brand").alias("relation"))

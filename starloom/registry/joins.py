@@ -6,7 +6,6 @@ from starloom.functions.scalars import cents
 from starloom.operators import joins as j
 from starloom.operators.quality import overlapping_intervals
 from starloom.operators.windows import time_slice
-from starloom.plans import models
 from starloom.registry import derived as d
 from starloom.registry.base import query, table
 
@@ -142,7 +141,7 @@ def join_lod(spark, sf):
 SELECT r_name AS region__r_name, c_mktsegment AS customer__c_mktsegment, count(*) AS n_orders
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 def join_topic_tree(spark, sf):
-    views, edges = models.sales_views(spark, sf)
+    views, edges = d.sales_views(spark, sf)
     tree = j.join_tree(views, "orders", edges, ["region", "customer"])
     return tree.groupBy("region__r_name", "customer__c_mktsegment").agg(F.count("*").alias("n_orders"))
 

@@ -114,7 +114,7 @@ def dim_unknown_member(spark, sf):
 SELECT tenant_id, invoice_id, customer_id, CAST(invoice_date AS VARCHAR) AS invoice_date, currency, status, gross_cents, discount_cents, credit_cents,
        net_cents, paid_cents, invoice_key, customer_key, segment FROM fct_billing""")
 def fact_invoice_billing(spark, sf):
-    return facts.billing(spark, sf).withColumn("invoice_date", F.col("invoice_date").cast("string")).drop("issued_at")
+    return d.billing(spark, sf).withColumn("invoice_date", F.col("invoice_date").cast("string")).drop("issued_at")
 
 
 CTES["fct_adjusted"] = """
@@ -296,7 +296,7 @@ def current_vs_asof_segment(spark, sf):
     inv = d.invoices(spark, sf).select(*keys, "issued_at", "gross_cents")
     hist = d.customer_history(spark, sf)
     now = hist.where("valid_to IS NULL").select(*keys, F.col("segment").alias("current_segment"))
-    both = j.join_as_of(inv, hist, keys, "issued_at").join(now, keys, "left")
+    both = j.join_as_of_sliced(inv, hist, keys, "issued_at", facts.by_year).join(now, keys, "left")
     pairs = both.groupBy("segment", "current_segment").agg(F.sum("gross_cents").alias("g"))
     rows = pairs.select(F.explode(F.array(
         F.struct(F.coalesce("segment", F.lit("Unknown")).alias("segment"), F.col("g").alias("a"), F.lit(0).cast("long").alias("c")),

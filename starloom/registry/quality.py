@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from starloom.functions.scalars import cents, identifier
 from starloom.operators import quality as q
 from starloom.operators.sets import union_checks
+from starloom.operators.windows import time_slice
 from starloom.registry import derived as d
 from starloom.registry import modelling as m
 from starloom.registry.aggregates import orders_c
@@ -72,7 +73,7 @@ def dq_exactly_one_match(spark, sf):
     from starloom.registry.joins import overlapping_history
 
     inv = d.invoices(spark, sf).select("tenant_id", "invoice_id", "customer_id", "issued_at")
-    return q.match_count_violations(inv, overlapping_history(spark, sf), ["tenant_id", "customer_id"], ["tenant_id", "invoice_id"], "issued_at")
+    return q.match_count_violations(inv, overlapping_history(spark, sf), ["tenant_id", "customer_id"], ["tenant_id", "invoice_id"], "issued_at", lambda t: time_slice(t, "year"))
 
 
 @query("dq_unique_no_dedupe", "SELECT tenant_id, customer_id, valid_from, count(*) AS n_rows FROM customer_history_raw GROUP BY 1, 2, 3 HAVING count(*) > 1")

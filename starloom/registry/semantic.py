@@ -8,7 +8,6 @@ from starloom.functions.timeframes import timeframe
 from starloom.operators.aggregates import sum_where
 from starloom.operators.windows import partition_share
 from starloom.plans import context as ctx
-from starloom.plans import facts, models
 from starloom.plans.semantic import Measure, SemanticModel, select_fields
 from starloom.registry import derived as d
 from starloom.registry.aggregates import orders_c
@@ -17,7 +16,7 @@ from starloom.registry.base import CTES, query, table
 
 def billing_model(spark, sf) -> SemanticModel:
     """Invoices with tenant access, a fixed population and composed measures."""
-    fact = facts.billing(spark, sf).withColumn("invoice_month", F.trunc("invoice_date", "month").cast("string"))
+    fact = d.billing(spark, sf).withColumn("invoice_month", F.trunc("invoice_date", "month").cast("string"))
     posted = {"invoices__status": {"is": "posted"}}
     return SemanticModel(
         base="invoices", views={"invoices": fact}, access={"invoices__tenant_id": "tenant_id"},
@@ -59,7 +58,7 @@ def semantic_access_filter(spark, sf):
 
 
 def sales_model(spark, sf, **extra) -> SemanticModel:
-    views, edges = models.sales_views(spark, sf)
+    views, edges = d.sales_views(spark, sf)
     urgent = {"orders__o_orderpriority": {"is": "1-URGENT"}}
     return SemanticModel(base="orders", views=views, edges=edges, measures={
         "orders": Measure("count"), "revenue": Measure("sum", "orders__total_cents"), "urgent_revenue": Measure("sum", "orders__total_cents", filters=urgent),

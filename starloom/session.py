@@ -19,13 +19,18 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
+# Off local mode, streaming state is kept outside the heap: it grows with the number of keys.
+CLUSTER_DEFAULTS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 
 def build_session(app_name: str, master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **extra}.items():
+    local = (master or "").startswith("local")
+    for key, value in {**DEFAULTS, **({} if local else CLUSTER_DEFAULTS), **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
