@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from starloom.operators.joins import fail_when
+
 
 def sum_where(test: Column, value: Column | str) -> Column:
     """Measure-level filter: the row population of other measures is unchanged."""
@@ -87,8 +89,11 @@ def once_per_key(df: DataFrame, groups: Sequence[str], key: str, value: str) ->
 
 
 def distinct_on(df: DataFrame, groups: Sequence[str], key: str, value: str, how: str, out: str, percent: float = 50.0) -> DataFrame:
-    """sum / average / median / percentile over one value per key."""
-    single = once_per_key(df, groups, key, value)
+    """sum / average / median / percentile over one value per key.
+
+    A key with two values stops the job: which of them is right is not ours to guess.
+    """
+    single = once_per_key(df, groups, key, value).where(fail_when(F.col("is_ambiguous"), f"{value} differs within one {key}"))
     if how in ("median", "percentile"):
         return percentile_exact(single, groups, value, 50.0 if how == "median" else percent, out)
     fn = {"sum": F.sum, "average": F.avg}[how]

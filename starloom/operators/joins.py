@@ -21,7 +21,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def _fail_when(test: Column, message: str) -> Column:
+def fail_when(test: Column, message: str) -> Column:
     """Filter condition that keeps every row and stops the job where ``test`` holds."""
     return F.when(test, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
 
@@ -34,7 +34,7 @@ def unique_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in keys]
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
-    checked = counted.where(_fail_when(F.col("_n") > 1, f"not unique on {list(keys)}"))
+    checked = counted.where(fail_when(F.col("_n") > 1, f"not unique on {list(keys)}"))
     return checked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
@@ -48,9 +48,9 @@ def join_strict(left: DataFrame, right: DataFrame, keys: Sequence[str], tenant:
     marked = unique_side(right, keys).withColumn("_found", F.lit(True))
     if tenant is not None:
         marked = marked.withColumnRenamed(tenant, "_tenant")
-    joined = left.join(marked, list(keys), "left").where(_fail_when(F.col("_found").isNull(), "orphan row on the many side"))
+    joined = left.join(marked, list(keys), "left").where(fail_when(F.col("_found").isNull(), "orphan row on the many side"))
     if tenant is not None:
-        joined = joined.where(_fail_when(F.col(tenant) != F.col("_tenant"), "joined rows of different tenants")).drop("_tenant")
+        joined = joined.where(fail_when(F.col(tenant) != F.col("_tenant"), "joined rows of different tenants")).drop("_tenant")
     return joined.drop("_found")
 
 

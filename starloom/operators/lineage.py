@@ -154,8 +154,8 @@ def tree_diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: tree_id, node_id, parent_id, path; ``edges``: tree_id, from_id, to_id.
     """
-    unique = nodes.dropDuplicates(["tree_id", "node_id"])
-    parents = unique.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_pp"))
+    unique = nodes.groupBy("tree_id", "node_id").agg(F.min("path").alias("_pp"))
+    parents = unique.withColumnRenamed("node_id", "parent_id")
     checked = nodes.join(parents, ["tree_id", "parent_id"], "left")
     bad_path = F.col("parent_id").isNotNull() & ~F.coalesce(F.col("_pp") == F.slice("path", 1, F.size("path") - 1), F.lit(False))
     shape = checked.groupBy("tree_id").agg(

@@ -105,7 +105,7 @@ def design_findings(models: DataFrame, relations: DataFrame) -> DataFrame:
     needs = models.select("model_id", F.explode("depends_on").alias("_d"))
     unknown = needs.join(known.withColumnRenamed("model_id", "_d"), "_d", "left_anti").select(entity, F.lit("unknown_dependency").alias("finding"))
     arity = relations.where(F.size("from_keys") != F.size("to_keys")).select(F.col("relation_id").alias("entity"), F.lit("relationship_arity").alias("finding"))
-    target = models.select(F.col("model_id").alias("to_model"), F.array_sort("keys").alias("_k")).dropDuplicates(["to_model"])
+    target = models.groupBy(F.col("model_id").alias("to_model")).agg(F.min(F.array_sort("keys")).alias("_k"))
     wrong = relations.join(target, "to_model").where(F.array_sort("to_keys") != F.col("_k")).select(F.col("relation_id").alias("entity"), F.lit("relationship_key_mismatch").alias("finding"))
     out = repeated
     for part in (keyless, unknown, arity, wrong):

@@ -131,13 +131,14 @@ def filtered_value(spark, sf):
 
 
 @query("three_valued_logic", """
-SELECT both_ok, any_ok, not_toxic, count(*) AS n FROM (
+SELECT coalesce(CAST(both_ok AS VARCHAR), 'null') AS both_ok, coalesce(CAST(any_ok AS VARCHAR), 'null') AS any_ok, coalesce(CAST(not_toxic AS VARCHAR), 'null') AS not_toxic, count(*) AS n FROM (
   SELECT (l.quality = 1 AND d.lang = 'en') AS both_ok, (l.quality = 1 OR d.lang = 'en') AS any_ok, NOT (l.toxic = 1) AS not_toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY ALL""")
 def three_valued_logic(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
     good, english = F.col("quality") == 1, F.col("lang") == "en"
-    flags = docs.select((good & english).alias("both_ok"), (good | english).alias("any_ok"), (~(F.col("toxic") == 1)).alias("not_toxic"))
+    shown = lambda test, name: F.coalesce(test.cast("string"), F.lit("null")).alias(name)
+    flags = docs.select(shown(good & english, "both_ok"), shown(good | english, "any_ok"), shown(~(F.col("toxic") == 1), "not_toxic"))
     return flags.groupBy("both_ok", "any_ok", "not_toxic").agg(F.count("*").alias("n"))
 
 

@@ -161,18 +161,18 @@ def column_lineage_join(spark, sf):
 
 
 @query("name_candidates", """
-WITH x AS (SELECT lower(p_name) AS name, CASE WHEN p_size > 40 THEN 'source' ELSE 'target' END AS side, p_brand AS relation FROM part WHERE p_size > 40 OR p_size <= 5),
+WITH x AS (SELECT lower(p_name) AS name, CASE WHEN p_size > 25 THEN 'source' ELSE 'target' END AS side, p_brand AS relation FROM part),
 n AS (SELECT s.name, count(*) AS n_candidates FROM x s JOIN x t ON s.name = t.name AND s.side = 'source' AND t.side = 'target' GROUP BY 1)
 SELECT name, side, relation, count(*) AS n_columns, any_value(n_candidates) AS n_candidates FROM x JOIN n USING (name) GROUP BY 1, 2, 3""")
 def name_candidates(spark, sf):
     p = table(spark, sf, "part")
     side = lambda test, name: p.where(test).select(name.alias("column_name"), F.col("p_brand").alias("relation"))
-    return m.name_candidates(side("p_size > 40", F.upper("p_name")), side("p_size <= 5", F.col("p_name")))
+    return m.name_candidates(side("p_size > 25", F.upper("p_name")), side("p_size <= 25", F.col("p_name")))
 
 
-@query("key_divergence", "SELECT p_name, count(DISTINCT p_type) AS n_definitions FROM part WHERE p_size < 12 GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+@query("key_divergence", "SELECT p_name, count(DISTINCT p_type) AS n_definitions FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def key_divergence(spark, sf):
-    return m.key_divergence(table(spark, sf, "part").where("p_size < 12"), "p_name", "p_type")
+    return m.key_divergence(table(spark, sf, "part"), "p_name", "p_type")
 
 
 @query("rule_conflicts", """
@@ -187,8 +187,8 @@ def rule_conflicts(spark, sf):
 
 CTES["assets"] = "SELECT c_custkey AS asset_id, c_nationkey AS grain, c_mktsegment AS population FROM customer"
 CTES["asset_measures"] = """
-SELECT o_custkey AS asset_id, 'm' || substr(o_orderpriority, 1, 1) AS measure_id, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 450000 THEN 'b' ELSE 'a' END AS expression,
-       CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 100 = 0 THEN 'ratio' ELSE 'sum' END AS aggregation FROM orders WHERE o_totalprice > 420000"""
+SELECT o_custkey AS asset_id, 'm' || substr(o_orderpriority, 1, 1) AS measure_id, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 499000 THEN 'b' ELSE 'a' END AS expression,
+       CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 100 = 0 THEN 'ratio' ELSE 'sum' END AS aggregation FROM orders"""
 
 
 @query("shared_contract_groups", """
@@ -200,9 +200,9 @@ SELECT n_assets, n_measures, CASE WHEN v > 1 THEN 'needs_decision' WHEN grain <
 FROM g JOIN s USING (grain, population) GROUP BY ALL""")
 def shared_contract_groups(spark, sf):
     assets = table(spark, sf, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_nationkey").alias("grain"), F.col("c_mktsegment").alias("population"))
-    measures = table(spark, sf, "orders").where("o_totalprice > 420000").select(
+    measures = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("asset_id"), F.concat(F.lit("m"), F.substring("o_orderpriority", 1, 1)).alias("measure_id"),
-        F.when((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_totalprice") > 450000), "b").otherwise("a").alias("expression"),
+        F.when((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_totalprice") > 499000), "b").otherwise("a").alias("expression"),
         F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 100 == 0), "ratio").otherwise("sum").alias("aggregation"), F.lit("additive").alias("additivity"))
     existing = assets.where("grain < 3 AND population = 'BUILDING'").drop("asset_id").distinct()
     groups = m.shared_contract_groups(assets, measures, existing)
@@ -212,7 +212,7 @@ def shared_contract_groups(spark, sf):
 # ------------------------------------------------------------------ coverage
 
 CTES["assignments"] = """
-SELECT l_orderkey AS object_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'excluded' WHEN l_tax = 0.08 THEN 'interface' ELSE 'implementation' END AS kind, l_partkey AS model_id FROM lineitem WHERE l_quantity > 40"""
+SELECT l_orderkey AS object_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'excluded' WHEN l_tax = 0.08 THEN 'interface' ELSE 'implementation' END AS kind, l_partkey AS model_id FROM lineitem"""
 CTES["target_models"] = "SELECT p_partkey AS model_id, CASE WHEN p_type = 'PROMO' THEN 'source' ELSE 'model' END AS object_kind FROM part WHERE p_size > 5"
 CTES["scope"] = """
 SELECT o_orderkey AS object_id, CASE WHEN ex > 0 AND ex = n THEN 'excluded' WHEN rl > 0 THEN 'assigned' ELSE 'unresolved' END AS status, coalesce(ex > 0 AND n > ex, false) AS is_conflict, coalesce(mt, 0) AS missing_targets, coalesce(io, 0) AS interface_only
@@ -223,7 +223,7 @@ FROM orders LEFT JOIN (SELECT object_id, count(*) AS n, count(*) FILTER (WHERE k
 def scope(spark, sf):
     objects = table(spark, sf, "orders").select(F.col("o_orderkey").alias("object_id"))
     kind = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "excluded").when(F.col("l_tax") == 0.08, "interface").otherwise("implementation")
-    assignments = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("object_id"), kind.alias("kind"), F.col("l_partkey").alias("model_id"))
+    assignments = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("object_id"), kind.alias("kind"), F.col("l_partkey").alias("model_id"))
     targets = table(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("model_id"), F.when(F.col("p_type") == "PROMO", "source").otherwise("model").alias("object_kind"))
     return c.scope_status(objects, assignments, targets)
 
@@ -302,9 +302,9 @@ def inventory_references(spark, sf):
 
 
 CTES["object_mappings"] = """
-SELECT o_custkey AS object_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unresolved' ELSE 'mapped' END AS status, CASE WHEN o_totalprice > 490000 THEN 'missing' ELSE 'present' END AS target_status,
+SELECT o_custkey AS object_id, CASE WHEN o_totalprice > 440000 AND o_orderpriority <> '4-NOT SPECIFIED' THEN 'mapped' ELSE 'unresolved' END AS status, CASE WHEN o_totalprice > 490000 THEN 'missing' ELSE 'present' END AS target_status,
        CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_totalprice > 480000 THEN 'stale' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'accepted' END AS review_status, CASE WHEN o_orderpriority = '5-LOW' AND o_totalprice > 475000 THEN 'out_of_scope' ELSE 'replace' END AS disposition
-FROM orders WHERE o_totalprice > 440000"""
+FROM orders"""
 CTES["classified"] = """
 SELECT c_custkey AS object_id, c_mktsegment AS domain, CASE WHEN u > 0 AND (x > 0 OR l) THEN 'missing_evidence' WHEN x > 0 OR l THEN 'explicit_exclusion' WHEN n > 0 AND u = 0 AND lost > 0 THEN 'missing_target' WHEN c_acctbal < 0 OR st > 0 THEN 'missing_evidence'
   WHEN u > 0 THEN 'replacement_mapping' WHEN n > 0 THEN 'missing_evidence' ELSE 'missing_target' END AS classification, l, x, xo, coalesce(n, 0) AS n_mappings
@@ -314,10 +314,10 @@ FROM (SELECT c.*, coalesce(n, 0) AS n, coalesce(u, 0) AS u, coalesce(x, 0) AS x,
 
 
 def classified(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 440000")
+    o = table(spark, sf, "orders")
     price, st, pr = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority")
     mappings = o.select(
-        F.col("o_custkey").alias("object_id"), F.when(pr == "4-NOT SPECIFIED", "unresolved").otherwise("mapped").alias("status"), F.when(price > 490000, "missing").otherwise("present").alias("target_status"),
+        F.col("o_custkey").alias("object_id"), F.when((price > 440000) & (pr != "4-NOT SPECIFIED"), "mapped").otherwise("unresolved").alias("status"), F.when(price > 490000, "missing").otherwise("present").alias("target_status"),
         F.when(st == "F", "accepted").when(price > 480000, "stale").when(st == "P", "rejected").otherwise("accepted").alias("review_status"), F.when((pr == "5-LOW") & (price > 475000), "out_of_scope").otherwise("replace").alias("disposition"))
     customers = table(spark, sf, "customer")
     objects = customers.select(F.col("c_custkey").alias("object_id"), F.col("c_mktsegment").alias("domain"), F.when(F.col("c_acctbal") < 0, "stale").otherwise("current").alias("evidence_status"))

@@ -27,13 +27,14 @@ def join_left(spark, sf):
 
 
 @query("join_full_outer", """
-SELECT coalesce(c.nk, s.nk) AS nationkey, c.n_customers, s.n_suppliers FROM
- (SELECT c_nationkey AS nk, count(*) AS n_customers FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 GROUP BY 1) c
- FULL OUTER JOIN (SELECT s_nationkey AS nk, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.nk = s.nk""")
+SELECT coalesce(c.nk, s.nk) AS nationkey, coalesce(c.band, s.band) AS band, c.n_customers, s.n_suppliers FROM
+ (SELECT c_nationkey AS nk, CAST(floor(c_acctbal / 250) AS BIGINT) AS band, count(*) AS n_customers FROM customer GROUP BY 1, 2) c
+ FULL OUTER JOIN (SELECT s_nationkey AS nk, CAST(floor(s_acctbal / 250) AS BIGINT) AS band, count(*) AS n_suppliers FROM supplier GROUP BY 1, 2) s ON c.nk = s.nk AND c.band = s.band""")
 def join_full_outer(spark, sf):
-    c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
-    s = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
-    return c.join(s, "nationkey", "full_outer")
+    band = lambda c: F.floor(F.col(c) / 250).alias("band")
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nationkey"), band("c_acctbal")).agg(F.count("*").alias("n_customers"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nationkey"), band("s_acctbal")).agg(F.count("*").alias("n_suppliers"))
+    return c.join(s, ["nationkey", "band"], "full_outer")
 
 
 @query("join_asof_interval", """

@@ -8,13 +8,13 @@ from starloom.registry import derived as d
 from starloom.registry.base import CTES, query, table
 
 CTES["supply"] = """
-SELECT DISTINCT 'S' || l_suppkey AS source_id, 'P' || l_partkey AS target_id FROM lineitem WHERE l_quantity > 30
-UNION ALL SELECT DISTINCT 'P' || l_partkey, 'O' || l_orderkey FROM lineitem WHERE l_quantity > 30 UNION ALL SELECT DISTINCT 'O' || o_orderkey, 'C' || o_custkey FROM orders"""
+SELECT DISTINCT 'S' || l_suppkey AS source_id, 'P' || l_partkey AS target_id FROM lineitem
+UNION ALL SELECT DISTINCT 'P' || l_partkey, 'O' || l_orderkey FROM lineitem UNION ALL SELECT DISTINCT 'O' || o_orderkey, 'C' || o_custkey FROM orders"""
 
 
 def supply(spark, sf):
     """supplier -> part -> order -> customer."""
-    li = table(spark, sf, "lineitem").where("l_quantity > 30")
+    li = table(spark, sf, "lineitem")
     edge = lambda df, a, pa, b, pb: df.select(d.text(pa, a).alias("source_id"), d.text(pb, b).alias("target_id")).distinct()
     return edge(li, "l_suppkey", "S", "l_partkey", "P").unionByName(edge(li, "l_partkey", "P", "l_orderkey", "O")).unionByName(edge(table(spark, sf, "orders"), "o_orderkey", "O", "o_custkey", "C"))
 

@@ -94,6 +94,8 @@ def test_distinct_on_undoes_fanout_and_marks_ambiguity(spark):
     fan = spark.createDataFrame([("g", 1, 100), ("g", 1, 100), ("g", 2, 50), ("g", 3, 1), ("g", 3, 2)], "g string, k long, v long")
     assert a.distinct_on(fan.where("k < 3"), ["g"], "k", "v", "sum", "s").first().s == 150
     assert rows(a.once_per_key(fan, ["g"], "k", "v").where("is_ambiguous").select("k")) == [(3,)]
+    with pytest.raises(Exception, match="differs within one"):
+        a.distinct_on(fan, ["g"], "k", "v", "sum", "s").collect()
 
 
 def test_fanout_safe_totals_differ_from_the_naive_join(spark):
