@@ -59,23 +59,36 @@ def join_as_of(
     history: DataFrame,
     keys: Sequence[str],
     at: str,
+    slice_of: Callable[[Column], Column] | None = None,
     start: str = "valid_from",
     end: str = "valid_to",
-    how: str = "left",
 ) -> DataFrame:
-    """Match each fact to the interval ``[start, end)`` holding its time.
-
-    The equi keys carry the shuffle, the interval is a residual predicate: right
-    for short histories. Where one key may also have a very long history, use
-    ``join_as_of_sliced``.
+    """Left match of each fact to the interval ``[start, end)`` holding its time.
+
+    Without ``slice_of`` the keys carry the shuffle and the interval is a residual
+    predicate: right for short histories. With it (an integer period such as the
+    year), a closed interval is repeated once per period it touches and joined on
+    (key, period), so a hot key spreads over its periods; the one open interval of
+    a key is joined on the key alone. Both are plain joins, so filters on the
+    result still reach the fact's scan. The history must not overlap
+    (``quality.overlapping_intervals``).
     """
-    h = history.select(*[F.col(c).alias(f"_h_{c}") for c in history.columns])
-    f = fact
-    on = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    on.append(F.col(at) >= F.col(f"_h_{start}"))
-    on.append(F.col(f"_h_{end}").isNull() | (F.col(at) < F.col(f"_h_{end}")))
     kept = [c for c in history.columns if c not in keys]
-    return f.join(h, on, how).select(*fact.columns, *[F.col(f"_h_{c}").alias(c) for c in kept])
+    boxed = history.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*kept).alias("_h"))
+    same_key = [F.col(k) == F.col(f"_h_{k}") for k in keys]
+    drop = [f"_h_{k}" for k in keys]
+    started = F.col(at) >= F.col(f"_h.{start}")
+    if slice_of is None:
+        within = started & (F.col(f"_h.{end}").isNull() | (F.col(at) < F.col(f"_h.{end}")))
+        joined = fact.join(boxed, [*same_key, within], "left")
+        return joined.select(*fact.columns, *[F.col("_h")[c].alias(c) for c in kept])
+    closed = boxed.where(F.col(f"_h.{start}") < F.col(f"_h.{end}")).withColumn(
+        "_hp", F.explode(F.sequence(slice_of(F.col(f"_h.{start}")), slice_of(F.col(f"_h.{end}")))))
+    current = boxed.where(F.col(f"_h.{end}").isNull())
+    on = [*same_key, slice_of(F.col(at)) == F.col("_hp"), started, F.col(at) < F.col(f"_h.{end}")]
+    first = fact.join(closed, on, "left").drop("_hp", *drop).withColumnRenamed("_h", "_closed")
+    both = first.join(current, [*same_key, started], "left").drop(*drop).withColumn("_h", F.coalesce("_closed", "_h"))
+    return both.select(*fact.columns, *[F.col("_h")[c].alias(c) for c in kept])
 
 
 def join_as_of_sliced(
@@ -87,14 +100,15 @@ def join_as_of_sliced(
     start: str = "valid_from",
     end: str = "valid_to",
 ) -> DataFrame:
-    """The same left as-of match when one key is hot on both sides.
+    """The same match when one key is hot on both sides and its intervals are dense.
 
     Facts and interval starts share one ordered pass per (key, slice of time);
     the latest earlier start is carried over slices as one summary row each, so
     neither a hot key nor its long history meets in one task or multiplies. The
     history must not overlap (``quality.overlapping_intervals``). The fact is
-    shuffled once and read a second time for its keys and time only, so it is best
-    given as a written layer table.
+    shuffled once and read a second time for its keys and time only, and filters on
+    the result cannot pass the ordering, so it is best given as a written layer
+    table that is already filtered.
     """
     kept = [c for c in history.columns if c not in keys]
     interval = F.struct(*kept)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalars import identifier, luhn_ok
 from starloom.operators.lineage import propagate
-from starloom.session import spread
 
 # Signal rules as (rule, category, pattern). The patterns use Unicode
 # word, digit and space classes.
@@ -102,7 +101,7 @@ def _card_lines(text: Column) -> Column:
 
 def _working(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """Text for matching, beside a copy in which every case variant of a letter is its lower-case form."""
-    cleaned = spread(df.select(*keep, text), *keep).select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
+    cleaned = df.select(*keep, F.col(text).alias("_raw"), _clean(F.col(text)).alias("_text"))
     return cleaned.withColumn("_folded", F.lower(F.translate("_text", *FOLDED_LETTERS)))
 
 
@@ -203,7 +202,7 @@ def scan_html(df: DataFrame, keep: Sequence[str], html: str = "html", depth: int
     """
     page = F.col("_html")
     levels, level = [], F.array(page)
-    rows = spread(df.select(*keep, html), *keep).select(*keep, F.col(html).alias("_html"))
+    rows = df.select(*keep, F.col(html).alias("_html"))
     for i in range(depth):
         rows = rows.withColumn(f"_l{i}", _payloads(level))
         level = F.col(f"_l{i}")

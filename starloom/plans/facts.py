@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalars import local_date, ratio, surrogate_key
 from starloom.operators.aggregates import flag_any
-from starloom.operators.joins import join_as_of_sliced, with_unknown_member
-from starloom.operators.windows import time_slice
+from starloom.operators.joins import join_as_of, with_unknown_member
 
 
 def by_year(t: Column) -> Column:
-    """Slice of the as-of joins: a customer's facts and history are split by year."""
-    return time_slice(t, "year")
+    """Period of the as-of joins: a customer's facts and history are split by year."""
+    return F.year(t)
 
 
 def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame, history: DataFrame, zone: str) -> DataFrame:
@@ -30,7 +29,7 @@ def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame
         invoices.join(posted(payments, "paid_cents"), keys, "left").join(posted(credits, "credit_cents"), keys, "left")
         .withColumns({"paid_cents": F.coalesce("paid_cents", F.lit(0)), "credit_cents": F.coalesce("credit_cents", F.lit(0))})
     )
-    joined = join_as_of_sliced(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
+    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
     return with_unknown_member(joined, "customer_key", "tenant_id").select(
         "tenant_id", "invoice_id", "customer_id", "issued_at", local_date("issued_at", zone).alias("invoice_date"),
         "currency", "status", "gross_cents", "discount_cents", "credit_cents",
@@ -49,7 +48,7 @@ def invoice_adjusted(invoices: DataFrame, adjustments: DataFrame, payments: Data
         .withColumns({"adjustment_cents": F.coalesce("adjustment_cents", F.lit(0)), "paid_cents": F.coalesce("paid_cents", F.lit(0))})
         .withColumn("net_cents", F.col("gross_cents") + F.col("adjustment_cents"))
     )
-    joined = join_as_of_sliced(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
+    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
     start = F.date_format("valid_from", "yyyy-MM-dd")
     return joined.select(
         *keys, "customer_id", F.col("issued_at").cast("date").alias("invoice_date"),

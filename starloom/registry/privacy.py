@@ -6,6 +6,7 @@ from starloom.operators import access, privacy as p
 from starloom.operators.sets import union_checks
 from starloom.registry.base import CTES, query, table
 from starloom.registry.lineage import referral
+from starloom.session import spread
 
 CTES["doc_lines"] = "SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
 CTES["card_numbers"] = r"""
@@ -23,7 +24,7 @@ UNION ALL SELECT doc_id, 'credential.assignment', 'CREDENTIAL', line FROM doc_li
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("scan_text_signals", "SELECT * FROM signal_hits")
@@ -52,7 +53,7 @@ SELECT page_id, 'page' AS part, 'pii.email' AS rule_id, 'PII' AS category, line
 UNION ALL SELECT DISTINCT page_id, 'page', 'pci.pan_candidate', 'PCI', line FROM n WHERE length(n) BETWEEN 13 AND 19 AND n <> repeat(substr(n, 1, 1), length(n)) AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
   CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(substr(n, i, 1) AS INTEGER) WHEN CAST(substr(n, i, 1) AS INTEGER) > 4 THEN CAST(substr(n, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(n, i, 1) AS INTEGER) * 2 END)) % 10 = 0""")
 def scan_html_pages(spark, sf):
-    return p.scan_html(table(spark, sf, "pages"), ["page_id"])
+    return p.scan_html(spread(table(spark, sf, "pages"), "page_id"), ["page_id"])
 
 
 CTES["named_outputs"] = """
@@ -179,7 +180,7 @@ x AS (SELECT doc_id AS item_id, 'metadata' AS destination, list_filter([CASE WHE
    CASE WHEN sens <> 'PUBLIC' THEN 'destination.sensitivity_denied' END, CASE WHEN pii THEN 'destination.categories_denied' END, CASE WHEN lang = 'fr' THEN 'destination.handling_not_allowed' END, CASE WHEN scan <> 'clear' THEN 'scan.not_clear' END], lambda v: v IS NOT NULL) FROM i)
 SELECT item_id, destination, len(r) = 0 AS is_allowed, array_to_string(list_sort(r), ',') AS reasons FROM x""")
 def disclosure_decision(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"), "doc_id")
     scanned = p.scan_status(d, ["doc_id", "lang", "source", "n_chars"])
     l = table(spark, sf, "labels").withColumn("_l", F.lit(True))
     j = scanned.join(l, "doc_id", "left")

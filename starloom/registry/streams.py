@@ -17,7 +17,7 @@ def _replayed_state(spark, sf):
     log = d.invoice_cdc(spark, sf)
     for batch, seqs in enumerate(("source_seq = 3", "source_seq = 2", "source_seq = 1")):
         log.where(seqs).write.parquet(f"{root}/log/batch={batch}")
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1 if sf.endswith("sf0.001") else 8).parquet(f"{root}/log/batch=*")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(8, spark.sparkContext.defaultParallelism)).parquet(f"{root}/log/batch=*")
     s.start_upsert(source, KEYS, d.ORDER_BY, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return s.read_state(spark, f"{root}/state", KEYS, d.ORDER_BY, F.col("op") == "DELETE")
 

@@ -82,11 +82,12 @@ def test_overlap_open_end_and_touching(spark):
     assert [(r.k, r.seg) for r in bad.collect()] == [("b", "t")]
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_as_of_join(spark, sliced):
+@pytest.mark.parametrize("how", ["plain", "periods", "ordered"])
+def test_as_of_join(spark, how):
     hist = spark.sql("SELECT * FROM VALUES ('a', 10, 20, 'x'), ('a', 20, CAST(NULL AS INT), 'y'), ('b', 5, 6, 'z') h(k, valid_from, valid_to, seg)")
     fact = spark.createDataFrame([("a", 9), ("a", 10), ("a", 19), ("a", 20), ("a", 500), ("b", 6), ("c", 1)], "k string, at int")
-    out = j.join_as_of_sliced(fact, hist, ["k"], "at", lambda c: F.floor(c / 7)) if sliced else j.join_as_of(fact, hist, ["k"], "at")
+    period = None if how == "plain" else (lambda c: F.floor(c / 7))
+    out = (j.join_as_of_sliced if how == "ordered" else j.join_as_of)(fact, hist, ["k"], "at", period)
     assert {(r.k, r["at"]): r.seg for r in out.collect()} == {("a", 9): None, ("a", 10): "x", ("a", 19): "x", ("a", 20): "y", ("a", 500): "y", ("b", 6): None, ("c", 1): None}
 
 
