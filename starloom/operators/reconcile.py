@@ -108,9 +108,9 @@ def parity_lanes(baseline: DataFrame, lanes: Mapping[str, DataFrame | None], con
                 F.lit(0).cast("long").alias("row_count"), F.lit(0).cast("long").alias("n_findings"),
                 F.lit("pending").alias("status")))
             continue
-        diff = keyed_diff(baseline, observed, contract).agg(F.count("*").alias("n_findings"), F.lit(1).alias("_one"))
-        size = observed.agg(F.count("*").alias("row_count"), F.lit(1).alias("_one"))
-        rows.append(size.join(diff, "_one").select(
+        found = keyed_diff(baseline, observed, contract).agg(F.count("*").alias("n_findings"))
+        size = observed.agg(F.count("*").alias("row_count")).withColumn("n_findings", found.scalar())
+        rows.append(size.select(
             F.lit(case).alias("case_id"), F.lit(lane).alias("lane"), "row_count", "n_findings",
             F.when(F.col("n_findings") > 0, "failed").otherwise("passed").alias("status")))
     return union_checks(rows)
