@@ -9,8 +9,10 @@ from starloom.registry.lineage import referral
 from starloom.session import spread
 
 CTES["doc_lines"] = "SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
+# Letters become ASCII so that the zero-width word boundary of the SQL pattern is exact; a pattern
+# that consumed its neighbours would miss the second of two adjacent numbers.
 CTES["card_numbers"] = r"""
-SELECT doc_id, line, regexp_replace(unnest(regexp_extract_all(s, '(?:^|[^\p{L}\p{N}_])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^\p{L}\p{N}_])', 1)), '[^0-9]', '', 'g') AS n FROM doc_lines"""
+SELECT doc_id, line, regexp_replace(unnest(regexp_extract_all(regexp_replace(s, '\p{L}', 'x', 'g'), '\b(?:[0-9][ -]?){12,18}[0-9]\b')), '[^0-9]', '', 'g') AS n FROM doc_lines"""
 CTES["card_hits"] = """
 SELECT DISTINCT doc_id, line FROM card_numbers WHERE length(n) BETWEEN 13 AND 19 AND n <> repeat(substr(n, 1, 1), length(n)) AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
   CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(substr(n, i, 1) AS INTEGER) WHEN CAST(substr(n, i, 1) AS INTEGER) > 4 THEN CAST(substr(n, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(n, i, 1) AS INTEGER) * 2 END)) % 10 = 0"""
@@ -48,7 +50,7 @@ CTES["page_lines"] = "SELECT page_id, unnest(string_split(html, chr(10))) AS s,
 
 
 @query("scan_html_pages", r"""
-WITH n AS (SELECT page_id, line, regexp_replace(unnest(regexp_extract_all(s, '(?:^|[^\p{L}\p{N}_])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^\p{L}\p{N}_])', 1)), '[^0-9]', '', 'g') AS n FROM page_lines)
+WITH n AS (SELECT page_id, line, regexp_replace(unnest(regexp_extract_all(regexp_replace(s, '\p{L}', 'x', 'g'), '\b(?:[0-9][ -]?){12,18}[0-9]\b')), '[^0-9]', '', 'g') AS n FROM page_lines)
 SELECT page_id, 'page' AS part, 'pii.email' AS rule_id, 'PII' AS category, line FROM page_lines WHERE regexp_matches(s, '(?i)(?:^|[^\p{L}\p{N}_.+-])[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?\.[A-Z]{2,}(?:$|[^\p{L}\p{N}_.-])')
 UNION ALL SELECT DISTINCT page_id, 'page', 'pci.pan_candidate', 'PCI', line FROM n WHERE length(n) BETWEEN 13 AND 19 AND n <> repeat(substr(n, 1, 1), length(n)) AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
   CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(substr(n, i, 1) AS INTEGER) WHEN CAST(substr(n, i, 1) AS INTEGER) > 4 THEN CAST(substr(n, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(n, i, 1) AS INTEGER) * 2 END)) % 10 = 0""")
