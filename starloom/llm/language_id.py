@@ -144,14 +144,20 @@ class Model:
 
 
 def sample(docs: DataFrame, params: Params) -> DataFrame:
-    """At most ``docs_per_language`` rows a language, those with the smallest hash of id and text."""
+    """At most ``docs_per_language`` rows a language, those with the smallest hash of id and text.
+
+    Only hashes are ranked; what is broadcast has a row for each language or for
+    each chosen document, as bounded as the models, which are broadcast too.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", 5) != 0).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", 5) != 0).groupBy("lang").agg(F.count("*").alias("n"))
     # A share that holds enough rows of each language is cut out first, so that only it is ordered.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(params.docs_per_language * 1.5 + 200) / F.col("n"))
-    near = known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "text")))
-    return ranked.where(F.col("r") <= params.docs_per_language).select("lang", "text", (F.col("r") % params.calibrate_one_in == 0).alias("kept_out"))
+    place = F.pmod("h", F.lit(1 << 20))
+    near = known.select("lang", "h").join(F.broadcast(counts), "lang").where(place < share * (1 << 20)).select("lang", "h").distinct()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))).where(F.col("r") <= params.docs_per_language)
+    chosen = ranked.select("lang", "h", (F.col("r") % params.calibrate_one_in == 0).alias("kept_out"))
+    return known.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text", "kept_out")
 
 
 def _count_words(batches):
