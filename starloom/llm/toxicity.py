@@ -50,8 +50,8 @@ BEGINNINGS = (3, 4, 5, 6)
 
 
 def features_of(word: str) -> list[str]:
-    """The word itself, and its beginnings marked with a hyphen."""
-    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
+    """The word itself, and its beginnings marked with a hyphen; a group's name has no beginnings, so a swap changes it whole."""
+    return [word] if word in SWAPS else [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
 
 
 @dataclass(frozen=True)
