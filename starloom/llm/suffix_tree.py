@@ -23,6 +23,7 @@ id counts as the empty text for the fold. Very long texts are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +45,7 @@ class Params:
     least_context: float = 5e-7
     least_entry: float = 1.5e-7
     divergence: float = 1.5
-    frequent: float = 1e-5
+    frequent: float = 1e-6
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -54,25 +55,27 @@ def tokens_of(text: str) -> list[bytes]:
 
 def _count_tokens(batches):
     """token and its training occurrences; tokens of held-out texts count 0."""
-    total: dict[bytes, int] = {}
+    total: Counter[bytes] = Counter()
+    held_out: set[bytes] = set()
     ends = 0
 
     def packed():
+        for w in held_out.difference(total):
+            total[w] = 0
         return pa.RecordBatch.from_pydict({"token": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
 
     for batch in small_slices(batches):
         for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
             if held:
-                for w in tokens_of(text):
-                    total.setdefault(w, 0)
+                held_out.update(tokens_of(text))
             else:
                 ends += 1
-                for w in tokens_of(text):
-                    total[w] = total.get(w, 0) + 1
-        if len(total) > FLUSH:
+                total.update(tokens_of(text))
+        if len(total) + len(held_out) > FLUSH:
             yield packed()
-            total = {}
-    total[END] = total.get(END, 0) + ends
+            total.clear()
+            held_out.clear()
+    total[END] += ends
     yield packed()
 
 
@@ -99,26 +102,42 @@ def _count_windows(depth: int):
     """Windows of the training texts, summed over a task, in several steps if they are many."""
 
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def packed():
-            return pa.RecordBatch.from_pydict({"gram": pa.array(keys), "n": pa.array(counts)})
+            keys, counts = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), ())))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_pydict({"gram": pa.array(keys[first]), "n": pa.array(np.add.reduceat(counts, first) if len(keys) else counts)})
 
         for batch in small_slices(batches):
             held = batch.column("held_out").to_pylist()
             new, _ = windows([spelled(tokens_of(t)) for t, h in zip(batch.column("text").to_pylist(), held, strict=True) if not h], depth)
             new, n = np.unique(new, return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            keys = both
-            if len(keys) > 4 * FLUSH:
+            parts.append((new, n.astype(np.int64)))
+            if sum(len(k) for k, _ in parts) > 8 * FLUSH:
                 yield packed()
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                parts.clear()
         yield packed()
 
     return run
 
 
+def places_of(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index in the sorted ``distinct`` of keys that are all among them: by a hash table, the few that collide by search."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(64 - max(16, int(np.ceil(np.log2(len(distinct)))) + 2))
+    slot = lambda x: ((x * np.int64(-7046029254386353131)).view(np.uint64) >> bits).astype(np.int64)
+    table = np.zeros(1 << (64 - int(bits)), np.int32)
+    table[slot(distinct)] = np.arange(len(distinct), dtype=np.int32)
+    at = table[slot(keys)]
+    other = np.flatnonzero(distinct[at] != keys)
+    at[other] = np.searchsorted(distinct, keys[other])
+    return at
+
+
 class SuffixTree:
     """Kept contexts per depth in sorted arrays, with the share left to the suffix, and probabilities of entries."""
 
@@ -155,7 +174,7 @@ class SuffixTree:
         keys, size = windows(texts, self.depth)
         distinct = np.unique(keys)
         value = np.log10(self._probability(distinct, self.depth))
-        return sums_by(value[np.searchsorted(distinct, keys)], size)
+        return sums_by(value[places_of(distinct, keys)], size)
 
 
 @dataclass
@@ -203,28 +222,30 @@ def _score_documents(bound):
         from pyspark import TaskContext
 
         row, (tree, hot) = TaskContext.get().partitionId() << 40, bound.value
-        fields = pa.struct([("token", pa.binary()), ("times", pa.int32())])
         for batch in small_slices(batches):
             split = [tokens_of(t) for t in batch.column("text").to_pylist()]
             score = tree.log10([spelled(words) for words in split])
-            known, base, rest, n = [], [], [], []
+            known, base, n, token, times, size = [], [], [], [], [], [0]
             for words in split:
-                k, b, other = 0, 0.0, {}
-                for w in [*words, END]:
+                words.append(END)
+                k, b = 0, 0.0
+                for w, t in Counter(words).items():
                     v = hot.get(w)
                     if v is None:
-                        other[w] = other.get(w, 0) + 1
+                        token.append(w)
+                        times.append(t)
                     else:
-                        k += 1
-                        b += v
+                        k += t
+                        b += t * v
                 known.append(k)
                 base.append(b)
-                rest.append([{"token": w, "times": t} for w, t in other.items()])
-                n.append(len(words) + 1)
+                n.append(len(words))
+                size.append(len(token))
             rows = np.arange(row, row + len(split))
             row += len(split)
+            rest = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays([pa.array(token, pa.binary()), pa.array(times, pa.int32())], names=["token", "times"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(rows), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rest, pa.list_(fields))],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(rows), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), rest],
                 names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "rest"])
 
     return run
@@ -236,7 +257,8 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     model = fit(rows, params)
     valued = model.tokens.withColumn("value", F.log10((F.col("n") + 0.1) / (F.lit(float(model.train_tokens)) + 0.1 * (model.kinds + 1))))
     is_common = (F.col("n") > 0) & (F.col("n") >= params.frequent * model.train_tokens)
-    common = {bytes(r["token"]): r["value"] for r in valued.where(is_common).select("token", "value").collect()}  # at most 1 / frequent rows
+    common = valued.where(is_common).select("token", "value").toPandas()  # at most 1 / frequent rows
+    common = dict(zip(map(bytes, common["token"]), common["value"].tolist(), strict=True))
     bound = docs.sparkSession.sparkContext.broadcast((model.tree, common))
     part = rows.mapInArrow(_score_documents(bound), "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rest array<struct<token:binary,times:int>>")
     part = written(part, "tree-documents")
