@@ -44,14 +44,20 @@ class Params:
 class WordTokenizer:
     """Ids of texts, word by word, for tokenizers whose pieces never span ASCII white space.
 
-    A word seen before is taken from a cache; its size is bounded, and it changes no result.
+    Words used lately are taken from two dictionaries: a full young one becomes the
+    old one, and words that are used again move back. That bounds memory and
+    changes no result. New words are encoded many at a time, with a mark between
+    them whose id nothing else has; words that hold the mark's character go alone.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.mark = self._ids([self.MARK])[0]
 
     @classmethod
     def at(cls, path: str) -> "WordTokenizer":
@@ -59,16 +65,37 @@ class WordTokenizer:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.array([i for e in self.inner.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+
+    def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        mark = self.MARK.encode()
+        alone = {w: self._ids([w.decode()]).tobytes() for w in words if mark in w}
+        words = [w for w in words if mark not in w]
+        parts = [b" \x01 ".join(words[k:k + 500]).decode() + " \x01" for k in range(0, len(words), 500)]
+        ids = self._ids(parts)
+        raw, stop = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+        start = [0, *(x + 4 for x in stop[:-1])]
+        return {**alone, **{w: raw[a:b] for w, a, b in zip(words, start, stop, strict=True)}}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode().split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for start in range(0, len(new), 20_000):
-            part = new[start:start + 20_000]
-            for w, e in zip(part, self.inner.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        known: dict[bytes, bytes] = {}
+        new = []
+        for w in {w for words in split for w in words}:
+            ids = self.young.get(w)
+            if ids is None:
+                ids = self.old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                self.young[w] = ids
+            known[w] = ids
+        fresh = self._encode_new(new)
+        known.update(fresh)
+        self.young.update(fresh)
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
 
