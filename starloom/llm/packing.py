@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import small_slices, text_of, written
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000  # a generation; some 100 MB
+SLICE = 8 << 20  # words that a slice repeats are encoded once
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -75,7 +76,7 @@ class WordTokenizer:
         parts = [b" \x01 ".join(words[k:k + 500]).decode() + " \x01" for k in range(0, len(words), 500)]
         ids = self._ids(parts)
         raw, stop = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
-        start = [0, *(x + 4 for x in stop[:-1])]
+        start = [0, *(x + 4 for x in stop)][:len(stop)]
         return {**alone, **{w: raw[a:b] for w, a, b in zip(words, start, stop, strict=True)}}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
         from pyspark import TaskContext
 
         row, coder, cap = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer), params.capacity
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, limit=SLICE):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row", "ids")}
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(params.end_id)).astype("<u4")
