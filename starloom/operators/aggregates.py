@@ -24,18 +24,14 @@ def flag_any(test: Column) -> Column:
     return F.max(F.when(test, 1).otherwise(0))
 
 
-def listed_values(df: DataFrame, groups: Sequence[str], value: str, out: str, sep: str = ",", bound: int = 10_000) -> DataFrame:
-    """Sorted distinct values per group.
+def listed_values(df: DataFrame, groups: Sequence[str], value: str, position: str = "position") -> DataFrame:
+    """Sorted distinct values per group as rows (groups, position, value).
 
-    Rows shrink to (group, value) pairs first. A group with more than ``bound``
-    distinct values is an error: such a list belongs in rows, not in one cell.
+    A list of any length stays in rows: no cell gathers a group, and rows shrink to
+    distinct pairs before they are numbered.
     """
     distinct = df.where(F.col(value).isNotNull()).select(*groups, value).distinct()
-    if not distinct.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") > bound).isEmpty():
-        raise ValueError(f"a group has more than {bound} distinct values of {value}")
-    return distinct.groupBy(*groups).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), sep).alias(out)
-    )
+    return distinct.withColumn(position, F.row_number().over(W.partitionBy(*groups).orderBy(value)))
 
 
 def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, percent: float, out: str, buckets: int = 512) -> DataFrame:

@@ -13,17 +13,30 @@ from starloom.functions.scalars import as_col
 
 
 def is_value(c: Column | str, value) -> Column:
-    """Equality with a scalar, a list of scalars, or null; null-aware."""
+    """Equality with a scalar, a list of scalars, or null.
+
+    A null cell gives null, which no filter, ``when`` or ``count_if`` lets through;
+    so the test stays a plain comparison that reaches the scan.
+    """
     c = as_col(c)
     if isinstance(value, (list, tuple, set)):
-        listed = [v for v in value if v is not None]
-        test = F.coalesce(in_set(c, listed), F.lit(False))
+        test = in_set(c, [v for v in value if v is not None])
         return test | c.isNull() if None in value else test
-    return c.isNull() if value is None else F.coalesce(c == F.lit(value), F.lit(False))
+    return c.isNull() if value is None else c == F.lit(value)
 
 
 def is_not(c: Column | str, value) -> Column:
-    return ~is_value(c, value)
+    """What ``is_value`` leaves out: a null cell is kept unless null is named."""
+    c = as_col(c)
+    listed = list(value) if isinstance(value, (list, tuple, set)) else [value]
+    named = [v for v in listed if v is not None]
+    if len(named) == 1:
+        other = c != F.lit(named[0])
+    else:
+        other = ~c.isin(named) if named else F.lit(True)
+    if None in listed:
+        return c.isNotNull() & other if named else c.isNotNull()
+    return c.isNull() | other if named else other
 
 
 # Operator names of the numeric and text predicates.

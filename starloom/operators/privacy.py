@@ -132,20 +132,19 @@ def scan_cards(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
     return _findings(df, keep, text, (), True)
 
 
-def scan_status(df: DataFrame, keep: Sequence[str], text: str = "text", report_cap: int = 500) -> DataFrame:
+def scan_status(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """clear / blocked / unsupported per document, every finding counted.
 
-    A text that is missing or binary is unsupported. ``report_cap`` only marks a
-    document whose findings would not fit a bounded report; none are dropped.
+    A text that is missing or binary is unsupported; any other is complete, however
+    many findings it has.
     """
     working = _working(df, keep, text)
     counts = [F.size(lines) for lines in (*_rule_lines(RULES), _card_lines(F.col("_text")))]
     total = reduce(lambda a, b: a + b, counts)
     readable = F.col("_raw").isNotNull() & ~F.col("_raw").contains("\x00")
     counted = working.select(*keep, readable.alias("_ok"), F.when(readable, total).otherwise(0).cast("long").alias("n_findings"))
-    complete = F.col("_ok") & (F.col("n_findings") < report_cap)
-    status = F.when(F.col("n_findings") > 0, "blocked").when(~complete, "unsupported").otherwise("clear")
-    return counted.select(*keep, "n_findings", complete.alias("is_complete"), status.alias("status"))
+    status = F.when(F.col("n_findings") > 0, "blocked").when(~F.col("_ok"), "unsupported").otherwise("clear")
+    return counted.select(*keep, "n_findings", F.col("_ok").alias("is_complete"), status.alias("status"))
 
 
 # Named character references of ASCII punctuation and the no-break space.

@@ -11,7 +11,7 @@ from starloom.functions.scalars import as_col
 
 from starloom.operators.windows import previous_max, running_sum
 
-FAR_DATE = "9999-12-31"  # stands for an open interval end in comparisons
+FAR = "9999-12-31 00:00:00"  # stands for an open interval end in comparisons
 
 
 def grain(df: DataFrame, keys: Sequence[str], issue: str) -> DataFrame:
@@ -51,13 +51,14 @@ def overlapping_intervals(df: DataFrame, keys: Sequence[str], start: str, end: s
     """Distinct history rows that start before an earlier row of their key has ended.
 
     One row per offending interval instead of every pair, so a key with many
-    overlapping rows costs a sort, not a square.
+    overlapping rows costs a sort, not a square. Ends are compared in their own
+    type, so intervals that meet within a day are told apart.
     """
     rows = df.distinct()
     rest = [c for c in rows.columns if c not in (*keys, start, end)]
-    end_or_far = F.coalesce(F.col(end).cast("date"), F.lit(FAR_DATE).cast("date"))
+    end_or_far = F.coalesce(F.col(end), F.lit(FAR).cast("timestamp_ntz").cast(df.schema[end].dataType))
     seen = previous_max(rows.withColumn("_end", end_or_far), keys, [start, "_end", *rest], F.col("_end"), slice_, "covered_until")
-    return seen.where(F.col(start).cast("date") < F.col("covered_until")).drop("_end")
+    return seen.where(F.col(start) < F.col("covered_until")).drop("_end")
 
 
 def match_count_violations(

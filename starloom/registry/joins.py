@@ -87,28 +87,28 @@ def join_strict_m1(spark, sf):
 
 
 _OVERLAP = """
-SELECT tenant_id, customer_id, CAST(CAST(valid_from AS DATE) AS VARCHAR) AS starts, segment,
-       CAST(max(covered) AS VARCHAR) AS covered_until FROM (
-  SELECT b.*, coalesce(CAST(a.valid_to AS DATE), DATE '9999-12-31') AS covered FROM overlapping b JOIN overlapping a
-    ON a.tenant_id = b.tenant_id AND a.customer_id = b.customer_id
-   AND (a.valid_from, coalesce(CAST(a.valid_to AS DATE), DATE '9999-12-31'), a.segment) < (b.valid_from, coalesce(CAST(b.valid_to AS DATE), DATE '9999-12-31'), b.segment)
-   AND b.valid_from < coalesce(CAST(a.valid_to AS DATE), DATE '9999-12-31'))
-GROUP BY tenant_id, customer_id, valid_from, valid_to, segment"""
+WITH o AS (SELECT *, coalesce(valid_to, TIMESTAMP '9999-12-31 00:00:00') AS ends FROM overlapping)
+SELECT b.tenant_id, b.customer_id, strftime(b.valid_from, '%Y-%m-%d %H:%M:%S') AS starts, b.segment, strftime(max(a.ends), '%Y-%m-%d %H:%M:%S') AS covered_until
+FROM o b JOIN o a ON a.tenant_id = b.tenant_id AND a.customer_id = b.customer_id AND (a.valid_from, a.ends, a.segment) < (b.valid_from, b.ends, b.segment) AND b.valid_from < a.ends
+GROUP BY b.tenant_id, b.customer_id, b.valid_from, b.valid_to, b.segment"""
 d.CTES["overlapping"] = """
-SELECT tenant_id, customer_id, CASE WHEN segment = 'FURNITURE' AND valid_from > TIMESTAMP '1993-01-01' THEN valid_from - INTERVAL 40 DAY ELSE valid_from END AS valid_from, valid_to, segment
+SELECT tenant_id, customer_id, CASE WHEN valid_from <= TIMESTAMP '1993-01-01' THEN valid_from WHEN segment = 'FURNITURE' THEN valid_from - INTERVAL 40 DAY
+       WHEN segment = 'MACHINERY' THEN valid_from - INTERVAL 6 HOUR ELSE valid_from END AS valid_from, valid_to, segment
 FROM customer_history"""
 
 
 def overlapping_history(spark, sf):
-    """History in which one segment's later interval starts 40 days early."""
-    early = (F.col("segment") == "FURNITURE") & (F.col("valid_from").cast("date") > F.lit("1993-01-01").cast("date"))
-    moved = F.when(early, F.col("valid_from") - F.expr("interval 40 days")).otherwise(F.col("valid_from"))
+    """History in which the later interval of one segment starts 40 days early, that of another six hours."""
+    later = F.col("valid_from") > F.lit("1993-01-01").cast("timestamp_ntz")
+    moved = (F.when(later & (F.col("segment") == "FURNITURE"), F.col("valid_from") - F.expr("interval 40 days"))
+             .when(later & (F.col("segment") == "MACHINERY"), F.col("valid_from") - F.expr("interval 6 hours")).otherwise(F.col("valid_from")))
     return d.customer_history(spark, sf).withColumn("valid_from", moved)
 
 
 def _overlaps(spark, sf):
     rows = overlapping_intervals(overlapping_history(spark, sf), ["tenant_id", "customer_id"], "valid_from", "valid_to", time_slice("valid_from", "year"))
-    return rows.select("tenant_id", "customer_id", F.col("valid_from").cast("date").cast("string").alias("starts"), "segment", F.col("covered_until").cast("string").alias("covered_until"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("tenant_id", "customer_id", at("valid_from").alias("starts"), "segment", at("covered_until").alias("covered_until"))
 
 
 query("join_self_overlap", _OVERLAP)(_overlaps)

@@ -197,13 +197,13 @@ def profile_columns(spark, sf):
 
 
 @query("dq_invariants", """
-WITH dim AS (SELECT customer_id, tenant_id AS dim_tenant FROM customer_history WHERE valid_to IS NULL AND tenant_id = 'T1')
+WITH dim AS (SELECT customer_id, tenant_id AS dim_tenant FROM customer_history WHERE valid_to IS NULL)
 SELECT (SELECT count(*) FROM (SELECT entry_id FROM payments GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys, count(*) FILTER (WHERE n IS NULL) AS orphan_keys,
-       count(*) FILTER (WHERE dim_tenant <> tenant_id) AS tenant_violations, count(*) AS join_input_rows, CAST(sum(coalesce(n, 1)) AS BIGINT) AS join_output_rows
+       count(*) FILTER (WHERE first_tenant <> tenant_id OR last_tenant <> tenant_id) AS tenant_violations, count(*) AS join_input_rows, CAST(sum(coalesce(n, 1)) AS BIGINT) AS join_output_rows
 FROM (SELECT p.entry_id, p.tenant_id, i.customer_id FROM payments p LEFT JOIN invoices i ON p.tenant_id = i.tenant_id AND p.invoice_id = i.invoice_id) f
-LEFT JOIN (SELECT customer_id, min(dim_tenant) AS dim_tenant, count(*) AS n FROM dim GROUP BY 1) x ON f.customer_id = x.customer_id""")
+LEFT JOIN (SELECT customer_id, min(dim_tenant) AS first_tenant, max(dim_tenant) AS last_tenant, count(*) AS n FROM dim GROUP BY 1) x ON f.customer_id = x.customer_id""")
 def dq_invariants(spark, sf):
     keys = ["tenant_id", "invoice_id"]
     fact = d.payments(spark, sf).select("entry_id", *keys).join(d.invoices(spark, sf).select(*keys, "customer_id"), keys, "left")
-    dim = d.customer_history(spark, sf).where("valid_to IS NULL AND tenant_id = 'T1'").select("customer_id", F.col("tenant_id").alias("dim_tenant"))
+    dim = d.customer_history(spark, sf).where("valid_to IS NULL").select("customer_id", F.col("tenant_id").alias("dim_tenant"))
     return q.join_invariants(fact, dim, ["entry_id"], ["customer_id"], "tenant_id", "dim_tenant")

@@ -167,8 +167,12 @@ def catalog_inventory(spark, sf):
     return sinks.catalog_inventory({n: table(spark, sf, n) for n in ("customer", "events", "labels")})
 
 
-@query("dataset_digest", """
-SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 8) AS BIGINT)) AS BIGINT) AS digest
-FROM orders""")
+_DIGEST_ROW = "sha256(" + " || ".join(
+    f"coalesce('V' || CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), 'N')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")) + ")"
+
+
+@query("dataset_digest", f"""
+SELECT count(*) AS n_rows, concat_ws(':', {", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))}) AS digest
+FROM (SELECT {_DIGEST_ROW} AS h FROM orders)""")
 def dataset_digest(spark, sf):
     return sinks.dataset_digest(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])

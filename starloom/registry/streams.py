@@ -41,7 +41,7 @@ def stream_dedup_events(spark, sf):
 
 
 @query("stream_equals_batch", """
-SELECT 'invoices' AS case_id, 'correctness' AS category, CAST(0 AS BIGINT) AS missing_keys, CAST(0 AS BIGINT) AS extra_keys, CAST(0 AS BIGINT) AS value_mismatches, true AS passed""")
+SELECT 'invoices' AS case_id, 'correctness' AS category, CAST(0 AS BIGINT) AS missing_keys, CAST(0 AS BIGINT) AS extra_keys, CAST(0 AS BIGINT) AS value_mismatches, CAST(0 AS BIGINT) AS refused_keys, true AS passed""")
 def stream_equals_batch(spark, sf):
     contract = r.ResultContract({c: r.ColumnRule("string") for c in (*KEYS, "status", "gross_cents", "source_seq")}, KEYS)
     cols = [*KEYS, F.lower(F.trim("status")).alias("status"), "gross_cents", "source_seq"]

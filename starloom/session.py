@@ -59,17 +59,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Give CPU-heavy narrow work at least one task per core.
-
-    For a plain scan: a few large splits are dealt out by the hash of ``by``; a scan
-    that already has as many splits as cores, as any large one has, is returned
-    unchanged. (A plan with shuffles would be run by asking for its splits.)
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh sub-folder of the shared folder for a written intermediate table."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -46,10 +46,11 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return [v or "" for v in first[0]]
 
 
-def _csv(spark: SparkSession, path: str, names: Sequence[str], multi_line: bool = False) -> DataFrame:
+def _csv(spark: SparkSession, path: str, names: Sequence[str], multi_line: bool = False, check_headers: bool = True) -> DataFrame:
     """Quotes inside a field are doubled. ``multi_line`` allows line breaks inside
-    quoted fields, at the price of reading each file in one task."""
-    reader = spark.read.schema(_text_schema(names)).option("header", True).option("enforceSchema", True)
+    quoted fields, at the price of reading each file in one task. A file whose header
+    differs from ``names`` stops the read, unless ``check_headers`` is off."""
+    reader = spark.read.schema(_text_schema(names)).option("header", True).option("enforceSchema", not check_headers)
     reader = reader.option("escape", '"').option("multiLine", multi_line)
     return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
@@ -73,7 +74,7 @@ def csv_profile(spark: SparkSession, path: str, max_field: int = 131_072) -> Dat
     total = big[0]
     for b in big[1:]:
         total = total + b
-    return _csv(spark, path, cols).agg(
+    return _csv(spark, path, cols, check_headers=False).agg(
         F.count("*").alias("row_count"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged_rows"),
         F.coalesce(total, F.lit(0)).alias("oversized_fields"),
@@ -84,7 +85,7 @@ def read_seed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """Typed CSV with declared columns; a bad cell or another header stops the read."""
     if csv_header(spark, path) != schema.fieldNames():
         raise ContractError("header differs from the declared columns")
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def read_registry_csv(
@@ -136,7 +137,7 @@ def decode_csv_null_token(spark: SparkSession, path: str, schema: T.StructType,
     if sorted(names) != sorted(schema.fieldNames()):
         raise ContractError("header differs from the declared columns")
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(texts).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    raw = spark.read.schema(texts).option("header", True).option("enforceSchema", False).option("escape", '"').option("mode", "FAILFAST").csv(path)
     cell = lambda c: F.when(F.col(c).isNull(), "").when(F.col(c) != token, F.col(c))
     return raw.select(*[cell(f.name).cast(f.dataType).alias(f.name) for f in schema])
 

@@ -7,30 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from starloom.operators.reconcile import ResultContract, contract_violations
-from starloom.sources.readers import ContractError
+from starloom.operators.joins import fail_when
+from starloom.operators.reconcile import ResultContract, row_faults
 
-ROW_CAP = 100_000
-
-
-def typed_export(df: DataFrame, contract: ResultContract, row_cap: int | None = ROW_CAP) -> DataFrame:
+def typed_export(df: DataFrame, contract: ResultContract, row_cap: int | None = None) -> DataFrame:
     """Result set in export form: contract column order, ISO dates, decimals as text.
 
-    A result above the cap fails; it is never cut. Broken types, nulls or keys fail too.
+    Broken types, nulls and keys stop the job that reads the result, in its own
+    plan; nothing is run to build it. A result above ``row_cap``, if one is given,
+    stops it too; it is never cut.
     """
-    if row_cap is not None and df.limit(row_cap + 1).count() > row_cap:
-        raise ContractError(f"more than {row_cap} rows")
-    broken = contract_violations(df, contract).where("violations > 0").select("rule").limit(20).collect()
-    if broken:
-        raise ContractError(f"contract broken: {sorted(r.rule for r in broken)}")
+    bad = row_faults(df, contract)
+    checked = df.where(fail_when(F.size(F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in bad.items()]))) > 0, "contract broken: type or null"))
+    per_key = W.partitionBy(*contract.keys)
+    checked = checked.withColumn("_n", F.count("*").over(per_key)).where(fail_when(F.col("_n") > 1, "contract broken: duplicate_grain"))
+    if row_cap is not None:
+        size = df.limit(row_cap + 1).agg(F.count("*").alias("n"))
+        checked = checked.where(fail_when(size.scalar() > row_cap, f"more than {row_cap} rows"))
     types = {"integer": "decimal(38,0)", "boolean": "boolean", "number": "double"}
 
     def out(name: str, kind: str):
         c = F.col(name)
         return c.cast(types[kind]).cast("long") if kind == "integer" else c.cast(types.get(kind, "string"))
 
-    return df.select(*[out(n, r.type).alias(n) for n, r in contract.columns.items()])
+    return checked.select(*[out(n, r.type).alias(n) for n, r in contract.columns.items()])
 
 
 def write_layer(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +84,17 @@ def session_catalog(spark: SparkSession, database: str) -> list[tuple[str, str,
 
 
 def dataset_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and order-free content digest; partial sums combine map-side."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    head = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(head).alias("digest"))
+    """Row count and order-free content digest; partial sums combine map-side.
+
+    A cell is written with its length, a null with a mark of its own, so rows of
+    different cells are different texts. The eight 32-bit words of each row's
+    SHA-256 are summed one by one; their sums are the digest.
+    """
+    def cell(c: str):
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+
+    row = F.sha2(F.concat(*[cell(c) for c in columns]), 256)
+    hashed = df.select(row.alias("_h"))
+    words = [F.sum(F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(8)]
+    return hashed.agg(F.count("*").alias("n_rows"), F.concat_ws(":", *words).alias("digest"))

@@ -14,7 +14,14 @@ def test_keyed_diff_tolerance_and_nulls(spark):
     e = spark.createDataFrame([(1, 100.0, "a"), (2, 100.0, None), (3, None, "c"), (4, 5.0, "d"), (None, 1.0, "n")], "k long, v double, s string")
     a = spark.createDataFrame([(1, 110.0, "a"), (2, 111.0, ""), (3, 0.0, "c"), (5, 5.0, "d"), (None, 1.0, "n")], "k long, v double, s string")
     got = {(x.k, x.kind, x.column_name) for x in r.keyed_diff(e, a, CONTRACT).collect()}
-    assert got == {(2, "value_mismatch", "v"), (2, "value_mismatch", "s"), (3, "value_mismatch", "v"), (4, "missing_key", None), (5, "extra_key", None)}
+    assert got == {(2, "value_mismatch", "v"), (2, "value_mismatch", "s"), (3, "value_mismatch", "v"), (4, "missing_key", None), (5, "extra_key", None), (None, "null_key", None)}
+
+
+def test_repeated_keys_are_refused_not_multiplied(spark):
+    e = spark.createDataFrame([(1, 1.0, "a")] * 3 + [(2, 2.0, "b")], "k long, v double, s string")
+    got = [tuple(x) for x in r.keyed_diff(e, e, CONTRACT).collect()]
+    assert got == [(1, "duplicate_key", None, "3", "3")]
+    assert r.diff_summary(r.keyed_diff(e, e, CONTRACT), "c", "correctness").first().refused_keys == 1
 
 
 def test_empty_diff_still_reports(spark):
@@ -110,6 +117,15 @@ def test_filter_rules(spark):
     assert dates.where(f.date_range("d", "2024-01-31", "2024-01-31")).count() == 0
 
 
+@pytest.mark.parametrize("spec, pushed", [
+    ({"is": "a"}, "EqualTo(s,a)"), ({"is": ["a", "b"]}, "In(s, [a,b])"), ({"not": "a"}, "Or(IsNull(s),Not(EqualTo(s,a)))"), ({"not": ["a", "b"]}, "Or(IsNull(s),Not(In(s, [a,b])))"), ({"is": None}, "IsNull(s)")])
+def test_value_filters_reach_the_scan(spark, tmp_path, spec, pushed):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1), (None, 2)], "s string, n long").write.parquet(path)
+    plan = f.filter_by(spark.read.parquet(path), {"s": spec})._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: ")[1]
+
+
 def test_scorecard_order(spark):
     items = spark.createDataFrame([("a", "mapped", False), ("b", "mapped", False), ("c", "pending", False), ("d", "mapped", True)], "id string, mapping_status string, is_stale boolean")
     checks = spark.createDataFrame([("a", "passed"), ("c", "passed"), ("d", "passed")], "id string, check_status string")

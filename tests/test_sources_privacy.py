@@ -66,10 +66,29 @@ def test_export_fails_above_the_cap_instead_of_cutting(spark):
     contract = ResultContract({"k": ColumnRule("integer", False)}, ["k"])
     df = spark.range(5).select(F.col("id").alias("k"))
     assert sinks.typed_export(df, contract, 5).count() == 5
-    with pytest.raises(readers.ContractError):
-        sinks.typed_export(df, contract, 4)
-    with pytest.raises(readers.ContractError, match="duplicate_grain"):
-        sinks.typed_export(df.unionByName(df), contract)
+    with pytest.raises(Exception, match="more than 4 rows"):
+        sinks.typed_export(df, contract, 4).collect()
+    with pytest.raises(Exception, match="duplicate_grain"):
+        sinks.typed_export(df.unionByName(df), contract).collect()
+    with pytest.raises(Exception, match="type or null"):
+        sinks.typed_export(df.withColumn("k", F.when(F.col("k") > 1, F.col("k"))), contract).collect()
+
+
+def test_digest_tells_cells_apart(spark):
+    digest = lambda rows_: sinks.dataset_digest(spark.createDataFrame(rows_, "a string, b string"), ["a", "b"]).first().digest
+    texts = [[("a|b", "c")], [("a", "b|c")], [(None, "x")], [("\\N", "x")], [("N", "x")], [("", "x")]]
+    assert len({digest(t) for t in texts}) == len(texts)
+    assert digest([("a", "b"), ("c", "d")]) == digest([("c", "d"), ("a", "b")])
+
+
+def test_a_swapped_header_stops_the_read(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    write(folder / "a.csv", "a,b\n1,2\n")
+    write(folder / "b.csv", "b,a\n3,4\n")
+    for read in (lambda: readers.read_csv_text(spark, str(folder)), lambda: readers.read_seed_csv(spark, str(folder), SCHEMA), lambda: readers.decode_csv_null_token(spark, str(folder), SCHEMA, "NULL!")):
+        with pytest.raises(Exception):
+            read().collect()
 
 
 def test_nested_inventory(spark):
@@ -121,7 +140,8 @@ def test_findings_hold_no_matched_text(spark):
 def test_status(spark):
     df = spark.createDataFrame([(1, "fine"), (2, "a@b.co a\nx@y.zz"), (3, None), (4, "a\x00b")], "id long, text string")
     assert {r.id: (r.status, r.n_findings) for r in p.scan_status(df, ["id"]).collect()} == {1: ("clear", 0), 2: ("blocked", 2), 3: ("unsupported", 0), 4: ("unsupported", 0)}
-    assert p.scan_status(df.where("id = 2"), ["id"], report_cap=2).first().is_complete is False
+    many = spark.createDataFrame([(1, "a@b.co\n" * 700)], "id long, text string")
+    assert tuple(p.scan_status(many, ["id"]).select("n_findings", "is_complete").first()) == (700, True)
 
 
 def test_html_parts(spark):
