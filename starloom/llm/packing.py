@@ -43,15 +43,20 @@ class Params:
 
 
 class WordTokenizer:
-    """Ids of texts, word by word, for tokenizers whose pieces never span ASCII white space.
+    """Ids of texts, word by word, for lower-casing tokenizers whose pieces never span white space
+    or lie on both sides of where a letter or digit meets a punctuation mark.
 
     Words used lately are taken from two dictionaries: a full young one becomes the
     old one, and words that are used again move back. That bounds memory and
-    changes no result. New words are encoded many at a time, with a mark between
-    them whose id nothing else has; words that hold the mark's character go alone.
+    changes no result. Of a new word the marks at its end are looked up alone; the
+    rest are encoded many at a time, with a character between them whose id nothing
+    else has. Words that hold it, and texts that may hold a special token, are
+    encoded as they stand.
     """
 
     MARK = "\x01"
+    ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    SPECIAL = b"|>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,33 +76,45 @@ class WordTokenizer:
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
         mark = self.MARK.encode()
-        alone = {w: self._ids([w.decode()]).tobytes() for w in words if mark in w}
-        words = [w for w in words if mark not in w]
+        alone = {w: self._ids([w.decode()]).tobytes() for w in words if mark in w or self.SPECIAL in w}
+        words = [w for w in words if w not in alone]
         parts = [b" \x01 ".join(words[k:k + 500]).decode() + " \x01" for k in range(0, len(words), 500)]
         ids = self._ids(parts)
         raw, stop = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
         start = [0, *(x + 4 for x in stop)][:len(stop)]
         return {**alone, **{w: raw[a:b] for w, a, b in zip(words, start, stop, strict=True)}}
 
+    def _cut(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word and the marks at its end, where a letter or digit stands before them."""
+        body = word.rstrip(self.ENDS)
+        if not body or len(body) == len(word) or self.SPECIAL in word:
+            return None
+        if body[-1] < 128:
+            return (body, word[len(body):]) if body[-1:].isalnum() else None
+        return (body, word[len(body):]) if body.decode()[-1].isalpha() else None
+
+    def _held(self, word: bytes) -> bool:
+        if word in self.young:
+            return True
+        ids = self.old.get(word)
+        if ids is not None:
+            self.young[word] = ids
+        return ids is not None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        known: dict[bytes, bytes] = {}
-        new = []
-        for w in {w for words in split for w in words}:
-            ids = self.young.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                self.young[w] = ids
-            known[w] = ids
-        fresh = self._encode_new(new)
-        known.update(fresh)
-        self.young.update(fresh)
-        if len(self.young) > CACHED_WORDS:
-            self.young, self.old = {}, self.young
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        raw = [t.encode() for t in texts]
+        split = [r.split() if self.SPECIAL in r else r.lower().split() for r in raw]
+        missing = [w for w in set().union(*split) if not self._held(w)]
+        cuts = {w: c for w in missing if (c := self._cut(w))}
+        wanted = {x for c in cuts.values() for x in c}.union(w for w in missing if w not in cuts)
+        self.young.update(self._encode_new([w for w in wanted if not self._held(w)]))
+        young = self.young
+        for w, (body, end) in cuts.items():
+            young[w] = young[body] + young[end]
+        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4") for words in split]
+        if len(young) > CACHED_WORDS:
+            self.young, self.old = {}, young
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids: bool = False) -> DataFrame:
