@@ -16,16 +16,18 @@ also deal them out, so a hot id is spread. Very long texts give many pieces.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import small_slices, text_of, written
+from starloom.llm.common import small_slices, sums_by, text_of, written
 
 CACHED_WORDS = 500_000  # a generation; some 100 MB
 SLICE = 8 << 20  # words that a slice repeats are encoded once
@@ -91,7 +93,8 @@ class WordTokenizer:
             return None
         if body[-1] < 128:
             return (body, word[len(body):]) if body[-1:].isalnum() else None
-        return (body, word[len(body):]) if body.decode()[-1].isalpha() else None
+        last = unicodedata.normalize("NFC", body.decode()[-1]).lower()[-1]  # what the tokenizer sees before the marks
+        return (body, word[len(body):]) if last.isalpha() else None
 
     def _held(self, word: bytes) -> bool:
         if word in self.young:
@@ -101,20 +104,27 @@ class WordTokenizer:
             self.young[word] = ids
         return ids is not None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        raw = [t.encode() for t in texts]
-        split = [r.split() if self.SPECIAL in r else r.lower().split() for r in raw]
-        missing = [w for w in set().union(*split) if not self._held(w)]
-        cuts = {w: c for w in missing if (c := self._cut(w))}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and ids per text."""
+        special = pc.match_substring(texts, self.SPECIAL.decode())
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        missing = [w for w in words if w and not self._held(w)]
+        cuts = {w: c for w in missing if w[-1] < 128 and not w[-1:].isalnum() and (c := self._cut(w))}
         wanted = {x for c in cuts.values() for x in c}.union(w for w in missing if w not in cuts)
         self.young.update(self._encode_new([w for w in wanted if not self._held(w)]))
         young = self.young
         for w, (body, end) in cuts.items():
             young[w] = young[body] + young[end]
-        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4") for words in split]
+        held = [young[w] if w else b"" for w in words]
         if len(young) > CACHED_WORDS:
             self.young, self.old = {}, young
-        return out
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start, codes = np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[codes]
+        ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return ids, sums_by(n, np.diff(split.offsets.to_numpy()).astype(np.int64))
 
 
 def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids: bool = False) -> DataFrame:
@@ -126,7 +136,8 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
         row, coder, cap = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer), params.capacity
         for batch in small_slices(batches, limit=SLICE):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row", "ids")}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
+            every, counts = coder.encode(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(every, np.cumsum(counts)[:-1]), strict=True):
                 ids = np.append(ids, np.uint32(params.end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), cap)):
                     part = ids[start:start + cap]
