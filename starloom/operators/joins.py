@@ -33,9 +33,8 @@ def unique_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     uses: no separate counting job and no extra shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
-    checked = counted.where(fail_when(F.col("_n") > 1, f"not unique on {list(keys)}"))
-    return checked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    return counted.where(fail_when(F.col("_n") > 1, f"not unique on {list(keys)}")).select(*df.columns)
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,33 +61,34 @@ def join_as_of(
     slice_of: Callable[[Column], Column] | None = None,
     start: str = "valid_from",
     end: str = "valid_to",
+    until: Column | None = None,
 ) -> DataFrame:
     """Left match of each fact to the interval ``[start, end)`` holding its time.
 
     Without ``slice_of`` the keys carry the shuffle and the interval is a residual
     predicate: right for short histories. With it (an integer period such as the
-    year), a closed interval is repeated once per period it touches and joined on
-    (key, period), so a hot key spreads over its periods; the one open interval of
-    a key is joined on the key alone. Both are plain joins, so filters on the
-    result still reach the fact's scan. The history must not overlap
+    year), an interval is repeated once per period it touches up to ``until``, a
+    time no fact passes, and joined on (key, period): one shuffle of the facts, and
+    a hot key spreads over its periods. Open and far ends are cut at ``until``, so
+    they do not multiply. Without ``until`` it is the facts' latest time, for which
+    they are read once more. It is a plain join, so filters on the result still
+    reach the fact's scan. The history must not overlap
     (``quality.overlapping_intervals``).
     """
     kept = [c for c in history.columns if c not in keys]
     boxed = history.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*kept).alias("_h"))
     same_key = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    drop = [f"_h_{k}" for k in keys]
-    started = F.col(at) >= F.col(f"_h.{start}")
+    started, ends = F.col(at) >= F.col(f"_h.{start}"), F.col(f"_h.{end}")
+    within = started & (ends.isNull() | (F.col(at) < ends))
     if slice_of is None:
-        within = started & (F.col(f"_h.{end}").isNull() | (F.col(at) < F.col(f"_h.{end}")))
         joined = fact.join(boxed, [*same_key, within], "left")
         return joined.select(*fact.columns, *[F.col("_h")[c].alias(c) for c in kept])
-    closed = boxed.where(F.col(f"_h.{start}") < F.col(f"_h.{end}")).withColumn(
-        "_hp", F.explode(F.sequence(slice_of(F.col(f"_h.{start}")), slice_of(F.col(f"_h.{end}")))))
-    current = boxed.where(F.col(f"_h.{end}").isNull())
-    on = [*same_key, slice_of(F.col(at)) == F.col("_hp"), started, F.col(at) < F.col(f"_h.{end}")]
-    first = fact.join(closed, on, "left").drop("_hp", *drop).withColumnRenamed("_h", "_closed")
-    both = first.join(current, [*same_key, started], "left").drop(*drop).withColumn("_h", F.coalesce("_closed", "_h"))
-    return both.select(*fact.columns, *[F.col("_h")[c].alias(c) for c in kept])
+    if until is None:
+        until = fact.agg(F.max(at).alias("_until")).scalar()
+    reached = boxed.withColumn("_last", F.least(F.coalesce(ends, until), until)).where((F.col(f"_h.{start}") <= F.col("_last")) & (ends.isNull() | (F.col(f"_h.{start}") < ends)))
+    spread = reached.withColumn("_hp", F.explode(F.sequence(slice_of(F.col(f"_h.{start}")), slice_of(F.col("_last"))))).drop("_last")
+    joined = fact.join(spread, [*same_key, slice_of(F.col(at)) == F.col("_hp"), within], "left")
+    return joined.select(*fact.columns, *[F.col("_h")[c].alias(c) for c in kept])
 
 
 def join_as_of_sliced(
@@ -229,6 +229,8 @@ def join_tree(views: Mapping[str, DataFrame], base: str, edges: Sequence[Edge],
         side = prefixed[view]
         if relationship in ("many_to_one", "one_to_one"):
             side = unique_side(side, [f"{view}__{k}" for k in rk])
+        if relationship in ("one_to_many", "one_to_one") and parent == base:
+            out = unique_side(out, [f"{parent}__{k}" for k in lk])
         condition = [F.col(f"{parent}__{l}") == F.col(f"{view}__{r}") for l, r in zip(lk, rk)]
         out = out.join(side, condition, JOIN_TYPES[edge.join_type])
     return out

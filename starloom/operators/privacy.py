@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalars import identifier, luhn_ok
 from starloom.operators.lineage import propagate
+from starloom.session import cut_lineage
 
 # Signal rules as (rule, category, pattern). The patterns use Unicode
 # word, digit and space classes.
@@ -51,6 +52,7 @@ NEEDED_WORDS = {
 FOLDED_LETTERS = ("\u017f\u0131\u0130\u212a", "siik")
 CASE_FOLDED = ("credential.bearer", "credential.assignment", "pci.authentication_value", "phi.contextual_value")
 NEEDED_PATTERN = {"pii.ssn": r"(?U)\d{3}[- ]\d{2}[- ]\d{4}"}
+# The card number pattern.
 CARD = r"(?U)(?<!\w)(?:\d[ -]?){12,18}\d(?!\w)"
 NEEDED_DIGITS = r"(?U)(?:\d[ -]?){12}\d"
 CARD_RULE = ("pci.pan_candidate", "PCI")
@@ -154,7 +156,8 @@ NAMED_REFERENCES = {
     "commat": "@", "lsqb": "[", "bsol": "\\", "rsqb": "]", "Hat": "^", "lowbar": "_", "grave": "`", "lcub": "{", "verbar": "|", "rcub": "}",
     "nbsp": "\u00a0", "amp": "&",
 }
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+# A number may have any length and may lack its semicolon; a name needs one.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z]{2,8};)"
 
 
 def unescape_html(html: Column) -> Column:
@@ -163,59 +166,88 @@ def unescape_html(html: Column) -> Column:
 
     def decoded(ref: Column) -> Column:
         body = F.regexp_replace(ref, "^&|;$", "")
-        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 10), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 10)).cast("int")
+        digits = F.regexp_replace(body, "^#[xX]?0*", "")
+        hexed = body.rlike("^#[xX]")
+        number = F.when(hexed & (F.length(digits) <= 6), F.conv(digits, 16, 10)).when(~hexed & body.startswith("#") & (F.length(digits) <= 7), digits).try_cast("int")
         legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(legal, number)), 8, "0")), "UTF-32")
         return F.coalesce(char, F.try_element_at(names, body), ref)
 
     is_ampersand = lambda ref: F.regexp_replace(ref, "^&|;$", "").rlike("^(?:amp|#0*38|#[xX]0*26)$")
     refs = F.array_distinct(F.regexp_extract_all(html, F.lit(_REFERENCE), 0))
-    ordered = F.concat(F.filter(refs, lambda r: ~is_ampersand(r)), F.filter(refs, is_ampersand))
+    # Longer ones first: without its semicolon one reference may begin another.
+    longest = lambda some: F.transform(F.array_sort(F.transform(some, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), lambda x: x["r"])
+    ordered = F.concat(longest(F.filter(refs, lambda r: ~is_ampersand(r))), longest(F.filter(refs, is_ampersand)))
     return F.when(html.contains("&"), F.aggregate(ordered, html, lambda text, ref: F.replace(text, ref, decoded(ref)))).otherwise(html)
 
 
 _JSON_SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/(?:ld\+)?json\b[^>]*>(.*?)</script"
 _JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
-_DATA_URL = r"(?is)=\s*[\"']\s*(data:[^\"']*)[\"']"
+_JSON_PAYLOAD = r'(?i)"base64"\s*:\s*("(?:[^"\\]|\\.)*")'
+_LOOKS_LIKE_JSON = r"^\s*(?:\{\s*[\"}]|\[\s*(?:[\"\[{0-9\-\]]|true\b|false\b|null\b))"
+# An attribute's value: in double quotes, in single quotes, bare.
+_DATA_URLS = (r'(?is)=\s*"\s*(data:[^"]*)"', r"(?is)=\s*'\s*(data:[^']*)'", r"(?is)=\s*(data:[^\s\"'>]+)")
+_EMPTY = "array<string>"
 
 
-def _json_strings(blocks: Column) -> Column:
-    """Decoded string values and keys of JSON script blocks."""
-    quoted = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(_JSON_STRING), 0)))
-    return F.array_compact(F.flatten(F.transform(quoted, lambda q: F.coalesce(
-        F.from_json(F.concat(F.lit("["), q, F.lit("]")), "array<string>"), F.array().cast("array<string>")))))
+def _decoded_strings(quoted: Column) -> Column:
+    """JSON strings, quotes included, to their texts."""
+    one = lambda q: F.coalesce(F.from_json(F.concat(F.lit("["), q, F.lit("]")), _EMPTY), F.array().cast(_EMPTY))
+    return F.array_compact(F.flatten(F.transform(quoted, one)))
 
 
-def _payloads(texts: Column) -> Column:
-    """Decoded base64 ``data:`` payloads of the given texts (null where the payload is not decodable)."""
-    urls = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(_DATA_URL), 1)))
-    inside = lambda u: F.regexp_extract(u, r"(?is)^data:[^,]*;base64[^,]*,(.*)$", 1)
-    return F.transform(urls, lambda u: F.when(inside(u) != "", F.make_valid_utf8(F.try_to_binary(inside(u), F.lit("base64")).cast("string"))))
+def _json_blocks(text: Column) -> Column:
+    """JSON inside script elements, or the whole text where it is JSON."""
+    return F.when(text.rlike(_LOOKS_LIKE_JSON), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_JSON_SCRIPT), 1))
 
 
-def scan_html(df: DataFrame, keep: Sequence[str], html: str = "html", depth: int = 4) -> DataFrame:
-    """Findings in the page, its decoded text, JSON script strings and nested ``data:`` payloads.
+def _json_strings(text: Column) -> Column:
+    """Decoded string values and keys of the JSON in a text."""
+    return _decoded_strings(F.flatten(F.transform(_json_blocks(text), lambda b: F.regexp_extract_all(b, F.lit(_JSON_STRING), 0))))
 
-    ``part`` is page, json or data. Payloads are unpacked inside the row, level by
-    level, so the page is read once; an undecodable one gives a coverage finding.
+
+def _embedded(text: Column) -> Column:
+    """array<struct<fault, text>> of what ``data:`` values and ``base64`` keys hold: a fault or a decoded text."""
+    markup = F.when(text.rlike(_LOOKS_LIKE_JSON), F.lit("")).otherwise(unescape_html(F.regexp_replace(text, _JSON_SCRIPT, "")))
+    urls = F.concat(
+        F.flatten(F.array(*[F.regexp_extract_all(markup, F.lit(p), 1) for p in _DATA_URLS])),
+        F.filter(_json_strings(text), lambda t: F.lower(F.substring(t, 1, 5)) == "data:"))
+    keyed = _decoded_strings(F.flatten(F.transform(_json_blocks(text), lambda b: F.regexp_extract_all(b, F.lit(_JSON_PAYLOAD), 1))))
+    is_coded = lambda u: u.rlike(r"(?is)^data:[^,]*;base64[^,]*,")
+    payload = F.concat(F.transform(F.filter(urls, is_coded), lambda u: F.regexp_replace(u, "(?is)^[^,]*,", "")), keyed)
+
+    def opened(p: Column) -> Column:
+        plain = F.make_valid_utf8(F.try_to_binary(p, F.lit("base64")).cast("string"))
+        return F.struct(F.when(plain.isNull(), "coverage.invalid_base64").alias("fault"), plain.alias("text"))
+
+    other = F.transform(F.filter(urls, lambda u: ~is_coded(u)), lambda u: F.struct(F.lit("coverage.unsupported_data_url").alias("fault"), F.lit(None).cast("string").alias("text")))
+    return F.array_distinct(F.concat(F.transform(F.array_distinct(payload), opened), other))
+
+
+def scan_html(df: DataFrame, keep: Sequence[str], html: str = "html") -> DataFrame:
+    """Findings in the page, its decoded text, JSON strings and whatever is embedded, at any depth.
+
+    ``part`` is page, json or data. Payloads are unpacked level by level until no
+    text holds another: a payload is shorter than what holds it, and only the rows
+    of payloads are written and moved on. One that cannot be read gives a coverage
+    finding.
     """
-    page = F.col("_html")
-    levels, level = [], F.array(page)
-    rows = df.select(*keep, F.col(html).alias("_html"))
-    for i in range(depth):
-        rows = rows.withColumn(f"_l{i}", _payloads(level))
-        level = F.col(f"_l{i}")
-        levels.append(level)
-    part = lambda name, texts: F.transform(texts, lambda t: F.struct(F.lit(name).alias("part"), t.alias("text")))
-    parts = F.concat(
-        part("page", F.array_distinct(F.array(page, unescape_html(page)))),
-        part("json", _json_strings(F.regexp_extract_all(page, F.lit(_JSON_SCRIPT), 1))),
-        *[part("data", level) for level in levels])
-    texts = rows.select(*keep, F.explode(parts).alias("_p")).select(*keep, "_p.part", "_p.text")
+    level = df.select(*keep, F.lit("page").alias("part"), F.col(html).alias("_text"))
+    scanned, faults = [], []
+    while True:
+        own = F.transform(F.array_distinct(F.array(F.col("_text"), unescape_html(F.col("_text")))), lambda t: F.struct(F.col("part").alias("part"), t.alias("text")))
+        inside = F.when(F.col("part") == "page", "json").otherwise("data")
+        strings = F.transform(_json_strings(F.col("_text")), lambda t: F.struct(inside.alias("part"), t.alias("text")))
+        scanned.append(level.select(*keep, F.explode(F.concat(own, strings)).alias("_p")).select(*keep, "_p.part", "_p.text"))
+        held = level.where(F.col("_text").isNotNull()).select(*keep, F.explode(_embedded(F.col("_text"))).alias("_e")).select(*keep, "_e.fault", F.col("_e.text").alias("_text"))
+        held = cut_lineage(held.distinct())
+        if held.isEmpty():
+            break
+        faults.append(held.where("fault IS NOT NULL").select(*keep, F.lit("data").alias("part"), F.col("fault").alias("rule_id"), F.lit("COVERAGE").alias("category"), F.lit(None).cast("int").alias("line")))
+        level = held.where("_text IS NOT NULL").select(*keep, F.lit("data").alias("part"), "_text")
+    texts = reduce(lambda a, b: a.unionByName(b), scanned)
     found = scan_text(texts.where("text IS NOT NULL"), [*keep, "part"]).distinct()
-    unread = texts.where("text IS NULL").select(
-        *keep, "part", F.lit("coverage.unsupported_data_url").alias("rule_id"), F.lit("COVERAGE").alias("category"), F.lit(None).cast("int").alias("line")).distinct()
-    return found.unionByName(unread)
+    return reduce(lambda a, b: a.unionByName(b), [found, *[f.distinct() for f in faults]])
 
 
 # One-word register entries that also match as a name's last word.
@@ -310,10 +342,15 @@ def assess_outputs(outputs: DataFrame, register: DataFrame, treatments: DataFram
 
 
 def apply_treatments(df: DataFrame, treatments: Mapping[str, str], salt: str) -> DataFrame:
-    """Mask, tokenise or drop columns; the rest stay as they are."""
+    """Mask, tokenise, drop or aggregate columns; the rest stay as they are.
+
+    With ``aggregate`` columns no single row leaves: rows are grouped by what the
+    other columns show, and each such column becomes its number of values, its sum,
+    smallest and largest value (``<name>_count``, ``_sum``, ``_min``, ``_max``).
+    """
     def out(name: str) -> Column | None:
         how = treatments.get(name, "retain_with_controls")
-        if how == "exclude":
+        if how in ("exclude", "aggregate"):
             return None
         if how == "mask":
             return F.mask(F.col(name).cast("string")).alias(name)
@@ -321,9 +358,14 @@ def apply_treatments(df: DataFrame, treatments: Mapping[str, str], salt: str) ->
             return F.sha2(F.concat(F.lit(salt), F.col(name).cast("string")), 256).alias(name)
         if how == "retain_with_controls":
             return F.col(name)
-        raise ValueError(f"treatment {how!r} cannot be applied to single rows")
-
-    return df.select(*[c for c in (out(n) for n in df.columns) if c is not None])
+        raise ValueError(f"unknown treatment {how!r}")
+
+    shown = [c for c in (out(n) for n in df.columns) if c is not None]
+    folded = [n for n in df.columns if treatments.get(n) == "aggregate"]
+    if not folded:
+        return df.select(*shown)
+    sums = [f(n).alias(f"{n}_{k}") for n in folded for k, f in (("count", F.count), ("sum", F.sum), ("min", F.min), ("max", F.max))]
+    return df.groupBy(*shown).agg(*sums)
 
 
 # Sensitivities from lowest to highest, and the sensitive categories.

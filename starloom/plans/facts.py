@@ -15,7 +15,7 @@ def by_year(t: Column) -> Column:
     return F.year(t)
 
 
-def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame, history: DataFrame, zone: str) -> DataFrame:
+def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame, history: DataFrame, zone: str, until: Column | None = None) -> DataFrame:
     """Invoice grain: posted payments and credits of the same currency, as-of customer, local date.
 
     Both ledgers are summed at invoice grain before they meet the invoice, so
@@ -29,7 +29,7 @@ def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame
         invoices.join(posted(payments, "paid_cents"), keys, "left").join(posted(credits, "credit_cents"), keys, "left")
         .withColumns({"paid_cents": F.coalesce("paid_cents", F.lit(0)), "credit_cents": F.coalesce("credit_cents", F.lit(0))})
     )
-    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
+    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year, until=until)
     return with_unknown_member(joined, "customer_key", "tenant_id").select(
         "tenant_id", "invoice_id", "customer_id", "issued_at", local_date("issued_at", zone).alias("invoice_date"),
         "currency", "status", "gross_cents", "discount_cents", "credit_cents",
@@ -39,7 +39,7 @@ def invoice_billing(invoices: DataFrame, payments: DataFrame, credits: DataFrame
     )
 
 
-def invoice_adjusted(invoices: DataFrame, adjustments: DataFrame, payments: DataFrame, history: DataFrame) -> DataFrame:
+def invoice_adjusted(invoices: DataFrame, adjustments: DataFrame, payments: DataFrame, history: DataFrame, until: Column | None = None) -> DataFrame:
     """Invoice grain: manual adjustments, payments, outstanding balance, as-of segment."""
     keys = ["tenant_id", "invoice_id"]
     paid = payments.groupBy(*keys).agg(F.sum("amount_cents").alias("paid_cents"))
@@ -48,7 +48,7 @@ def invoice_adjusted(invoices: DataFrame, adjustments: DataFrame, payments: Data
         .withColumns({"adjustment_cents": F.coalesce("adjustment_cents", F.lit(0)), "paid_cents": F.coalesce("paid_cents", F.lit(0))})
         .withColumn("net_cents", F.col("gross_cents") + F.col("adjustment_cents"))
     )
-    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year)
+    joined = join_as_of(base, history, ["tenant_id", "customer_id"], "issued_at", by_year, until=until)
     start = F.date_format("valid_from", "yyyy-MM-dd")
     return joined.select(
         *keys, "customer_id", F.col("issued_at").cast("date").alias("invoice_date"),

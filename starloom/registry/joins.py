@@ -43,7 +43,7 @@ LEFT JOIN customer_history h ON i.tenant_id = h.tenant_id AND i.customer_id = h.
  AND i.issued_at >= h.valid_from AND (i.issued_at < h.valid_to OR h.valid_to IS NULL)""")
 def join_asof_interval(spark, sf):
     inv = d.invoices(spark, sf).select("tenant_id", "invoice_id", "customer_id", "issued_at")
-    joined = j.join_as_of(inv, d.customer_history(spark, sf), ["tenant_id", "customer_id"], "issued_at", F.year)
+    joined = j.join_as_of(inv, d.customer_history(spark, sf), ["tenant_id", "customer_id"], "issued_at", F.year, until=d.latest_issue(spark, sf))
     return joined.select("tenant_id", "invoice_id", "segment", F.col("valid_from").cast("date").cast("string").alias("segment_since"))
 
 
@@ -63,7 +63,7 @@ LEFT JOIN dim_customers h ON i.tenant_id = h.tenant_id AND i.customer_id = h.cus
  AND i.issued_at >= h.valid_from AND (i.issued_at < h.valid_to OR h.valid_to IS NULL)""")
 def join_unknown_member(spark, sf):
     inv = d.invoices(spark, sf).select("tenant_id", "invoice_id", "customer_id", "issued_at")
-    joined = j.join_as_of(inv, d.dim_customers(spark, sf), ["tenant_id", "customer_id"], "issued_at")
+    joined = j.join_as_of(inv, d.dim_customers(spark, sf), ["tenant_id", "customer_id"], "issued_at", F.year, until=d.latest_issue(spark, sf))
     return j.with_unknown_member(joined, "customer_key", "tenant_id").select("tenant_id", "invoice_id", "customer_key")
 
 

@@ -132,7 +132,7 @@ SELECT concat(tenant_id, '|', invoice_id) AS invoice_key, tenant_id || '|' || cu
 
 
 def adjusted(spark, sf):
-    return facts.invoice_adjusted(d.invoices(spark, sf), d.adjustments(spark, sf), d.payments(spark, sf), d.customer_history(spark, sf))
+    return facts.invoice_adjusted(d.invoices(spark, sf), d.adjustments(spark, sf), d.payments(spark, sf), d.customer_history(spark, sf), d.latest_issue(spark, sf))
 
 
 @query("fact_invoice_adjusted", """
@@ -298,7 +298,7 @@ def current_vs_asof_segment(spark, sf):
     inv = d.invoices(spark, sf).select(*keys, "issued_at", "gross_cents")
     hist = d.customer_history(spark, sf)
     now = hist.where("valid_to IS NULL").select(*keys, F.col("segment").alias("current_segment"))
-    both = j.join_as_of(inv, hist, keys, "issued_at", facts.by_year).join(now, keys, "left")
+    both = j.join_as_of(inv, hist, keys, "issued_at", facts.by_year, until=d.latest_issue(spark, sf)).join(now, keys, "left")
     pairs = both.groupBy("segment", "current_segment").agg(F.sum("gross_cents").alias("g"))
     rows = pairs.select(F.explode(F.array(
         F.struct(F.coalesce("segment", F.lit("Unknown")).alias("segment"), F.col("g").alias("a"), F.lit(0).cast("long").alias("c")),

@@ -156,6 +156,30 @@ def test_html_parts(spark):
     assert got == {1: {("page", "pii.email")}, 2: {("page", "pii.email")}, 3: {("json", "pii.email")}, 4: {("data", "pii.email")}, 5: {("data", "coverage.unsupported_data_url")}}
 
 
+def coded(text, kind="text/html"):
+    return f"data:{kind};base64,{base64.b64encode(text.encode()).decode()}"
+
+
+def test_html_payloads_at_any_depth_and_in_any_form(spark):
+    deep = "x@example.com"
+    for _ in range(9):
+        deep = f'<a href="{coded(deep)}">'
+    html = {
+        1: deep, 2: f"<a href={coded('x@example.com')}>", 3: f'<a href="&#100;ata:text/plain;base64,{base64.b64encode(b"x@example.com").decode()}">', 4: '<script type=application/json>{"v": "' + coded("x@example.com").replace("/", "\\/") + '"}</script>',
+        5: '<script type=application/json>{"Base64": "' + base64.b64encode(b"x@example.com").decode() + '"}</script>', 6: f"""<a href='{coded('{"v": "x\\u0040example.com"}', "application/json")}'>""", 7: '<img src="data:image/png;base64,%%%">',
+        8: "x&#64example.com y", 9: "x&#00000000064;example.com", 10: "x&#x0000000040;example.com"}
+    got = {}
+    for r in p.scan_html(spark.createDataFrame(list(html.items()), "id long, html string"), ["id"]).collect():
+        got.setdefault(r.id, set()).add((r.part, r.rule_id))
+    email = {("data", "pii.email")}
+    assert got == {**{k: email for k in range(1, 7)}, 7: {("data", "coverage.invalid_base64")}, **{k: {("page", "pii.email")} for k in (8, 9, 10)}}
+
+
+def test_aggregate_treatment_lets_no_row_out(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", 3, 1)], "g string, id long, v long")
+    assert rows(p.apply_treatments(df, {"id": "exclude", "v": "aggregate"}, "s")) == [("a", 2, 12, 5, 7), ("b", 1, 1, 1, 1)]
+
+
 def test_reference_decoding_happens_once(spark):
     df = spark.createDataFrame([("&amp;#64; &#64; &lt;b&gt; &#x1F600; &unknown; &#38;lt;",)], "t string")
     assert df.select(p.unescape_html(F.col("t")).alias("t")).first().t == "&#64; @ <b> \U0001F600 &unknown; &lt;"

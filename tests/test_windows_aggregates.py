@@ -148,3 +148,14 @@ def test_multiset_counts(spark):
     x = spark.createDataFrame([("p",), ("p",), ("q",)], "v string")
     y = spark.createDataFrame([("p",), ("r",)], "v string")
     assert rows(multiset_diff(x, y, ["v"])) == [("p", "only_in_design", 1), ("q", "only_in_design", 1), ("r", "only_in_review", 1)]
+
+
+def test_far_ends_do_not_multiply(spark):
+    from starloom.operators.joins import join_as_of
+
+    hist = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2020-01-01 00:00:00', TIMESTAMP_NTZ '9999-12-31 00:00:00', 'x') h(k, valid_from, valid_to, seg)")
+    fact = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2021-05-05 00:00:00'), ('a', TIMESTAMP_NTZ '2019-05-05 00:00:00') f(k, t)")
+    out = join_as_of(fact, hist, ["k"], "t", F.year)
+    assert sorted((str(r.t), r.seg) for r in out.collect()) == [("2019-05-05 00:00:00", None), ("2021-05-05 00:00:00", "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
