@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions.timeframes import timeframe
 from starloom.operators.filters import all_of, predicate
 from starloom.operators.joins import Edge, join_tree
 from starloom.operators.sets import sort_nulls_first
+from starloom.operators.windows import previous_value, running_sum
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,39 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+@dataclass(frozen=True)
+class Pivot:
+    """Turn the values of one asked dimension into columns; all other values, null too, share the column ``rest``."""
+
+    dim: str
+    values: Sequence[str]
+    rest: str = "other"
+
+
+@dataclass(frozen=True)
+class Calculation:
+    """A column over the sorted result: ``running_sum``, ``previous`` or ``change`` of a measure.
+
+    ``slice_of`` gives an order-preserving slice of the first sort column, so a long
+    result is not ordered in one task.
+    """
+
+    kind: str
+    measure: str
+    slice_of: Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Timed:
+    """A timestamp field (UTC, no zone) as a named timeframe of the query's time zone."""
+
+    field: str
+    frame: str
+
+
+TOTAL = "(all)"
+
+
 @dataclass(frozen=True)
 class SemanticModel:
     """Views joined outward from ``base``; fields are named ``view__column``.
@@ -86,25 +121,54 @@ class SemanticModel:
         tests = [predicate(self._field(f), s) for f, s in self.always_where.items()]
         return df.where(all_of([*tests, *[predicate(self._field(f), s) for f, s in merged.items()]]))
 
+    def _dimension(self, dim: str | Timed, time_zone: str | None) -> Column:
+        if not isinstance(dim, Timed):
+            return self._field(dim)
+        if time_zone is None:
+            raise ValueError(f"{dim.field} needs a time zone")
+        return timeframe(F.convert_timezone(F.lit("UTC"), F.lit(time_zone), self._field(dim.field)), dim.frame)
+
     def query(
-        self, dims: Mapping[str, str], measures: Mapping[str, str] | None = None, *,
+        self, dims: Mapping[str, str | Timed], measures: Mapping[str, str] | None = None, *,
         filters: Mapping[str, Mapping] | None = None, sorts: Sequence[str] | None = None,
-        limit: int | None = None, user: Mapping[str, str] | None = None,
+        limit: int | None = None, user: Mapping[str, str] | None = None, time_zone: str | None = None,
+        pivot: Pivot | None = None, totals: bool = False, fill: str | None = None,
+        calculations: Mapping[str, Calculation] | None = None,
     ) -> DataFrame:
         """``{alias: field}`` and ``{alias: measure}``; dimensions alone give their distinct list.
 
-        No dimension gives one row, even over an empty population.
+        No dimension gives one row, even over an empty population. ``pivot`` makes a
+        column of each value (``value`` or, with several measures, ``value_measure``).
+        ``totals`` adds every subtotal, its dimensions shown as ``(all)``. ``fill``
+        names a date dimension whose days without rows are shown too, from the first
+        to the last day of the population before the asked filters, counts as 0.
+        ``calculations`` are computed on the result, in the order of ``sorts``.
         """
         measures = measures or {}
-        chosen = [self._field(f).alias(alias) for alias, f in dims.items()]
+        chosen = [self._dimension(d, time_zone).alias(alias) for alias, d in dims.items()]
         aggs = [self._aggregate(m).alias(alias) for alias, m in measures.items()]
         rows = self.rows(user, filters or {}, [*chosen, *aggs])
+        if pivot and (totals or fill) or (pivot or totals or fill or calculations) and not (dims and measures):
+            raise ValueError("pivot, totals, fill and calculations need dimensions and measures, and a pivot stands alone")
         if not measures:
             out = rows.select(*chosen).distinct()
+        elif pivot:
+            out = self._pivoted(rows, dims, chosen, aggs, pivot)
+        elif totals:
+            named = rows.withColumns({f"_d{i}": c for i, c in enumerate(chosen)})
+            marks = [f"_d{i}" for i in range(len(chosen))]
+            cubed = named.cube(*marks).agg(*aggs, *[F.grouping(m).alias(f"_g{m}") for m in marks])
+            out = cubed.select(*[F.when(F.col(f"_g{m}") == 1, TOTAL).otherwise(F.col(m).cast("string")).alias(a) for m, a in zip(marks, dims)], *measures)
         elif dims:
             out = rows.groupBy(*chosen).agg(*aggs)
         else:
             out = rows.agg(*aggs)
+        if fill:
+            out = self._filled(out, dims, measures, fill, user, time_zone)
+        for alias, calculation in (calculations or {}).items():
+            if not sorts:
+                raise ValueError("a calculation needs a sort")
+            out = _calculated(out, alias, calculation, sorts)
         if sorts:
             unknown = set(sorts) - set(out.columns)
             if unknown:
@@ -116,6 +180,23 @@ class SemanticModel:
             out = out.limit(limit)
         return out
 
+    def _pivoted(self, rows: DataFrame, dims: Mapping, chosen: Sequence[Column], aggs: Sequence[Column], pivot: Pivot) -> DataFrame:
+        at = list(dims).index(pivot.dim)
+        shown = F.when(chosen[at].isin(*pivot.values), chosen[at].cast("string")).otherwise(F.lit(pivot.rest))
+        others = [c for k, c in enumerate(chosen) if k != at]
+        return rows.withColumn("_pivot", shown).groupBy(*others).pivot("_pivot", [*pivot.values, pivot.rest]).agg(*aggs)
+
+    def _filled(self, out: DataFrame, dims: Mapping, measures: Mapping[str, str], fill: str, user, time_zone: str | None) -> DataFrame:
+        if list(dims) != [fill]:
+            raise ValueError("fill takes one dimension")
+        day = self._dimension(dims[fill], time_zone).cast("date")
+        # The days shown do not depend on the filters asked for, only on access and fixed ones.
+        bounds = self.rows(user, {}, [day]).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+        days = bounds.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias(fill))
+        counted = {alias for alias, m in measures.items() if self.measures[m].aggregate in ("count", "count_distinct")}
+        joined = days.join(out.withColumn(fill, F.col(fill).cast("date")), fill, "left")
+        return joined.select(fill, *[F.coalesce(a, F.lit(0)).alias(a) if a in counted else F.col(a) for a in measures])
+
     def lineage(self, dims: Mapping[str, str], measures: Mapping[str, str], filters: Mapping[str, Mapping] | None = None) -> dict[str, dict[str, list[str]]]:
         """Physical fields behind each output, and the fields that set its population."""
         names = sorted(f"{v}__{c}" for v, df in self.views.items() for c in df.columns)
@@ -127,6 +208,20 @@ class SemanticModel:
         return out
 
 
+def _calculated(out: DataFrame, alias: str, calculation: Calculation, sorts: Sequence[str]) -> DataFrame:
+    whole = out.withColumn("_all", F.lit(1))
+    slices, value = calculation.slice_of(F.col(sorts[0])), calculation.measure
+    if calculation.kind == "running_sum":
+        done = running_sum(whole, ["_all"], sorts, F.col(value), slices, alias)
+    elif calculation.kind in ("previous", "change"):
+        done = previous_value(whole, ["_all"], sorts, value, slices, alias)
+    else:
+        raise ValueError(f"unknown calculation {calculation.kind!r}")
+    if calculation.kind == "change":
+        done = done.withColumn(alias, F.col(value) - F.col(alias))
+    return done.drop("_all")
+
+
 def _mentions(c: Column, name: str) -> bool:
     import re
 

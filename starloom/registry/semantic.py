@@ -1,14 +1,12 @@
 """Semantic-layer queries and filter context."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from starloom.functions import scalars as s
-from starloom.functions.timeframes import timeframe
 from starloom.operators.aggregates import sum_where
 from starloom.operators.windows import partition_share
 from starloom.plans import context as ctx
-from starloom.plans.semantic import Measure, SemanticModel, select_fields
+from starloom.plans.semantic import Calculation, Measure, Pivot, SemanticModel, Timed, select_fields
 from starloom.registry import derived as d
 from starloom.registry.aggregates import orders_c
 from starloom.registry.base import CTES, query, table
@@ -63,6 +61,7 @@ def sales_model(spark, sf, **extra) -> SemanticModel:
     return SemanticModel(base="orders", views=views, edges=edges, measures={
         "orders": Measure("count"), "revenue": Measure("sum", "orders__total_cents"), "urgent_revenue": Measure("sum", "orders__total_cents", filters=urgent),
         "urgent_share": Measure(compose=lambda m: s.ratio(m("urgent_revenue"), m("revenue"))),
+        "average": Measure(compose=lambda m: s.ratio(m("revenue"), m("orders"))),
     }, dimensions={"month": F.col("orders__order_month").cast("string")}, **extra)
 
 
@@ -122,26 +121,23 @@ def semantic_field_lineage(spark, sf):
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
-# The order statuses shown as pivot columns.
-STATUSES = ["F", "O", "P"]
-
-
 @query("query_pivot", """
 SELECT order_month, CAST(sum(c) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS "F", CAST(sum(c) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS "O",
-       CAST(sum(c) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS "P" FROM orders_c GROUP BY 1""")
+       CAST(sum(c) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS BIGINT) AS other FROM orders_c GROUP BY 1""")
 def query_pivot(spark, sf):
-    column_limit = 50
-    assert len(STATUSES) <= column_limit
-    return orders_c(spark, sf).groupBy("order_month").pivot("o_orderstatus", STATUSES).agg(F.sum("c"))
+    """Two statuses asked for; every other one is in the rest column."""
+    return sales_model(spark, sf).query({"order_month": "month", "status": "orders__o_orderstatus"}, {"revenue": "revenue"}, pivot=Pivot("status", ["F", "O"]))
 
 
 @query("query_totals", """
 SELECT coalesce(o_orderpriority, '(all)') AS priority, coalesce(o_orderstatus, '(all)') AS status, count(*) AS orders, CAST(sum(c) AS DOUBLE) / count(*) AS average_cents
 FROM orders_c GROUP BY CUBE (o_orderpriority, o_orderstatus)""")
 def query_totals(spark, sf):
-    cubed = orders_c(spark, sf).cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("orders"), s.ratio(F.sum("c"), F.count("*")).alias("average_cents"))
-    label = lambda c: F.coalesce(c, F.lit("(all)"))
-    return cubed.select(label("o_orderpriority").alias("priority"), label("o_orderstatus").alias("status"), "orders", "average_cents")
+    return sales_model(spark, sf).query({"priority": "orders__o_orderpriority", "status": "orders__o_orderstatus"}, {"orders": "orders", "average_cents": "average"}, totals=True)
+
+
+def events_model(spark, sf) -> SemanticModel:
+    return SemanticModel(base="events", views={"events": table(spark, sf, "events")}, measures={"n": Measure("count")}, dimensions={"day": F.col("events__ts").cast("date")})
 
 
 @query("query_fill", """
@@ -149,29 +145,26 @@ WITH days AS (SELECT CAST(unnest(generate_series((SELECT min(date_trunc('day', t
 SELECT CAST(d.day AS VARCHAR) AS day, count(e.event_id) AS large_purchases FROM days d
 LEFT JOIN (SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND value > 100) e ON d.day = e.day GROUP BY 1""")
 def query_fill(spark, sf):
-    e = table(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
-    spine = e.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    counts = e.where("event_type = 'purchase' AND value > 100").groupBy("day").agg(F.count("*").alias("n"))
-    return spine.join(counts, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("large_purchases"))
+    out = events_model(spark, sf).query({"day": "day"}, {"large_purchases": "n"}, filters={"events__event_type": {"is": "purchase"}, "events__value": {"greater_than": 100}}, fill="day")
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
 @query("query_calculations", """
 SELECT order_month, revenue_cents, CAST(sum(revenue_cents) OVER (ORDER BY order_month) AS BIGINT) AS running_cents, revenue_cents - lag(revenue_cents) OVER (ORDER BY order_month) AS change_cents
 FROM (SELECT order_month, CAST(sum(c) AS BIGINT) AS revenue_cents FROM orders_c GROUP BY 1)""")
 def query_calculations(spark, sf):
-    """Post-query columns; the window runs over the few month rows of the result."""
-    monthly = sales_model(spark, sf).query({"order_month": "month"}, {"revenue_cents": "revenue"}).withColumn("_p", F.lit(1))
-    w = W.partitionBy("_p").orderBy("order_month")
-    return monthly.withColumns({
-        "running_cents": F.sum("revenue_cents").over(w), "change_cents": F.col("revenue_cents") - F.lag("revenue_cents").over(w)}).drop("_p")
+    """Post-query columns, ordered year by year."""
+    year = lambda c: F.substring(c, 1, 4)
+    return sales_model(spark, sf).query(
+        {"order_month": "month"}, {"revenue_cents": "revenue"}, sorts=["order_month"],
+        calculations={"running_cents": Calculation("running_sum", "revenue_cents", year), "change_cents": Calculation("change", "revenue_cents", year)})
 
 
 @query("query_timezone", """
 SELECT strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d') AS local_day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def query_timezone(spark, sf):
-    local = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.col("ts"))
-    e = table(spark, sf, "events").withColumn("local_day", timeframe(local, "date").cast("string"))
-    return e.groupBy("local_day", "event_type").agg(F.count("*").alias("n"))
+    out = events_model(spark, sf).query({"local_day": Timed("events__ts", "date"), "event_type": "events__event_type"}, {"n": "n"}, time_zone="Asia/Tokyo")
+    return out.withColumn("local_day", F.col("local_day").cast("string"))
 
 
 # ------------------------------------------------------------------- context

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from starloom.operators import filters as f
 from starloom.operators import reconcile as r
 from starloom.plans import context as ctx
-from starloom.plans.semantic import Measure, SemanticModel, select_fields
+from starloom.plans.semantic import Calculation, Measure, Pivot, SemanticModel, Timed, select_fields
 from tests.conftest import rows
 
 CONTRACT = r.ResultContract({"k": r.ColumnRule("integer", False), "v": r.ColumnRule("decimal", abs_tolerance=1, rel_tolerance=0.1), "s": r.ColumnRule("string")}, ["k"])
@@ -87,6 +87,31 @@ def test_access_has_no_fallback_and_cannot_be_widened(sales):
     assert m.query({}, {"t": "total"}, filters={"s__seg": {"is": "B"}}, user={"segment": "A"}).first().t is None
 
 
+def test_pivot_keeps_other_values(sales):
+    out = model(sales).query({"month": "s__month", "seg": "s__seg"}, {"t": "total"}, pivot=Pivot("seg", ["A"]))
+    assert out.columns == ["month", "A", "other"] and rows(out) == [("m1", 10, 25), ("m2", 7, 30)]
+
+
+def test_totals_tell_a_null_from_a_total(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "g string, c long")
+    out = SemanticModel(base="s", views={"s": df}, measures={"t": Measure("sum", "s__c")}).query({"g": "s__g"}, {"t": "t"}, totals=True)
+    assert rows(out) == [("(all)", 3), ("a", 1), (None, 2)]
+
+
+def test_calculations_and_time_zone(spark):
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-01-01 20:00:00', 1), (TIMESTAMP_NTZ '2024-01-03 01:00:00', 2) t(ts, c)")
+    m = SemanticModel(base="s", views={"s": df}, measures={"t": Measure("sum", "s__c"), "n": Measure("count")}, dimensions={"day": F.col("s__ts").cast("date")})
+    with pytest.raises(ValueError, match="time zone"):
+        m.query({"d": Timed("s__ts", "date")}, {"t": "t"})
+    local = m.query({"d": Timed("s__ts", "date")}, {"t": "t"}, time_zone="Asia/Tokyo")
+    assert sorted(str(r.d)[:10] for r in local.collect()) == ["2024-01-02", "2024-01-03"]
+    filled = m.query({"day": "day"}, {"n": "n", "t": "t"}, fill="day")
+    assert [(str(r.day), r.n, r.t) for r in filled.orderBy("day").collect()] == [("2024-01-01", 1, 1), ("2024-01-02", 0, None), ("2024-01-03", 1, 2)]
+    whole = lambda c: F.year(c)
+    out = m.query({"day": "day"}, {"t": "t"}, sorts=["day"], calculations={"r": Calculation("running_sum", "t", whole), "d": Calculation("change", "t", whole)})
+    assert [(r.t, r.r, r.d) for r in out.collect()] == [(1, 1, None), (2, 3, 1)]
+
+
 def test_query_errors(sales):
     with pytest.raises(ValueError, match="cyclic"):
         model(sales).query({}, {"l": "loop"})
