@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +43,12 @@ def text_key() -> list[Column]:
 
 
 def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a slice stay near ``limit`` bytes; a longer text is alone."""
+    """Cut Arrow batches so that the texts of a slice stay near ``limit`` bytes; a longer text is alone.
+
+    Arrow's memory goes back to the system after each batch: a worker lives on for other tasks.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(size):
@@ -54,6 +60,13 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(start)
 
 
+def sliced(texts: pd.Series, work: Callable[[list], Any]) -> list:
+    """Results of ``work`` on runs of texts of about two million characters each."""
+    pa.default_memory_pool().release_unused()
+    size = texts.fillna("").str.len().cumsum() // (1 << 21)
+    return [work([t if isinstance(t, str) else None for t in part]) for _, part in texts.groupby(size.to_numpy(), sort=False)]
+
+
 def encode_words(docs: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct words in order of appearance, the code of every token, tokens per document."""
     known: dict = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import encode_words, fold, mixed, small_slices, sums_by, written
+from starloom.llm.common import encode_words, fold, mixed, sliced, small_slices, sums_by, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
@@ -231,11 +231,7 @@ def with_language(docs: DataFrame, model: Model, column: str = "language") -> Da
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def found(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        sized = texts.fillna("").str.len().cumsum() // (1 << 22)
-        for _, part in texts.groupby(sized.to_numpy(), sort=False):
-            lang, share, gone = bound.value.predict([t if isinstance(t, str) else None for t in part])
-            out.append(pd.DataFrame({"lang_pred": lang, "score": share, "rejected": gone}))
+        out = [pd.DataFrame({"lang_pred": lang, "score": share, "rejected": gone}) for lang, share, gone in sliced(texts, bound.value.predict)]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
     return docs.withColumn(column, found(F.col("text").cast("string")))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import small_slices, sums_by, text_of, written
 
-CACHED_WORDS = 500_000  # a generation; some 100 MB
-SLICE = 8 << 20  # words that a slice repeats are encoded once
+CACHED_WORDS = 200_000  # a generation; some 40 MB, kept from task to task
+SLICE = 6 << 20  # words that a slice repeats are encoded once
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 

@@ -10,9 +10,9 @@ it found, which has the same components as the links.
 
 With ``similarity`` > 0 the fingerprints are of distinct shingles, links are only
 candidates, and a link counts if the Jaccard similarity of the two shingle sets is
-at least that. The forest is then built from near links first, those within
-``radius``'s ``near`` part, so a doubtful link is tried only where no better one
-joins the same groups; equal fingerprints are taken as equal.
+at least that. The forest is then a minimum one: links within ``near`` bits first,
+which are sure, then the others by distance, so a doubtful link is tried only
+where no better one joins the same groups; equal fingerprints are taken as equal.
 
 Cells: for a small radius r on one word, the word is cut into r + 2 blocks; two
 fingerprints within r bits agree on at least two of them, so there is one cell
@@ -41,6 +41,7 @@ from starloom.llm.common import mixed, small_slices, text_of, written
 from starloom.operators.lineage import components
 
 SEED = 42
+HELD_PAIRS = 1_000_000  # pairs kept before they are cut to their spanning forest
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ class Params:
 
 # Five-word shingles, similarity 0.8. Sets with that similarity have a cosine of 8/9 or more, which
 # 256 bits show as 38.8 +- 5.7 differing bits: three deviations more are candidates. Their sizes differ by 0.8 at most.
-SIMILAR = Params(shingle=5, words=4, radius=56, ratio=0.8, similarity=0.8, near=40)
+SIMILAR = Params(shingle=5, words=4, radius=56, ratio=0.8, similarity=0.8, near=24)
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -131,7 +132,7 @@ def _compare(words: int, radius: int, ratio: float, near_radius: int):
     """Spanning forest of the links inside a tile or between two tiles."""
 
     def links(left, right, inner, radius):
-        """Yield rows of linked partners, comparing left row by row with what lies within reach on the right."""
+        """Yield rows, linked partners and their distances, comparing left row by row with what lies within reach on the right."""
         a, pa_, na = left
         b, pb, nb = right
         low, high = np.searchsorted(pb, pa_ - radius, "left"), np.searchsorted(pb, pa_ + radius, "right")
@@ -142,11 +143,11 @@ def _compare(words: int, radius: int, ratio: float, near_radius: int):
             d = np.bitwise_count(b[s:e, 0] ^ a[i, 0]).astype(np.int16)
             for w in range(1, words):
                 d += np.bitwise_count(b[s:e, w] ^ a[i, w])
-            near = np.flatnonzero(d <= radius) + s
+            near = np.flatnonzero(d <= radius)
             if ratio and len(near):
-                near = near[np.minimum(nb[near], na[i]) >= ratio * np.maximum(nb[near], na[i])]
+                near = near[np.minimum(nb[near + s], na[i]) >= ratio * np.maximum(nb[near + s], na[i])]
             if len(near):
-                yield i, near
+                yield i, near + s, d[near]
 
     def side(items):
         f = np.frombuffer(bytes.fromhex("".join(x["fingerprint"] for x in items)), ">u8").astype(np.uint64).reshape(-1, words)
@@ -170,14 +171,44 @@ def _compare(words: int, radius: int, ratio: float, near_radius: int):
                         x = root[x]
                     return x
 
-                for reach in [near_radius, radius] if near_radius else [radius]:
-                    for i, near in links(a, b, inner, reach):
-                        for j in near[root[near + shift] != root[i]].tolist():
-                            x, y = find(i), find(j + shift)
-                            if x != y:
-                                root[max(x, y)] = min(x, y)
-                                u.append(names_a[i])
-                                v.append(names_b[j])
+                def joined(pairs):
+                    for x, y in pairs:
+                        a_root, b_root = find(x), find(y)
+                        if a_root != b_root:
+                            root[max(a_root, b_root)] = min(a_root, b_root)
+                            yield x, y
+
+                def emit(pairs):
+                    for x, y in pairs:
+                        u.append(names_a[x])
+                        v.append(names_b[y - shift])
+
+                first = near_radius or radius
+                for i, near, _ in links(a, b, inner, first):
+                    emit(joined((i, j + shift) for j in near[root[near + shift] != root[i]].tolist()))
+                if first < radius:  # what is left, nearest links first
+                    start = np.fromiter(map(find, range(len(root))), np.int64, len(root))
+                    held: list[tuple[np.ndarray, ...]] = []
+
+                    def forest():
+                        nonlocal root
+                        x, y, d = (np.concatenate(c) for c in zip(*held, strict=True))
+                        root = start.copy()
+                        order = np.argsort(d, kind="stable")
+                        x, y, d = x[order], y[order], d[order]
+                        kept = dict.fromkeys(joined(zip(x.tolist(), y.tolist(), strict=True)))
+                        mine = np.fromiter(((p, q) in kept for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                        held[:] = [(x[mine], y[mine], d[mine])]
+                        return kept
+
+                    for i, near, far in links(a, b, inner, radius):
+                        other = start[near + shift] != start[i]
+                        if other.any():
+                            held.append((np.full(other.sum(), i), near[other] + shift, far[other]))
+                            if sum(len(h[0]) for h in held) > HELD_PAIRS:
+                                forest()
+                    if held:
+                        emit(forest())
             yield pa.RecordBatch.from_pydict({"source_id": pa.array(u, pa.string()), "target_id": pa.array(v, pa.string())})
 
     return run

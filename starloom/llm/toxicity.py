@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import encode_words, fold, small_slices, text_of
+from starloom.llm.common import encode_words, fold, sliced, small_slices, text_of
 
 # Names of groups; a term is swapped for the others of its line.
 IDENTITY = (
@@ -186,9 +186,7 @@ def with_score(docs: DataFrame, model: Model, column: str = "toxicity_score") ->
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        sized, out = texts.str.len().cumsum() // (1 << 22), []
-        for _, part in texts.groupby(sized.to_numpy(), sort=False):
-            out.append(bound.value.scores(part.tolist()))
+        out = sliced(texts, bound.value.scores)
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(column, scored(text_of()))
