@@ -85,11 +85,14 @@ def prune_dependents(items: DataFrame, needs: DataFrame) -> DataFrame:
     scope = cut_lineage(items.select("item_id").distinct())
     outside = links.join(scope.select(F.col("item_id").alias("needs_id")), "needs_id", "left_anti")
     dropped = cut_lineage(outside.select("item_id").distinct().join(scope, "item_id", "left_semi"))
-    lost = dropped
+    lost, rounds = dropped, 0
     while not dropped.isEmpty():
+        rounds += 1
         step = links.join(dropped.select(F.col("item_id").alias("needs_id")), "needs_id", "left_semi").select("item_id").distinct()
         dropped = cut_lineage(step.join(scope, "item_id", "left_semi").join(lost, "item_id", "left_anti"))
         lost = lost.unionByName(dropped)
+        if rounds % 16 == 0:
+            lost = cut_lineage(lost)
     return scope.join(lost, "item_id", "left_anti")
 
 

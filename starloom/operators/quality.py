@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.functions.scalars import as_col
 
@@ -162,22 +163,25 @@ def normalization_collisions(df: DataFrame, raw: str, normalized: Column) -> Dat
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls, blanks, distinct values, minimum and maximum per column.
 
-    Each row becomes (column, text) cells, grouped by cell before the per-column
-    aggregate, so exact distinct counts never gather raw rows of a column.
+    Each row becomes (column, text, number) cells, grouped by cell before the
+    per-column aggregate, so exact distinct counts never gather raw rows of a
+    column. Numbers are compared as numbers, all else as text.
     """
+    number = lambda c: F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
     cells = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), number(c).alias("x")) for c in columns
     ])).alias("_c")).select("_c.*")
-    counted = cells.groupBy("column_name", "v").agg(F.count("*").alias("_n"))
+    counted = cells.groupBy("column_name", "v", "x").agg(F.count("*").alias("_n"))
     present = F.col("v").isNotNull()
+    sized = F.when(present, F.struct("x", "v"))
     return counted.groupBy("column_name").agg(
         F.sum("_n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~present, F.col("_n"))), F.lit(0)).alias("n_nulls"),
         F.coalesce(F.sum(F.when(F.trim("v") == "", F.col("_n"))), F.lit(0)).alias("n_blanks"),
         F.count("v").alias("n_distinct"),
         F.sum(F.when(present, F.col("_n") - 1).otherwise(0)).alias("n_duplicates"),
-        F.min("v").alias("min_text"),
-        F.max("v").alias("max_text"),
+        F.min(sized)["v"].alias("min_text"),
+        F.max(sized)["v"].alias("max_text"),
     )
 
 

@@ -184,7 +184,7 @@ def dq_key_normalization_collision(spark, sf):
 
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_nulls, count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '') AS n_blanks, "
-    f"count(DISTINCT {c}) AS n_distinct, count({c}) - count(DISTINCT {c}) AS n_duplicates, min(CAST({c} AS VARCHAR)) AS min_text, max(CAST({c} AS VARCHAR)) AS max_text FROM labelled"
+    f"count(DISTINCT {c}) AS n_distinct, count({c}) - count(DISTINCT {c}) AS n_duplicates, CAST(min({c}) AS VARCHAR) AS min_text, CAST(max({c}) AS VARCHAR) AS max_text FROM labelled"
     for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
 CTES["labelled"] = "SELECT d.doc_id, d.lang, CASE WHEN l.toxic = 1 THEN ' ' ELSE d.source END AS source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 

@@ -159,3 +159,9 @@ def test_far_ends_do_not_multiply(spark):
     assert sorted((str(r.t), r.seg) for r in out.collect()) == [("2019-05-05 00:00:00", None), ("2021-05-05 00:00:00", "x")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
+
+
+def test_profile_compares_numbers_as_numbers(spark):
+    df = spark.createDataFrame([(9, "9"), (10, "10"), (None, None)], "n long, s string")
+    got = {r.column_name: (r.min_text, r.max_text, r.n_nulls) for r in q.profile_columns(df, ["n", "s"]).collect()}
+    assert got == {"n": ("9", "10", 1), "s": ("10", "9", 1)}
