@@ -82,6 +82,34 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+FILTER_BITS = 26  # a bit table of 8 MB, whatever it is made of
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a hash in a bit table."""
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Bits of all hashes in ``seed``; merged in Spark as 64-bit words, so at most 2^20 of them come to the driver."""
+    low = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
+    place = F.explode(F.array(F.shiftrightunsigned("seed", 64 - FILTER_BITS), low)).alias("p")
+    words = hashes.select(place).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bit table; those that are in it always."""
+    held = lambda p: (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+    a, b = _places(hashes)
+    found = held(a)
+    some = np.flatnonzero(found)
+    found[some] = held(b[some])
+    return found
+
+
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix64)."""
     with np.errstate(over="ignore"):

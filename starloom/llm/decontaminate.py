@@ -27,12 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import encode_words, mixed, small_slices, text_key, text_of, written
+from starloom.llm.common import bit_table, encode_words, in_table, mixed, small_slices, text_key, text_of, written
 
 WORD = re.compile(r"[^\W_]+")
 SPAN = 12
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
-FILTER_BITS = 26  # a bit table of 8 MB, whatever the benchmark
 
 
 @dataclass(frozen=True)
@@ -91,25 +90,7 @@ def _item_seeds(batches):
             "item_at": pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int32())})
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of a hash in the bit table."""
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def bit_table(item_seeds: DataFrame) -> np.ndarray:
-    """Bits of all test hashes; merged in Spark as 64-bit words, so at most 2^20 of them come to the driver."""
-    low = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
-    place = F.explode(F.array(F.shiftrightunsigned("seed", 64 - FILTER_BITS), low)).alias("p")
-    words = item_seeds.select(place).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def _document_hits(filter_bits, short: list[int]):
-    def held(table, p):
-        return (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-
     def run(batches):
         table = filter_bits.value
         for batch in small_slices(batches):
@@ -121,9 +102,7 @@ def _document_hits(filter_bits, short: list[int]):
                 for s in seeds(h, length):
                     if not len(s):
                         continue
-                    a, b = _places(s)
-                    i = np.flatnonzero(held(table, a))
-                    i = i[held(table, b[i])]
+                    i = np.flatnonzero(in_table(table, s))
                     i = i[i + length <= ends[row[i]]]  # windows do not reach into the next text
                     found_row.append(row[i])
                     found_seed.append(s[i])

@@ -32,12 +32,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import mixed, small_slices, text_of, written
+from starloom.llm.common import bit_table, in_table, mixed, small_slices, text_of, written
 from starloom.operators.lineage import components
 
 SEED = 42
@@ -280,7 +281,16 @@ def similar_links(links: DataFrame, items: DataFrame, docs: DataFrame, params: P
     links = written(links, "simhash-candidates")
     ends = links.select("source_id", "target_id", F.explode(F.array("source_id", "target_id")).alias("fingerprint"))
     asked = ends.join(items.select("fingerprint", F.col("lowest").alias("doc_id")), "fingerprint")
-    texts = docs.select("doc_id", text_of().alias("text")).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    asked = written(asked, "simhash-asked")
+    # A bit table of fixed size keeps most other documents out of the shuffle; the join decides.
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select(F.xxhash64("doc_id").alias("seed"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_asked(seed: pd.Series) -> pd.Series:
+        return pd.Series(in_table(bits.value, seed.to_numpy(np.int64).view(np.uint64)))
+
+    near = docs.select("doc_id", text_of().alias("text")).where(may_be_asked(F.xxhash64("doc_id")))
+    texts = near.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = asked.join(texts, "doc_id").groupBy("source_id", "target_id").agg(F.collect_list("text").alias("texts")).where("size(texts) = 2")
     return both.mapInArrow(_similar(params), "source_id string, target_id string")
 
