@@ -60,7 +60,8 @@ class Params:
 
 # Five-word shingles, similarity 0.8. Sets with that similarity have a cosine of 8/9 or more, which
 # 256 bits show as 38.8 +- 5.7 differing bits: three deviations more are candidates. Their sizes differ by 0.8 at most.
-SIMILAR = Params(shingle=5, words=4, radius=56, ratio=0.8, similarity=0.8, near=24)
+# Large tiles: each pair of tiles adds a forest of its own, whose links are verified.
+SIMILAR = Params(shingle=5, words=4, radius=56, ratio=0.8, similarity=0.8, near=24, tile=32_768)
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
