@@ -127,6 +127,36 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert kept[1000] + kept[1001] == 1 and kept[None] + kept[1003] == 1
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_refuted_links_hide_no_other(spark, monkeypatch, tmp_path, block):
+    """Families of texts about as similar as asked: the forest's links are often refuted."""
+    monkeypatch.setattr(simhash, "BLOCK_ITEMS", block)
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{k}" for k in range(2_000)])
+    data = []
+    for g in range(12):
+        first = rng.choice(words, int(rng.integers(120, 300)))
+        for k in range(25):
+            text = first.copy()
+            change = rng.choice(len(text), int(len(text) * rng.uniform(0.01, 0.035)), False)
+            text[change] = rng.choice(words, len(change))
+            data.append((100 * g + k, " ".join(text)))
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r for r in simhash.near_groups(spark.read.parquet(str(tmp_path / "d")), simhash.SIMILAR).collect()}
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in data}
+    p, refuted = {d: d for d in sets}, 0
+    for i, a in enumerate(sets):
+        for b in list(sets)[:i]:
+            n, m = sorted((len(sets[a]), len(sets[b])))
+            if (int(got[a]["fingerprint"], 16) ^ int(got[b]["fingerprint"], 16)).bit_count() <= simhash.SIMILAR.radius and n >= 0.8 * m:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    p[find(p, max(find(p, a), find(p, b)))] = min(find(p, a), find(p, b))
+                else:
+                    refuted += 1
+    assert refuted > 100
+    assert {d: r["component_id"] for d, r in got.items()} == {d: find(p, d) for d in p}
+
+
 def test_overlaps_forgive_substitutions(spark):
     rng = np.random.default_rng(2)
     words = [f"b{k}" for k in range(2_000)]
