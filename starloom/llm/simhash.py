@@ -12,8 +12,8 @@ With ``similarity`` > 0 the fingerprints are of distinct shingles, links are onl
 candidates, and a link counts if the Jaccard similarity of the two shingle sets is
 at least that. The forest is then a minimum one: links within ``near`` bits first,
 which are rarely refuted, then the others by distance. Where a link of a group of
-candidates is refuted, the group's parts that true links have not joined are
-compared once more, now with their shingle sets, so no link is lost to the forest.
+candidates is refuted, its candidates are compared once more, now with their
+shingle sets, so no link is lost to the forest.
 Equal fingerprints are taken as equal.
 
 Cells: for a small radius r on one word, the word is cut into r + 2 blocks; two
@@ -280,8 +280,14 @@ def _similar(params: Params):
     return run
 
 
-def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc_id and text of the asked doc_id, one row each; a bit table of fixed size keeps most others out of the shuffle, the join decides."""
+def similar_links(links: DataFrame, items: DataFrame, docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Those links whose texts are as similar as asked; ``items`` names a document for each fingerprint.
+
+    With them the rows of ``docs`` (doc_id, text) that hold the texts, and few others.
+    """
+    ends = links.select("source_id", "target_id", F.explode(F.array("source_id", "target_id")).alias("fingerprint"))
+    asked = written(ends.join(items.select("fingerprint", F.col("lowest").alias("doc_id")), "fingerprint"), "simhash-asked")
+    # A bit table of fixed size keeps most other documents out of the shuffle; the join decides.
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select(F.xxhash64("doc_id").alias("seed"))))
 
     @F.pandas_udf("boolean")
@@ -289,15 +295,9 @@ def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
         return pd.Series(in_table(bits.value, seed.to_numpy(np.int64).view(np.uint64)))
 
     near = docs.select("doc_id", text_of().alias("text")).where(may_be_asked(F.xxhash64("doc_id")))
-    return near.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-def similar_links(links: DataFrame, items: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
-    """Those links whose texts are as similar as asked; ``items`` names a document for each fingerprint."""
-    ends = links.select("source_id", "target_id", F.explode(F.array("source_id", "target_id")).alias("fingerprint"))
-    asked = written(ends.join(items.select("fingerprint", F.col("lowest").alias("doc_id")), "fingerprint"), "simhash-asked")
-    both = asked.join(texts_of(docs, asked), "doc_id").groupBy("source_id", "target_id").agg(F.collect_list("text").alias("texts")).where("size(texts) = 2")
-    return both.mapInArrow(_similar(params), "source_id string, target_id string")
+    texts = near.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    both = asked.join(texts, "doc_id").groupBy("source_id", "target_id").agg(F.collect_list("text").alias("texts")).where("size(texts) = 2")
+    return both.mapInArrow(_similar(params), "source_id string, target_id string"), near
 
 
 def _shingle_sets(n: int):
@@ -309,17 +309,17 @@ def _shingle_sets(n: int):
     return run
 
 
-def _join_parts(params: Params):
-    """Links as similar as asked between parts of a block, or of two, until they are one part."""
+def _compare_sets(params: Params):
+    """Links as similar as asked inside a block or between two: each part is a star around its smallest name."""
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
         _, a, b = (k.as_py() for k in key)
+        block = block.sort_by("node_id")
         names, at = block.column("node_id").to_pylist(), block.column("at").to_numpy()
         sets = [np.asarray(x.values, np.int64) for x in block.column("shingle_set")]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         prints = np.frombuffer(bytes.fromhex("".join(names)), ">u8").astype(np.uint64).reshape(-1, params.words)
-        part = np.unique(block.column("part").to_pylist(), return_inverse=True)[1]
-        u, v = [], []
+        part = np.arange(len(names))
         for i in np.flatnonzero(at == a).tolist():
             far = np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int64)
             there = (at == b) & (np.arange(len(at)) > i) if a == b else at == b
@@ -329,37 +329,36 @@ def _join_parts(params: Params):
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both >= params.similarity * (size[i] + size[j] - both):
-                    u.append(names[i])
-                    v.append(names[j])
-                    part[part == part[j]] = part[i]
-        return pa.table({"source_id": pa.array(u, pa.string()), "target_id": pa.array(v, pa.string())})
+                    low, high = sorted((part[i], part[j]))
+                    part[part == high] = low
+        linked = np.flatnonzero(part != np.arange(len(names))).tolist()
+        return pa.table({"source_id": pa.array([names[i] for i in linked], pa.string()), "target_id": pa.array([names[part[i]] for i in linked], pa.string())})
 
     return run
 
 
-def missed_links(links: DataFrame, good: DataFrame, items: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
-    """Similar links that the forest left out for one that was refuted.
+def whole_groups(links: DataFrame, good: DataFrame, items: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """Links with the components of all similar candidates, also those that the forest left out for one that was refuted.
 
     ``links``: the forest of the candidates, ``good``: those of them that hold; both
-    written. A group of candidates without a refuted link misses none. In the others
-    every two items of different parts are compared whose fingerprints are candidates:
-    in blocks of bounded size, a pair of blocks being one task's work.
+    written. A group of candidates without a refuted link is one component. In the
+    others all items are compared whose fingerprints are candidates, with their
+    shingle sets: in blocks of bounded size, a pair of blocks being one task's work.
     """
     refuted = links.join(good, ["source_id", "target_id"], "left_anti").select(F.col("source_id").alias("node_id")).distinct()
     group = components(links).withColumnRenamed("component", "group")
-    part = components(good).withColumnRenamed("component", "part")
-    doubtful = group.join(refuted, "node_id", "left_semi").select("group").distinct()
-    nodes = group.join(doubtful, "group", "left_semi").join(part, "node_id", "left").withColumn("part", F.coalesce("part", "node_id"))
-    known = items.select(F.col("fingerprint").alias("node_id"), "shingles", F.col("lowest").alias("doc_id"))
-    nodes = written(nodes.join(known, "node_id"), "simhash-doubtful")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    apart = nodes.groupBy("group").agg(blocks.alias("blocks"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = nodes.join(apart.select("group", "blocks"), "group").withColumn("at", F.pmod(F.xxhash64("node_id"), "blocks").cast("int"))
-    placed = written(placed.select("node_id", "group", "part", "doc_id", "at", "blocks"), "simhash-blocks")
-    sets = texts_of(docs, placed).mapInArrow(_shingle_sets(params.shingle), "doc_id long, shingle_set array<long>")
-    met = placed.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("group", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "node_id", "part", "at", "shingle_set")
-    return met.groupBy("group", "a", "b").applyInArrow(_join_parts(params), "source_id string, target_id string")
+    known = items.select(F.col("fingerprint").alias("node_id"), "shingles", F.col("lowest").alias("doc_id"))
+    nodes = written(group.join(known, "node_id").join(refuted.withColumn("refuted", F.lit(True)), "node_id", "left"), "simhash-candidate-groups")
+    sizes = nodes.groupBy("group").agg(blocks.alias("blocks"), F.count("refuted").alias("refuted"))
+    placed = nodes.drop("refuted").join(sizes, "group").withColumn("at", F.pmod(F.xxhash64("node_id"), "blocks").cast("int"))
+    placed = written(placed, "simhash-blocks")
+    settled = placed.where("refuted = 0").select(F.col("node_id").alias("source_id"), F.col("group").alias("target_id"))
+    doubtful = placed.where("refuted > 0")
+    sets = texts.join(doubtful.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets(params.shingle), "doc_id long, shingle_set array<long>")
+    met = doubtful.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("group", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "node_id", "at", "shingle_set")
+    return settled.unionByName(met.groupBy("group", "a", "b").applyInArrow(_compare_sets(params), "source_id string, target_id string"))
 
 
 def near_groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -373,8 +372,8 @@ def near_groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     links = spanning_links(items.select("fingerprint", "shingles"), params)
     if params.similarity:
         links = written(links, "simhash-candidates")
-        good = written(similar_links(links, items, docs, params), "simhash-similar")
-        links = good.unionByName(missed_links(links, good, items, docs, params))
+        good, texts = similar_links(links, items, docs, params)
+        links = whole_groups(links, written(good, "simhash-similar"), items, texts, params)
     groups = components(links).withColumnRenamed("node_id", "fingerprint")
     named = items.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     ids = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
