@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from starloom.session import scratch_path
 
 SLICE_BYTES = 4 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only; elsewhere the allocator decides
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +44,20 @@ def text_key() -> list[Column]:
     return [F.xxhash64(text_of()).alias("k1"), F.crc32(text_of().cast("binary")).alias("k2")]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice stay near ``limit`` bytes; a longer text is alone.
 
-    Arrow's memory goes back to the system after each batch: a worker lives on for other tasks.
+    Freed memory goes back to the system before each batch and at the end.
     """
     for batch in batches:
-        pa.default_memory_pool().release_unused()
+        give_back()
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(size):
@@ -58,11 +67,13 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+    give_back()
 
 
 def sliced(texts: pd.Series, work: Callable[[list], Any]) -> list:
     """Results of ``work`` on runs of texts of about two million characters each."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     size = texts.fillna("").str.len().cumsum() // (1 << 21)
     return [work([t if isinstance(t, str) else None for t in part]) for _, part in texts.groupby(size.to_numpy(), sort=False)]
 
