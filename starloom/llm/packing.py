@@ -31,6 +31,8 @@ from starloom.llm.common import small_slices, sums_by, text_of, written
 
 CACHED_WORDS = 200_000  # a generation; some 40 MB, kept from task to task
 SLICE = 6 << 20  # words that a slice repeats are encoded once
+AT_ONCE = 16  # runs of 500 words given to the tokenizer in one call
+RUN = 1 << 17  # words whose ids are put in place at once
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -74,7 +76,11 @@ class WordTokenizer:
         return _TOKENIZERS[path]
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        return np.array([i for e in self.inner.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        """The ids of the texts one after another; few at a time, as what the tokenizer tells of a text is far larger than its ids."""
+        parts = [np.zeros(0, "<u4")]
+        for k in range(0, len(texts), AT_ONCE):
+            parts += [np.array(e.ids, "<u4") for e in self.inner.encode_batch_fast(texts[k:k + AT_ONCE], add_special_tokens=False)]
+        return np.concatenate(parts)
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
         mark = self.MARK.encode()
@@ -122,8 +128,13 @@ class WordTokenizer:
             self.young, self.old = {}, young
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         start, codes = np.cumsum(size) - size, coded.indices.to_numpy()
-        n = size[codes]
-        ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        n, known = size[codes], np.frombuffer(b"".join(held), "<u4")
+        ids, done = np.empty(int(n.sum()), "<u4"), 0
+        for k in range(0, len(codes), RUN):  # positions take several times the room of the ids
+            m = n[k:k + RUN]
+            stop = done + int(m.sum())
+            ids[done:stop] = known[np.repeat(start[codes[k:k + RUN]] - (np.cumsum(m) - m), m) + np.arange(stop - done)]
+            done = stop
         return ids, sums_by(n, np.diff(split.offsets.to_numpy()).astype(np.int64))
 
 
@@ -141,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
                 ids = np.append(ids, np.uint32(params.end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), cap)):
                     part = ids[start:start + cap]
-                    for c, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), row, part), strict=True):
+                    for c, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), row, part if with_ids else None), strict=True):
                         out[c].append(v)
                     row += 1
             arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32", "row"))]
