@@ -1,18 +1,19 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are read as words (letters and digits, lower case). A mask of twelve
-positions ignores every third word; its three shifts together forgive any single
-substitution in a window of twelve, and any set of them in one residue class. The
-masked windows of test items and of documents are hashed and joined. Around each
-hit the aligned words of both are compared: the overlap is the stretch through
-the hit with the best balance of equal and differing words, so substitutions are
-tolerated. A document is contaminated by an item if the overlap holds at least
-``least`` words (or all of a shorter item) of which ``agree`` are equal.
+Texts are read as words (letters and digits, lower case). A document is contaminated
+by an item if some stretch of aligned words of both holds at least ``least`` words
+(all of a shorter item) of which ``agree`` are equal. Masks of seven positions in at
+most thirteen words are hashed at every place of items and documents, and joined.
+A stretch of 26 words or more splits into parts of 13 to 25 of which one has the same
+share of equal words, and the six masks have a hit in every stretch of 13 to 25 words
+with a fifth of them substituted, wherever those lie; so no stretch that counts is
+without a hit. Every diagonal with a hit is then searched for such a stretch.
 
 Before the join, document windows are looked up in a bit table of the test hashes
 whose size is fixed; it only spares rows, the join decides. Null and empty texts
 have no window. Items shorter than a window are matched whole, by masks of their
-own length. Equal documents are compared once, and equal items too: an item's row
+own length: four classes of positions, of which any two substitutions leave two
+whole. Equal documents are compared once, and equal items too: an item's row
 names the smallest id of its text. Very long texts are read whole.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from starloom.llm.common import bit_table, encode_words, in_table, mixed, small_slices, text_key, text_of, written
 
 WORD = re.compile(r"[^\W_]+")
-SPAN = 12
-MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
+SPAN, AGREE = 13, 0.8  # what the masks cover; a test holds them against every pattern of substitutions
+MASKS = tuple(tuple(i for i, c in enumerate(shape) if c == "1") for shape in (
+    "11011111", "11010100111", "1110010010011", "11100011101", "1110110000101", "10101110011"))
 
 
 @dataclass(frozen=True)
@@ -48,18 +52,27 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[codes] if len(codes) else np.zeros(0, np.uint64), counts
 
 
-def seeds(h: np.ndarray, length: int = SPAN) -> list[np.ndarray]:
-    """Hash of every window of ``length`` words under each mask (cut to that length)."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64) for _ in MASKS]
+@cache
+def masks(length: int) -> tuple[tuple[int, ...], ...]:
+    """Positions looked at in windows of ``length`` words; of a shorter item a fifth may be substituted."""
+    if length >= SPAN:
+        return MASKS
+    if length < 5:
+        return (tuple(range(length)),)
+    if length < 10:
+        return tuple(tuple(i for i in range(length) if i % 3 != r) for r in range(3))
+    return tuple(tuple(i for i in range(length) if i % 4 in two) for two in combinations(range(4), 2))
+
+
+def seeds(h: np.ndarray, length: int = SPAN - 1) -> list[np.ndarray]:
+    """Hash of every place of each mask for windows of ``length`` words."""
     out = []
     with np.errstate(over="ignore"):
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(masks(length)):
+            n = max(0, len(h) - mask[-1])
             total = np.full(n, (k + 1) * 1_000_003 + length, np.uint64)
             for i in mask:
-                if i < length:
-                    total += h[i:n + i] * (mixed(np.array([i + 97 * k], np.uint64))[0] | np.uint64(1))
+                total += h[i:n + i] * (mixed(np.array([i + 97 * k], np.uint64))[0] | np.uint64(1))
             out.append(mixed(total))
     return out
 
@@ -99,11 +112,11 @@ def _document_hits(filter_bits, short: list[int]):
             row = np.repeat(np.arange(len(counts)), counts)
             found_row, found_seed, found_at = [], [], []
             for length in [*short, SPAN]:
-                for s in seeds(h, length):
+                for mask, s in zip(masks(length), seeds(h, length), strict=True):
                     if not len(s):
                         continue
                     i = np.flatnonzero(in_table(table, s))
-                    i = i[i + length <= ends[row[i]]]  # windows do not reach into the next text
+                    i = i[i + mask[-1] < ends[row[i]]]  # windows do not reach into the next text
                     found_row.append(row[i])
                     found_seed.append(s[i])
                     found_at.append(i - (ends - counts)[row[i]])
@@ -122,25 +135,32 @@ def _document_hits(filter_bits, short: list[int]):
     return run
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, hits: list[int], params: Params) -> tuple[int, int, int, int]:
-    """(start in the document, start in the item, words, equal words) of the best stretch along a diagonal.
+def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, params: Params) -> tuple[int, int, int, int] | None:
+    """(start in the document, start in the item, words, equal words) of a stretch along a diagonal that counts, if there is one.
 
-    ``diagonal``: document position minus item position. The stretch maximises
-    equal words minus ``mismatch_cost`` times differing ones, and covers a hit.
+    ``diagonal``: document position minus item position. Taken is the stretch that
+    maximises equal words minus ``mismatch_cost`` times differing ones; if that one
+    doesn't count, the longest of which ``agree`` are equal.
     """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    if high <= low:
+        return None
     same = item[low:high] == doc[low + diagonal:high + diagonal]
-    gain = np.where(same, 1, -params.mismatch_cost)
-    total = np.concatenate([[0], np.cumsum(gain)])
-    best = (0, 0, 0)
-    for at in sorted({h - diagonal - low for h in hits}):
-        at = min(max(at, 0), len(same) - 1)
-        start = at - int(np.argmin(total[at::-1]))
-        stop = at + 1 + int(np.argmax(total[at + 1:]))
-        if total[stop] - total[start] > best[0] or best[2] == 0:
-            best = (int(total[stop] - total[start]), start, stop)
-    _, start, stop = best
-    return low + start + diagonal, low + start, stop - start, int(same[start:stop].sum())
+    equal = np.concatenate([[0], np.cumsum(same)])
+    places = np.arange(len(equal))
+
+    def counts(start: int, stop: int) -> bool:
+        return stop - start >= min(params.least, len(item)) and equal[stop] - equal[start] >= params.agree * (stop - start)
+
+    total = equal - params.mismatch_cost * (places - equal)
+    stop = int(np.argmax(total - np.minimum.accumulate(total)))
+    start = int(np.argmin(total[:stop + 1]))
+    if not counts(start, stop):
+        share = equal - params.agree * places
+        first = np.searchsorted(-np.minimum.accumulate(share), -share - 1e-9)  # where the longest stretch up to each place starts
+        stop = int(np.argmax(places - first))
+        start = int(first[stop])
+    return (low + start + diagonal, low + start, stop - start, int(equal[stop] - equal[start])) if counts(start, stop) else None
 
 
 def _verify(params: Params):
@@ -149,10 +169,10 @@ def _verify(params: Params):
             out = []
             for k1, k2, item_id, doc, item, diagonals in zip(*(batch.column(c) for c in ("k1", "k2", "item_id", "words", "item_words", "diagonals")), strict=True):
                 a, b = (np.asarray(x.values.to_numpy(), np.int64) for x in (doc, item))
-                found = [best_overlap(a, b, d["diagonal"], d["at"], params) for d in diagonals.as_py()]
-                start, item_start, span, equal = max(found, key=lambda x: (x[3] - params.mismatch_cost * (x[2] - x[3]), -x[0]))
-                if span >= min(params.least, len(b)) and equal >= params.agree * span:
-                    out.append((k1.as_py(), k2.as_py(), item_id.as_py(), start, item_start, span, equal, len(b)))
+                found = [x for d in diagonals.as_py() if (x := best_overlap(a, b, d, params))]
+                if found:
+                    best = max(found, key=lambda x: (x[3] - params.mismatch_cost * (x[2] - x[3]), -x[0]))
+                    out.append((k1.as_py(), k2.as_py(), item_id.as_py(), *best, len(b)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["k1", "k2", "item_id", "doc_start", "item_start", "span", "equal_words", "item_words"])
@@ -162,6 +182,8 @@ def _verify(params: Params):
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """(k1, k2) of contaminated texts, with item_id and the best overlap: one row per text and item."""
+    if params.least < SPAN or params.agree < AGREE:
+        raise ValueError(f"the masks cover stretches of {SPAN} words and more of which {AGREE} are equal")
     items = item_table(benchmark)
     item_seeds = written(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int"), "benchmark-seeds")
     short = sorted(r["n"] for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # at most SPAN - 1 lengths
@@ -171,9 +193,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, params: Params = P
     hit = written(hit, "benchmark-hits")
     texts = hit.dropDuplicates(["k1", "k2"])
     on = texts.select("k1", "k2", F.explode("hits").alias("hit")).select("k1", "k2", "hit.seed", "hit.at").join(item_seeds, "seed")
-    # One row per diagonal: where along it the windows hit.
-    diagonals = on.groupBy("k1", "k2", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
-    pairs = diagonals.groupBy("k1", "k2", "item_id").agg(F.collect_list(F.struct("diagonal", "at")).alias("diagonals"))
+    pairs = on.groupBy("k1", "k2", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     full = pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"]).join(items.withColumnRenamed("words", "item_words"), "item_id")
     return full.select("k1", "k2", "item_id", "words", "item_words", "diagonals").mapInArrow(
         _verify(params), "k1 long, k2 long, item_id long, doc_start int, item_start int, span int, equal_words int, item_words int")

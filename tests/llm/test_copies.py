@@ -1,6 +1,7 @@
 """SimHash groups, benchmark overlaps and the pipeline against brute force."""
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -193,6 +194,56 @@ def test_seeds_cover_any_single_substitution():
         assert any(a[0] == b[0] for a, b in zip(decontaminate.seeds(h), decontaminate.seeds(g), strict=True))
 
 
+def test_masks_hit_every_pattern_of_substitutions():
+    """Stretches of 26 words or more have a part of 13 to 25 with the same share."""
+    for length in range(1, 26):
+        masks = decontaminate.masks(length)
+        missed = np.array([sum(1 << i for i in c) for c in combinations(range(length), length // 5)], np.int64)
+        for m in masks:
+            bits = sum(1 << i for i in m)
+            for start in range(length - m[-1]):
+                missed = missed[missed & (bits << start) != 0]
+        assert not len(missed), length
+
+
+def qualifies(doc, item, least=13):
+    """Whether any stretch of any diagonal counts."""
+    least = min(least, len(item))
+    for diagonal in range(-len(item), len(doc) + 1):
+        same = [doc[i + diagonal] == item[i] for i in range(len(item)) if 0 <= i + diagonal < len(doc)]
+        if any(5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + least, len(same) + 1)):
+            return True
+    return False
+
+
+def test_every_stretch_that_counts_is_found(spark):
+    rng = np.random.default_rng(5)
+    items, docs = [], []
+    for k in range(150):
+        n = int(rng.integers(13, 25)) if k < 120 else int(rng.integers(5, 13))
+        item = [f"i{k}x{j}" for j in range(n)]
+        doc = item.copy()
+        for at in rng.choice(n, int(rng.integers(2, 5)) if k < 120 else int(rng.integers(1, 4)), False):
+            doc[at] = "zzz"
+        items.append(item)
+        docs.append([f"n{j}" for j in range(k % 4)] + doc + ["end"] * (k % 3))
+    long = [f"long{j}" for j in range(59)]
+    items.append(long)
+    docs.append([w if j % 5 != 4 else "zzz" for j, w in enumerate(long)])  # 48 of 59
+    run = [f"run{j}" for j in range(60)]
+    items.append(run)
+    docs.append([*run[:12], "noise", "noise", "noise", *(w if j % 5 != 2 else "zzz" for j, w in enumerate(run[15:40]))])  # a shorter stretch has the better balance
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    want = {i for i, (d, x) in enumerate(zip(docs, items, strict=True)) if qualifies(d, x)}
+    got = decontaminate.contamination(table, bench).collect()
+    assert {150, 151} <= want and 20 < len(want) < len(docs)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in want}
+    assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == set(range(len(docs))) - want
+    with pytest.raises(ValueError):
+        decontaminate.clean(table, bench, decontaminate.Params(least=8))
+
+
 def test_query_finds_every_shared_run(spark):
     texts = {r["doc_id"]: decontaminate.WORD.findall(r["text"].lower()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     bench = [decontaminate.WORD.findall(r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
