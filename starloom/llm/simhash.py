@@ -9,7 +9,7 @@ counts; the others are skipped. Each task returns a spanning forest of the links
 it found, which has the same components as the links.
 
 With ``similarity`` > 0 the fingerprints are of distinct shingles, links are only
-candidates, and a link counts if the Jaccard similarity of the two shingle sets is
+candidates as far apart as ``reach`` says for their sizes, and a link counts if the Jaccard similarity of the two shingle sets is
 at least that. The forest is then a minimum one: links within ``near`` bits first,
 which are rarely refuted, then the others by distance. Where a link of a group of
 candidates is refuted, its candidates are compared once more, now with their
@@ -31,7 +31,9 @@ smallest known id names it, null if there is none. Very long texts are read whol
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -61,10 +63,43 @@ class Params:
     tile: int = 8_192
 
 
-# Five-word shingles, similarity 0.8. Sets with that similarity have a cosine of 8/9 or more, which
-# 256 bits show as 38.8 +- 5.7 differing bits: three deviations more are candidates. Their sizes differ by 0.8 at most.
+# Five-word shingles, similarity 0.8; sizes differ by 0.8 at most. ``reach`` gives the candidates' distance
+# by the size of the smaller set, ``radius`` is the farthest of them.
 # Large tiles: each pair of tiles adds a forest of its own, whose links are verified.
-SIMILAR = Params(shingle=5, words=4, radius=56, ratio=0.8, similarity=0.8, near=24, tile=32_768)
+LOST = 1e-9  # of the pairs that are as similar as asked, at any sizes, at most this share lies beyond ``reach``
+SIMILAR = Params(shingle=5, words=4, radius=89, ratio=0.8, similarity=0.8, near=24, tile=32_768)
+
+
+def differing(n: int, m: int, both: int) -> float:
+    """Probability that a bit differs between sets of n and m random hashes with ``both`` in common."""
+    def above(left, k, size):  # more than half of ``size`` have the bit, k of the common ones do
+        held = [comb(left, a) for a in range(left + 1)]
+        return sum(x for a, x in enumerate(held) if 2 * (k + a) > size) / 2**left
+
+    p = 0.0
+    for k in range(both + 1):
+        a, b = above(n - both, k, n), above(m - both, k, m)
+        p += comb(both, k) / 2**both * (a * (1 - b) + b * (1 - a))
+    return p
+
+
+@cache
+def reach(similarity: float, bits: int, sizes: int = 64) -> np.ndarray:
+    """Farthest distance of candidates by the size of the smaller set; the last one is for all larger sets.
+
+    Sets of that size which are as similar as asked, but not equal, are farther apart
+    with probability ``LOST`` at most; -1 where there are none.
+    """
+    out = np.full(sizes + 1, -1, np.int64)
+    for m in range(1, sizes + 1):
+        worst = max((differing(n, m, both) for n in range(m, int(m / similarity + 1e-9) + 1) for both in range(m - (n == m), 0, -1) if both >= similarity * (n + m - both)), default=0.0)
+        if worst:
+            tail, k = 0.0, bits
+            while tail + (x := comb(bits, k) * worst**k * (1 - worst) ** (bits - k)) <= LOST:
+                tail, k = tail + x, k - 1
+            out[m] = k
+    out[sizes] = max(out[sizes // 2:])  # the probability falls with the size, up to ties
+    return out
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -113,6 +148,10 @@ def fingerprints(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint string, shingles long")
 
 
+def _limits(params: Params) -> np.ndarray | None:
+    return reach(params.similarity, 64 * params.words) if params.similarity else None
+
+
 def _word(k: int) -> Column:
     """Word k of the hex fingerprint as a signed long."""
     high = F.conv(F.substring("fingerprint", 16 * k + 1, 8), 16, 10).cast("long")
@@ -133,7 +172,7 @@ def block_keys(word: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def _compare(words: int, radius: int, ratio: float, near_radius: int):
+def _compare(words: int, radius: int, ratio: float, near_radius: int, limits: np.ndarray | None = None):
     """Spanning forest of the links inside a tile or between two tiles."""
 
     def links(left, right, inner, radius):
@@ -151,6 +190,8 @@ def _compare(words: int, radius: int, ratio: float, near_radius: int):
             near = np.flatnonzero(d <= radius)
             if ratio and len(near):
                 near = near[np.minimum(nb[near + s], na[i]) >= ratio * np.maximum(nb[near + s], na[i])]
+            if limits is not None and len(near):
+                near = near[d[near] <= limits[np.minimum(np.minimum(nb[near + s], na[i]), len(limits) - 1)]]
             if len(near):
                 yield i, near + s, d[near]
 
@@ -262,7 +303,7 @@ def spanning_links(items: DataFrame, params: Params) -> DataFrame:
         F.collect_list(F.when(F.col("side") == 0, F.col("item"))).alias("left"), F.collect_list(F.when(F.col("side") == 1, F.col("item"))).alias("right"))
     work = work.where((F.size("left") + F.size("right") > 1) & ((F.col("ta") == F.col("tb")) | (F.size("right") > 0)))
     work = work.select("left", "right", (F.col("ta") == F.col("tb")).alias("inner"))
-    return work.mapInArrow(_compare(params.words, radius, params.ratio, params.near), "source_id string, target_id string").distinct()
+    return work.mapInArrow(_compare(params.words, radius, params.ratio, params.near, _limits(params)), "source_id string, target_id string").distinct()
 
 
 def _similar(params: Params):
@@ -311,6 +352,7 @@ def _shingle_sets(n: int):
 
 def _compare_sets(params: Params):
     """Links as similar as asked inside a block or between two: each part is a star around its smallest name."""
+    limits = _limits(params)
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
         _, a, b = (k.as_py() for k in key)
@@ -324,7 +366,7 @@ def _compare_sets(params: Params):
             far = np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int64)
             there = (at == b) & (np.arange(len(at)) > i) if a == b else at == b
             alike = np.minimum(size, size[i]) >= max(params.ratio, params.similarity) * np.maximum(size, size[i])
-            for j in np.flatnonzero(there & alike & (far <= params.radius)).tolist():
+            for j in np.flatnonzero(there & alike & (far <= limits[np.minimum(np.minimum(size, size[i]), len(limits) - 1)])).tolist():
                 if part[i] == part[j]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

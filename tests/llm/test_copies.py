@@ -1,5 +1,6 @@
 """SimHash groups, benchmark overlaps and the pipeline against brute force."""
 
+import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -158,6 +159,29 @@ def test_refuted_links_hide_no_other(spark, monkeypatch, tmp_path, block):
     assert {d: r["component_id"] for d, r in got.items()} == {d: find(p, d) for d in p}
 
 
+def test_no_similar_pair_lies_beyond_reach(spark, tmp_path):
+    """Pairs right at the similarity asked for, of short and long texts; brute force by Jaccard alone."""
+    reach = simhash.reach(0.8, 256)
+    assert max(reach) == simhash.SIMILAR.radius and simhash.differing(5, 4, 4) == 0.1875
+    for n, m, both in ((90, 90, 80), (180, 180, 160), (181, 181, 161), (100, 80, 80), (101, 81, 81), (900, 900, 800)):
+        p = simhash.differing(n, m, both)
+        assert sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(int(reach[-1]) + 1, 257)) < simhash.LOST
+    data = []
+    for g in range(400):
+        n = (9, 9, 19, 29)[g % 4]
+        words = [f"g{g}w{k}" for k in range(n)]
+        data += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:n - (n - 4) // 5]))]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.read.parquet(str(tmp_path / "d")), simhash.SIMILAR).collect()}
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in data}
+    p = {d: d for d in sets}
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                p[find(p, a)] = find(p, b)
+    assert got == {d: find(p, d) for d in p} and set(got.values()) == set(range(0, 800, 2))
+
+
 def test_overlaps_forgive_substitutions(spark):
     rng = np.random.default_rng(2)
     words = [f"b{k}" for k in range(2_000)]
