@@ -98,10 +98,11 @@ FROM rows LEFT JOIN lowest USING (payload_digest)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shard(docs, SHARDS).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shards.select(
+        "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

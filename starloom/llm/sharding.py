@@ -4,8 +4,8 @@ The rows of the input's partitions are first written with their place. A matrix
 then says how many rows of each source partition go to each shard: its row for a
 partition is drawn from the multivariate hypergeometric law of the room that is
 left, so shard sizes are exact (at most one apart) and the result is distributed
-like a uniform permutation. Each partition orders its rows at random and deals
-them out by its matrix row; each shard then orders what it got at random again.
+like a uniform permutation. Each partition deals its rows out by its matrix row in
+a random order, before they move; so they move once, whole. Each shard then orders what it got at random again.
 
 All draws come from the seed and the rows' places; a lost executor repeats them.
 Work is split by source partition, then by shard and slice of the random order:
@@ -17,12 +17,13 @@ ties are rows like others. More shards than rows leaves some shards empty.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import written
 
-ROWS_PER_SLICE = 1 << 20
+ROWS_PER_SLICE = 1 << 16  # rows come with their texts
 
 
 def communication_matrix(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -68,19 +69,28 @@ def shard(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     source = F.shiftright("_place", 33)  # the input partition
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(source.alias("p")).agg(F.count("*").alias("n")).collect())
     matrix = communication_matrix(np.array([n for _, n in counts], np.int64), shards, seed)
-    ends = np.cumsum(matrix, axis=1).tolist()
-    plan = spark.createDataFrame([(p, e) for (p, _), e in zip(counts, ends, strict=True)], "_p long, _ends array<long>")
-    # Permute inside each source partition and deal out by the partition's row of the matrix.
-    first = Window.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed), "_place"), "_place")
-    ranked = rows.withColumn("_p", source).join(plan, "_p").withColumn("_r", F.row_number().over(first))
-    dealt = ranked.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_r")))).drop("_ends", "_r", "_p")
+    plan = spark.sparkContext.broadcast({p: row for (p, _), row in zip(counts, matrix, strict=True)})
+
+    @F.pandas_udf("int")
+    def dealt_to(places: pd.Series) -> pd.Series:
+        """The partition's row of the matrix, dealt out in a random order to its rows, which are numbered from 0."""
+        at = places.to_numpy(np.int64)
+        out = np.empty(len(at), np.int32)
+        for p in np.unique(at >> 33).tolist():
+            mine = at >> 33 == p
+            if p not in last:
+                last.clear()
+                last[p] = np.random.default_rng([seed, p]).permutation(np.repeat(np.arange(shards, dtype=np.int32), plan.value[p]))
+            out[mine] = last[p][at[mine] & ((1 << 33) - 1)]
+        return pd.Series(out)
+
+    last: dict[int, np.ndarray] = {}
+    dealt = rows.withColumn("shard", dealt_to("_place"))
     # Permute again inside each shard: slices of the random order, each counted, then numbered.
     slices = max(1, -(-sum(n for _, n in counts) // (shards * ROWS_PER_SLICE)))
     order = F.xxhash64(F.lit(seed + 1), "_place", "shard")
     sliced = dealt.withColumn("_o", order).withColumn("_s", F.floor((F.col("_o") / 2.0**64 + 0.5) * slices).cast("int"))
     before: dict[tuple[int, int], int] = {}
-    if slices > 1:
-        sliced = written(sliced, "shard-dealt")
     at = Window.partitionBy("shard", "_s").orderBy("_o", "_place")
     numbered = sliced.withColumn("slot", F.row_number().over(at).cast("long") - 1)
     if slices > 1:

@@ -146,6 +146,15 @@ def test_matrix_has_the_hypergeometric_law():
     assert np.mean(large) == pytest.approx(250_000, abs=150) and 300 < np.std(large) < 560
 
 
+def test_sharding_query_tells_of_the_rows_in_the_shards(spark, monkeypatch):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op9_sharding(spark, SF).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in texts.items()}
+    real = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda *a: real(*a).withColumn("text", F.lit("other")))
+    assert {(r["size"], r["text_crc32"]) for r in queries.op9_sharding(spark, SF).collect()} == {(6, zlib.crc32(b"other"))}
+
+
 def packed_of(spark, rows_, **kw):
     df = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(rows_)], "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
     return packing.pack(df, packing.Params(**kw))
