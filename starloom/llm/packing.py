@@ -6,7 +6,8 @@ cells of bounded size and packed by best-fit decreasing. Dual feasible functions
 give each cell a lower bound of its bins. A cell whose bins exceed its volume
 bound takes its emptiest bins apart; those pieces meet in fewer cells and are
 packed anew, until the rest fits one cell. Nothing else moves twice, so the work
-of the rounds shrinks geometrically. ``bounds`` gives the certificates.
+of the rounds shrinks geometrically. ``bounds`` gives the certificates. ``sequences``
+then moves the ids to their places; ``read_pieces`` takes them out again.
 
 Null and empty texts are the end id alone. Repeated rows are documents each. Ties
 are packed in the order of row numbers given when the pieces are written, which
@@ -27,11 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import small_slices, sums_by, text_of, written
+from starloom.llm.common import give_back, small_slices, sums_by, text_of, written
 
 CACHED_WORDS = 200_000  # a generation; some 40 MB, kept from task to task
 SLICE = 6 << 20  # words that a slice repeats are encoded once
 AT_ONCE = 16  # runs of 500 words given to the tokenizer in one call
+AT_A_TIME = 500  # sequences put together or read at once
 RUN = 1 << 17  # words whose ids are put in place at once
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
@@ -138,8 +140,8 @@ class WordTokenizer:
         return ids, sums_by(n, np.diff(split.offsets.to_numpy()).astype(np.int64))
 
 
-def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, row (unique) and, if asked for, ids."""
+def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids: bool = False, narrow: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, row (unique) and, if asked for, ids; ``narrow``: as bytes, two of each id where that holds them, or else four."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -152,16 +154,18 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
                 ids = np.append(ids, np.uint32(params.end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), cap)):
                     part = ids[start:start + cap]
-                    for c, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), row, part if with_ids else None), strict=True):
+                    for c, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), row, (part.astype("<u2") if part.max() < 1 << 16 else part).tobytes() if narrow else part if with_ids else None), strict=True):
                         out[c].append(v)
                     row += 1
             arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32", "row"))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
-            if with_ids:
+            if narrow:
+                arrays, names = [*arrays, pa.array(out["ids"], pa.binary())], [*names, "ids"]
+            elif with_ids:
                 arrays, names = [*arrays, pa.array(out["ids"], pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids binary" if narrow else ", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 
 
@@ -225,7 +229,7 @@ def _pack_cell(params: Params, last: bool):
 
 
 def pack(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """``rows`` (as of ``pieces``, without ids) with sequence_id and offset."""
+    """``rows`` (as of ``pieces``, without ids) with sequence_id and offset: the places that ``sequences`` fills."""
     rest, done, number = written(rows, "packing-pieces"), None, 0
     n = rest.count()
     while True:
@@ -236,13 +240,60 @@ def pack(rows: DataFrame, params: Params = Params()) -> DataFrame:
         # Pieces that come back in bulk cannot be packed better by meeting others: their bins then stand.
         again = 0 < left <= n // 2
         ready = packed.where("NOT open") if again else packed
-        ready = ready.withColumn("sequence_id", F.lit(number << 52) + F.shiftleft("cell", 24) + F.col("bin")).drop("cell", "bin", "open", "bins", "bound", "row")
+        ready = ready.withColumn("sequence_id", F.lit(number << 52) + F.shiftleft("cell", 24) + F.col("bin")).drop("cell", "bin", "open", "bins", "bound")
         done = ready if done is None else done.unionByName(ready)
         if not again:
             return done
         rest, n, number = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "row"), left, number + 1
 
 
+def _assemble(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, AT_A_TIME):
+            part = batch.slice(k, AT_A_TIME)
+            counts, flat = part.column("parts").value_lengths().to_numpy().astype(np.int64), part.column("parts").flatten()
+            length = flat.field("length").to_numpy()
+            ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(flat.field("ids").to_pylist(), length.tolist(), strict=True)]
+            held = pa.StructArray.from_arrays([flat.field(c) for c in ("offset", "doc_id", "piece")], names=["offset", "doc_id", "piece"])
+            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_pydict({
+                "sequence_id": part.column("sequence_id"), "ids": pa.ListArray.from_arrays(ends(sums_by(length, counts)), pa.array(np.concatenate(ids), pa.int32())),
+                "pieces": pa.ListArray.from_arrays(ends(counts), held)})
+        give_back()
+
+
+def sequences(docs: DataFrame, tokenizer: str, params: Params = Params()) -> DataFrame:
+    """sequence_id, ids (at most ``capacity``) and pieces (offset, doc_id, piece, in order): the packed sequences.
+
+    The ids are written once beside their places; then they move to their places, and to their sequences.
+    """
+    whole = written(pieces(docs, tokenizer, params, narrow=True), "packing-ids")
+    placed = pack(whole.drop("ids"), params).select("row", "sequence_id", "offset")
+    full = whole.select("row", "doc_id", "piece", "length", "ids").join(placed, "row")
+    parts = full.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
+    return parts.mapInArrow(_assemble, "sequence_id long, ids array<int>, pieces array<struct<offset:long,doc_id:long,piece:int>>")
+
+
+def read_pieces(made: DataFrame, params: Params = Params()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of all pieces, as they stand in the sequences."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(k, AT_A_TIME)
+                size, counts = (part.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("ids", "pieces"))
+                ids, flat = part.column("ids").flatten().to_numpy(), part.column("pieces").flatten()
+                offset, piece = flat.field("offset").to_numpy(), flat.field("piece").to_numpy().astype(np.int64)
+                at = np.append(np.repeat(np.cumsum(size) - size, counts) + offset, len(ids))  # a sequence is its pieces without gaps
+                crc = [zlib.crc32(ids[a:b].astype("<i4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": flat.field("doc_id"), "piece": flat.field("piece"), "start": pa.array(piece * params.capacity), "length": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64()),
+                    "sequence_id": pa.array(np.repeat(part.column("sequence_id").to_numpy(), counts)), "offset": flat.field("offset"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))})
+            give_back()
+
+    return made.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")
+
+
 def bounds(packed: DataFrame, params: Params = Params()) -> DataFrame:
     """One row: sequences made and the lower bound for all pieces together (the histogram has at most ``capacity`` rows)."""
     sizes = packed.groupBy("length").agg(F.count("*").alias("n")).toPandas()

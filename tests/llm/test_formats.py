@@ -188,6 +188,21 @@ def test_packing_of_the_documents(spark):
     assert check_bins(got, 4096) == -(-sum(r["length"] for r in got) // 4096)
 
 
+def test_sequences_hold_the_ids(spark):
+    path, params = public_tokenizers.path("word_bpe_49k.json"), packing.Params(capacity=64)
+    docs = odd_docs(spark).select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60))
+    made = packing.written(packing.sequences(docs, path, params), "test-sequences")
+    seqs = {r["sequence_id"]: r for r in made.collect()}
+    assert all(0 < len(r["ids"]) <= 64 and r["pieces"][0]["offset"] == 0 for r in seqs.values())
+    want = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in packing.pieces(docs, path, params, with_ids=True).collect())
+    got = packing.read_pieces(made, params).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in got) == want
+    assert all(seqs[r["sequence_id"]]["ids"][r["offset"]:r["offset"] + r["length"]] == r["ids"] for r in got)
+    assert sum(len(r["ids"]) for r in seqs.values()) == sum(r["length"] for r in got)
+    other = made.withColumn("ids", F.transform("ids", lambda x: x * 0))
+    assert {r["ids_crc32"] for r in packing.read_pieces(other, params).collect()} == {zlib.crc32(bytes(4 * n)) for n in {r["length"] for r in got}}
+
+
 def test_word_ids_equal_whole_text_ids():
     path = public_tokenizers.path("word_bpe_49k.json")
     whole, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
