@@ -267,8 +267,9 @@ def sequences(docs: DataFrame, tokenizer: str, params: Params = Params()) -> Dat
 
     The ids are written once beside their places; then they move to their places, and to their sequences.
     """
-    whole = written(pieces(docs, tokenizer, params, narrow=True), "packing-ids")
-    placed = pack(whole.drop("ids"), params).select("row", "sequence_id", "offset")
+    whole = written(pieces(docs, tokenizer, params, narrow=True).drop("start", "ids_crc32"), "packing-ids")
+    zero = F.lit(0).cast("long")  # places are found from rows and lengths alone
+    placed = pack(whole.select(zero.alias("doc_id"), zero.cast("int").alias("piece"), zero.alias("start"), "length", zero.alias("ids_crc32"), "row"), params).select("row", "sequence_id", "offset")
     full = whole.select("row", "doc_id", "piece", "length", "ids").join(placed, "row")
     parts = full.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
     return parts.mapInArrow(_assemble, "sequence_id long, ids array<int>, pieces array<struct<offset:long,doc_id:long,piece:int>>")
