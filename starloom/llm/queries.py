@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starloom.llm import chat, decontaminate, fingerprint, language_id, packing, sharding, simhash, suffix_tree, toxicity, warc
+from starloom.llm import chat, clustering, decontaminate, fingerprint, language_id, packing, sharding, simhash, suffix_tree, toxicity, warc
 from starloom.llm.common import fold, table
 
 SHARDS = 16
@@ -112,9 +112,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Rounds as sub-queries: components as rows, distances and floors of means by groups."""
+    parts = ["""kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) AS r, vec_id, q FROM (
+        SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64))""",
+             "parts AS MATERIALIZED (SELECT r, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM kept)",
+             f"c0 AS MATERIALIZED (SELECT r - 1 AS cluster, i, v FROM parts WHERE r <= {clusters})"]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+    SELECT r, min((d, cluster)) AS m FROM (
+        SELECT r, cluster, CAST(sum((p.v - c.v) * (p.v - c.v)) AS BIGINT) AS d FROM parts p JOIN c{k} c USING (i) GROUP BY r, cluster) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT c.cluster, c.i, coalesce(f.v, c.v) AS v FROM c{k} c LEFT JOIN (
+        SELECT m[2] AS cluster, i, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+        FROM parts JOIN a{k} USING (r) GROUP BY m[2], i) f USING (cluster, i))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia,
+    CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r)
+JOIN (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY cluster) x ON x.cluster = m[2]
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_chat_formatting, op3_suffix_tree, op4_fingerprints, op5_packing, op6_simhash, op7_decontamination, op8_warc, op9_sharding, op10_language_id)}
+    op1_toxicity, op2_chat_formatting, op3_suffix_tree, op4_fingerprints, op5_packing, op6_simhash, op7_decontamination, op8_warc, op9_sharding, op10_language_id,
+    op13_centroids)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op2_chat_formatting": OP2_SQL, "op8_warc": OP8_SQL}
+SQL = {"op2_chat_formatting": OP2_SQL, "op8_warc": OP8_SQL, "op13_centroids": _op13_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
