@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starloom.llm import chat, clustering, decontaminate, fingerprint, language_id, packing, sharding, simhash, suffix_tree, toxicity, warc
+from starloom.llm import chat, clustering, decontaminate, fingerprint, language_id, line_dedup, packing, sharding, simhash, suffix_tree, toxicity, warc
 from starloom.llm.common import fold, table
 
 SHARDS = 16
@@ -112,6 +112,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.clean(line_dedup.build_index(docs), docs)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents),
+lines AS (
+    SELECT r, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT r, doc_id, unnest(held) AS line, generate_subscripts(held, 1) AS pos FROM rows)
+), shared AS (SELECT key, min(doc_id) AS lo FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT l.*, coalesce(l.doc_id <> s.lo, false) AS gone FROM lines l LEFT JOIN shared s USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -143,8 +162,8 @@ JOIN (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_chat_formatting, op3_suffix_tree, op4_fingerprints, op5_packing, op6_simhash, op7_decontamination, op8_warc, op9_sharding, op10_language_id,
-    op13_centroids)}
+    op11_line_dedup, op13_centroids)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op2_chat_formatting": OP2_SQL, "op8_warc": OP8_SQL, "op13_centroids": _op13_sql()}
+SQL = {"op2_chat_formatting": OP2_SQL, "op8_warc": OP8_SQL, "op11_line_dedup": OP11_SQL, "op13_centroids": _op13_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
