@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starloom.llm import chat, clustering, decontaminate, fingerprint, language_id, line_dedup, packing, sharding, simhash, suffix_tree, toxicity, warc
+from starloom.llm import alignment, chat, clustering, decontaminate, fingerprint, language_id, line_dedup, packing, sharding, simhash, suffix_tree, toxicity, warc
 from starloom.llm.common import fold, table
 
 SHARDS = 16
@@ -131,6 +131,11 @@ FROM marked GROUP BY r
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.summaries(alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), paths))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -162,7 +167,7 @@ JOIN (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_chat_formatting, op3_suffix_tree, op4_fingerprints, op5_packing, op6_simhash, op7_decontamination, op8_warc, op9_sharding, op10_language_id,
-    op11_line_dedup, op13_centroids)}
+    op11_line_dedup, op12_alignment, op13_centroids)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op2_chat_formatting": OP2_SQL, "op8_warc": OP8_SQL, "op11_line_dedup": OP11_SQL, "op13_centroids": _op13_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
