@@ -9,11 +9,12 @@ emits a cut, and lanes that are done are compacted away. A lane is a stretch of
 ``LANE`` bytes of one text, as cuts don't depend on what is before them; so a very
 long text is many lanes and takes no more steps than others.
 
-``align`` writes a row per document: ids of both sides and the number of tokens of
-each side per group. ``link_counts`` counts linked id pairs over all documents, each
-slice of documents first. ``summaries`` brings the counts back to the documents: a
-slice asks once for each of its distinct pairs, so a pair that is in every text is a
-row per slice; a count is found by a join, no table of pairs is held whole anywhere.
+``align`` writes a row per document (ids of both sides and the number of tokens of each
+side per group) and a row per slice (its distinct linked pairs, and which document
+links which how often). ``link_counts`` adds the pairs up over all slices. ``summaries``
+brings the counts back to the documents: a slice asks once for each of its distinct
+pairs, so a pair that is in every text is a row per slice; a count is found by a join,
+no table of pairs is held whole anywhere.
 
 Null and empty texts, and those whose joined token bytes differ from space and text,
 have no tokens: zeros, an empty digest. Null ids and repeated rows are documents like
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 from starloom.llm.common import give_back, small_slices, sums_by, text_of, written
 
 SLICE = 2 << 20
-TOKENS = 1 << 20  # of both sides, in a row of pair counts
 LANE = 512
-ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+GROUPS = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+_SLICE = "docs:array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,digest:string>>,pairs:array<long>,times:array<long>,held:binary,often:binary"
 _CODERS: dict[tuple, "Coders"] = {}
 _DIGITS: dict[int, pa.Array] = {}
 
@@ -52,6 +53,14 @@ class Tokenizers:
     b: str
 
 
+@dataclass(frozen=True)
+class Alignment:
+    """``groups``: ids of both sides and the tokens of each side per group, a row per document. ``slices``: links, a row per slice."""
+
+    groups: DataFrame
+    slices: DataFrame
+
+
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -169,25 +178,6 @@ def _per_text(cuts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.diff(np.concatenate([[-1], cuts])), np.diff(np.concatenate([[0], np.searchsorted(cuts, ends, side="left")]))
 
 
-def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """A written table of ``ALIGNED`` rows: the groups of A and B tokens that cover the same bytes, per document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Coders.at(tokenizers)
-        for batch in small_slices(batches, limit=SLICE):
-            a, b = coders.encode(batch.column("text").to_pylist())
-            a_ids, a_counts, a_ends = _ends(a, coders.a_length)
-            b_ids, b_counts, b_ends = _ends(b, coders.b_length)
-            a_cut, b_cut = lockstep(a_ends, b_ends)
-            (a_sizes, groups), (b_sizes, _) = _per_text(a_cut, a_counts), _per_text(b_cut, b_counts)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "a_ids": _list(a_ids, a_counts), "b_ids": _list(b_ids, b_counts),
-                "a_sizes": _list(a_sizes, groups), "b_sizes": _list(b_sizes, groups)})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return written(rows.mapInArrow(run, ALIGNED), "alignment")
-
-
 def _told(ids: np.ndarray, sizes: np.ndarray, other: np.ndarray, offset: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each token stands among those of both sides, group by group, and the text it is written as: id and mark."""
     group = np.repeat(np.arange(len(sizes)), sizes)
@@ -232,43 +222,42 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of documents of at most ``TOKENS`` tokens; a longer one is alone."""
-    size = sum(batch.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("a_ids", "b_ids"))
-    start, held = 0, 0
-    for i, n in enumerate(size.tolist()):
-        if held and held + n > TOKENS:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-_SLICES = "docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,digest:string>>, pairs array<long>, times array<long>, held binary, often binary"
+def _slice_row(doc_ids: pa.Array, flat: dict[str, np.ndarray], counts: dict[str, np.ndarray]) -> pa.Array:
+    """The documents' digests, the distinct linked pairs with their number, and which of them each document links how often."""
+    groups = counts["a_sizes"]
+    digests = group_digests(*flat.values(), groups, _digits(max(int(flat[c].max(initial=0)) for c in ("a_ids", "b_ids"))))
+    linked = flat["a_ids"][np.cumsum(flat["a_sizes"]) - 1].astype(np.int64) << 32 | flat["b_ids"][np.cumsum(flat["b_sizes"]) - 1]
+    pairs, place = np.unique(linked, return_inverse=True)
+    # Sorted by document, then pair: steps between neighbours are small.
+    held, often = np.unique(np.repeat(np.arange(len(groups)), groups) * len(pairs) + place, return_counts=True)
+    docs = pa.StructArray.from_arrays([doc_ids, *map(pa.array, (counts["a_ids"], counts["b_ids"], groups, digests))], names=["doc_id", "n_a", "n_b", "n_groups", "digest"])
+    one = lambda values: pa.array([values], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), docs), one(pairs), one(np.bincount(place, minlength=len(pairs))),
+         pa.array([_packed(np.diff(held, prepend=0))]), pa.array([_packed(often)])], names=["docs", "pairs", "times", "held", "often"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per run: its documents' digests, its distinct linked pairs with their number, and which of them each document links how often."""
-    for batch in batches:
-        for part in _runs(batch):
-            flat = {c: part.column(c).flatten().to_numpy().astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
-            n_a, n_b, groups = (part.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes"))
-            digests = group_digests(*flat.values(), groups, _digits(max(int(flat[c].max(initial=0)) for c in ("a_ids", "b_ids"))))
-            linked = flat["a_ids"][np.cumsum(flat["a_sizes"]) - 1] << 32 | flat["b_ids"][np.cumsum(flat["b_sizes"]) - 1]
-            pairs, place = np.unique(linked, return_inverse=True)
-            # Sorted by document, then pair: steps between neighbours are small; a document's first one starts anew.
-            held, often = np.unique(np.repeat(np.arange(len(groups)), groups) * len(pairs) + place, return_counts=True)
-            docs = pa.StructArray.from_arrays([part.column("doc_id"), *map(pa.array, (n_a, n_b, groups, digests))], names=["doc_id", "n_a", "n_b", "n_groups", "digest"])
-            yield pa.RecordBatch.from_pydict({
-                "docs": pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), docs), "pairs": pa.array([pairs], pa.list_(pa.int64())),
-                "times": pa.array([np.bincount(place, minlength=len(pairs))], pa.list_(pa.int64())),
-                "held": [_packed(np.diff(held, prepend=0))], "often": [_packed(often)]})
-        give_back()
+def align(docs: DataFrame, tokenizers: Tokenizers) -> Alignment:
+    """The groups of A and B tokens that cover the same bytes, per document, and the links of each slice; written once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = Coders.at(tokenizers)
+        for batch in small_slices(batches, limit=SLICE):
+            a, b = coders.encode(batch.column("text").to_pylist())
+            a_ids, a_counts, a_ends = _ends(a, coders.a_length)
+            b_ids, b_counts, b_ends = _ends(b, coders.b_length)
+            a_cut, b_cut = lockstep(a_ends, b_ends)
+            (a_sizes, groups), (b_sizes, _) = _per_text(a_cut, a_counts), _per_text(b_cut, b_counts)
+            flat = {"a_ids": a_ids, "b_ids": b_ids, "a_sizes": a_sizes, "b_sizes": b_sizes}
+            counts = {"a_ids": a_counts, "b_ids": b_counts, "a_sizes": groups, "b_sizes": groups}
+            told, ids = _slice_row(batch.column("doc_id"), flat, counts), batch.column("doc_id")
+            lists = {c: _list(flat[c], counts[c]) for c in flat}
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, **lists, "slice": pa.nulls(len(ids), told.type)})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, ids.type), **{c: pa.nulls(1, x.type) for c, x in lists.items()}, "slice": told})
 
-def _slices(aligned: DataFrame) -> DataFrame:
-    return written(aligned.select("doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(_summed, _SLICES).withColumn("slice", F.monotonically_increasing_id()), "alignment-slices")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    made = written(rows.mapInArrow(run, f"{GROUPS}, slice struct<{_SLICE}>"), "alignment", "zstd")
+    return Alignment(made.where("slice IS NULL").drop("slice"), made.where("slice IS NOT NULL").select(F.monotonically_increasing_id().alias("slice"), "slice.*"))
 
 
 def _asked(slices: DataFrame) -> DataFrame:
@@ -282,9 +271,9 @@ def _counted(asked: DataFrame) -> DataFrame:
     return counts.join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
+def link_counts(aligned: Alignment) -> DataFrame:
     """a_id, b_id, links, best: how often two ids are linked in all documents."""
-    counted = _counted(_asked(_slices(aligned)))
+    counted = _counted(_asked(aligned.slices))
     return counted.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_id"), "links", "best")
 
 
@@ -305,9 +294,8 @@ def _brought_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         give_back()
 
 
-def summaries(aligned: DataFrame) -> DataFrame:
+def summaries(aligned: Alignment) -> DataFrame:
     """Per document: tokens, groups, links, links of the highest count of their B id, sum of counts, digest of the groups."""
-    slices = _slices(aligned)
-    asked = _asked(slices)
+    slices, asked = aligned.slices, _asked(aligned.slices)
     answers = asked.select("slice", "pair").join(_counted(asked), "pair").groupBy(F.col("slice").alias("_slice")).agg(F.array_sort(F.collect_list(F.struct("pair", "links", "best"))).alias("answers"))
-    return slices.join(answers, F.col("slice") == F.col("_slice"), "left").select("docs", "held", "often", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)).alias("answers")).mapInArrow(_brought_back, _SUMMARY)
+    return slices.select("slice", "docs", "held", "often").join(answers, F.col("slice") == F.col("_slice"), "left").select("docs", "held", "often", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)).alias("answers")).mapInArrow(_brought_back, _SUMMARY)

@@ -90,6 +90,20 @@ def test_counts_of_pairs_over_several_slices(spark):
     assert sorted((tuple(r) for r in al.summaries(aligned).collect()), key=str) == plain(rows)
 
 
+def test_groups_cover_the_texts(spark):
+    rows = [(i, t) for i, t in enumerate(texts(30, 4))]
+    coders = al.Coders.at(PATHS)
+    held = {r["doc_id"]: r for r in al.align(frame(spark, rows), PATHS).groups.collect()}
+    assert len(held) == len(rows)
+    for i, text in rows:
+        r, p, q = held[i], 0, 0
+        for n, m in zip(r["a_sizes"], r["b_sizes"], strict=True):
+            a, b = r["a_ids"][p:p + n], r["b_ids"][q:q + m]
+            assert b"".join(coders.a_bytes[x] for x in a) == b"".join(coders.b_bytes[x] for x in b)
+            p, q = p + n, q + m
+        assert b"".join(coders.a_bytes[x] for x in r["a_ids"]) in (b"", b" " + text.encode())
+
+
 def test_empty_table(spark):
     assert al.summaries(al.align(frame(spark, []), PATHS)).collect() == []
 
@@ -108,11 +122,3 @@ def test_fast_encoder_gives_the_file_s_ids():
     for text in texts(200, 3) + [" " * 3000 + "x", "\n" * 50, "a" * 4000, "'S 'll ’s", " x\u0085y​"]:
         assert coder.encode_a(" " + text) == own.encode(" " + text, add_special_tokens=False).ids
 
-
-def test_runs_cut_between_documents(monkeypatch):
-    import pyarrow as pa
-
-    lists = pa.array([[1] * n for n in (5, 9, 1, 30, 2)], pa.list_(pa.int32()))
-    batch = pa.RecordBatch.from_pydict({"a_ids": lists, "b_ids": lists})
-    monkeypatch.setattr(al, "TOKENS", 20)
-    assert [p.num_rows for p in al._runs(batch)] == [1, 2, 1, 1]
