@@ -35,18 +35,23 @@ LIMIT = 1 << 27  # integers below it: 64 squared differences fit a long
 
 
 def integers(vectors: DataFrame, components: int = 64, scale: int = 1024, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and q, the integer components of the vectors that are kept."""
+    """vec_id, q (the integer components) and norm (the sum of their squares) of the vectors that are kept."""
     kept = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     sound = F.forall("x", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))  # NaN is above infinity
     kept = kept.where((F.size("x") == components) & sound)
     whole = kept.select("vec_id", F.transform("x", lambda v: F.floor(v * F.lit(float(scale)))).alias("q"))
-    return whole.where(fail_when(F.exists("q", lambda v: (v >= F.lit(LIMIT)) | (v <= F.lit(-LIMIT))), f"a component is {LIMIT} or more in size")).select("vec_id", F.col("q").cast("array<int>").alias("q"))
+    return whole.where(fail_when(F.exists("q", lambda v: (v >= F.lit(LIMIT)) | (v <= F.lit(-LIMIT))), f"a component is {LIMIT} or more in size")).withColumn("norm", F.aggregate("q", F.lit(0).cast("long"), lambda s, v: s + v * v))
 
 
 def nearest(centroids: list[list[int]], q: str = "q") -> Column:
-    """Struct of the least squared distance and its cluster, the smaller number on ties."""
+    """Struct of the least squared distance and its cluster, the smaller number on ties.
+
+    The distance is the vector's ``norm`` (its squared length) and the centroid's less twice
+    their product, one multiplication a component.
+    """
     def squared(c: list[int]) -> Column:
-        return F.aggregate(F.zip_with(q, F.lit(np.array(c, np.int64)), lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, v: s + v)
+        product = F.aggregate(F.zip_with(q, F.lit(np.array(c, np.int64)), lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.col("norm") + F.lit(sum(x * x for x in c)).cast("long") - 2 * product
 
     return F.array_min(F.array(*[F.struct(squared(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centroids)]))
 
