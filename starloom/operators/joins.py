@@ -26,15 +26,21 @@ def fail_when(test: Column, message: str) -> Column:
     return F.when(test, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
 
 
+def repeats(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Whether a key without nulls repeats, as a scalar sub-query over the keys alone."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return df.select(*keys).where(whole).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.count("*") > 0).scalar()
+
+
 def unique_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same rows, failing in the running job when a key repeats.
 
-    The check is an aggregate on the join keys, whose partitioning the join then
-    uses: no separate counting job and no extra shuffle.
+    The keys alone are counted, map-side first: no value column is aggregated, sorted or
+    moved for the check. A key with a null matches nothing in a join, so such rows may repeat.
     """
-    rest = [c for c in df.columns if c not in keys]
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
-    return counted.where(fail_when(F.col("_n") > 1, f"not unique on {list(keys)}")).select(*df.columns)
+    return df.where(fail_when(repeats(df, keys), f"not unique on {list(keys)}"))
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -229,8 +235,9 @@ def join_tree(views: Mapping[str, DataFrame], base: str, edges: Sequence[Edge],
         side = prefixed[view]
         if relationship in ("many_to_one", "one_to_one"):
             side = unique_side(side, [f"{view}__{k}" for k in rk])
-        if relationship in ("one_to_many", "one_to_one") and parent == base:
-            out = unique_side(out, [f"{parent}__{k}" for k in lk])
+        if relationship in ("one_to_many", "one_to_one"):
+            # The parent's own rows are checked: those joined so far may repeat them through another edge.
+            out = out.where(fail_when(repeats(prefixed[parent], [f"{parent}__{k}" for k in lk]), f"{parent} not unique on {list(lk)}"))
         condition = [F.col(f"{parent}__{l}") == F.col(f"{view}__{r}") for l, r in zip(lk, rk)]
         out = out.join(side, condition, JOIN_TYPES[edge.join_type])
     return out

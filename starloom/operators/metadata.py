@@ -173,23 +173,69 @@ def rule_conflicts(rules: DataFrame) -> DataFrame:
     return per.groupBy("model_id", "conflict_key").agg(F.count("*").alias("n_definitions"), F.sum("_n").alias("n_rules")).where("n_definitions > 1")
 
 
-def shared_contract_groups(assets: DataFrame, measures: DataFrame, existing: DataFrame) -> DataFrame:
-    """Report contracts grouped by signature, with the reuse decision of each group.
+# Words that leave a part of a contract open.
+UNKNOWN_WORDS = ("", "unknown", "tbd", "unresolved")
+_MEASURE = ("measure_id", "expression", "aggregation", "additivity")
 
-    ``assets``: asset_id and the signature columns; ``measures``: asset_id, measure_id,
-    expression, aggregation, additivity; ``existing``: signature columns of built models.
+
+def _open(c: Column) -> Column:
+    return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*UNKNOWN_WORDS)
+
+
+def _signature(df: DataFrame, parts: Sequence[str]) -> Column:
+    """Hash of the context parts; lists count as sets of declarations, so their order does not matter."""
+    kinds = dict(df.dtypes)
+    return F.sha2(F.to_json(F.struct(*[F.array_sort(c).alias(c) if kinds[c].startswith("array") else F.col(c) for c in sorted(parts)])), 256)
+
+
+def unknown_contracts(assets: DataFrame, measures: DataFrame) -> DataFrame:
+    """asset_id of contracts with an open part of the context or an open measure expression; they need a decision first."""
+    parts, kinds = [c for c in assets.columns if c != "asset_id"], dict(assets.dtypes)
+    test = F.lit(False)
+    for c in parts:
+        test = test | (F.coalesce(F.exists(c, _open), F.lit(True)) if kinds[c].startswith("array") else _open(F.col(c)))
+    vague = measures.where(_open(F.col("expression"))).select("asset_id")
+    return assets.where(test).select("asset_id").unionByName(assets.join(vague, "asset_id", "left_semi").select("asset_id")).distinct()
+
+
+def shared_contract_groups(
+    assets: DataFrame, measures: DataFrame, existing: DataFrame, existing_measures: DataFrame,
+    dimensions: DataFrame | None = None, existing_dimensions: DataFrame | None = None,
+) -> DataFrame:
+    """Known report contracts grouped by signature, with the reuse decision of each group.
+
+    ``assets``: asset_id and the context columns; ``measures``: asset_id, measure_id,
+    expression, aggregation, additivity; ``dimensions``: asset_id, dimension; ``existing``:
+    model_id and the context columns; ``existing_measures`` and ``existing_dimensions``
+    likewise by model_id. Contracts with unknown parts (``unknown_contracts``) are left out.
+    A group may reuse a model only of its own signature that has all its measures, equal in
+    every part, and all its dimensions.
     """
     parts = [c for c in assets.columns if c != "asset_id"]
-    sig = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(parts)])), 256)
-    tagged = assets.select("asset_id", sig.alias("signature"))
+    known = assets.join(unknown_contracts(assets, measures), "asset_id", "left_anti")
+    tagged = known.select("asset_id", _signature(assets, parts).alias("signature"))
+    models = existing.select("model_id", _signature(existing, parts).alias("signature"))
     group = tagged.groupBy("signature").agg(F.count("*").alias("n_assets"))
-    versions = tagged.join(measures, "asset_id").groupBy("signature", "measure_id", "expression", "aggregation", "additivity").agg(F.count("*").alias("_n"))
+    versions = tagged.join(measures, "asset_id").select("signature", *_MEASURE).distinct()
     summable = F.col("aggregation").isin("sum", "count") & (F.col("additivity") == "additive")
     per_measure = versions.groupBy("signature", "measure_id").agg(F.count("*").alias("_v"), F.min(summable.cast("int")).alias("_add"))
     per_group = per_measure.groupBy("signature").agg(F.max("_v").alias("_v"), F.min("_add").alias("_add"), F.count("*").alias("n_measures"))
-    built = existing.select(sig.alias("signature")).distinct().withColumn("_built", F.lit(True))
+
+    def held(wanted: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Models that have every wanted row of their signature (those without any are not listed)."""
+        asked = wanted.groupBy("signature").agg(F.count("*").alias("_asked"))
+        there = models.join(rows.select("model_id", *columns).distinct(), "model_id")
+        same = [F.col(f"_w.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in ("signature", *columns)]
+        met = wanted.alias("_w").join(there.alias("_t"), same).groupBy("_t.model_id").agg(F.count("*").alias("_met"))
+        return models.join(asked, "signature", "left").join(met, "model_id", "left").where("coalesce(_met, 0) = coalesce(_asked, 0)").select("model_id", "signature")
+
+    fit = held(versions, existing_measures, _MEASURE)
+    if dimensions is not None:
+        asked = tagged.join(dimensions, "asset_id").select("signature", "dimension").distinct()
+        fit = fit.join(held(asked, existing_dimensions, ["dimension"]).select("model_id"), "model_id", "left_semi")
+    built = fit.select("signature").distinct().withColumn("_built", F.lit(True))
     disposition = (
         F.when(F.col("_v") > 1, "needs_decision").when(F.col("_built"), "reuse_candidate").when(F.col("n_assets") < 2, "keep_separate")
-        .when(F.col("_add") == 1, "shared_aggregate_candidate").otherwise("shared_detail_candidate"))
-    joined = group.join(per_group, "signature").join(built, "signature", "left")
-    return joined.select("signature", "n_assets", "n_measures", disposition.alias("disposition"))
+        .when(F.coalesce("_add", F.lit(1)) == 1, "shared_aggregate_candidate").otherwise("shared_detail_candidate"))
+    joined = group.join(per_group, "signature", "left").join(built, "signature", "left")
+    return joined.select("signature", "n_assets", F.coalesce("n_measures", F.lit(0)).alias("n_measures"), disposition.alias("disposition"))

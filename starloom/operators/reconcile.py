@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.operators.aggregates import worst_status
 from starloom.operators.sets import union_checks
@@ -16,12 +18,19 @@ NUMERIC = ("integer", "decimal", "number")
 
 @dataclass(frozen=True)
 class ColumnRule:
-    """Type, null rule and tolerance of one compared column."""
+    """Type, null rule and tolerance of one compared column.
+
+    A tolerance is taken as the decimal it is written as, so 0.29 is 0.29.
+    """
 
     type: str
     nullable: bool = True
-    abs_tolerance: float = 0.0
-    rel_tolerance: float = 0.0
+    abs_tolerance: float | str | Decimal = 0
+    rel_tolerance: float | str | Decimal = 0
+
+    @property
+    def tolerances(self) -> tuple[Decimal, Decimal]:
+        return Decimal(str(self.abs_tolerance)), Decimal(str(self.rel_tolerance))
 
 
 @dataclass(frozen=True)
@@ -36,26 +45,107 @@ class ResultContract:
         return [c for c in self.columns if c not in self.keys]
 
 
-def within_tolerance(expected: Column, actual: Column, rule: ColumnRule) -> Column:
-    """``|a-b| <= max(abs, rel*|expected|)``; null equals only null."""
-    if rule.type not in NUMERIC or not (rule.abs_tolerance or rule.rel_tolerance):
+def _digits(kind: T.DataType) -> tuple[int, int] | None:
+    """Whole and fractional digits of an exact number type; None for others."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    return {T.ByteType: (3, 0), T.ShortType: (5, 0), T.IntegerType: (10, 0), T.LongType: (19, 0)}.get(type(kind))
+
+
+def within_tolerance(expected: Column, actual: Column, rule: ColumnRule, kinds: tuple[T.DataType, T.DataType] | None = None) -> Column:
+    """``|a-b| <= max(abs, rel*|expected|)``; null equals only null.
+
+    With the types of both sides given and both of them whole numbers or decimals, the
+    test is exact: tolerances become whole numbers of a power of ten and both sides of
+    the comparison are decimals. More than 38 digits are refused. Other numbers are
+    compared as doubles.
+    """
+    absolute, relative = rule.tolerances
+    if rule.type not in NUMERIC or not (absolute or relative):
         return expected.eqNullSafe(actual)
-    allowed = F.greatest(F.lit(rule.abs_tolerance), F.lit(rule.rel_tolerance) * F.abs(expected))
     both_null = expected.isNull() & actual.isNull()
-    return both_null | F.coalesce(F.abs(expected - actual) <= allowed, F.lit(False))
+    digits = [_digits(k) for k in kinds] if kinds else [None]
+    if None in digits:
+        allowed = F.greatest(F.lit(float(absolute)), F.lit(float(relative)) * F.abs(expected))
+        return both_null | F.coalesce(F.abs(expected - actual) <= allowed, F.lit(False))
+    places = max(0, -absolute.as_tuple().exponent, -relative.as_tuple().exponent)
+    whole, scale = max(d[0] for d in digits) + 1, max(d[1] for d in digits)
+    factors = [int(t.scaleb(places)) for t in (Decimal(1), relative, absolute)]
+    needed = whole + scale + max(len(str(f)) for f in factors) + 1
+    if needed > 38:
+        raise ValueError(f"the tolerance of a {rule.type} column needs {needed} digits; give a narrower type or fewer decimals")
+    held = f"decimal({whole + scale},{scale})"
+    by = lambda c, f: c * F.lit(Decimal(f)).cast(f"decimal({len(str(f))},0)")
+    gap = by(F.abs(expected.cast(held) - actual.cast(held)), factors[0])
+    allowed = F.greatest(by(F.abs(expected.cast(held)), factors[1]), F.lit(Decimal(factors[2])).cast(f"decimal({len(str(factors[2]))},0)"))
+    return both_null | F.coalesce(gap <= allowed, F.lit(False))
+
+
+LEAF_BITS = 18
+
+
+def _leaf(keys: Sequence[str]) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - LEAF_BITS)
+
+
+def leaf_digests(df: DataFrame, contract: ResultContract) -> DataFrame:
+    """A digest per bucket of keys: ``leaf``, ``digest``, and ``refused`` where a key is null or may repeat.
+
+    Level one folds the rows of a key's hash to their number and two hashes of all compared
+    columns; level two adds those up per leaf. Only hashes leave a map task, never a value;
+    a key that many rows share is folded there first. Equal digests mean equal rows up to a
+    coincidence of 128 bits.
+    """
+    keys, columns = list(contract.keys), [*contract.keys, *contract.values]
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    rows = df.select(F.xxhash64(*keys).alias("_k"), F.xxhash64(*columns).cast("decimal(20,0)").alias("_h"), F.xxhash64(F.lit(1), *columns).alias("_g"), null.alias("_null"))
+    of_key = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.sum("_h").alias("_h"), F.bit_xor("_g").alias("_g"), F.max("_null").alias("_null"))
+    folded = of_key.groupBy(F.shiftrightunsigned("_k", 64 - LEAF_BITS).alias("leaf")).agg(
+        F.sum("_n").alias("n"), F.sum("_h").alias("h"), F.bit_xor("_g").alias("g"), F.max((F.col("_n") > 1) | F.col("_null")).alias("refused"))
+    return folded.select("leaf", F.struct("n", "h", "g").alias("digest"), "refused")
+
+
+def differing_leaves(expected: DataFrame, actual: DataFrame, contract: ResultContract) -> DataFrame:
+    """Leaves that hold a finding or may hold one; at most ``2 ** LEAF_BITS`` rows."""
+    e = leaf_digests(expected, contract).select(F.col("leaf").alias("_el"), F.struct("digest", "refused").alias("_e"))
+    a = leaf_digests(actual, contract).select(F.col("leaf").alias("_al"), F.struct("digest", "refused").alias("_a"))
+    joined = e.join(a, F.col("_el") == F.col("_al"), "full_outer")
+    same = F.col("_e.digest").eqNullSafe(F.col("_a.digest")) & ~F.coalesce("_e.refused", F.lit(False)) & ~F.coalesce("_a.refused", F.lit(False))
+    return joined.where(~same).select(F.coalesce("_el", "_al").alias("_leaf"))
+
+
+def _aligned(expected: DataFrame, actual: DataFrame, contract: ResultContract) -> tuple[DataFrame, DataFrame]:
+    """Both sides' contract columns; numbers of unlike types are cast to one, so that equal ones have equal hashes."""
+    kinds = [{f.name: f.dataType for f in df.schema} for df in (expected, actual)]
+    number = lambda t: isinstance(t, T.NumericType)
+    unlike = [c for c in contract.columns if kinds[0][c] != kinds[1][c] and number(kinds[0][c]) and number(kinds[1][c])]
+    if not unlike:
+        return expected.select(*contract.columns), actual.select(*contract.columns)
+    shared = expected.select(*unlike).limit(0).unionByName(actual.select(*unlike).limit(0)).schema
+    to = {f.name: f.dataType for f in shared}
+    cast = lambda df: df.select(*[F.col(c).cast(to[c]).alias(c) if c in to else F.col(c) for c in contract.columns])
+    return cast(expected), cast(actual)
 
 
 def keyed_diff(expected: DataFrame, actual: DataFrame, contract: ResultContract) -> DataFrame:
     """One row per missing key, extra key, differing value, repeated key and null key.
 
-    Each side is folded to one row per key first, which is also its only shuffle;
-    one full outer join on the same partitioning follows. A key that repeats on
-    either side gives one ``duplicate_key`` finding with both counts, a key with a
-    null one ``null_key`` finding; neither is compared further, so nothing multiplies.
+    Both sides are first compared by digests of key buckets (``differing_leaves``); only
+    rows of buckets that differ go on, by a broadcast of the leaves, whose number is
+    bounded. So equal sides shuffle hashes alone, and nearly equal ones little more. What
+    goes on is folded to one row per key, then joined on the same partitioning. A key that
+    repeats on either side gives one ``duplicate_key`` finding with both counts, a key with
+    a null one ``null_key`` finding; neither is compared further, so nothing multiplies.
     """
     keys, values = list(contract.keys), contract.values
+    expected, actual = _aligned(expected, actual, contract)
+    leaves = F.broadcast(differing_leaves(expected, actual, contract))  # at most 2 ** LEAF_BITS rows of one number
+    kinds = {c: (expected.schema[c].dataType, actual.schema[c].dataType) for c in values}
 
     def side(df: DataFrame, mark: str) -> DataFrame:
+        df = df.join(leaves, _leaf(keys) == F.col("_leaf"), "left_semi")
         folded = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(v).alias(v) for v in values])
         return folded.select(*[F.col(k).alias(f"_{mark}_{k}") for k in keys], F.struct("_n", *values).alias(f"_{mark}"))
 
@@ -74,7 +164,7 @@ def keyed_diff(expected: DataFrame, actual: DataFrame, contract: ResultContract)
         )
 
     changed = F.array_compact(F.array(*[
-        F.when(~within_tolerance(F.col("_e")[c], F.col("_a")[c], contract.columns[c]), finding("value_mismatch", c, c))
+        F.when(~within_tolerance(F.col("_e")[c], F.col("_a")[c], contract.columns[c], kinds[c]), finding("value_mismatch", c, c))
         for c in values
     ])) if values else F.array().cast("array<struct<kind:string,column_name:string,expected:string,actual:string>>")
     has_null = F.lit(False)

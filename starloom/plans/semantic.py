@@ -37,11 +37,15 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 
 @dataclass(frozen=True)
 class Pivot:
-    """Turn the values of one asked dimension into columns; all other values, null too, share the column ``rest``."""
+    """Turn the values of one asked dimension into columns; all other values, null too, share the column ``rest``.
+
+    ``rest`` must not be one of the values. ``limit`` refuses more columns than that.
+    """
 
     dim: str
     values: Sequence[str]
     rest: str = "other"
+    limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -141,7 +145,8 @@ class SemanticModel:
         column of each value (``value`` or, with several measures, ``value_measure``).
         ``totals`` adds every subtotal, its dimensions shown as ``(all)``. ``fill``
         names a date dimension whose days without rows are shown too, from the first
-        to the last day of the population before the asked filters, counts as 0.
+        to the last day of the population before the asked filters, counts as 0; rows
+        without a day stay as they are.
         ``calculations`` are computed on the result, in the order of ``sorts``.
         """
         measures = measures or {}
@@ -181,21 +186,30 @@ class SemanticModel:
         return out
 
     def _pivoted(self, rows: DataFrame, dims: Mapping, chosen: Sequence[Column], aggs: Sequence[Column], pivot: Pivot) -> DataFrame:
+        if pivot.rest in pivot.values or len(set(pivot.values)) < len(pivot.values):
+            raise ValueError(f"the columns of a pivot must differ: {[*pivot.values, pivot.rest]}")
+        if pivot.limit is not None and (len(pivot.values) + 1) * len(aggs) > pivot.limit:
+            raise ValueError(f"a pivot of {(len(pivot.values) + 1) * len(aggs)} columns; {pivot.limit} are allowed")
         at = list(dims).index(pivot.dim)
         shown = F.when(chosen[at].isin(*pivot.values), chosen[at].cast("string")).otherwise(F.lit(pivot.rest))
         others = [c for k, c in enumerate(chosen) if k != at]
         return rows.withColumn("_pivot", shown).groupBy(*others).pivot("_pivot", [*pivot.values, pivot.rest]).agg(*aggs)
 
     def _filled(self, out: DataFrame, dims: Mapping, measures: Mapping[str, str], fill: str, user, time_zone: str | None) -> DataFrame:
-        if list(dims) != [fill]:
-            raise ValueError("fill takes one dimension")
-        day = self._dimension(dims[fill], time_zone).cast("date")
+        if fill not in dims:
+            raise ValueError("fill names a dimension of the query")
+        day, others = self._dimension(dims[fill], time_zone).cast("date"), [a for a in dims if a != fill]
         # The days shown do not depend on the filters asked for, only on access and fixed ones.
         bounds = self.rows(user, {}, [day]).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-        days = bounds.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias(fill))
+        dated = out.withColumn(fill, F.col(fill).cast("date"))
+        # Beside other dimensions every combination that the result has gets all days.
+        spread = F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar()))
+        days = dated.select(*others).distinct().select(*others, spread.alias(fill)) if others else bounds.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias(fill))
         counted = {alias for alias, m in measures.items() if self.measures[m].aggregate in ("count", "count_distinct")}
-        joined = days.join(out.withColumn(fill, F.col(fill).cast("date")), fill, "left")
-        return joined.select(fill, *[F.coalesce(a, F.lit(0)).alias(a) if a in counted else F.col(a) for a in measures])
+        spine = days.select(*[F.col(c).alias(f"_s_{c}") for c in dims])
+        joined = spine.join(dated, [F.col(f"_s_{c}").eqNullSafe(F.col(c)) for c in dims], "left").select(
+            *[F.col(f"_s_{c}").alias(c) for c in dims], *[F.coalesce(a, F.lit(0)).alias(a) if a in counted else F.col(a) for a in measures])
+        return joined.unionByName(dated.where(F.col(fill).isNull()).select(*dims, *measures))
 
     def lineage(self, dims: Mapping[str, str], measures: Mapping[str, str], filters: Mapping[str, Mapping] | None = None) -> dict[str, dict[str, list[str]]]:
         """Physical fields behind each output, and the fields that set its population."""

@@ -185,28 +185,43 @@ def rule_conflicts(spark, sf):
     return m.rule_conflicts(rules)
 
 
-CTES["assets"] = "SELECT c_custkey AS asset_id, c_nationkey AS grain, c_mktsegment AS population FROM customer"
+CTES["assets"] = "SELECT c_custkey AS asset_id, c_nationkey AS grain, CASE WHEN c_custkey % 50 = 7 THEN ' TBD ' ELSE c_mktsegment END AS population FROM customer"
 CTES["asset_measures"] = """
-SELECT o_custkey AS asset_id, 'm' || substr(o_orderpriority, 1, 1) AS measure_id, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 499000 THEN 'b' ELSE 'a' END AS expression,
+SELECT o_custkey AS asset_id, 'm' || substr(o_orderpriority, 1, 1) AS measure_id,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 1000 = 3 THEN 'Unknown' WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 499000 THEN 'b' ELSE 'a' END AS expression,
        CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 100 = 0 THEN 'ratio' ELSE 'sum' END AS aggregation FROM orders"""
 
 
 @query("shared_contract_groups", """
-WITH g AS (SELECT grain, population, count(*) AS n_assets FROM assets GROUP BY 1, 2),
-v AS (SELECT DISTINCT grain, population, measure_id, expression, aggregation FROM assets JOIN asset_measures USING (asset_id)),
+WITH open AS (SELECT asset_id FROM assets WHERE population = ' TBD ' UNION SELECT asset_id FROM asset_measures WHERE expression = 'Unknown' AND asset_id IN (SELECT asset_id FROM assets)),
+known AS (SELECT * FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM open)),
+g AS (SELECT grain, population, count(*) AS n_assets FROM known GROUP BY 1, 2),
+v AS (SELECT DISTINCT grain, population, measure_id, expression, aggregation FROM known JOIN asset_measures USING (asset_id)),
+w AS (SELECT DISTINCT grain, population, o_orderstatus AS dimension FROM known JOIN orders ON asset_id = o_custkey),
 k AS (SELECT grain, population, measure_id, count(*) AS v, min(CASE WHEN aggregation IN ('sum', 'count') THEN 1 ELSE 0 END) AS a FROM v GROUP BY 1, 2, 3),
-s AS (SELECT grain, population, max(v) AS v, min(a) AS a, count(*) AS n_measures FROM k GROUP BY 1, 2)
-SELECT n_assets, n_measures, CASE WHEN v > 1 THEN 'needs_decision' WHEN grain < 3 AND population = 'BUILDING' THEN 'reuse_candidate' WHEN n_assets < 2 THEN 'keep_separate' WHEN a = 1 THEN 'shared_aggregate_candidate' ELSE 'shared_detail_candidate' END AS disposition, count(*) AS n_groups
-FROM g JOIN s USING (grain, population) GROUP BY ALL""")
+s AS (SELECT grain, population, max(v) AS v, min(a) AS a, count(*) AS n_measures FROM k GROUP BY 1, 2),
+lacking AS (SELECT grain, population FROM v WHERE expression <> 'a' OR aggregation <> 'sum' OR (grain >= 3 AND measure_id > 'm3') UNION SELECT grain, population FROM w WHERE grain = 2 AND dimension = 'P')
+SELECT n_assets, coalesce(n_measures, 0) AS n_measures, CASE WHEN v > 1 THEN 'needs_decision' WHEN grain < 6 AND population = 'BUILDING' AND (grain, population) NOT IN (SELECT (grain, population) FROM lacking) THEN 'reuse_candidate'
+  WHEN n_assets < 2 THEN 'keep_separate' WHEN coalesce(a, 1) = 1 THEN 'shared_aggregate_candidate' ELSE 'shared_detail_candidate' END AS disposition, count(*) AS n_groups
+FROM g LEFT JOIN s USING (grain, population) GROUP BY ALL
+UNION ALL SELECT 1, NULL, 'needs_decision', count(*) FROM open""")
 def shared_contract_groups(spark, sf):
-    assets = table(spark, sf, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_nationkey").alias("grain"), F.col("c_mktsegment").alias("population"))
-    measures = table(spark, sf, "orders").select(
+    """Models of six grains: of three and more they lack two measures, of grain 2 a dimension; some contracts are open."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    assets = c.select(F.col("c_custkey").alias("asset_id"), F.col("c_nationkey").alias("grain"), F.when(F.col("c_custkey") % 50 == 7, " TBD ").otherwise(F.col("c_mktsegment")).alias("population"))
+    priority = F.col("o_orderpriority")
+    measures = o.select(
         F.col("o_custkey").alias("asset_id"), F.concat(F.lit("m"), F.substring("o_orderpriority", 1, 1)).alias("measure_id"),
-        F.when((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_totalprice") > 499000), "b").otherwise("a").alias("expression"),
-        F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 100 == 0), "ratio").otherwise("sum").alias("aggregation"), F.lit("additive").alias("additivity"))
-    existing = assets.where("grain < 3 AND population = 'BUILDING'").drop("asset_id").distinct()
-    groups = m.shared_contract_groups(assets, measures, existing)
-    return groups.groupBy("n_assets", "n_measures", "disposition").agg(F.count("*").alias("n_groups"))
+        F.when((priority == "1-URGENT") & (F.col("o_orderkey") % 1000 == 3), "Unknown").when((priority == "3-MEDIUM") & (F.col("o_totalprice") > 499000), "b").otherwise("a").alias("expression"),
+        F.when((priority == "5-LOW") & (F.col("o_custkey") % 100 == 0), "ratio").otherwise("sum").alias("aggregation"), F.lit("additive").alias("additivity"))
+    dimensions = o.select(F.col("o_custkey").alias("asset_id"), F.col("o_orderstatus").alias("dimension"))
+    models = table(spark, sf, "nation").where("n_nationkey < 6").select(F.concat(F.lit("model"), "n_nationkey").alias("model_id"), F.col("n_nationkey").alias("grain"), F.lit("BUILDING").alias("population"))
+    each = lambda values, name: models.select("model_id", "grain", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    have = each(["m1", "m2", "m3", "m4", "m5"], "measure_id").where("grain < 3 OR measure_id <= 'm3'").select("model_id", "measure_id", F.lit("a").alias("expression"), F.lit("sum").alias("aggregation"), F.lit("additive").alias("additivity"))
+    shown = each(["F", "O", "P"], "dimension").where("grain <> 2 OR dimension <> 'P'").select("model_id", "dimension")
+    groups = m.shared_contract_groups(assets, measures, models, have, dimensions, shown).groupBy("n_assets", "n_measures", "disposition").agg(F.count("*").alias("n_groups"))
+    undecided = m.unknown_contracts(assets, measures).agg(F.count("*").alias("n_groups"))
+    return groups.unionByName(undecided.select(F.lit(1).cast("long").alias("n_assets"), F.lit(None).cast("long").alias("n_measures"), F.lit("needs_decision").alias("disposition"), "n_groups"))
 
 
 # ------------------------------------------------------------------ coverage

@@ -139,12 +139,25 @@ def join_lod(spark, sf):
 
 
 @query("join_topic_tree", """
-SELECT r_name AS region__r_name, c_mktsegment AS customer__c_mktsegment, count(*) AS n_orders
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
+WITH classes AS (SELECT s_nationkey, s_acctbal < 0 AS in_debt, count(*) AS n FROM supplier GROUP BY 1, 2),
+priorities AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT n_name AS nation__n_name, in_debt AS classes__in_debt, o_orderpriority AS priorities__o_orderpriority, count(DISTINCT c_custkey) AS n_customers, CAST(sum(p.n) AS BIGINT) AS n_orders, CAST(max(k.n) AS BIGINT) AS n_suppliers
+FROM nation LEFT JOIN classes k ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN priorities p ON o_custkey = c_custkey GROUP BY 1, 2, 3""")
 def join_topic_tree(spark, sf):
-    views, edges = d.sales_views(spark, sf)
-    tree = j.join_tree(views, "orders", edges, ["region", "customer"])
-    return tree.groupBy("region__r_name", "customer__c_mktsegment").agg(F.count("*").alias("n_orders"))
+    """From nations outward: two one-to-many edges at the base and a third below, each checked on its own view.
+
+    The child facts are summed to a few rows per parent before they meet, so nothing multiplies with the data.
+    """
+    t = lambda n: table(spark, sf, n)
+    views = {
+        "nation": t("nation").select("n_nationkey", "n_name"), "customer": t("customer").select("c_custkey", "c_nationkey"),
+        "classes": t("supplier").groupBy("s_nationkey", (F.col("s_acctbal") < 0).alias("in_debt")).agg(F.count("*").alias("n")),
+        "priorities": t("orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))}
+    edges = [j.Edge("nation", "classes", ("n_nationkey",), ("s_nationkey",), relationship="one_to_many"),
+             j.Edge("customer", "nation", ("c_nationkey",), ("n_nationkey",)), j.Edge("priorities", "customer", ("o_custkey",), ("c_custkey",))]
+    tree = j.join_tree(views, "nation", edges, ["classes", "customer", "priorities"])
+    return tree.groupBy("nation__n_name", "classes__in_debt", "priorities__o_orderpriority").agg(
+        F.count_distinct("customer__c_custkey").alias("n_customers"), F.sum("priorities__n").alias("n_orders"), F.max("classes__n").alias("n_suppliers"))
 
 
 @query("join_declared_types", """

@@ -123,10 +123,10 @@ def semantic_field_lineage(spark, sf):
 
 @query("query_pivot", """
 SELECT order_month, CAST(sum(c) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS "F", CAST(sum(c) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS "O",
-       CAST(sum(c) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS BIGINT) AS other FROM orders_c GROUP BY 1""")
+       CAST(sum(c) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS BIGINT) AS "P*" FROM orders_c GROUP BY 1""")
 def query_pivot(spark, sf):
     """Two statuses asked for; every other one is in the rest column."""
-    return sales_model(spark, sf).query({"order_month": "month", "status": "orders__o_orderstatus"}, {"revenue": "revenue"}, pivot=Pivot("status", ["F", "O"]))
+    return sales_model(spark, sf).query({"order_month": "month", "status": "orders__o_orderstatus"}, {"revenue": "revenue"}, pivot=Pivot("status", ["F", "O"], rest="P*", limit=3))
 
 
 @query("query_totals", """
@@ -137,15 +137,19 @@ def query_totals(spark, sf):
 
 
 def events_model(spark, sf) -> SemanticModel:
-    return SemanticModel(base="events", views={"events": table(spark, sf, "events")}, measures={"n": Measure("count")}, dimensions={"day": F.col("events__ts").cast("date")})
+    """Events of some users carry no day."""
+    day = F.when(F.col("events__user_id") % 97 != 5, F.col("events__ts").cast("date"))
+    return SemanticModel(base="events", views={"events": table(spark, sf, "events")}, measures={"n": Measure("count")}, dimensions={"day": day})
 
 
 @query("query_fill", """
-WITH days AS (SELECT CAST(unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM events), (SELECT max(date_trunc('day', ts)) FROM events), INTERVAL 1 DAY)) AS DATE) AS day)
-SELECT CAST(d.day AS VARCHAR) AS day, count(e.event_id) AS large_purchases FROM days d
-LEFT JOIN (SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND value > 100) e ON d.day = e.day GROUP BY 1""")
+WITH e AS (SELECT event_type, value, CASE WHEN user_id % 97 <> 5 THEN CAST(ts AS DATE) END AS day FROM events),
+days AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM e), (SELECT max(day) FROM e), INTERVAL 1 DAY)) AS DATE) AS day),
+large AS (SELECT event_type, day, count(*) AS n FROM e WHERE value > 100 GROUP BY 1, 2)
+SELECT CAST(d.day AS VARCHAR) AS day, t.event_type, coalesce(n, 0) AS large_events FROM days d CROSS JOIN (SELECT DISTINCT event_type FROM large) t LEFT JOIN large l ON l.day = d.day AND l.event_type = t.event_type
+UNION ALL SELECT NULL, event_type, n FROM large WHERE day IS NULL""")
 def query_fill(spark, sf):
-    out = events_model(spark, sf).query({"day": "day"}, {"large_purchases": "n"}, filters={"events__event_type": {"is": "purchase"}, "events__value": {"greater_than": 100}}, fill="day")
+    out = events_model(spark, sf).query({"day": "day", "event_type": "events__event_type"}, {"large_events": "n"}, filters={"events__value": {"greater_than": 100}}, fill="day")
     return out.withColumn("day", F.col("day").cast("string"))
 
 
