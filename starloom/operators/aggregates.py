@@ -34,25 +34,45 @@ def listed_values(df: DataFrame, groups: Sequence[str], value: str, position: st
     return distinct.withColumn(position, F.row_number().over(W.partitionBy(*groups).orderBy(value)))
 
 
-def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, percent: float, out: str, buckets: int = 512) -> DataFrame:
+def rank_bracket(df: DataFrame, groups: Sequence[str], value: str, percent: float, accuracy: int) -> DataFrame:
+    """Per group its rows and two values that enclose the ranks of the percentile.
+
+    A quantile sketch, merged from all tasks, is off by at most one part in ``accuracy``
+    of the rows; the values are taken three such parts to either side. A group of no more
+    than ``accuracy`` rows is enclosed whole.
+    """
+    reach, at = 3.0 / accuracy, percent / 100.0
+    ends = F.percentile_approx(F.col(value).cast("double"), [max(0.0, at - reach), min(1.0, at + reach)], accuracy)
+    found = df.groupBy(*groups).agg(F.count("*").alias("_total"), ends.alias("_ends"), F.min(F.col(value).cast("double")).alias("_min"), F.max(F.col(value).cast("double")).alias("_max"))
+    small = F.col("_total") <= accuracy
+    low = F.col("_min") if at <= reach else F.when(small, F.col("_min")).otherwise(F.col("_ends")[0])
+    high = F.col("_max") if at >= 1 - reach else F.when(small, F.col("_max")).otherwise(F.col("_ends")[1])
+    return found.select(*groups, "_total", low.alias("_lo"), high.alias("_hi"))
+
+
+def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, percent: float, out: str, buckets: int = 256, accuracy: int = 4096) -> DataFrame:
     """Exact interpolated percentile (0-100) that never holds one group in one task.
 
-    Rows collapse to (group, value) counts. Each group's value range is cut into
-    ``buckets`` slices; a window over slice totals finds the slices holding the
-    two target ranks, and only their values are ranked.
+    The first read sketches each group and gives two values that enclose the wanted ranks,
+    few parts in ``accuracy`` of the rows apart, however the values lie (a far outlier is
+    outside). The second read counts what is below, which one number per task and group
+    does, and counts the values inside; only they move. They are cut into ``buckets``
+    slices, and only the slices that hold the ranks are ordered. Ranks come from exact
+    counts; a rank outside its bracket, which the sketch's bound excludes, stops the job.
     """
     if not groups:
-        whole = percentile_exact(df.withColumn("_all", F.lit(1)), ["_all"], value, percent, out, buckets)
+        whole = percentile_exact(df.withColumn("_all", F.lit(1)), ["_all"], value, percent, out, buckets, accuracy)
         return whole.drop("_all")
-    groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    limits = counts.groupBy(*groups).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
-    )
-    joined = counts.join(limits, groups)
-    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / buckets
-    share = (F.col(value).cast("double") - F.col("_lo").cast("double")) / F.nullif(width, F.lit(0.0))
-    sliced = joined.withColumn("_slice", F.coalesce(F.floor(share), F.lit(0)))
+    groups, at = list(groups), F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
+    bracket = rank_bracket(rows, groups, value, percent, accuracy).select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_total", "_lo", "_hi")
+    near = rows.join(bracket, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]).where(at <= F.col("_hi"))
+    # All values below the bracket are one key, so their number is folded before it moves.
+    held = near.select(*groups, F.when(at >= F.col("_lo"), F.col(value)).alias(value), "_total", "_lo", "_hi")
+    counts = held.groupBy(*groups, value, "_total", "_lo", "_hi").agg(F.count("*").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    share = (at - F.col("_lo")) / F.nullif(width, F.lit(0.0))
+    sliced = counts.withColumn("_slice", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(F.floor(share), F.lit(0))))
     rank = (F.col("_total") - 1) * (percent / 100.0)
     by_slice = W.partitionBy(*groups).orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     slices = (
@@ -60,21 +80,17 @@ def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, percent:
         .agg(F.sum("_n").alias("_m"))
         .withColumn("_before", F.sum("_m").over(by_slice) - F.col("_m"))
         .where((F.col("_before") <= F.ceil(rank)) & (F.col("_before") + F.col("_m") > F.floor(rank)))
-        .drop("_m", "_total")
+        .select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_slice").alias("_s"), "_before")
     )
     inside = W.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = sliced.join(slices, [*groups, "_slice"]).withColumn(
-        "_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n")
-    )
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    ranked = sliced.join(slices, [*same, F.col("_slice") == F.col("_s")]).withColumn("_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
     last = F.col("_first") + F.col("_n") - 1
-    low = F.when((F.col("_first") <= F.floor(rank)) & (last >= F.floor(rank)), F.col(value))
-    high = F.when((F.col("_first") <= F.ceil(rank)) & (last >= F.ceil(rank)), F.col(value))
-    edges = ranked.groupBy(*groups).agg(
-        F.max(low).cast("double").alias("_a"),
-        F.max(high).cast("double").alias("_b"),
-        F.max(rank - F.floor(rank)).alias("_f"),
-    )
-    return edges.select(*groups, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))
+    low = F.when((F.col("_first") <= F.floor(rank)) & (last >= F.floor(rank)), at)
+    high = F.when((F.col("_first") <= F.ceil(rank)) & (last >= F.ceil(rank)), at)
+    edges = ranked.groupBy(*groups).agg(F.max(low).alias("_a"), F.max(high).alias("_b"), F.max(rank - F.floor(rank)).alias("_f"))
+    sound = edges.where(fail_when(F.col("_a").isNull() | F.col("_b").isNull(), "a rank lies outside its bracket"))
+    return sound.select(*groups, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))
 
 
 def once_per_key(df: DataFrame, groups: Sequence[str], key: str, value: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_equal_sides_shuffle_digests_only(spark, tmp_path):
         df.write.parquet(str(tmp_path / name))
     e, a = (spark.read.parquet(str(tmp_path / n)) for n in "ea")
     plan = final_plan(r.keyed_diff(e, a, CONTRACT))
-    assert "Exchange" not in plan or "first(v" not in plan
+    assert "EmptyRelation" in plan and not any(x in plan for x in ("Exchange", "SortMergeJoin", "first("))
     changed = a.withColumn("v", F.when(F.col("k") == 77, 99).otherwise(F.col("v")))
     assert rows(r.keyed_diff(e, changed, CONTRACT)) == [(77, "value_mismatch", "v", "0", "99")]
     few = r.differing_leaves(e, changed, CONTRACT)
