@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from starloom.functions.scalars import surrogate_key
+from starloom.operators import prefix
 from starloom.operators.windows import next_value, time_slice
 
 
@@ -70,8 +71,13 @@ def normalize_history(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     return typed.distinct()
 
 
-def history_from_versions(df: DataFrame, keys: Sequence[str], at: str, unit: str = "month") -> DataFrame:
-    """Half-open intervals from versions: each ends where the next one starts."""
+def history_from_versions(df: DataFrame, keys: Sequence[str], at: str, unit: str | None = None) -> DataFrame:
+    """Half-open intervals from versions: each ends where the next one starts.
+
+    Without ``unit`` by ranges of the rows (``prefix``); with it, lazily, by slices of time.
+    """
+    if unit is None:
+        return prefix.next_value(df.withColumnRenamed(at, "valid_from"), keys, ["valid_from"], "valid_from", "valid_to")
     out = next_value(df.withColumnRenamed(at, "valid_from"), keys, ["valid_from"], "valid_from",
                      time_slice("valid_from", unit), "valid_to")
     return out

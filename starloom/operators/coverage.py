@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators import prefix
+
 
 def scope_status(objects: DataFrame, assignments: DataFrame, models: DataFrame) -> DataFrame:
     """assigned / excluded / unresolved per object, with conflicts and missing targets.
@@ -154,12 +156,11 @@ def attempt_tally(attempts: DataFrame, case: Sequence[str], order: str, matched:
         F.when(F.sum("_unknown") == 0, F.sum("_u")).alias("usage_total"), (F.sum("_n") - F.sum("_unknown")).alias("usage_known"))
 
 
-def chain_findings(events: DataFrame, chain: Sequence[str], order: Sequence[str], at: str, link: str, digest: str, slice_: Column) -> DataFrame:
-    """Events whose time runs backwards or whose link is not the digest of the row before."""
-    from starloom.operators.windows import previous_value
+def chain_findings(events: DataFrame, chain: Sequence[str], order: Sequence[str], at: str, link: str, digest: str) -> DataFrame:
+    """Events whose time runs backwards or whose link is not the digest of the row before; ordered by ranges, so a busy chain is split."""
 
     packed = events.withColumn("_state", F.struct(F.col(at).alias("at"), F.col(digest).alias("digest")))
-    seen = previous_value(packed, chain, order, "_state", slice_, "_prev")
+    seen = prefix.previous_value(packed, chain, order, "_state", "_prev")
     codes = F.array_compact(F.array(
         F.when(F.col(at) < F.col("_prev.at"), "time_reversed"),
         F.when(~F.col(link).eqNullSafe(F.coalesce(F.col("_prev.digest"), F.lit(ZERO_DIGEST))), "broken_link")))

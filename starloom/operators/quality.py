@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from starloom.functions.scalars import as_col
 
+from starloom.operators import prefix
 from starloom.operators.windows import previous_max, running_sum
 
 FAR = "9999-12-31 00:00:00"  # stands for an open interval end in comparisons
@@ -48,35 +49,44 @@ def invalid_intervals(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where(F.col(start) >= F.col(end))
 
 
-def overlapping_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, slice_: Column) -> DataFrame:
+def overlapping_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, slice_: Column | None = None) -> DataFrame:
     """Distinct history rows that start before an earlier row of their key has ended.
 
     One row per offending interval instead of every pair, so a key with many
     overlapping rows costs a sort, not a square. Ends are compared in their own
-    type, so intervals that meet within a day are told apart.
+    type, so intervals that meet within a day are told apart. Without ``slice_`` rows
+    are ordered by ranges (``prefix``); with it, lazily, by slices of the start.
     """
     rows = df.distinct()
     rest = [c for c in rows.columns if c not in (*keys, start, end)]
     end_or_far = F.coalesce(F.col(end), F.lit(FAR).cast("timestamp_ntz").cast(df.schema[end].dataType))
-    seen = previous_max(rows.withColumn("_end", end_or_far), keys, [start, "_end", *rest], F.col("_end"), slice_, "covered_until")
+    closed, order = rows.withColumn("_end", end_or_far), [start, "_end", *rest]
+    if slice_ is None:
+        seen = prefix.previous_max(closed, keys, order, F.col("_end"), "covered_until")
+    else:
+        seen = previous_max(closed, keys, order, F.col("_end"), slice_, "covered_until")
     return seen.where(F.col(start) < F.col("covered_until")).drop("_end")
 
 
 def match_count_violations(
-    left: DataFrame, history: DataFrame, keys: Sequence[str], row_key: Sequence[str], at: str, slice_of: Callable[[Column], Column],
+    left: DataFrame, history: DataFrame, keys: Sequence[str], row_key: Sequence[str], at: str, slice_of: Callable[[Column], Column] | None = None,
     start: str = "valid_from", end: str = "valid_to",
 ) -> DataFrame:
     """Rows whose time falls into no interval, or into several, of their key.
 
     The number of open intervals at a time is starts so far minus ends so far, a
-    running sum per key: rows and intervals are never paired.
+    running sum per key: rows and intervals are never paired. Without ``slice_of`` the
+    line is ordered by ranges (``prefix``).
     """
     blank = F.struct(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in row_key])
     rows = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.struct(*row_key).alias("_row"))
     open_ = history.where(F.col(end).isNull() | (F.col(start) < F.col(end)))
     edge = lambda c, step: open_.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_t"), F.lit(0).alias("_kind"), F.lit(step).alias("_step"), blank.alias("_row"))
     line = rows.unionByName(edge(start, 1)).unionByName(edge(end, -1))
-    counted = running_sum(line, keys, ["_t", "_kind"], F.col("_step"), slice_of(F.col("_t")), "n_matches")
+    if slice_of is None:
+        counted = prefix.running_sum(line, keys, ["_t", "_kind"], F.col("_step"), "n_matches")
+    else:
+        counted = running_sum(line, keys, ["_t", "_kind"], F.col("_step"), slice_of(F.col("_t")), "n_matches")
     return counted.where("_kind = 1 AND n_matches <> 1").select("_row.*", "n_matches")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.scalars import row_hash
+from starloom.operators import prefix
 from starloom.operators.windows import row_numbers
 
 
@@ -78,8 +79,10 @@ def merge_no_conflict(extracts: Sequence[DataFrame], key: Sequence[str], payload
     ).withColumn("status", F.when(F.col("n_versions") > 1, "conflict").otherwise("merged"))
 
 
-def with_position(df: DataFrame, order: Sequence[Column | str], slice_: Column, out: str = "position") -> DataFrame:
-    """Global 1-based position, ranked slice by slice rather than in one task."""
+def with_position(df: DataFrame, order: Sequence[Column | str], slice_: Column | None = None, out: str = "position") -> DataFrame:
+    """Global 1-based position, ranked range by range (or by the given slice) rather than in one task."""
+    if slice_ is None:
+        return prefix.row_numbers(df.withColumn("_all", F.lit(1)), ["_all"], order, out).drop("_all")
     return row_numbers(df.withColumn("_all", F.lit(1)), ["_all"], order, slice_, out).drop("_all")
 
 

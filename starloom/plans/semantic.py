@@ -13,6 +13,7 @@ from starloom.functions.timeframes import timeframe
 from starloom.operators.filters import all_of, predicate
 from starloom.operators.joins import Edge, join_tree
 from starloom.operators.sets import sort_nulls_first
+from starloom.operators import prefix
 from starloom.operators.windows import previous_value, running_sum
 
 
@@ -52,13 +53,13 @@ class Pivot:
 class Calculation:
     """A column over the sorted result: ``running_sum``, ``previous`` or ``change`` of a measure.
 
-    ``slice_of`` gives an order-preserving slice of the first sort column, so a long
-    result is not ordered in one task.
+    A long result is not ordered in one task: it is cut into ranges of the sort, or,
+    lazily, into the order-preserving slices of the first sort column that ``slice_of`` gives.
     """
 
     kind: str
     measure: str
-    slice_of: Callable[[Column], Column]
+    slice_of: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -224,13 +225,14 @@ class SemanticModel:
 
 def _calculated(out: DataFrame, alias: str, calculation: Calculation, sorts: Sequence[str]) -> DataFrame:
     whole = out.withColumn("_all", F.lit(1))
-    slices, value = calculation.slice_of(F.col(sorts[0])), calculation.measure
-    if calculation.kind == "running_sum":
-        done = running_sum(whole, ["_all"], sorts, F.col(value), slices, alias)
-    elif calculation.kind in ("previous", "change"):
-        done = previous_value(whole, ["_all"], sorts, value, slices, alias)
-    else:
+    value = calculation.measure
+    if calculation.kind not in ("running_sum", "previous", "change"):
         raise ValueError(f"unknown calculation {calculation.kind!r}")
+    if calculation.slice_of is None:
+        done = prefix.running_sum(whole, ["_all"], sorts, F.col(value), alias) if calculation.kind == "running_sum" else prefix.previous_value(whole, ["_all"], sorts, value, alias)
+    else:
+        slices = calculation.slice_of(F.col(sorts[0]))
+        done = running_sum(whole, ["_all"], sorts, F.col(value), slices, alias) if calculation.kind == "running_sum" else previous_value(whole, ["_all"], sorts, value, slices, alias)
     if calculation.kind == "change":
         done = done.withColumn(alias, F.col(value) - F.col(alias))
     return done.drop("_all")

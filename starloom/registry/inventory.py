@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions.scalars import cents
 from starloom.operators import coverage as c
 from starloom.operators import metadata as m
-from starloom.operators.windows import time_slice
+from starloom.operators import prefix
 from starloom.registry.base import CTES, query, table
 
 CTES["declared"] = """
@@ -384,13 +384,10 @@ SELECT event_id, user_id, CASE WHEN event_type = 'error' AND value > 40 THEN ts
 SELECT user_id, event_id, 'time_reversed' AS finding FROM (SELECT *, lag(stamp) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM chain) WHERE stamp < before
 UNION ALL SELECT user_id, event_id, 'broken_link' FROM chain WHERE link = 'x'""")
 def chain_verify(spark, sf):
-    """Each user's events form a log; a slice is a block of 4096 event ids."""
-    from starloom.operators.windows import previous_value
-
+    """Each user's events form a log."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts", F.sha2(F.concat(F.col("event_id").cast("string"), "event_type"), 256).alias("digest"))
-    blocks = F.floor(F.col("event_id") / 4096)
-    linked = previous_value(e, ["user_id"], ["event_id"], "digest", blocks, "_before")
+    linked = prefix.previous_value(e, ["user_id"], ["event_id"], "digest", "_before")
     log = linked.select(
         "event_id", "user_id", F.when((F.col("event_type") == "error") & (F.col("value") > 40), F.expr("ts - interval 2 days")).otherwise(F.col("ts")).alias("at"), "digest",
         F.when((F.col("event_type") == "signup") & (F.col("value") > 50), "x").otherwise(F.coalesce("_before", F.lit(c.ZERO_DIGEST))).alias("link"))
-    return c.chain_findings(log, ["user_id"], ["event_id"], "at", "link", "digest", blocks)
+    return c.chain_findings(log, ["user_id"], ["event_id"], "at", "link", "digest")

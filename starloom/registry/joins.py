@@ -106,7 +106,7 @@ def overlapping_history(spark, sf):
 
 
 def _overlaps(spark, sf):
-    rows = overlapping_intervals(overlapping_history(spark, sf), ["tenant_id", "customer_id"], "valid_from", "valid_to", time_slice("valid_from", "year"))
+    rows = overlapping_intervals(overlapping_history(spark, sf), ["tenant_id", "customer_id"], "valid_from", "valid_to")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return rows.select("tenant_id", "customer_id", at("valid_from").alias("starts"), "segment", at("covered_until").alias("covered_until"))
 

@@ -93,7 +93,7 @@ SELECT o_custkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS v
 FROM (SELECT o_custkey, o_orderdate, max(o_orderstatus) AS o_orderstatus FROM orders GROUP BY 1, 2)""")
 def scd2_from_cdc(spark, sf):
     versions = table(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderstatus").alias("o_orderstatus"))
-    out = cdc.history_from_versions(versions, ["o_custkey"], "o_orderdate", "year")
+    out = cdc.history_from_versions(versions, ["o_custkey"], "o_orderdate")
     day = lambda c: F.col(c).cast("date").cast("string").alias(c)
     return out.select("o_custkey", "o_orderstatus", day("valid_from"), day("valid_to"))
 

@@ -157,11 +157,10 @@ def query_fill(spark, sf):
 SELECT order_month, revenue_cents, CAST(sum(revenue_cents) OVER (ORDER BY order_month) AS BIGINT) AS running_cents, revenue_cents - lag(revenue_cents) OVER (ORDER BY order_month) AS change_cents
 FROM (SELECT order_month, CAST(sum(c) AS BIGINT) AS revenue_cents FROM orders_c GROUP BY 1)""")
 def query_calculations(spark, sf):
-    """Post-query columns, ordered year by year."""
-    year = lambda c: F.substring(c, 1, 4)
+    """Post-query columns, ordered range by range."""
     return sales_model(spark, sf).query(
         {"order_month": "month"}, {"revenue_cents": "revenue"}, sorts=["order_month"],
-        calculations={"running_cents": Calculation("running_sum", "revenue_cents", year), "change_cents": Calculation("change", "revenue_cents", year)})
+        calculations={"running_cents": Calculation("running_sum", "revenue_cents"), "change_cents": Calculation("change", "revenue_cents")})
 
 
 @query("query_timezone", """

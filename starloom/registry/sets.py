@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from starloom.operators import sets as s
-from starloom.operators.windows import time_slice
 from starloom.registry import derived as d
 from starloom.registry.aggregates import orders_c
 from starloom.registry.base import CTES, query, table
@@ -42,8 +41,7 @@ SELECT e.o_orderkey, e.p AS expected_position, a.p AS actual_position FROM
  (SELECT o_orderkey, row_number() OVER (ORDER BY order_month, c, o_orderkey) AS p FROM orders_c) e
 JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY order_month, c, o_orderkey) AS p FROM lane_orders) a ON e.o_orderkey = a.o_orderkey WHERE e.p <> a.p""")
 def order_sensitive_compare(spark, sf):
-    slices = F.struct("order_month", F.floor(F.col("c") / 5_000_000))
-    ranked = lambda df: s.with_position(df, ["order_month", "c", "o_orderkey"], slices)
+    ranked = lambda df: s.with_position(df, ["order_month", "c", "o_orderkey"])
     return s.order_mismatches(ranked(orders_c(spark, sf).select("o_orderkey", "c", "order_month")), ranked(lane_orders(spark, sf)), ["o_orderkey"])
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import cdc
 from starloom.operators import joins as j
+from starloom.operators import prefix
 from starloom.operators import windows as w
 from starloom.registry import derived as d
 from starloom.registry.aggregates import orders_c
@@ -21,8 +22,7 @@ def win_latest_version(spark, sf):
 SELECT tenant_id, customer_id, segment, row_number() OVER (PARTITION BY tenant_id, customer_id ORDER BY valid_from, valid_to, segment) AS history_row
 FROM customer_history""")
 def win_history_number(spark, sf):
-    numbered = w.row_numbers(d.customer_history(spark, sf), ["tenant_id", "customer_id"], ["valid_from", "valid_to", "segment"],
-                             w.time_slice("valid_from", "year"), "history_row")
+    numbered = prefix.row_numbers(d.customer_history(spark, sf), ["tenant_id", "customer_id"], ["valid_from", "valid_to", "segment"], "history_row")
     return numbered.select("tenant_id", "customer_id", "segment", "history_row")
 
 
@@ -46,5 +46,5 @@ SELECT tenant_id, customer_id, segment, CAST(max(coalesce(CAST(valid_to AS DATE)
 FROM customer_history""")
 def win_prev_interval_end(spark, sf):
     end = F.coalesce(F.col("valid_to").cast("date"), F.lit("9999-12-31").cast("date"))
-    out = w.previous_max(d.customer_history(spark, sf), ["tenant_id", "customer_id"], ["valid_from", "segment"], end, w.time_slice("valid_from", "year"), "previous_end")
+    out = prefix.previous_max(d.customer_history(spark, sf), ["tenant_id", "customer_id"], ["valid_from", "segment"], end, "previous_end")
     return out.select("tenant_id", "customer_id", "segment", F.col("previous_end").cast("string").alias("previous_end"))
