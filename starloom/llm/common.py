@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from starloom.session import scratch_path
 
 SLICE_BYTES = 4 << 20
+ROW_GROUP = 32 << 20  # a writer holds one in memory
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only; elsewhere the allocator decides
 
 
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, fixes the rows, survives executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

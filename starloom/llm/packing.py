@@ -2,16 +2,21 @@
 
 A document is its token ids and an end id; only a longer one than a sequence is
 cut, into full pieces and a shorter last one. Pieces are dealt at random into
-cells of bounded size and packed by best-fit decreasing. Dual feasible functions
-give each cell a lower bound of its bins. A cell whose bins exceed its volume
-bound takes its emptiest bins apart; those pieces meet in fewer cells and are
-packed anew, until the rest fits one cell. Nothing else moves twice, so the work
-of the rounds shrinks geometrically. ``bounds`` gives the certificates. ``sequences``
-then moves the ids to their places; ``read_pieces`` takes them out again.
+cells of bounded size, with their ids, and packed by best-fit decreasing. Dual
+feasible functions give each cell a lower bound of its bins. A cell that needs no
+more bins than its bound is certified: its bins stand, but for the emptiest one
+where a part of a bin is free, as such parts add up over cells. A cell with a gap
+takes its emptiest bins apart too. The pieces given back meet in fewer cells and are
+packed anew, until they fit one cell or ``rounds`` are over. Every cell's bins and
+bound are kept as its certificate. So ids move once, and a small part of them again.
+
+``standing`` and ``sequences`` give the packed sequences, ``certificates`` the bounds of all cells;
+``read_pieces`` takes the pieces out again; ``pack`` places rows without ids.
 
 Null and empty texts are the end id alone. Repeated rows are documents each. Ties
-are packed in the order of row numbers given when the pieces are written, which
-also deal them out, so a hot id is spread. Very long texts give many pieces.
+are packed in the order of row numbers given when the pieces are made, which
+also deal them out, so a hot id is spread. Very long texts give many pieces. Other
+columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +25,9 @@ import os
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,22 +35,24 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import give_back, small_slices, sums_by, text_of, written
 
-CACHED_WORDS = 200_000  # a generation; some 40 MB, kept from task to task
-SLICE = 6 << 20  # words that a slice repeats are encoded once
+CACHED_WORDS = 300_000  # a generation; some 60 MB, kept from task to task
+SLICE = 8 << 20  # words that a slice repeats are encoded once
 AT_ONCE = 16  # runs of 500 words given to the tokenizer in one call
-AT_A_TIME = 500  # sequences put together or read at once
+AT_A_TIME = 250  # sequences put together or read at once
 RUN = 1 << 17  # words whose ids are put in place at once
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
 @dataclass(frozen=True)
 class Params:
-    """``opened`` bins are taken apart for each bin that a cell may have too many."""
+    """A cell has some ``cell_bytes`` of text, later ``cell_rows`` pieces; ``opened`` bins are taken apart for each bin above a cell's bound."""
 
     capacity: int = 4_096
     end_id: int = 1
-    cell_rows: int = 100_000
+    cell_bytes: int = 24 << 20
+    cell_rows: int = 16_384
     opened: int = 32
+    rounds: int = 8
 
 
 class WordTokenizer:
@@ -104,28 +111,29 @@ class WordTokenizer:
         last = unicodedata.normalize("NFC", body.decode()[-1]).lower()[-1]  # what the tokenizer sees before the marks
         return (body, word[len(body):]) if last.isalpha() else None
 
-    def _held(self, word: bytes) -> bool:
-        if word in self.young:
-            return True
-        ids = self.old.get(word)
-        if ids is not None:
-            self.young[word] = ids
-        return ids is not None
+    def _unknown(self, words: list[bytes]) -> list[bytes]:
+        """Words that neither dictionary has; those of the old one become young again."""
+        young, old = self.young, self.old
+        out = [w for w in words if w not in young]
+        again = {w: old[w] for w in out if w in old}
+        young.update(again)
+        return [w for w in out if w not in again] if again else out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and ids per text."""
         special = pc.match_substring(texts, self.SPECIAL.decode())
         split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
-        missing = [w for w in words if w and not self._held(w)]
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.young[b""] = b""
+        missing = self._unknown(words)
         cuts = {w: c for w in missing if w[-1] < 128 and not w[-1:].isalnum() and (c := self._cut(w))}
         wanted = {x for c in cuts.values() for x in c}.union(w for w in missing if w not in cuts)
-        self.young.update(self._encode_new([w for w in wanted if not self._held(w)]))
+        self.young.update(self._encode_new(self._unknown(list(wanted))))
         young = self.young
         for w, (body, end) in cuts.items():
             young[w] = young[body] + young[end]
-        held = [young[w] if w else b"" for w in words]
+        held = list(map(young.__getitem__, words))
         if len(young) > CACHED_WORDS:
             self.young, self.old = {}, young
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
@@ -170,14 +178,19 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
 
 
 def lower_bound(length: np.ndarray, count: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions."""
+    """Bins that any packing needs: the best of two families of dual feasible functions, rounded up."""
+    return -(-least_volume(length, count, capacity) // 1)
+
+
+def least_volume(length: np.ndarray, count: np.ndarray, capacity: int) -> Fraction:
+    """The best of the dual feasible functions as it is; no packing has fewer bins."""
     x, n = length.astype(np.int64), count.astype(np.int64)
-    best = -(-int((x * n).sum()) // capacity)
+    best = Fraction(int((x * n).sum()), capacity)
     for k in range(1, 21):  # u(k): x if (k + 1) x is whole, else floor((k + 1) x) / k
         whole = (k + 1) * x % capacity == 0
-        best = max(best, -(-int((np.where(whole, k * x, (k + 1) * x // capacity * capacity) * n).sum()) // (k * capacity)))
+        best = max(best, Fraction(int((np.where(whole, k * x, (k + 1) * x // capacity * capacity) * n).sum()), k * capacity))
     for e in np.unique(np.concatenate([x[x <= capacity // 2], [0]])).tolist()[:: max(1, len(x) // 256)]:  # large ones fill a bin, small ones count nothing
-        best = max(best, -(-int((np.where(x > capacity - e, capacity, np.where(x < e, 0, x)) * n).sum()) // capacity))
+        best = max(best, Fraction(int((np.where(x > capacity - e, capacity, np.where(x < e, 0, x)) * n).sum()), capacity))
     return best
 
 
@@ -208,82 +221,141 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset, np.array(rooms, np.int64)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, cell long, bin long, offset long, open boolean, bins long, bound long"
+def _joined(ids: pa.Array, length: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ids of all pieces one after another as bytes, and bytes per id: two, or four if a piece needs them."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
+    if int(ends[-1] - ends[0]) == 2 * int(length.sum()):
+        return np.frombuffer(ids.buffers()[2], np.uint8)[ends[0]:ends[-1]], 2
+    wide = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(ids.to_pylist(), length.tolist(), strict=True)]
+    return np.concatenate(wide).view(np.uint8), 4
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values between the ends of one buffer."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _pack_cell(params: Params, last: bool):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row", kind="stable")
-        length = frame["length"].to_numpy(np.int64)
+    """A cell's bins, a row each with its pieces in order and their ids; ``open``: the pieces are given back."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["cell"]).combine_chunks()
+        table = table.take(pa.array(np.argsort(table["row"].to_numpy(), kind="stable")))
+        length = table["length"].to_numpy()
         bin_of, offset, room = best_fit_decreasing(length, params.capacity)
-        values, counts = np.unique(length, return_counts=True)
-        bound = lower_bound(values, counts, params.capacity)
-        gap = len(room) - int(length.sum()) / params.capacity  # against the volume: a part of a bin counts
-        opened = np.zeros(len(room), bool)
-        if not last and gap > 0:
-            emptiest = np.argsort(-room, kind="stable")[:int(params.opened * np.ceil(gap))]
+        least = least_volume(*np.unique(length, return_counts=True), params.capacity)
+        bins, bound = len(room), -(-least // 1)
+        opened = np.zeros(bins, bool)
+        if not last and bins > least:
+            emptiest = np.argsort(-room, kind="stable")[:max(1, params.opened * int(bins - bound))]
             opened[emptiest[room[emptiest] > 0]] = True
-        return frame.drop(columns=["cell"]).assign(cell=key[0], bin=bin_of, offset=offset, open=opened[bin_of], bins=len(room), bound=bound)
+        order = np.lexsort((offset, bin_of))
+        table, length = table.take(pa.array(order)), length[order]
+        names = [c for c in table.column_names if c != "ids"]
+        held = pa.StructArray.from_arrays([pa.array(offset[order]), *[table[c].combine_chunks() for c in names]], names=["offset", *names])
+        edges = np.concatenate([[0], np.cumsum(np.bincount(bin_of, minlength=bins))])
+        ends = lambda x: pa.array(x, pa.int32())
+        one = lambda v: pa.array(np.full(bins, int(v)))
+        ids, width = pa.nulls(bins, pa.binary()), 0
+        if "ids" in table.column_names:
+            raw, width = _joined(table["ids"].combine_chunks(), length)
+            ids = _bytes(raw, np.concatenate([[0], np.cumsum(length)])[edges] * width)
+        return pa.table({
+            "cell": one(key[0].as_py()), "bin": pa.array(np.arange(bins)), "open": pa.array(opened), "bins": one(bins), "bound": one(bound),
+            "ids": ids, "width": one(width), "pieces": pa.ListArray.from_arrays(ends(edges), held)})
 
     return run
 
 
+def _pack(rows: DataFrame, cells: int, params: Params) -> DataFrame:
+    """A written row per bin and round: round, cell, bin, open, bins, bound, ids (of ``width`` bytes each; null if ``rows`` has none), pieces (offset and the other columns)."""
+    kind = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
+    names = [c for c in rows.columns if c != "ids"]
+    schema, out = f"cell long, bin long, open boolean, bins long, bound long, ids binary, width long, pieces array<struct<offset:long,{kind}>>", None
+    for number in range(params.rounds):
+        last = cells == 1 or number == params.rounds - 1
+        dealt = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(cells).cast("long")))
+        made = dealt.groupBy("cell").applyInArrow(_pack_cell(params, last), schema)
+        packed = written(made.withColumn("round", F.lit(number)), "packing-bins", "zstd")
+        out = packed if out is None else out.unionByName(packed)
+        if last:
+            break
+        given = packed.where("open").select("ids", "width", F.explode("pieces").alias("p"))
+        ids = [F.expr("substring(ids, cast(p.offset * width + 1 AS int), cast(p.length * width AS int))").alias("ids")] if "ids" in rows.columns else []
+        rows = given.select(*[F.col(f"p.{c}").alias(c) for c in names], *ids)
+        cells = max(1, -(-rows.count() // params.cell_rows))
+    return out
+
+
+def _numbered(bins: DataFrame) -> DataFrame:
+    """The bins that stand, with sequence_id."""
+    return bins.where("NOT open").withColumn("sequence_id", F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft("cell", 24) + F.col("bin"))
+
+
+def certificates(bins: DataFrame) -> DataFrame:
+    """A row per cell of every round: its bins, the lower bound for them, and whether it is certified (they are equal)."""
+    cells = bins.groupBy("round", "cell").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"), F.count_if("open").alias("opened"))
+    return cells.withColumn("certified", F.col("bins") == F.col("bound"))
+
+
 def pack(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """``rows`` (as of ``pieces``, without ids) with sequence_id and offset: the places that ``sequences`` fills."""
-    rest, done, number = written(rows, "packing-pieces"), None, 0
-    n = rest.count()
-    while True:
-        cells = max(1, -(-n // params.cell_rows))
-        dealt = rest.withColumn("cell", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(cells)))
-        packed = written(dealt.groupBy("cell").applyInPandas(_pack_cell(params, cells == 1), _PACKED), "packing-round")
-        left = packed.where("open").count() if cells > 1 else 0
-        # Pieces that come back in bulk cannot be packed better by meeting others: their bins then stand.
-        again = 0 < left <= n // 2
-        ready = packed.where("NOT open") if again else packed
-        ready = ready.withColumn("sequence_id", F.lit(number << 52) + F.shiftleft("cell", 24) + F.col("bin")).drop("cell", "bin", "open", "bins", "bound")
-        done = ready if done is None else done.unionByName(ready)
-        if not again:
-            return done
-        rest, n, number = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "row"), left, number + 1
-
-
-def _assemble(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, AT_A_TIME):
-            part = batch.slice(k, AT_A_TIME)
-            counts, flat = part.column("parts").value_lengths().to_numpy().astype(np.int64), part.column("parts").flatten()
-            length = flat.field("length").to_numpy()
-            ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(flat.field("ids").to_pylist(), length.tolist(), strict=True)]
-            held = pa.StructArray.from_arrays([flat.field(c) for c in ("offset", "doc_id", "piece")], names=["offset", "doc_id", "piece"])
-            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            yield pa.RecordBatch.from_pydict({
-                "sequence_id": part.column("sequence_id"), "ids": pa.ListArray.from_arrays(ends(sums_by(length, counts)), pa.array(np.concatenate(ids), pa.int32())),
-                "pieces": pa.ListArray.from_arrays(ends(counts), held)})
-        give_back()
+    """``rows`` (as of ``pieces``, without ids) with sequence_id and offset."""
+    rest = written(rows, "packing-pieces")
+    bins = _pack(rest, max(1, -(-rest.count() // params.cell_rows)), params)
+    return _numbered(bins).select("sequence_id", F.explode("pieces").alias("p")).select("p.*", "sequence_id")
 
 
-def sequences(docs: DataFrame, tokenizer: str, params: Params = Params()) -> DataFrame:
-    """sequence_id, ids (at most ``capacity``) and pieces (offset, doc_id, piece, in order): the packed sequences.
+def bins(docs: DataFrame, tokenizer: str, params: Params = Params()) -> DataFrame:
+    """The bins of all rounds with ids, written; of these ``certificates`` and ``standing`` are made.
 
-    The ids are written once beside their places; then they move to their places, and to their sequences.
+    Cells are sized by the bytes of the texts before they are tokenised, so the pieces
+    go to their cells as they are made.
     """
-    whole = written(pieces(docs, tokenizer, params, narrow=True).drop("start", "ids_crc32"), "packing-ids")
-    zero = F.lit(0).cast("long")  # places are found from rows and lengths alone
-    placed = pack(whole.select(zero.alias("doc_id"), zero.cast("int").alias("piece"), zero.alias("start"), "length", zero.alias("ids_crc32"), "row"), params).select("row", "sequence_id", "offset")
-    full = whole.select("row", "doc_id", "piece", "length", "ids").join(placed, "row")
-    parts = full.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
-    return parts.mapInArrow(_assemble, "sequence_id long, ids array<int>, pieces array<struct<offset:long,doc_id:long,piece:int>>")
+    size = docs.agg(F.sum(F.octet_length(text_of()) + 1).alias("n")).first()["n"] or 0
+    rows = pieces(docs, tokenizer, params, narrow=True).drop("start", "ids_crc32")
+    return _pack(rows, max(1, -(-size // params.cell_bytes)), params)
+
+
+def standing(bins: DataFrame) -> DataFrame:
+    """The packed sequences as they are written: sequence_id, ids (bytes, ``width`` of each id), pieces (offset, doc_id, piece, in order)."""
+    held = F.transform("pieces", lambda p: F.struct(p["offset"].alias("offset"), p["doc_id"].alias("doc_id"), p["piece"].alias("piece")))
+    return _numbered(bins).select("sequence_id", "ids", "width", held.alias("pieces"))
+
+
+def sequences(docs: DataFrame, tokenizer: str, params: Params = Params()) -> DataFrame:
+    """The packed sequences: sequence_id, ids (at most ``capacity``), pieces."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(k, AT_A_TIME)
+                ids, size = _ids_of(part)
+                yield pa.RecordBatch.from_pydict({
+                    "sequence_id": part.column("sequence_id"), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids)), "pieces": part.column("pieces")})
+
+    return standing(bins(docs, tokenizer, params)).mapInArrow(run, "sequence_id long, ids array<int>, pieces array<struct<offset:long,doc_id:long,piece:int>>")
+
+
+def _ids_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all sequences one after another, and ids per sequence, from lists or from bytes."""
+    held = part.column("ids")
+    if pa.types.is_list(held.type):
+        return held.flatten().to_numpy(), held.value_lengths().to_numpy().astype(np.int64)
+    width = part.column("width").to_numpy()
+    ids = [np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(held.to_pylist(), width.tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
 
 
 def read_pieces(made: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of all pieces, as they stand in the sequences."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of all pieces, as they stand in the sequences (``standing`` or ``sequences``)."""
 
     def run(batches):
+        _TOKENIZERS.clear()  # a worker that tokenised before holds words no longer needed
         for batch in batches:
             for k in range(0, batch.num_rows, AT_A_TIME):
                 part = batch.slice(k, AT_A_TIME)
-                size, counts = (part.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("ids", "pieces"))
-                ids, flat = part.column("ids").flatten().to_numpy(), part.column("pieces").flatten()
+                (ids, size), counts = _ids_of(part), part.column("pieces").value_lengths().to_numpy().astype(np.int64)
+                flat = part.column("pieces").flatten()
                 offset, piece = flat.field("offset").to_numpy(), flat.field("piece").to_numpy().astype(np.int64)
                 at = np.append(np.repeat(np.cumsum(size) - size, counts) + offset, len(ids))  # a sequence is its pieces without gaps
                 crc = [zlib.crc32(ids[a:b].astype("<i4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

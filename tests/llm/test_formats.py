@@ -1,6 +1,7 @@
 """Chat formatting, fingerprints, WARC bundles, sharding and packing: round trips and brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,6 +200,8 @@ def test_sequences_hold_the_ids(spark):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in got) == want
     assert all(seqs[r["sequence_id"]]["ids"][r["offset"]:r["offset"] + r["length"]] == r["ids"] for r in got)
     assert sum(len(r["ids"]) for r in seqs.values()) == sum(r["length"] for r in got)
+    straight = packing.read_pieces(packing.standing(packing.bins(docs, path, params)), params).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in straight) == want
     other = made.withColumn("ids", F.transform("ids", lambda x: x * 0))
     assert {r["ids_crc32"] for r in packing.read_pieces(other, params).collect()} == {zlib.crc32(bytes(4 * n)) for n in {r["length"] for r in got}}
 
@@ -232,6 +235,43 @@ def test_bounds_hold_and_bite():
         assert packing.lower_bound(sizes, counts, 100) <= len(packing.best_fit_decreasing(x, 100)[2])
 
 
+def test_wide_ids_and_bins_given_back(spark):
+    """Some pieces need four bytes an id; cells give bins back, whose ids are cut out of the bin."""
+    rng = random.Random(2)
+    held = [(i, [rng.randrange(1, 90_000 if i % 5 == 0 else 60_000) for _ in range(rng.randrange(1, 40))]) for i in range(300)]
+    to_bytes = lambda x: np.array(x, "<u4" if max(x) > 65_535 else "<u2").tobytes()
+    df = spark.createDataFrame([(i, 0, len(x), i, bytearray(to_bytes(x))) for i, x in held], "doc_id long, piece int, length long, row long, ids binary")
+    params = packing.Params(capacity=40, cell_rows=60)
+    made = packing._pack(df, 5, params)
+    assert made.where("open").count() > 0
+    got = {r["doc_id"]: r["ids"] for r in packing.read_pieces(packing.standing(made), params).collect()}
+    assert got == dict(held)
+
+
+def test_certificates_close_cells_that_the_volume_would_open(spark):
+    """Pieces of which no two fit in one bin: by volume two fifths are free, but the bound needs every bin."""
+    n = 3_000
+    rows_ = spark.range(n).select(F.lit(0).cast("long").alias("doc_id"), F.lit(60).cast("long").alias("length"), F.col("id").alias("row"))
+    made = packing._pack(rows_, 6, packing.Params(capacity=100, cell_rows=500))
+    told = packing.certificates(made).collect()
+    assert {r["round"] for r in told} == {0} and len(told) == 6 and made.where("NOT open").count() == n
+    assert all(r["certified"] and r["opened"] == 0 for r in told)
+
+
+def test_certificates_tell_bins_and_bounds_of_cells(spark):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(20, 60, 4_000).tolist()
+    df = spark.createDataFrame([(i, n, i) for i, n in enumerate(lengths)], "doc_id long, length long, row long")
+    made = packing.written(packing._pack(df, 14, packing.Params(capacity=100, cell_rows=300)), "test-bins")
+    for r in packing.certificates(made).collect():
+        mine = made.where((F.col("round") == r["round"]) & (F.col("cell") == r["cell"])).collect()
+        held = np.array([p["length"] for b in mine for p in b["pieces"]])
+        assert len(mine) == r["bins"] >= r["bound"] == packing.lower_bound(*np.unique(held, return_counts=True), 100)
+        assert r["opened"] <= 1 if r["certified"] else r["bins"] > r["bound"]
+    left = Counter(p["row"] for b in made.where("NOT open").collect() for p in b["pieces"])
+    assert left == Counter(range(4_000))
+
+
 def test_packing_of_odd_inputs(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(packing.pieces(odd_docs(spark), path)).collect()
