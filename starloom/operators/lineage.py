@@ -16,19 +16,59 @@ from pyspark.sql import functions as F
 from starloom.session import cut_lineage
 
 
+def _contracted(links: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with its chains as single edges: (_s, _t, _w) and, per node inside a chain, (node_id, _head, _w).
+
+    Inside a chain is a node with one edge in and one out that is no seed. Its way back
+    to the chain's head doubles every round (pointer jumping), so the rounds grow with
+    the logarithm of the longest chain. Rings without a way in have no head and no seed;
+    their rows are dropped when a way is longer than there are nodes.
+    """
+    degree = links.select(F.col("_s").alias("node_id"), F.lit(0).alias("_in"), F.lit(1).alias("_out")).unionByName(
+        links.select(F.col("_t").alias("node_id"), F.lit(1).alias("_in"), F.lit(0).alias("_out"))).groupBy("node_id").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    single = degree.where("_in = 1 AND _out = 1").select("node_id").join(seeds, "node_id", "left_anti")
+    inside = cut_lineage(single)
+    back = cut_lineage(
+        inside.join(links.withColumnRenamed("_t", "node_id"), "node_id").select("node_id", F.col("_s").alias("_head"), F.lit(1).cast("long").alias("_w"))
+        .join(inside.select(F.col("node_id").alias("_head"), F.lit(True).alias("_more")), "_head", "left").select("node_id", "_head", "_w", F.col("_more").isNotNull().alias("_more")))
+    done, open_, most = back.where("NOT _more"), back.where("_more"), inside.count()
+    while not open_.isEmpty():
+        step = back.select(F.col("node_id").alias("_head"), F.col("_head").alias("_next"), F.col("_w").alias("_far"), F.col("_more").alias("_on"))
+        back = cut_lineage(open_.join(step, "_head").select("node_id", F.col("_next").alias("_head"), (F.col("_w") + F.col("_far")).alias("_w"), F.col("_on").alias("_more")).where(F.col("_w") <= most)
+                           .unionByName(done))
+        done, open_ = back.where("NOT _more"), back.where("_more")
+    ways = done.select("node_id", "_head", "_w")
+    from_chain = links.join(ways.select(F.col("node_id").alias("_s"), "_head", F.col("_w").alias("_far")), "_s", "left")
+    short = from_chain.select(F.coalesce("_head", "_s").alias("_s"), "_t", (F.coalesce("_far", F.lit(0)) + 1).alias("_w"))
+    edges = short.join(inside.select(F.col("node_id").alias("_t")), "_t", "left_anti").join(inside.select(F.col("node_id").alias("_s")), "_s", "left_anti")
+    return edges.groupBy("_s", "_t").agg(F.min("_w").alias("_w")), ways
+
+
 def closure(edges: DataFrame, seeds: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
-    """Nodes reachable from the seeds (seeds included), as ``node_id`` and ``depth``."""
-    links = cut_lineage(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
-    frontier = cut_lineage(seeds.toDF("node_id").distinct().withColumn("depth", F.lit(0)))
-    reached, depth = frontier, 0
+    """Nodes reachable from the seeds (seeds included), as ``node_id`` and ``depth``.
+
+    Chains are contracted first, so a long one costs the logarithm of its length in
+    rounds. The search then goes edge by edge of what is left; a node that is reached
+    again by a shorter way is sent on again, so depths are exact. Nodes inside chains
+    get theirs from the head of the chain at the end.
+    """
+    links = cut_lineage(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
+    start = cut_lineage(seeds.toDF("node_id").distinct())
+    short, ways = _contracted(links, start)
+    short = cut_lineage(short)
+    frontier = start.withColumn("depth", F.lit(0).cast("long"))
+    reached, rounds = frontier, 0
     while not frontier.isEmpty():
-        depth += 1
-        step = links.join(frontier.select(F.col("node_id").alias("_s")), "_s", "left_semi").select(F.col("_t").alias("node_id")).distinct()
-        frontier = cut_lineage(step.join(reached, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        rounds += 1
+        step = short.join(frontier.withColumnRenamed("node_id", "_s"), "_s").groupBy(F.col("_t").alias("node_id")).agg(F.min(F.col("depth") + F.col("_w")).alias("depth"))
+        known = reached.groupBy("node_id").agg(F.min("depth").alias("_known"))
+        frontier = cut_lineage(step.join(known, "node_id", "left").where("_known IS NULL OR depth < _known").select("node_id", "depth"))
         reached = reached.unionByName(frontier)
-        if depth % 16 == 0:
-            reached = cut_lineage(reached)
-    return reached
+        if rounds % 16 == 0:
+            reached = cut_lineage(reached.groupBy("node_id").agg(F.min("depth").alias("depth")))
+    found = reached.groupBy("node_id").agg(F.min("depth").alias("depth"))
+    chained = ways.join(found.withColumnRenamed("node_id", "_head"), "_head").select("node_id", (F.col("depth") + F.col("_w")).alias("depth"))
+    return found.unionByName(chained).select("node_id", F.col("depth").cast("int").alias("depth"))
 
 
 def unresolved_edges(edges: DataFrame, nodes: DataFrame, node: str, ends: Sequence[str] = ("source_id", "target_id")) -> DataFrame:
@@ -42,17 +82,32 @@ def unresolved_edges(edges: DataFrame, nodes: DataFrame, node: str, ends: Sequen
 
 
 def cyclic_nodes(edges: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
-    """Nodes left after peeling, round by round, all nodes without incoming edges."""
-    rest = cut_lineage(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
-    size = rest.count()
-    while size:
-        fed = rest.select(F.col("_t").alias("_s")).distinct()
-        rest = cut_lineage(rest.join(fed, "_s", "left_semi"))
-        left = rest.count()
-        if left == size:
-            break
-        size = left
-    return rest.select(F.col("_t").alias("node_id")).distinct()
+    """Nodes on a cycle or behind one: those left when all nodes without open incoming edges are taken away.
+
+    Chains are contracted first. Each node then has a counter of its incoming edges; a
+    round sends only the edges of the nodes that reached zero and writes what it took
+    off as a table of its own, so every edge is moved once and the written rows stay
+    within the edges and their merging every 16 rounds.
+    """
+    links = cut_lineage(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
+    contracted, ways = _contracted(links, links.select(F.col("_s").alias("node_id")).limit(0))
+    short = cut_lineage(contracted.select("_s", "_t"))
+    incoming = cut_lineage(short.groupBy(F.col("_t").alias("node_id")).agg(F.count("*").alias("_in")))
+    every = cut_lineage(links.select(F.col("_s").alias("node_id")).unionByName(links.select(F.col("_t").alias("node_id"))).distinct())
+    chained = cut_lineage(ways.select("node_id", "_head"))
+    frontier = cut_lineage(short.select(F.col("_s").alias("node_id")).distinct().join(incoming, "node_id", "left_anti"))
+    gone, taken, rounds = frontier, None, 0
+    while not frontier.isEmpty():
+        rounds += 1
+        off = cut_lineage(short.join(frontier.select(F.col("node_id").alias("_s")), "_s", "left_semi").groupBy(F.col("_t").alias("node_id")).agg(F.count("*").alias("_off")))
+        taken = off if taken is None else taken.unionByName(off)
+        total = taken.join(off.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.sum("_off").alias("_off"))
+        frontier = cut_lineage(total.join(incoming, "node_id").where("_off = _in").select("node_id"))
+        gone = gone.unionByName(frontier)
+        if rounds % 16 == 0:
+            gone, taken = cut_lineage(gone), cut_lineage(taken.groupBy("node_id").agg(F.sum("_off").alias("_off")))
+    released = chained.join(gone.select(F.col("node_id").alias("_head")), "_head", "left_semi").select("node_id")
+    return every.join(gone.unionByName(released), "node_id", "left_anti")
 
 
 def upstream_only(edges: DataFrame, tables: DataFrame) -> DataFrame:
