@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import encode_words, fold, sliced, small_slices, text_of
+from starloom.llm.common import encode_words, fold, give_back, sliced, small_slices, text_of
 
 # Names of groups; a term is swapped for the others of its line.
 IDENTITY = (
@@ -148,24 +149,27 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     chosen = counted.withColumn("strength", strength).where(held >= 3).orderBy(F.desc("strength"), "feature").limit(params.features)
     names = [r["feature"] for r in chosen.select("feature").collect()]
     names += sorted(set(SWAPS) - set(names))  # groups are always in the model, so that the penalty can act on them
-    got = rows.mapInArrow(_presence(names), "toxic int, ids array<int>, times array<int>, gone array<int>, come array<int>").toPandas()
-    got = got.sort_values("toxic", kind="stable").reset_index(drop=True)
-    return _fit_weights(got, names, params)
+    got = rows.mapInArrow(_presence(names), "toxic int, ids array<int>, times array<int>, gone array<int>, come array<int>").toArrow()
+    model = _fit_weights(got, names, params)
+    del got
+    give_back()  # the driver goes on for long
+    return model
 
 
-def _fit_weights(got: pd.DataFrame, names: list[str], params: Params) -> Model:
+def _fit_weights(got: pa.Table, names: list[str], params: Params) -> Model:
     """Full-batch Adam on the mean logistic loss + l2 + swap penalty; classes weigh the same."""
-    y = got["toxic"].to_numpy(float)
-    size = got["ids"].map(len).to_numpy()
-    row, col = np.repeat(np.arange(len(got)), size), np.concatenate([np.asarray(x, np.int64) for x in got["ids"]]) if size.sum() else np.zeros(0, np.int64)
-    value = np.log1p(np.concatenate([np.asarray(x, float) for x in got["times"]]) if size.sum() else np.zeros(0))
-    out = np.concatenate([np.asarray(x, np.int64) for x in got["gone"]]) if len(got) else np.zeros(0, np.int64)
-    new = np.concatenate([np.asarray(x, np.int64) for x in got["come"]]) if len(got) else np.zeros(0, np.int64)
+    got = got.take(pa.array(np.argsort(got["toxic"].to_numpy(), kind="stable"))).combine_chunks()
+    flat = lambda c: pc.list_flatten(got[c]).combine_chunks().to_numpy() if got.num_rows else np.zeros(0, np.int32)
+    y = got["toxic"].to_numpy().astype(float)
+    size = pc.list_value_length(got["ids"]).to_numpy()
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), size), flat("ids")
+    value = np.log1p(flat("times").astype(float))
+    out, new = flat("gone"), flat("come")
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(len(names)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, params.steps + 1):
-        logit = b + np.bincount(row, w[col] * value, len(got))
+        logit = b + np.bincount(row, w[col] * value, len(y))
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
         grad = np.bincount(col, error[row] * value, len(w)) + params.l2 * w
         if len(out):
