@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import give_back, small_slices, sums_by, text_of, written
 
-CACHED_WORDS = 300_000  # a generation; some 60 MB, kept from task to task
-SLICE = 8 << 20  # words that a slice repeats are encoded once
 AT_ONCE = 16  # runs of 500 words given to the tokenizer in one call
 AT_A_TIME = 250  # sequences put together or read at once
 RUN = 1 << 17  # words whose ids are put in place at once
@@ -45,7 +43,11 @@ _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 @dataclass(frozen=True)
 class Params:
-    """A cell has some ``cell_bytes`` of text, later ``cell_rows`` pieces; ``opened`` bins are taken apart for each bin above a cell's bound."""
+    """A cell has some ``cell_bytes`` of text, later ``cell_rows`` pieces; ``opened`` bins are taken apart for each bin above a cell's bound.
+
+    A task encodes slices of ``slice_bytes`` of text, whose repeated words are encoded once, and keeps
+    two generations of ``cached_words`` words (some 60 MB each at 300,000): memory against time.
+    """
 
     capacity: int = 4_096
     end_id: int = 1
@@ -53,6 +55,8 @@ class Params:
     cell_rows: int = 16_384
     opened: int = 32
     rounds: int = 8
+    slice_bytes: int = 8 << 20
+    cached_words: int = 300_000
 
 
 class WordTokenizer:
@@ -71,7 +75,8 @@ class WordTokenizer:
     ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     SPECIAL = b"|>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = 300_000):
+        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,9 +84,10 @@ class WordTokenizer:
         self.mark = self._ids([self.MARK])[0]
 
     @classmethod
-    def at(cls, path: str) -> "WordTokenizer":
+    def at(cls, path: str, cached_words: int = 300_000) -> "WordTokenizer":
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = cls(path)
+        _TOKENIZERS[path].cached_words = cached_words
         return _TOKENIZERS[path]
 
     def _ids(self, texts: list[str]) -> np.ndarray:
@@ -134,7 +140,7 @@ class WordTokenizer:
         for w, (body, end) in cuts.items():
             young[w] = young[body] + young[end]
         held = list(map(young.__getitem__, words))
-        if len(young) > CACHED_WORDS:
+        if len(young) > self.cached_words:
             self.young, self.old = {}, young
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         start, codes = np.cumsum(size) - size, coded.indices.to_numpy()
@@ -154,8 +160,8 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
     def run(batches):
         from pyspark import TaskContext
 
-        row, coder, cap = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer), params.capacity
-        for batch in small_slices(batches, limit=SLICE):
+        row, coder, cap = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer, params.cached_words), params.capacity
+        for batch in small_slices(batches, limit=params.slice_bytes):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row", "ids")}
             every, counts = coder.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(every, np.cumsum(counts)[:-1]), strict=True):
@@ -235,10 +241,18 @@ def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _forget() -> None:
+    """A worker that tokenised before holds words that are no longer needed."""
+    if _TOKENIZERS:
+        _TOKENIZERS.clear()
+        give_back()
+
+
 def _pack_cell(params: Params, last: bool):
     """A cell's bins, a row each with its pieces in order and their ids; ``open``: the pieces are given back."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        _forget()
         table = table.drop_columns(["cell"]).combine_chunks()
         table = table.take(pa.array(np.argsort(table["row"].to_numpy(), kind="stable")))
         length = table["length"].to_numpy()
@@ -350,7 +364,7 @@ def read_pieces(made: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of all pieces, as they stand in the sequences (``standing`` or ``sequences``)."""
 
     def run(batches):
-        _TOKENIZERS.clear()  # a worker that tokenised before holds words no longer needed
+        _forget()
         for batch in batches:
             for k in range(0, batch.num_rows, AT_A_TIME):
                 part = batch.slice(k, AT_A_TIME)
