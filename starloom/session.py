@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Join and shuffle settings every operator here assumes. No operator uses a
-# broadcast hint: a side is broadcast only when its measured size is below
-# autoBroadcastJoinThreshold, and AQE splits a skewed sort-merge partition.
+# Join and shuffle settings every operator here assumes. A broadcast is hinted only
+# for a side whose size is bounded by construction; any other is broadcast when its
+# measured size is below autoBroadcastJoinThreshold. AQE splits a skewed sort-merge partition.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
