@@ -117,17 +117,70 @@ def test_base_scores_against_brute_force(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_tree_probabilities_are_a_distribution(spark):
-    docs = spark.createDataFrame([(i, f"the cat sat on the mat number {i % 7} and the dog ran") for i in range(200)], "doc_id long, text string").withColumn("held_out", suffix_tree.F.lit(False))
-    model = suffix_tree.fit(docs, suffix_tree.Params(depth=3))
-    assert any(len(level[0]) for level in model.tree.levels)
-    for before in (b"   ", b"the", b" ca", b"zzz"):
-        base = int.from_bytes(bytes(reversed(before)), "big")
-        keys = np.array([(b << 24) | base for b in range(256)], np.int64)
-        assert model.tree._probability(keys, 3).sum() == pytest.approx(1, abs=1e-9)
-    # The longest kept suffix decides: after "the c" an "a" is near certain.
-    likely = model.tree.log10([suffix_tree.spelled([b"cat"])])[0]
-    assert likely > model.tree.log10([suffix_tree.spelled([b"ctz"])])[0]
+class PlainTree:
+    """The same tree in plain Python: counts of every context, kept by the divergence test, smoothed by the longest kept suffix."""
+
+    def __init__(self, texts: list[bytes], params: suffix_tree.Params):
+        self.params, self.root, self.counts, self.kept = params, Counter(), {}, {}
+        for t in texts:
+            padded = b" " * params.depth + t
+            for i in range(params.depth, len(padded)):
+                self.root[padded[i]] += 1
+                for d in range(params.depth + 1):
+                    self.counts.setdefault(padded[i - d:i], Counter())[padded[i]] += 1
+        for context, seen in self.counts.items():
+            total, shorter = sum(seen.values()), self.counts[context[1:]]
+            gain = sum(n * math.log(n / total * sum(shorter.values()) / shorter[b]) for b, n in seen.items())
+            if context and total >= params.least and gain >= params.divergence * len(seen):
+                self.kept[context] = (seen, total)
+
+    def probability(self, context: bytes, b: int) -> float:
+        while context and context not in self.kept:
+            context = context[1:]
+        if not context:
+            return (self.root[b] + 0.5) / (sum(self.root.values()) + 128)
+        seen, total = self.kept[context]
+        return (max(seen[b] - 0.5, 0) + 0.5 * len(seen) * self.probability(context[1:], b)) / total
+
+    def log10(self, text: bytes) -> float:
+        padded = b" " * self.params.depth + text
+        return sum(math.log10(self.probability(padded[i - self.params.depth:i], padded[i])) for i in range(self.params.depth, len(padded)))
+
+
+def spelled(text) -> bytes:
+    return suffix_tree.spelled(suffix_tree.tokens_of(text or ""))
+
+
+# Nothing is broadcast, some windows are, all are: the scores are the same.
+@pytest.mark.parametrize("share", [2.0, 1e-3, 0.0])
+def test_tree_scores_against_a_plain_tree(spark, share):
+    sentences = ["the cat sat on the mat", "a dog ran over the mat", "no cat ran here", "Zebra crossing zebra", "na\u00efve caf\u00e9 \u65e5\u672c", "", None, "the cat sat on the mat"]
+    docs = [(i, None if (s := sentences[i % len(sentences)]) is None else f"{s} {s[::-1] if i % 5 == 0 else s} w{i % 11}") for i in range(120)]
+    params = suffix_tree.Params(depth=4, frequent=share, frequent_windows=share)
+    rows = suffix_tree.score(spark.createDataFrame(docs, "doc_id long, text string"), params).collect()
+    plain = PlainTree([spelled(t) for i, t in docs if zlib.crc32(str(i).encode()) % 10], params)
+    texts = dict(docs)
+    assert len(rows) == len(docs) and any(r["held_out"] for r in rows)
+    assert sum(plain.probability(b" cat", b) for b in range(256)) == pytest.approx(1, abs=1e-9)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain.log10(spelled(texts[r["doc_id"]])), rel=1e-9)
+
+
+def test_query_scores_against_a_plain_tree(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain = PlainTree([spelled(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], suffix_tree.Params())
+    for r in op3_suffix_tree(spark, SF).collect():
+        assert r["score"] == pytest.approx(plain.log10(spelled(texts[r["doc_id"]])), rel=1e-9)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """New texts add contexts, however much is there already: a word seen twice in a large corpus is kept."""
+    frame = lambda rows: spark.createDataFrame(rows, "text string, held_out boolean")
+    common = [("the cat sat on the mat and the dog ran to the mat " * 20, False)] * 50
+    small, large = suffix_tree.fit(frame(common)).contexts, suffix_tree.fit(frame(common + [("qyxowz", False)] * 2 + [("vukejb", True)] * 2)).contexts
+    new = large.join(small, ["depth", "context"], "left_anti")
+    assert new.where("total = 2").count() >= 6
+    assert small.join(large, ["depth", "context"], "left_anti").where("depth = 5").count() == 0
 
 
 def test_tree_of_odd_inputs(spark):
