@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.session import cut_lineage
@@ -211,17 +211,30 @@ def tree_diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shape of each declared tree: roots, edges, parent paths, unresolved ends, repeats.
 
     ``nodes``: tree_id, node_id, parent_id, path; ``edges``: tree_id, from_id, to_id.
+    Each input is read once: a node speaks for itself and claims a path for its parent,
+    equal claims are counted in the map tasks, and what is said of one id meets by
+    (tree, id). A repeated node's path is its smallest. A null tree is a tree; a tree
+    of edges alone has no nodes and fails; an edge from a null id is unresolved.
     """
-    unique = nodes.groupBy("tree_id", "node_id").agg(F.min("path").alias("_pp"))
-    parents = unique.withColumnRenamed("node_id", "parent_id")
-    checked = nodes.join(parents, ["tree_id", "parent_id"], "left")
-    bad_path = F.col("parent_id").isNotNull() & ~F.coalesce(F.col("_pp") == F.slice("path", 1, F.size("path") - 1), F.lit(False))
-    shape = checked.groupBy("tree_id").agg(
-        F.count("*").alias("nodes"), F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(bad_path).alias("path_mismatches"))
-    repeats = nodes.groupBy("tree_id", "node_id").agg(F.count("*").alias("_n")).groupBy("tree_id").agg(F.sum(F.col("_n") - 1).alias("duplicate_nodes"))
-    known = unique.select("tree_id", F.col("node_id").alias("from_id"))
-    loose = edges.join(known, ["tree_id", "from_id"], "left_anti").groupBy("tree_id").agg(F.count("*").alias("unresolved_edges"))
-    counted = edges.groupBy("tree_id").agg(F.count("*").alias("edges"))
-    out = shape.join(repeats, "tree_id").join(counted, "tree_id", "left").join(loose, "tree_id", "left").fillna(0, ["edges", "unresolved_edges"])
+    counts = ("nodes", "roots", "children", "edges")
+    blank = F.lit(None).cast(nodes.schema["path"].dataType)
+
+    def said(of: str, path: Column = blank, claim: Column = blank, **n: Column) -> Column:
+        return F.struct(F.col(of).alias("id"), path.alias("path"), claim.alias("claim"), *[n.get(c, F.lit(0)).cast("long").alias(c) for c in counts])
+
+    one, above = F.lit(1), F.col("parent_id")
+    own = said("node_id", path=F.col("path"), nodes=one, roots=above.isNull())
+    child = said("parent_id", claim=F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), children=one)
+    each = nodes.select("tree_id", F.explode(F.when(above.isNull(), F.array(own)).otherwise(F.array(own, child))).alias("s"))
+    each = each.unionByName(edges.select("tree_id", said("from_id", edges=one).alias("s"))).select("tree_id", "s.*")
+    per_claim = each.groupBy("tree_id", "id", "claim").agg(F.min("path").alias("path"), *[F.sum(c).alias(c) for c in counts])
+    of_id = Window.partitionBy("tree_id", "id")
+    rows = per_claim.select("tree_id", "id", "claim", *counts, F.min("path").over(of_id).alias("known_path"), F.sum("nodes").over(of_id).alias("known"))
+    wrong = ~F.coalesce(F.col("claim") == F.col("known_path"), F.lit(False))
+    total = lambda value, name: F.coalesce(F.sum(value), F.lit(0)).alias(name)
+    out = rows.groupBy("tree_id").agg(
+        total("nodes", "nodes"), total("roots", "roots"), total(F.when(wrong, F.col("children")), "path_mismatches"),
+        total(F.when(F.col("nodes") > 0, F.col("nodes") - 1), "duplicate_nodes"), total("edges", "edges"),
+        total(F.when(F.col("id").isNull() | (F.col("known") == 0), F.col("edges")), "unresolved_edges"))
     good = (F.col("roots") == 1) & (F.col("edges") == F.col("nodes") - 1) & (F.col("path_mismatches") + F.col("duplicate_nodes") + F.col("unresolved_edges") == 0)
     return out.withColumn("status", F.when(good, "complete").otherwise("failed"))

@@ -228,7 +228,7 @@ def shared_contract_groups(spark, sf):
 
 CTES["assignments"] = """
 SELECT l_orderkey AS object_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'excluded' WHEN l_tax = 0.08 THEN 'interface' ELSE 'implementation' END AS kind, l_partkey AS model_id FROM lineitem"""
-CTES["target_models"] = "SELECT p_partkey AS model_id, CASE WHEN p_type = 'PROMO' THEN 'source' ELSE 'model' END AS object_kind FROM part WHERE p_size > 5"
+CTES["target_models"] = "SELECT CASE WHEN p_size > 5 THEN p_partkey ELSE -1 - p_partkey END AS model_id, CASE WHEN p_type = 'PROMO' THEN 'source' ELSE 'model' END AS object_kind FROM part"
 CTES["scope"] = """
 SELECT o_orderkey AS object_id, CASE WHEN ex > 0 AND ex = n THEN 'excluded' WHEN rl > 0 THEN 'assigned' ELSE 'unresolved' END AS status, coalesce(ex > 0 AND n > ex, false) AS is_conflict, coalesce(mt, 0) AS missing_targets, coalesce(io, 0) AS interface_only
 FROM orders LEFT JOIN (SELECT object_id, count(*) AS n, count(*) FILTER (WHERE kind = 'excluded') AS ex, count(*) FILTER (WHERE kind = 'implementation' AND object_kind = 'model') AS rl,
@@ -239,7 +239,7 @@ def scope(spark, sf):
     objects = table(spark, sf, "orders").select(F.col("o_orderkey").alias("object_id"))
     kind = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "excluded").when(F.col("l_tax") == 0.08, "interface").otherwise("implementation")
     assignments = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("object_id"), kind.alias("kind"), F.col("l_partkey").alias("model_id"))
-    targets = table(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("model_id"), F.when(F.col("p_type") == "PROMO", "source").otherwise("model").alias("object_kind"))
+    targets = table(spark, sf, "part").select(F.when(F.col("p_size") > 5, F.col("p_partkey")).otherwise(-1 - F.col("p_partkey")).alias("model_id"), F.when(F.col("p_type") == "PROMO", "source").otherwise("model").alias("object_kind"))
     return c.scope_status(objects, assignments, targets)
 
 
@@ -258,21 +258,23 @@ def scope_consumers(spark, sf):
 
 
 @query("inventory_drift", """
-WITH r AS (SELECT source, doc_id, md5(text) AS sha, CASE WHEN lang = 'es' THEN 'partial' ELSE 'parsed' END AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-o AS (SELECT d.source, d.doc_id, CASE WHEN l.quality = 0 THEN NULL WHEN d.lang = 'fr' THEN md5(d.text || '.') ELSE md5(d.text) END AS sha FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source <> 'src3')
+WITH r AS (SELECT source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN -1 - doc_id ELSE doc_id END AS doc_id, md5(text) AS sha, CASE WHEN lang = 'es' THEN 'partial' ELSE 'parsed' END AS status FROM documents),
+o AS (SELECT CASE WHEN d.source = 'src3' THEN 'src3-moved' ELSE d.source END AS source, d.doc_id, CASE WHEN l.quality = 0 THEN NULL WHEN d.lang = 'fr' THEN md5(d.text || '.') ELSE md5(d.text) END AS sha FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT source, doc_id, 'omitted' AS finding FROM r WHERE (source, doc_id) NOT IN (SELECT (source, doc_id) FROM o) UNION ALL SELECT source, doc_id, 'extra' FROM o WHERE (source, doc_id) NOT IN (SELECT (source, doc_id) FROM r)
 UNION ALL SELECT source, doc_id, 'unreadable' FROM r JOIN o USING (source, doc_id) WHERE o.sha IS NULL UNION ALL SELECT source, doc_id, 'stale' FROM r JOIN o USING (source, doc_id) WHERE o.sha <> r.sha UNION ALL SELECT source, doc_id, 'partial' FROM r WHERE status <> 'parsed'""")
 def inventory_drift(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id", "lang", "text").join(table(spark, sf, "labels"), "doc_id", "left")
-    recorded = docs.where("toxic IS NULL OR toxic <> 1").select("source", "doc_id", F.md5("text").alias("sha"), F.when(F.col("lang") == "es", "partial").otherwise("parsed").alias("status"))
+    path = F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")
+    recorded = docs.select("source", path, F.md5("text").alias("sha"), F.when(F.col("lang") == "es", "partial").otherwise("parsed").alias("status"))
     body = F.when(F.col("lang") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    observed = docs.where("source <> 'src3'").select("source", "doc_id", F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.md5(body)).alias("sha"))
+    moved = F.when(F.col("source") == "src3", "src3-moved").otherwise(F.col("source")).alias("source")
+    observed = docs.select(moved, "doc_id", F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.md5(body)).alias("sha"))
     return c.inventory_drift(recorded, observed, ["source", "doc_id"])
 
 
 @query("mapping_coverage", """
 WITH occ AS (SELECT lang AS asset, CASE WHEN l.quality = 0 THEN NULL ELSE d.source END AS domain, d.doc_id AS path, md5(d.text) AS sha, CASE WHEN l.toxic = 1 THEN 'excluded' WHEN l.doc_id IS NULL THEN 'unresolved' ELSE 'mapped' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)),
-cur AS (SELECT doc_id AS path, CASE WHEN n_chars > 9000 THEN md5(text || '!') ELSE md5(text) END AS sha FROM documents WHERE source <> 'src5'),
+cur AS (SELECT CASE WHEN source = 'src5' THEN -1 - doc_id ELSE doc_id END AS path, CASE WHEN n_chars > 9000 THEN md5(text || '!') ELSE md5(text) END AS sha FROM documents),
 x AS (SELECT o.asset, coalesce(o.domain, 'unassigned') AS domain, CASE WHEN o.sha IS DISTINCT FROM c.sha THEN 'stale' ELSE o.status END AS s FROM occ o LEFT JOIN cur c USING (path))
 SELECT asset, domain, count(*) AS total, count(*) FILTER (WHERE s = 'mapped') AS mapped, count(*) FILTER (WHERE s = 'unresolved') AS unresolved, count(*) FILTER (WHERE s = 'excluded') AS excluded, count(*) FILTER (WHERE s = 'stale') AS stale FROM x GROUP BY 1, 2""")
 def mapping_coverage(spark, sf):
@@ -281,24 +283,27 @@ def mapping_coverage(spark, sf):
     occ = joined.select(
         F.col("lang").alias("asset"), F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.col("source")).alias("domain"), F.col("doc_id").alias("path"), F.md5("text").alias("sha"),
         F.when(F.col("toxic") == 1, "excluded").when(F.col("_l").isNull(), "unresolved").otherwise("mapped").alias("status"))
-    now = docs.where("source <> 'src5'").select(F.col("doc_id").alias("path"), F.md5(F.when(F.col("n_chars") > 9000, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha"))
+    lost = F.when(F.col("source") == "src5", -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    now = docs.select(lost.alias("path"), F.md5(F.when(F.col("n_chars") > 9000, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha"))
     return c.mapping_coverage(occ, now)
 
 
-@query("mapping_orphans", "SELECT c_custkey AS requirement_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("mapping_orphans", "SELECT c_custkey AS requirement_id FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey % 11 = 4 THEN -1 - o_custkey ELSE o_custkey END FROM orders)")
 def mapping_orphans(spark, sf):
-    return c.orphan_requirements(table(spark, sf, "customer").select(F.col("c_custkey").alias("requirement_id")), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("requirement_id")))
+    lost = F.when(F.col("o_custkey") % 11 == 4, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return c.orphan_requirements(table(spark, sf, "customer").select(F.col("c_custkey").alias("requirement_id")), table(spark, sf, "orders").select(lost.alias("requirement_id")))
 
 
 @query("reuse_coverage", """
-WITH a AS (SELECT p_partkey AS model_id, p_type AS disposition, CASE WHEN p_size > 40 THEN NULL ELSE p_brand END AS owner, md5(p_name) AS b FROM part WHERE p_size <> 7),
-e AS (SELECT p_partkey AS model_id, CASE WHEN p_size < 5 THEN md5(upper(p_name)) ELSE md5(p_name) END AS n FROM part WHERE p_size <> 9)
+WITH a AS (SELECT CASE WHEN p_size = 7 THEN -1 - p_partkey ELSE p_partkey END AS model_id, p_type AS disposition, CASE WHEN p_size > 40 THEN NULL ELSE p_brand END AS owner, md5(p_name) AS b FROM part),
+e AS (SELECT CASE WHEN p_size = 9 THEN -1 - p_partkey ELSE p_partkey END AS model_id, CASE WHEN p_size < 5 THEN md5(upper(p_name)) ELSE md5(p_name) END AS n FROM part)
 SELECT CASE WHEN a.model_id IS NULL THEN '(added)' WHEN e.model_id IS NULL THEN '(removed)' ELSE a.disposition END AS disposition, count(*) AS total, count(*) FILTER (WHERE a.b <> e.n) AS stale, count(*) FILTER (WHERE a.model_id IS NOT NULL AND a.owner IS NULL) AS unassigned
 FROM a FULL OUTER JOIN e ON a.model_id = e.model_id GROUP BY 1""")
 def reuse_coverage(spark, sf):
     p = table(spark, sf, "part")
-    assigned = p.where("p_size <> 7").select(F.col("p_partkey").alias("model_id"), F.col("p_type").alias("disposition"), F.when(F.col("p_size") <= 40, F.col("p_brand")).alias("owner"), F.md5("p_name").alias("binding"))
-    existing = p.where("p_size <> 9").select(F.col("p_partkey").alias("model_id"), F.md5(F.when(F.col("p_size") < 5, F.upper("p_name")).otherwise(F.col("p_name"))).alias("binding"))
+    moved = lambda size: F.when(F.col("p_size") == size, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("model_id")
+    assigned = p.select(moved(7), F.col("p_type").alias("disposition"), F.when(F.col("p_size") <= 40, F.col("p_brand")).alias("owner"), F.md5("p_name").alias("binding"))
+    existing = p.select(moved(9), F.md5(F.when(F.col("p_size") < 5, F.upper("p_name")).otherwise(F.col("p_name"))).alias("binding"))
     return c.reuse_coverage(assigned, existing)
 
 
@@ -347,14 +352,15 @@ def inventory_classify(spark, sf):
 
 @query("consumer_reconcile", """
 WITH s AS (SELECT user_id AS consumer_id, CASE WHEN min(event_type) = 'click' THEN 'observed' ELSE 'declared' END AS status, CASE WHEN max(value) > 250 THEN 'retire_candidate' ELSE 'replace' END AS disposition, count(*) FILTER (WHERE value > 30) AS n_evidence, count(*) FILTER (WHERE value > 120) AS n_targets FROM events GROUP BY 1),
-k AS (SELECT DISTINCT o_custkey AS consumer_id FROM orders WHERE o_totalprice > 400000)
+k AS (SELECT DISTINCT CASE WHEN o_custkey % 7 = 3 THEN -1 - o_custkey ELSE o_custkey END AS consumer_id FROM orders)
 SELECT coalesce(s.consumer_id, k.consumer_id) AS consumer_id, CASE WHEN s.consumer_id IS NOT NULL AND disposition = 'retire_candidate' THEN 'explicit_exclusion' WHEN s.consumer_id IS NULL OR status <> 'observed' OR n_evidence = 0 THEN 'missing_evidence' WHEN n_targets = 0 THEN 'missing_target' ELSE 'replacement_mapping' END AS classification,
        s.consumer_id IS NOT NULL AS is_supplied, k.consumer_id IS NOT NULL AS is_known FROM s FULL OUTER JOIN k ON s.consumer_id = k.consumer_id""")
 def consumer_reconcile(spark, sf):
     supplied = table(spark, sf, "events").groupBy(F.col("user_id").alias("consumer_id")).agg(
         F.when(F.min("event_type") == "click", "observed").otherwise("declared").alias("status"), F.when(F.max("value") > 250, "retire_candidate").otherwise("replace").alias("disposition"),
         F.count_if(F.col("value") > 30).alias("n_evidence"), F.count_if(F.col("value") > 120).alias("n_targets"))
-    return c.reconcile_consumers(supplied, table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("consumer_id")))
+    known = F.when(F.col("o_custkey") % 7 == 3, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return c.reconcile_consumers(supplied, table(spark, sf, "orders").select(known.alias("consumer_id")))
 
 
 @query("classification_summary", """

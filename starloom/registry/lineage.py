@@ -104,13 +104,11 @@ def tree_integrity(spark, sf):
     n = nation.select(F.col("n_regionkey").alias("tree_id"), text("n", "n_nationkey").alias("node_id"), text("r", "n_regionkey").alias("parent_id"), F.array(text("r", "n_regionkey"), text("n", "n_nationkey")).alias("path"))
     c = table(spark, sf, "customer").join(nation.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     up = text("n", "c_nationkey")
-
-    def customers(df, parent, middle):
-        return df.select(F.col("n_regionkey").alias("tree_id"), text("c", "c_custkey").alias("node_id"), parent.alias("parent_id"), F.array(text("r", "n_regionkey"), middle, text("c", "c_custkey")).alias("path"))
-
-    first = customers(c, F.when(F.col("c_acctbal") < -950, "n-1").otherwise(up), F.when(F.col("c_acctbal") > 9900, "n?").otherwise(up))
-    again = customers(c.where("c_acctbal BETWEEN 5000 AND 5100"), up, up)
-    nodes = r.unionByName(n).unionByName(first).unionByName(again)
+    places = lambda parent, middle: F.struct(parent.alias("parent_id"), F.array(text("r", "n_regionkey"), middle, text("c", "c_custkey")).alias("path"))
+    first = places(F.when(F.col("c_acctbal") < -950, "n-1").otherwise(up), F.when(F.col("c_acctbal") > 9900, "n?").otherwise(up))
+    twice = F.when(F.col("c_acctbal").between(5000, 5100), F.array(first, places(up, up))).otherwise(F.array(first))
+    c = c.select(F.col("n_regionkey").alias("tree_id"), text("c", "c_custkey").alias("node_id"), F.explode(twice).alias("p")).select("tree_id", "node_id", "p.*")
+    nodes = r.unionByName(n).unionByName(c)
     edges = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("from_id"), F.col("node_id").alias("to_id"))
     return g.tree_diagnostics(nodes, edges)
 

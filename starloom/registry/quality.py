@@ -109,12 +109,15 @@ def dq_quantity_chain(spark, sf):
 
 @query("dq_fact_coverage", """
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'missing_in_fact' WHEN a.o_orderkey IS NULL THEN 'missing_in_source' ELSE 'value_drift' END AS issue
-FROM (SELECT * FROM orders_c WHERE o_orderpriority <> '5-LOW') a FULL OUTER JOIN (SELECT * FROM lane_orders WHERE c < 45000000) b ON a.o_orderkey = b.o_orderkey
+FROM (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey, c FROM orders_c) a FULL OUTER JOIN (SELECT CASE WHEN c < 45000000 THEN o_orderkey ELSE 10000000000 + o_orderkey END AS o_orderkey, c FROM lane_orders) b ON a.o_orderkey = b.o_orderkey
 WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.c <> b.c""")
 def dq_fact_coverage(spark, sf):
     from starloom.registry.sets import lane_orders
 
-    return q.coverage_drift(orders_c(spark, sf).where("o_orderpriority <> '5-LOW'"), lane_orders(spark, sf).where("c < 45000000"), ["o_orderkey"], ["c"])
+    key, moved = F.col("o_orderkey"), F.lit(10_000_000_000)
+    source = orders_c(spark, sf).withColumn("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", -1 - key).otherwise(key))
+    fact = lane_orders(spark, sf).withColumn("o_orderkey", F.when(F.col("c") < 45000000, key).otherwise(moved + key))
+    return q.coverage_drift(source, fact, ["o_orderkey"], ["c"])
 
 
 @query("dq_currency_match", """

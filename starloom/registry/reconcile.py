@@ -141,8 +141,8 @@ def value_coverage(spark, sf):
 
 @query("multi_denominator_overlap", """
 SELECT matched, in_a, in_b, in_a + in_b - matched AS in_union, CAST(matched AS DOUBLE) / in_a AS of_a, CAST(matched AS DOUBLE) / in_b AS of_b, CAST(matched AS DOUBLE) / (in_a + in_b - matched) AS of_union FROM (
-  SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT user_id FROM events)) AS matched,
-         (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS in_a, (SELECT count(DISTINCT user_id) FROM events) AS in_b)""")
+  SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT user_id FROM events)) AS matched,
+         (SELECT count(DISTINCT o_custkey) FROM orders) AS in_a, (SELECT count(DISTINCT user_id) FROM events) AS in_b)""")
 def multi_denominator_overlap(spark, sf):
-    buyers = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
     return r.overlap_rates(buyers, table(spark, sf, "events").select(F.col("user_id").alias("id")), ["id"])

@@ -69,3 +69,52 @@ def test_propagate_reaches_a_fixpoint_on_a_cycle(spark):
 def test_hub_edges_are_linear(spark):
     maps = spark.createDataFrame([("m", ["a", "b", "c"], ["x", "y"])], "m string, s array<string>, t array<string>")
     assert g.hub_edges(maps, "m", "s", "t").count() == 5
+
+
+def test_tree_diagnostics_of_odd_trees(spark):
+    nodes = [
+        (1, "a", None, ["a"]), (1, "b", "a", ["a", "b"]), (1, "c", "b", ["a", "b", "c"]),  # complete
+        (2, "a", None, ["a"]), (2, "b", "a", ["x", "b"]), (2, "b", "a", ["a", "b"]), (2, "c", "gone", ["a", "c"]),  # wrong path, repeat, no parent
+        (3, "a", None, ["a"]), (3, "b", None, None), (3, "c", "a", None), (3, "d", "a", []), (3, None, "a", ["a", "n"]),  # nulls
+        (None, "a", None, ["a"])]
+    edges = [(t, p, n) for t, n, p, _ in nodes if p is not None] + [(3, None, "c"), (4, "a", "b")]
+    made = g.tree_diagnostics(
+        spark.createDataFrame(nodes, "tree_id int, node_id string, parent_id string, path array<string>"),
+        spark.createDataFrame(edges, "tree_id int, from_id string, to_id string"))
+    assert {r[0]: tuple(r[1:]) for r in made.collect()} == {
+        1: (3, 1, 0, 0, 2, 0, "complete"), 2: (4, 1, 2, 1, 3, 1, "failed"), 3: (5, 2, 2, 0, 4, 1, "failed"),
+        None: (1, 1, 0, 0, 0, 0, "complete"), 4: (0, 0, 0, 0, 1, 1, "failed")}
+
+
+def test_tree_diagnostics_of_nothing(spark):
+    nodes = spark.createDataFrame([], "tree_id int, node_id string, parent_id string, path array<string>")
+    assert g.tree_diagnostics(nodes, spark.createDataFrame([], "tree_id int, from_id string, to_id string")).count() == 0
+
+
+def test_tree_diagnostics_against_brute_force(spark):
+    """A hot parent, wrong claims and repeats, counted one by one."""
+    nodes = [(t, "r", None, ["r"]) for t in range(2)]
+    for i in range(600):
+        parent = "r" if i % 3 else f"n{i % 40}"
+        path = ["r", f"n{i % 200}"] if parent == "r" else ["r", parent, f"n{i % 200}"]
+        nodes.append((i % 2, f"n{i % 200}", parent, path if i % 17 else ["?", *path[1:]]))
+    edges = [(t, p, n) for t, n, p, _ in nodes if p is not None]
+    smallest = {}
+    for t, n, _, path in nodes:
+        smallest[t, n] = min(path, smallest.get((t, n), path))
+    made = g.tree_diagnostics(
+        spark.createDataFrame(nodes, "tree_id int, node_id string, parent_id string, path array<string>"),
+        spark.createDataFrame(edges, "tree_id int, from_id string, to_id string"))
+    for r in made.collect():
+        mine = [x for x in nodes if x[0] == r["tree_id"]]
+        assert r["nodes"] == len(mine) and r["roots"] == 1 and r["duplicate_nodes"] == len(mine) - len({x[1] for x in mine})
+        assert r["path_mismatches"] == sum(p is not None and smallest.get((t, p)) != path[:-1] for t, _, p, path in mine)
+        assert r["unresolved_edges"] == sum((t, p) not in smallest for t, p, _ in edges if t == r["tree_id"])
+        assert r["edges"] == len(mine) - 1
+
+
+def test_tree_diagnostics_read_their_inputs_once(spark):
+    from starloom.registry.lineage import tree_integrity
+
+    plan = tree_integrity(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8  # region, nation, customer and its nation, for nodes and for edges
