@@ -188,3 +188,25 @@ def propagate_effort(packages: DataFrame, prerequisites: DataFrame) -> DataFrame
         "node_id", F.when(F.col("unknown") == 0, F.col("level")).alias("level"),
         F.when(F.col("unknown") == 1, "needs_discovery").when(F.col("blocked") == 1, "blocked").otherwise("ready").alias("readiness"),
         ((F.col("unknown") == 0) & (F.col("level") > F.col("own_level"))).alias("is_inherited"))
+
+
+def effort_reasons(packages: DataFrame, prerequisites: DataFrame) -> DataFrame:
+    """Why a package is not ready, or harder than its own work: node_id, reason, prerequisite_id, one row each.
+
+    Inputs as for ``propagate_effort``. ``own_blocker`` and ``unknown_level`` are of the
+    package itself (no prerequisite); ``unassessed_prerequisite``, ``blocked_prerequisite``
+    and ``harder_prerequisite`` name each direct prerequisite that passes its state on.
+    A prerequisite that is no package, or the package itself, gives no reason.
+    """
+    from starloom.operators.lineage import cut_lineage
+
+    done = cut_lineage(propagate_effort(packages, prerequisites))
+    own = packages.select("node_id", F.explode(F.array_compact(F.array(
+        F.when(F.col("is_blocked"), "own_blocker"), F.when(F.col("own_level") == 0, "unknown_level")))).alias("reason"), F.lit(None).cast(prerequisites.schema["source_id"].dataType).alias("prerequisite_id"))
+    links = prerequisites.where("source_id <> target_id").select("source_id", "target_id").distinct()
+    passed = links.join(done.select(F.col("node_id").alias("source_id"), "level", "readiness"), "source_id")
+    passed = passed.join(packages.select(F.col("node_id").alias("target_id"), "own_level"), "target_id")
+    codes = F.array_compact(F.array(
+        F.when(F.col("level").isNull(), "unassessed_prerequisite"), F.when(F.col("readiness") == "blocked", "blocked_prerequisite"),
+        F.when((F.col("own_level") > 0) & (F.col("level") > F.col("own_level")), "harder_prerequisite")))
+    return own.unionByName(passed.select(F.col("target_id").alias("node_id"), F.explode(codes).alias("reason"), F.col("source_id").alias("prerequisite_id")))

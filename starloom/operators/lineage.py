@@ -154,27 +154,40 @@ def prune_dependents(items: DataFrame, needs: DataFrame) -> DataFrame:
 def propagate(nodes: DataFrame, edges: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Spread monotone values along ``source_id -> target_id`` until stable.
 
-    ``rules``: column -> ``max`` (ordinals, flags) or ``bit_or`` (sets as bit masks).
-    Only nodes that changed in a round are sent on.
+    ``rules``: column -> ``max`` (ordinals, flags) or ``bit_or`` (sets as bit masks; null is the empty set).
+    A round sends on only the nodes that changed and writes only those that change again;
+    the values of a node are its rows in ``nodes`` and in the rounds' tables, folded. Rounds
+    are merged as soon as one is half as long as the one before, so there are a logarithm
+    of them and each change is rewritten a logarithm of times. Repeated nodes are folded
+    into one row; edges to ids that are no nodes say nothing.
     """
     fold = {"max": F.max, "bit_or": F.bit_or}
-    merge = {"max": lambda a, b: F.greatest(a, b), "bit_or": lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0)))}
     names = list(rules)
+    folded = lambda df: df.groupBy("node_id").agg(*[fold[r](c).alias(c) for c, r in rules.items()])
     links = cut_lineage(edges.select("source_id", "target_id").distinct())
-    state = cut_lineage(nodes.select("node_id", *names))
-    changed = state
-    while not changed.isEmpty():
-        sent = links.join(changed.withColumnRenamed("node_id", "source_id"), "source_id")
-        arriving = sent.groupBy(F.col("target_id").alias("node_id")).agg(*[fold[r](c).alias(f"_in_{c}") for c, r in rules.items()])
-        merged = state.join(arriving, "node_id", "left").select(
-            "node_id", *[F.col(c).alias(f"_old_{c}") for c in names], *[merge[r](F.col(c), F.col(f"_in_{c}")).alias(c) for c, r in rules.items()])
+    base = cut_lineage(folded(nodes.select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) if r == "bit_or" else F.col(c) for c, r in rules.items()])))
+    rounds: list[tuple[DataFrame, int]] = []
+    changed = base
+    while True:
+        sent = links.join(changed.withColumnRenamed("node_id", "source_id"), "source_id").select(F.col("target_id").alias("node_id"), *names)
+        arriving = folded(sent).select("node_id", *[F.col(c).alias(f"_in_{c}") for c in names])
+        known = base
+        for delta, _ in rounds:
+            known = known.unionByName(delta)
+        now = folded(known.join(arriving, "node_id", "left_semi")).join(arriving, "node_id")
+        after = {c: F.greatest(c, f"_in_{c}") if r == "max" else F.col(c).bitwiseOR(F.coalesce(f"_in_{c}", F.lit(0))) for c, r in rules.items()}
         moved = F.lit(False)
         for c in names:
-            moved = moved | ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-        marked = cut_lineage(merged.select("node_id", *names, moved.alias("_moved")))
-        state = marked.drop("_moved")
-        changed = marked.where("_moved").drop("_moved")
-    return state
+            moved = moved | ~after[c].eqNullSafe(F.col(c))
+        changed = cut_lineage(now.where(moved).select("node_id", *[after[c].alias(c) for c in names]))
+        size = changed.count()
+        if not size:
+            return folded(known)
+        rounds.append((changed, size))
+        while len(rounds) > 1 and 2 * rounds[-1][1] >= rounds[-2][1]:
+            (newer, _), (older, _) = rounds.pop(), rounds.pop()
+            merged = cut_lineage(folded(older.unionByName(newer)))
+            rounds.append((merged, merged.count()))
 
 
 def components(edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:

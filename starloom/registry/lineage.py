@@ -123,13 +123,29 @@ def context_closure(spark, sf):
     return g.components(edges)
 
 
+def packages(spark, sf):
+    bal = F.col("c_acctbal")
+    level = F.when(bal < -985, 0).when(bal < 1000, 1).when(bal < 6000, 2).when(bal < 9800, 3).otherwise(4)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"), level.alias("own_level"), bal.between(9500, 9600).alias("is_blocked"))
+
+
 @query("effort_propagation", """
 WITH RECURSIVE pk AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < -985 THEN 0 WHEN c_acctbal < 1000 THEN 1 WHEN c_acctbal < 6000 THEN 2 WHEN c_acctbal < 9800 THEN 3 ELSE 4 END AS lv, CASE WHEN c_acctbal BETWEEN 9500 AND 9600 THEN 1 ELSE 0 END AS bl FROM customer),
 up AS (SELECT id AS node_id, id AS pos FROM pk UNION ALL SELECT node_id, (pos - 1) // 2 FROM up WHERE pos > 0),
 f AS (SELECT node_id, max(lv) AS level, max(bl) AS blocked, max(CASE WHEN lv = 0 THEN 1 ELSE 0 END) AS unknown FROM up JOIN pk ON pk.id = up.pos GROUP BY 1)
 SELECT f.node_id, CASE WHEN unknown = 0 THEN level END AS level, CASE WHEN unknown = 1 THEN 'needs_discovery' WHEN blocked = 1 THEN 'blocked' ELSE 'ready' END AS readiness, unknown = 0 AND level > lv AS is_inherited FROM f JOIN pk ON pk.id = f.node_id""")
 def effort_propagation(spark, sf):
-    bal = F.col("c_acctbal")
-    level = F.when(bal < -985, 0).when(bal < 1000, 1).when(bal < 6000, 2).when(bal < 9800, 3).otherwise(4)
-    packages = table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"), level.alias("own_level"), bal.between(9500, 9600).alias("is_blocked"))
-    return cov.propagate_effort(packages, referral(spark, sf, back=False))
+    return cov.propagate_effort(packages(spark, sf), referral(spark, sf, back=False))
+
+
+@query("effort_reasons", """
+WITH RECURSIVE pk AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < -985 THEN 0 WHEN c_acctbal < 1000 THEN 1 WHEN c_acctbal < 6000 THEN 2 WHEN c_acctbal < 9800 THEN 3 ELSE 4 END AS lv, CASE WHEN c_acctbal BETWEEN 9500 AND 9600 THEN 1 ELSE 0 END AS bl FROM customer),
+up AS (SELECT id AS node_id, id AS pos FROM pk UNION ALL SELECT node_id, (pos - 1) // 2 FROM up WHERE pos > 0),
+f AS (SELECT node_id, max(lv) AS level, max(bl) AS blocked, max(CASE WHEN lv = 0 THEN 1 ELSE 0 END) AS unknown FROM up JOIN pk ON pk.id = up.pos GROUP BY 1),
+d AS (SELECT f.node_id, CASE WHEN unknown = 0 THEN level END AS level, unknown = 0 AND blocked = 1 AS stopped FROM f)
+SELECT id AS node_id, 'own_blocker' AS reason, NULL::BIGINT AS prerequisite_id FROM pk WHERE bl = 1 UNION ALL SELECT id, 'unknown_level', NULL FROM pk WHERE lv = 0
+UNION ALL SELECT id, 'unassessed_prerequisite', node_id FROM pk JOIN d ON node_id = (id - 1) // 2 WHERE id > 0 AND level IS NULL
+UNION ALL SELECT id, 'blocked_prerequisite', node_id FROM pk JOIN d ON node_id = (id - 1) // 2 WHERE id > 0 AND stopped
+UNION ALL SELECT id, 'harder_prerequisite', node_id FROM pk JOIN d ON node_id = (id - 1) // 2 WHERE id > 0 AND lv > 0 AND level > lv""")
+def effort_reasons(spark, sf):
+    return cov.effort_reasons(packages(spark, sf), referral(spark, sf, back=False))

@@ -118,3 +118,37 @@ def test_tree_diagnostics_read_their_inputs_once(spark):
 
     plan = tree_integrity(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 8  # region, nation, customer and its nation, for nodes and for edges
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_propagated_values_against_brute_force(spark, seed):
+    """Cycles, a chain, repeated nodes, nulls and edges to ids that are no nodes."""
+    rng = random.Random(seed)
+    edges = [*graph(seed, 40, 45), *[(i, i + 1) for i in range(100, 125)], (0, 999), (998, 1), (7, 7)]
+    nodes = [(i, rng.randrange(5), 1 << rng.randrange(4) if i % 6 else None) for i in [*range(40), *range(100, 126), 3]]
+    top, bits = {}, {}
+    for i, level, mask in nodes:
+        top[i], bits[i] = max(level, top.get(i, 0)), (mask or 0) | bits.get(i, 0)
+    for _ in range(80):
+        for a, b in edges:
+            if a in top and b in top:
+                top[b], bits[b] = max(top[a], top[b]), bits[a] | bits[b]
+    made = g.propagate(spark.createDataFrame(nodes, "node_id long, level int, bits int"), frame(spark, edges), {"level": "max", "bits": "bit_or"})
+    assert sorted(map(tuple, made.collect())) == sorted((i, top[i], bits[i]) for i in top)
+
+
+def test_rounds_write_what_changed(spark, monkeypatch):
+    """A value that runs down a chain of 30 among 20,000 nodes: the rounds' tables hold some rows, not the nodes."""
+    held = []
+    real = g.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(g, "cut_lineage", counted)
+    nodes = spark.range(20_000).selectExpr("id AS node_id", "CAST(id = 0 AS int) AS level")
+    made = g.propagate(nodes, frame(spark, [(i, i + 1) for i in range(30)]), {"level": "max"})
+    assert made.where("level = 1").count() == 31
+    assert sum(held[2:]) <= 30 * 6  # after edges and nodes: 30 changes, each rewritten a logarithm of times
