@@ -13,25 +13,28 @@ from starloom.operators import prefix
 from starloom.registry.base import CTES, query, table
 
 CTES["declared"] = """
-SELECT p_brand AS relation, 'c' || p_partkey AS column_name, p_type AS data_type, p_size % 2 = 0 AS nullable, p_name AS description, p_partkey AS id FROM part WHERE p_brand <> 'Brand#9' AND p_size <> 1"""
+SELECT CASE WHEN p_brand = 'Brand#9' THEN 'Brand#09' ELSE p_brand END AS relation, CASE WHEN p_size = 1 THEN 'old' ELSE 'c' END || p_partkey AS column_name, p_type AS data_type, p_size % 2 = 0 AS nullable, p_name AS description, CASE WHEN p_size = 1 THEN -1 - p_partkey ELSE p_partkey END AS id FROM part"""
 CTES["physical"] = """
-SELECT CASE WHEN p_brand = 'Brand#7' THEN 'Brand#07' ELSE p_brand END AS relation, 'c' || p_partkey AS column_name, CASE WHEN p_size = 2 THEN 'OTHER' ELSE p_type END AS data_type,
-       CASE WHEN p_size = 3 THEN true ELSE p_size % 2 = 0 END AS nullable, CASE WHEN p_size = 4 THEN NULL WHEN p_size = 5 THEN upper(p_name) WHEN p_size = 6 THEN ' ' ELSE p_name END AS description, p_partkey AS id
-FROM part WHERE p_size <> 50"""
+SELECT CASE WHEN p_brand = 'Brand#7' THEN 'Brand#07' ELSE p_brand END AS relation, CASE WHEN p_size = 50 THEN 'new' ELSE 'c' END || p_partkey AS column_name, CASE WHEN p_size = 2 THEN 'OTHER' ELSE p_type END AS data_type,
+       CASE WHEN p_size = 3 THEN true ELSE p_size % 2 = 0 END AS nullable, CASE WHEN p_size = 4 THEN NULL WHEN p_size = 5 THEN upper(p_name) WHEN p_size = 6 THEN ' ' ELSE p_name END AS description, CASE WHEN p_size = 50 THEN -1 - p_partkey ELSE p_partkey END AS id
+FROM part"""
 
 
 def declared(spark, sf):
-    p = table(spark, sf, "part").where("p_brand <> 'Brand#9' AND p_size <> 1")
-    return p.select(F.col("p_brand").alias("relation"), F.concat(F.lit("c"), "p_partkey").alias("column_name"), F.col("p_type").alias("data_type"), (F.col("p_size") % 2 == 0).alias("nullable"), F.col("p_name").alias("description"), F.col("p_partkey").alias("id"))
+    relation = F.when(F.col("p_brand") == "Brand#9", "Brand#09").otherwise(F.col("p_brand"))
+    name = F.concat(F.when(F.col("p_size") == 1, "old").otherwise("c"), "p_partkey")
+    return table(spark, sf, "part").select(
+        relation.alias("relation"), name.alias("column_name"), F.col("p_type").alias("data_type"), (F.col("p_size") % 2 == 0).alias("nullable"), F.col("p_name").alias("description"),
+        F.when(F.col("p_size") == 1, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"))
 
 
 def physical(spark, sf):
-    p = table(spark, sf, "part").where("p_size <> 50")
     size = F.col("p_size")
-    return p.select(
-        F.when(F.col("p_brand") == "Brand#7", "Brand#07").otherwise(F.col("p_brand")).alias("relation"), F.concat(F.lit("c"), "p_partkey").alias("column_name"),
+    return table(spark, sf, "part").select(
+        F.when(F.col("p_brand") == "Brand#7", "Brand#07").otherwise(F.col("p_brand")).alias("relation"), F.concat(F.when(size == 50, "new").otherwise("c"), "p_partkey").alias("column_name"),
         F.when(size == 2, "OTHER").otherwise(F.col("p_type")).alias("data_type"), ((size == 3) | (size % 2 == 0)).alias("nullable"),
-        F.when(size == 5, F.upper("p_name")).when(size == 6, " ").when(size != 4, F.col("p_name")).alias("description"), F.col("p_partkey").alias("id"))
+        F.when(size == 5, F.upper("p_name")).when(size == 6, " ").when(size != 4, F.col("p_name")).alias("description"),
+        F.when(size == 50, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"))
 
 
 @query("schema_reconcile", """
@@ -62,8 +65,10 @@ SELECT coalesce(d.relation, p.relation) AS relation, coalesce(d.column_name, p.c
 FROM declared d FULL OUTER JOIN physical p ON d.relation = p.relation AND d.column_name = p.column_name
 WHERE (d.id IS NULL OR p.id IS NULL OR d.data_type <> p.data_type OR d.nullable <> p.nullable) AND coalesce(d.relation, p.relation) NOT IN ('Brand#9', 'Brand#3')""")
 def environment_parity(spark, sf):
-    exceptions = table(spark, sf, "part").where("p_brand IN ('Brand#9', 'Brand#3')").select(F.col("p_brand").alias("relation"), F.concat(F.lit("c"), "p_partkey").alias("column_name"))
-    return m.environment_diff(declared(spark, sf), physical(spark, sf), ["data_type", "nullable"], exceptions)
+    first, second = declared(spark, sf), physical(spark, sf)
+    listed = first.select("relation", "column_name").unionByName(second.select("relation", "column_name"))
+    exceptions = listed.where("relation IN ('Brand#9', 'Brand#3')").distinct()
+    return m.environment_diff(first, second, ["data_type", "nullable"], exceptions)
 
 
 @query("metadata_emit", """
