@@ -51,3 +51,13 @@ def with_ctes(body: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt_out(df: DataFrame, rows: int = 2**16) -> DataFrame:
+    """The rows in parts of some ``rows`` each, for a scan that fans them out.
+
+    A scan's task holds a whole row group; what it fans out to and groups would grow with
+    that. A table of one part is left as it is. The rows are counted while the query is built.
+    """
+    parts = -(-df.count() // rows)
+    return df.repartition(parts, *df.columns) if parts > 1 else df

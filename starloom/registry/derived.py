@@ -18,7 +18,7 @@ from starloom.functions.scalars import cents
 from starloom.operators.cdc import current_state, history_key, with_unknown_rows
 from starloom.operators.joins import Edge
 from starloom.plans import facts
-from starloom.registry.base import CTES, table
+from starloom.registry.base import CTES, dealt_out, table
 
 
 def _versions(df: DataFrame, versions: list[Column]) -> DataFrame:
@@ -231,7 +231,7 @@ SELECT DISTINCT tenant_id, customer_id, CAST(valid_from AS TIMESTAMP) AS valid_f
 
 def customer_history_raw(spark, sf) -> DataFrame:
     """Text history with an exact replay for some customers; that of a negative balance starts after all facts."""
-    c = table(spark, sf, "customer")
+    c = dealt_out(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"))
     split = F.concat(F.date_add(F.lit("1997-01-01").cast("date"), F.col("c_nationkey") * 30).cast("string"), F.lit(" 00:00:00"))
     start = F.when(F.col("c_acctbal") < 0, "2038-01-01 00:00:00").otherwise("1992-01-01 00:00:00")
     rotated = (F.when(F.col("c_mktsegment") == "BUILDING", "MACHINERY")
