@@ -160,6 +160,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, rules: Mapping[str, str]) -> D
     are merged as soon as one is half as long as the one before, so there are a logarithm
     of them and each change is rewritten a logarithm of times. Repeated nodes are folded
     into one row; edges to ids that are no nodes say nothing.
+
+    What arrives meets what is known in one aggregate by node. Rounds are many, so no round
+    broadcasts more than 2^13 changed nodes; longer ones are merged with the edges.
     """
     fold = {"max": F.max, "bit_or": F.bit_or}
     names = list(rules)
@@ -167,14 +170,19 @@ def propagate(nodes: DataFrame, edges: DataFrame, rules: Mapping[str, str]) -> D
     links = cut_lineage(edges.select("source_id", "target_id").distinct())
     base = cut_lineage(folded(nodes.select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) if r == "bit_or" else F.col(c) for c, r in rules.items()])))
     rounds: list[tuple[DataFrame, int]] = []
-    changed = base
+    changed, size = base, base.count()
+    none = {c: F.lit(None).cast(base.schema[c].dataType) for c in names}
     while True:
-        sent = links.join(changed.withColumnRenamed("node_id", "source_id"), "source_id").select(F.col("target_id").alias("node_id"), *names)
-        arriving = folded(sent).select("node_id", *[F.col(c).alias(f"_in_{c}") for c in names])
+        sent = links.join(changed.withColumnRenamed("node_id", "source_id").hint("broadcast" if size <= 2**13 else "merge"), "source_id").where("target_id IS NOT NULL")
+        arriving = sent.select(F.col("target_id").alias("node_id"), *[none[c].alias(c) for c in names], *[F.col(c).alias(f"_in_{c}") for c in names], F.lit(False).alias("_own"))
         known = base
         for delta, _ in rounds:
             known = known.unionByName(delta)
-        now = folded(known.join(arriving, "node_id", "left_semi")).join(arriving, "node_id")
+        tagged = known.select("node_id", *names, *[none[c].alias(f"_in_{c}") for c in names], F.lit(True).alias("_own")).unionByName(arriving)
+        met = tagged.groupBy("node_id").agg(
+            *[fold[r](c).alias(c) for c, r in rules.items()], *[fold[r](f"_in_{c}").alias(f"_in_{c}") for c, r in rules.items()],
+            F.bool_or("_own").alias("_own"), F.bool_and("_own").alias("_left"))
+        now = met.where("_own AND NOT _left")
         after = {c: F.greatest(c, f"_in_{c}") if r == "max" else F.col(c).bitwiseOR(F.coalesce(f"_in_{c}", F.lit(0))) for c, r in rules.items()}
         moved = F.lit(False)
         for c in names:
