@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.session import cut_lineage
+from starloom.session import cut_lineage, scratch_path
 
 
 def _contracted(links: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,13 +47,47 @@ def _contracted(links: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFram
 def closure(edges: DataFrame, seeds: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
     """Nodes reachable from the seeds (seeds included), as ``node_id`` and ``depth``.
 
+    The first ``PLAIN_ROUNDS`` rounds are a plain breadth-first search, so a shallow graph
+    costs one pass over its edges a level and nothing else; repeated edges do no harm.
+    What lies deeper is searched with its chains contracted.
+    """
+    links = _written(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("_s"), F.col(target).alias("_t")), "links")
+    frontier = _written(seeds.toDF("node_id").distinct(), "seeds")
+    reached = frontier.withColumn("depth", F.lit(0))
+    size = frontier.count()
+    for depth in range(1, PLAIN_ROUNDS + 1):
+        # A frontier's nodes are distinct: a busy one costs the edges' side, which streams past the hashed nodes.
+        starts = frontier.withColumnRenamed("node_id", "_s").hint("broadcast" if size <= 2**16 else "shuffle_hash")
+        step = links.join(starts, "_s", "left_semi").select(F.col("_t").alias("node_id")).distinct()
+        frontier = cut_lineage(step.join(reached, "node_id", "left_anti"))
+        size = frontier.count()
+        if not size:
+            return reached
+        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    open_ = links.join(reached.select(F.col("node_id").alias("_t")), "_t", "left_anti").select("_s", "_t").distinct()
+    deeper = _contracted_closure(cut_lineage(open_), frontier).where("depth > 0")
+    return reached.unionByName(deeper.withColumn("depth", F.col("depth") + PLAIN_ROUNDS))
+
+
+# Rounds of ``closure`` before chains are contracted, which costs several passes over all edges.
+PLAIN_ROUNDS = 4
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: columns are packed, and a reader takes only those it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _contracted_closure(links: DataFrame, start: DataFrame) -> DataFrame:
+    """``closure`` of distinct edges (_s, _t) from distinct nodes.
+
     Chains are contracted first, so a long one costs the logarithm of its length in
     rounds. The search then goes edge by edge of what is left; a node that is reached
     again by a shorter way is sent on again, so depths are exact. Nodes inside chains
     get theirs from the head of the chain at the end.
     """
-    links = cut_lineage(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
-    start = cut_lineage(seeds.toDF("node_id").distinct())
     short, ways = _contracted(links, start)
     short = cut_lineage(short)
     frontier = start.withColumn("depth", F.lit(0).cast("long"))

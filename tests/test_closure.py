@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from starloom.operators import lineage
+from tests.conftest import rows
 
 
 def plain(edges, seeds):
@@ -86,3 +87,32 @@ def test_no_cycles(spark, monkeypatch):
     monkeypatch.setattr(lineage, "cut_lineage", lambda df: rounds.append(1) or real(df))
     assert lineage.cyclic_nodes(spark.range(5_000).selectExpr("id AS source_id", "id + 1 AS target_id")).collect() == []
     assert len(rounds) <= 26
+
+
+def test_shallow_graph_is_searched_without_contracting(spark, monkeypatch):
+    """Four levels, repeated edges, a ring, an edge to itself and null ends; contracting costs passes over all edges."""
+    pairs = [(1, 2), (1, 2), (2, 3), (3, 1), (3, 4), (2, 4), (4, 4), (4, 5), (9, 8), (None, 5), (5, None)]
+    edges = spark.createDataFrame(pairs, "source_id long, target_id long")
+    seeds = spark.createDataFrame([(1,), (1,), (7,)], "node_id long")
+    monkeypatch.setattr(lineage, "_contracted", None)
+    assert rows(lineage.closure(edges, seeds)) == [(1, 0), (2, 1), (3, 2), (4, 2), (5, 3), (7, 0)]
+
+
+def test_deep_graph_goes_on_where_the_plain_rounds_end(spark):
+    """A long chain with short cuts and a branch that meets it again, against a plain search."""
+    n = 60
+    pairs = [(i, i + 1) for i in range(n)] + [(3, 20), (12, 40), (40, 2), (9, 100), (100, 101), (101, 30), (59, 0), (200, 5), (50, 50)]
+    adjacent: dict[int, list[int]] = {}
+    for a, b in pairs:
+        adjacent.setdefault(a, []).append(b)
+    depth, todo = {0: 0, 60: 0}, [0, 60]
+    for a in todo:
+        for b in adjacent.get(a, []):
+            if b not in depth:
+                depth[b] = depth[a] + 1
+                todo.append(b)
+    edges = spark.createDataFrame(pairs + pairs[:9], "source_id long, target_id long")
+    found = lineage.closure(edges, spark.createDataFrame([(0,), (60,)], "node_id long"))
+    assert found.schema["depth"].dataType.simpleString() == "int"
+    assert max(depth.values()) > lineage.PLAIN_ROUNDS
+    assert sorted(map(tuple, found.collect())) == sorted(depth.items())
