@@ -128,6 +128,12 @@ def _count_windows(depth: int):
     return run
 
 
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    """The different keys in order: by a sort, as ``np.unique`` of millions of integers hashes them one by one."""
+    ordered = np.sort(keys)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def places_of(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index in the sorted ``distinct`` of keys that are all among them: by a hash table, the few that collide by search."""
     if not len(distinct):
@@ -207,7 +213,7 @@ def _lists(size: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.Ar
 def _known_windows(texts: list[bytes], depth: int, hot: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Sum of the values of a text's broadcast windows, and all its others with their occurrences."""
     keys, size = windows(texts, depth)
-    distinct = np.unique(keys)
+    distinct = distinct_of(keys)
     place = np.searchsorted(hot, distinct)
     place[place == len(hot)] = 0
     found = hot[place] == distinct if len(hot) else np.zeros(len(distinct), bool)
