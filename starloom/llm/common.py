@@ -25,7 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, fixes the rows, survives executors."""
+    """Write once to the shared folder and read back: cuts lineage, fixes the rows, survives executors.
+
+    What the driver's Python no longer needs goes back to the system first.
+    """
+    give_back()
     path = scratch_path(df.sparkSession, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -327,7 +327,7 @@ def similar_links(links: DataFrame, items: DataFrame, docs: DataFrame, params: P
     With them the rows of ``docs`` (doc_id, text) that hold the texts, and few others.
     """
     ends = links.select("source_id", "target_id", F.explode(F.array("source_id", "target_id")).alias("fingerprint"))
-    asked = written(ends.join(items.select("fingerprint", F.col("lowest").alias("doc_id")), "fingerprint"), "simhash-asked")
+    asked = written(ends.join(items.select("fingerprint", F.col("lowest").alias("doc_id")).hint("merge"), "fingerprint"), "simhash-asked")
     # A bit table of fixed size keeps most other documents out of the shuffle; the join decides.
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select(F.xxhash64("doc_id").alias("seed"))))
 
@@ -387,13 +387,13 @@ def whole_groups(links: DataFrame, good: DataFrame, items: DataFrame, texts: Dat
     others all items are compared whose fingerprints are candidates, with their
     shingle sets: in blocks of bounded size, a pair of blocks being one task's work.
     """
-    refuted = links.join(good, ["source_id", "target_id"], "left_anti").select(F.col("source_id").alias("node_id")).distinct()
+    refuted = links.join(good.hint("merge"), ["source_id", "target_id"], "left_anti").select(F.col("source_id").alias("node_id")).distinct()
     group = components(links).withColumnRenamed("component", "group")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     known = items.select(F.col("fingerprint").alias("node_id"), "shingles", F.col("lowest").alias("doc_id"))
-    nodes = written(group.join(known, "node_id").join(refuted.withColumn("refuted", F.lit(True)), "node_id", "left"), "simhash-candidate-groups")
+    nodes = written(group.join(known.hint("merge"), "node_id").join(refuted.withColumn("refuted", F.lit(True)).hint("merge"), "node_id", "left"), "simhash-candidate-groups")
     sizes = nodes.groupBy("group").agg(blocks.alias("blocks"), F.count("refuted").alias("refuted"))
-    placed = nodes.drop("refuted").join(sizes, "group").withColumn("at", F.pmod(F.xxhash64("node_id"), "blocks").cast("int"))
+    placed = nodes.drop("refuted").join(sizes.hint("merge"), "group").withColumn("at", F.pmod(F.xxhash64("node_id"), "blocks").cast("int"))
     placed = written(placed, "simhash-blocks")
     settled = placed.where("refuted = 0").select(F.col("node_id").alias("source_id"), F.col("group").alias("target_id"))
     doubtful = placed.where("refuted > 0")
@@ -417,9 +417,9 @@ def near_groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
         good, texts = similar_links(links, items, docs, params)
         links = whole_groups(links, written(good, "simhash-similar"), items, texts, params)
     groups = components(links).withColumnRenamed("node_id", "fingerprint")
-    named = items.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    named = items.join(groups.hint("merge"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     ids = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    of_print = named.join(ids, "component").select("fingerprint", "component_id")
+    of_print = named.join(ids.hint("merge"), "component").select("fingerprint", "component_id")
     return prints.select("doc_id", "fingerprint").join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

@@ -237,20 +237,15 @@ def components(edges: DataFrame, a: str = "source_id", b: str = "target_id") ->
 
     Alternating large-star / small-star steps: every round links nodes to the
     smallest neighbour known, so rounds grow with the logarithm of the graph and
-    a hub is reduced by a map-side ``min`` before its edges move.
+    a hub is reduced by a map-side ``min`` before its edges move. Rounds are many, so
+    none of them broadcasts: each would leave a hashed table in the driver.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     isolated = pairs.where("u = v").select(F.col("u").alias("node_id")).distinct()
     links = cut_lineage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        links = cut_lineage(small.distinct())
+        links = cut_lineage(_star_round(links))
         stamp = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if stamp == before:
             break
@@ -258,10 +253,21 @@ def components(edges: DataFrame, a: str = "source_id", b: str = "target_id") ->
     labels = links.select(F.col("u").alias("node_id"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node_id")).distinct().withColumn("component", F.col("node_id"))
     found = labels.unionByName(roots)
-    alone = isolated.join(found, "node_id", "left_anti").withColumn("component", F.col("node_id"))
+    alone = isolated.join(found.hint("merge"), "node_id", "left_anti").withColumn("component", F.col("node_id"))
     return found.unionByName(alone)
 
 
+def _star_round(links: DataFrame) -> DataFrame:
+    """One large-star and one small-star step of ``components`` over (u, v), u > v."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(lowest.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    joined = large.join(least.hint("merge"), "u")
+    small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+    return small.distinct()
+
+
 def tree_diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shape of each declared tree: roots, edges, parent paths, unresolved ends, repeats.
 
