@@ -66,9 +66,11 @@ class WordTokenizer:
     Words used lately are taken from two dictionaries: a full young one becomes the
     old one, and words that are used again move back. That bounds memory and
     changes no result. Of a new word the marks at its end are looked up alone; the
-    rest are encoded many at a time, with a character between them whose id nothing
-    else has. Words that hold it, and texts that may hold a special token, are
-    encoded as they stand.
+    rest are encoded many at a time. Where ids tell the end of a piece, words of
+    letters alone follow each other and are parted there; if a run has another count
+    of ends than of words, and for all other words, a character stands between them
+    whose id nothing else has. Words that hold it, and texts that may hold a special
+    token, are encoded as they stand.
     """
 
     MARK = "\x01"
@@ -82,6 +84,7 @@ class WordTokenizer:
 
         self.inner, self.young, self.old = Tokenizer.from_file(path), {}, {}
         self.mark = self._ids([self.MARK])[0]
+        self.ends = self._end_ids()
 
     @classmethod
     def at(cls, path: str, cached_words: int = 300_000) -> "WordTokenizer":
@@ -90,22 +93,54 @@ class WordTokenizer:
         _TOKENIZERS[path].cached_words = cached_words
         return _TOKENIZERS[path]
 
-    def _ids(self, texts: list[str]) -> np.ndarray:
-        """The ids of the texts one after another; few at a time, as what the tokenizer tells of a text is far larger than its ids."""
-        parts = [np.zeros(0, "<u4")]
+    def _end_ids(self) -> np.ndarray | None:
+        """For each id if it ends a piece; None for a vocabulary that does not mark ends."""
+        suffix = getattr(self.inner.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        known = self.inner.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(known.values()) + 1, bool)
+        out[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        return out
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; few at a time, as what the tokenizer tells of a text is far larger than its ids."""
+        parts = []
         for k in range(0, len(texts), AT_ONCE):
             parts += [np.array(e.ids, "<u4") for e in self.inner.encode_batch_fast(texts[k:k + AT_ONCE], add_special_tokens=False)]
-        return np.concatenate(parts)
+        return parts
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        """The ids of the texts one after another."""
+        return np.concatenate([np.zeros(0, "<u4"), *self._each(texts)])
+
+    def _encode_letters(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """The ids of words of letters alone, and the words that are left: a word has a piece at least, so as many ends as words are one for each."""
+        out, left, runs = {}, [], [words[k:k + 500] for k in range(0, len(words), 500)]
+        for run, ids in zip(runs, self._each([b" ".join(run).decode() for run in runs]), strict=True):
+            stop = np.flatnonzero(self.ends[ids]) * 4 + 4
+            if len(stop) == len(run):
+                raw, stop = ids.tobytes(), stop.tolist()
+                out.update((w, raw[a:b]) for w, a, b in zip(run, [0, *stop[:-1]], stop, strict=True))
+            else:
+                left += run
+        return out, left
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
         mark = self.MARK.encode()
-        alone = {w: self._ids([w.decode()]).tobytes() for w in words if mark in w or self.SPECIAL in w}
-        words = [w for w in words if w not in alone]
+        out = {w: self._ids([w.decode()]).tobytes() for w in words if mark in w or self.SPECIAL in w}
+        words = [w for w in words if w not in out]
+        if self.ends is not None:
+            letters = [w.isalpha() or not w.isascii() and w.decode().isalpha() for w in words]
+            found, left = self._encode_letters([w for w, one in zip(words, letters, strict=True) if one])
+            out.update(found)
+            words = [*left, *(w for w, one in zip(words, letters, strict=True) if not one)]
         parts = [b" \x01 ".join(words[k:k + 500]).decode() + " \x01" for k in range(0, len(words), 500)]
         ids = self._ids(parts)
         raw, stop = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
         start = [0, *(x + 4 for x in stop)][:len(stop)]
-        return {**alone, **{w: raw[a:b] for w, a, b in zip(words, start, stop, strict=True)}}
+        out.update((w, raw[a:b]) for w, a, b in zip(words, start, stop, strict=True))
+        return out
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes] | None:
         """A word and the marks at its end, where a letter or digit stands before them."""
@@ -132,14 +167,17 @@ class WordTokenizer:
         coded = split.values.dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         self.young[b""] = b""
-        missing = self._unknown(words)
+        held = list(map(self.young.get, words))
+        new = [i for i, ids in enumerate(held) if ids is None]
+        missing = self._unknown([words[i] for i in new])
         cuts = {w: c for w in missing if w[-1] < 128 and not w[-1:].isalnum() and (c := self._cut(w))}
         wanted = {x for c in cuts.values() for x in c}.union(w for w in missing if w not in cuts)
         self.young.update(self._encode_new(self._unknown(list(wanted))))
         young = self.young
         for w, (body, end) in cuts.items():
             young[w] = young[body] + young[end]
-        held = list(map(young.__getitem__, words))
+        for i in new:
+            held[i] = young[words[i]]
         if len(young) > self.cached_words:
             self.young, self.old = {}, young
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
@@ -162,21 +200,26 @@ def pieces(docs: DataFrame, tokenizer: str, params: Params = Params(), with_ids:
 
         row, coder, cap = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer, params.cached_words), params.capacity
         for batch in small_slices(batches, limit=params.slice_bytes):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row", "ids")}
             every, counts = coder.encode(batch.column("text"))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(every, np.cumsum(counts)[:-1]), strict=True):
-                ids = np.append(ids, np.uint32(params.end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), cap)):
-                    part = ids[start:start + cap]
-                    for c, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), row, (part.astype("<u2") if part.max() < 1 << 16 else part).tobytes() if narrow else part if with_ids else None), strict=True):
-                        out[c].append(v)
-                    row += 1
-            arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32", "row"))]
+            size = counts + 1
+            ids, last = np.full(int(size.sum()), params.end_id, "<u4"), np.cumsum(size) - 1
+            ids[np.delete(np.arange(len(ids)), last)] = every
+            del every
+            per = -(-size // cap)  # pieces of each document
+            doc = np.repeat(np.arange(len(size)), per)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+            start = piece * cap
+            length = np.minimum(size[doc] - start, cap)
+            edges = np.concatenate([[0], np.cumsum(length)])  # pieces stand one after another
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            arrays = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, np.arange(row, row + len(doc))))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+            row += len(doc)
             if narrow:
-                arrays, names = [*arrays, pa.array(out["ids"], pa.binary())], [*names, "ids"]
+                arrays, names = [*arrays, _narrowed(ids, edges)], [*names, "ids"]
             elif with_ids:
-                arrays, names = [*arrays, pa.array(out["ids"], pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))], [*names, "ids"]
+                arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.view("<i4")))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids binary" if narrow else ", ids array<int>" if with_ids else "")
@@ -241,6 +284,14 @@ def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _narrowed(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The ids between the edges as bytes: two of each id where that holds them, or else four."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _bytes(ids.astype("<u2"), 2 * edges)
+    parts = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.array([(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in parts], pa.binary())
+
+
 def _forget() -> None:
     """A worker that tokenised before holds words that are no longer needed."""
     if _TOKENIZERS:
@@ -360,8 +411,8 @@ def _ids_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
 
 
-def read_pieces(made: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of all pieces, as they stand in the sequences (``standing`` or ``sequences``)."""
+def read_pieces(made: DataFrame, params: Params = Params(), with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids of all pieces, as they stand in the sequences (``standing`` or ``sequences``)."""
 
     def run(batches):
         _forget()
@@ -373,12 +424,15 @@ def read_pieces(made: DataFrame, params: Params = Params()) -> DataFrame:
                 offset, piece = flat.field("offset").to_numpy(), flat.field("piece").to_numpy().astype(np.int64)
                 at = np.append(np.repeat(np.cumsum(size) - size, counts) + offset, len(ids))  # a sequence is its pieces without gaps
                 crc = [zlib.crc32(ids[a:b].astype("<i4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({
+                out = {
                     "doc_id": flat.field("doc_id"), "piece": flat.field("piece"), "start": pa.array(piece * params.capacity), "length": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64()),
-                    "sequence_id": pa.array(np.repeat(part.column("sequence_id").to_numpy(), counts)), "offset": flat.field("offset"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))})
+                    "sequence_id": pa.array(np.repeat(part.column("sequence_id").to_numpy(), counts)), "offset": flat.field("offset")}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(out)
             give_back()
 
-    return made.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")
+    return made.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
 
 def bounds(packed: DataFrame, params: Params = Params()) -> DataFrame:

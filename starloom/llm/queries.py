@@ -71,7 +71,7 @@ def tokenizer() -> str:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = packing.read_pieces(packing.standing(packing.bins(docs, tokenizer())))
+    packed = packing.read_pieces(packing.standing(packing.bins(docs, tokenizer())), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -214,6 +214,52 @@ def test_word_ids_equal_whole_text_ids():
         assert words.encode(pa.array([t]))[0].tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+class Counted:
+    """A tokenizer that counts the ids it was asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.ids = inner, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        out = self.inner.encode_batch_fast(texts, **kw)
+        self.ids += sum(len(e.ids) for e in out)
+        return out
+
+
+def test_words_of_letters_are_encoded_without_marks_between():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    words.inner = counted = Counted(words.inner)
+    rng = random.Random(5)
+    letters = list(dict.fromkeys("".join(rng.choices("abcdeéñß漢", k=rng.randint(1, 9))) for _ in range(1200)))
+    want = whole.encode(" ".join(letters), add_special_tokens=False).ids
+    assert words.encode(pa.array([" ".join(letters)]))[0].tolist() == want
+    assert counted.ids == len(want)  # one more for each word before
+    odd = ["İx", "x1y", "ΣΑΣ", "ﬁn", "a\x01b", "\u212a"]  # of letters, but more than one piece, and others
+    mixed = " ".join(x for w in letters[:600] for x in (w[::-1], rng.choice(odd)))
+    assert words.encode(pa.array([mixed]))[0].tolist() == whole.encode(mixed, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_shorter_and_longer_than_a_sequence(spark):
+    path, params = public_tokenizers.path("word_bpe_49k.json"), packing.Params(capacity=8, slice_bytes=64)
+    texts = [None, "", "a", "b " * 7, "c " * 8, "d e " * 20, " ", "f1 " * 15]
+    docs = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    whole, want = Tokenizer.from_file(path), Counter()
+    for k, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((k if k else None, i, s, len(ids[s:s + 8]), zlib.crc32(ids[s:s + 8].tobytes())) for i, s in enumerate(range(0, len(ids), 8)))
+    packed = packing.read_pieces(packing.standing(packing.bins(docs, path, params)), params, with_ids=False)
+    assert "ids" not in packed.columns
+    for got in (packed, packing.pieces(docs, path, params)):
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect()) == want
+
+
+def test_narrowed_ids_keep_large_ones():
+    ids, edges = np.array([1, 2, 70_000, 3, 4], "<u4"), np.array([0, 2, 4, 5])
+    assert [len(x) for x in packing._narrowed(ids, edges).to_pylist()] == [4, 8, 2]
+    assert [len(x) for x in packing._narrowed(ids[:2], edges[:2]).to_pylist()] == [4]
+
+
 def test_cells_exchange_what_fits_badly(spark):
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 101, 4_000).tolist()
